@@ -1,17 +1,21 @@
 """Language identification by compression with per-language raw-content dictionaries.
 
-Each language has a zstandard dictionary made of whole training texts. A text is compressed once with
-every dictionary, in blocks so that a long text cannot train itself away from the dictionary; the
+Each language has a zstandard dictionary made of whole training texts, without the lines that recur
+among them (licences, headers). A text is reduced to its distinct words (letters only, lower case, in
+order: junk between words and endless repetition say nothing of the language) and compressed once with
+every dictionary, in small blocks so that a long text cannot train itself away from the dictionary; the
 language whose dictionary gives the fewest bytes wins. Where the best two sizes lie within
 ``min_margin`` of each other the answer is kept but marked as not accepted.
 
 Edge cases: a null text, and one without a letter, is ``und`` with score 0 and not accepted. Ties go to
-the alphabetically first language. With nothing to learn from every row is ``und``. Extra columns pass
+the language with the larger dictionary, then to the alphabetically first. With nothing to learn from every row is ``und``. Extra columns pass
 through ``predict`` untouched; result columns of the same name are replaced.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import documents, fold
 
 #: Bound of the training sample: so many whole texts a language, none longer than this, and dictionary bytes.
-DONORS, DONOR_CHARS, DICT_BYTES = 96, 65_536, 131_072
-LEVEL, BLOCK = 3, 8_192
+DONORS, DONOR_CHARS, DICT_BYTES = 96, 65_536, 65_536
+LEVEL, BLOCK = 9, 1_024
+WORD = re.compile(r"[^\W\d_]+")
 #: Relative difference of the two smallest sizes under which a document is rejected.
 MIN_MARGIN = 0.004
 RESULT = "lang_pred string, score double, margin double, accepted boolean"
@@ -47,14 +52,23 @@ def fit(docs: DataFrame, train: Column, donors: int = DONORS, donor_chars: int =
     for lang, h, text in rows:
         if h in wanted[lang]:
             texts.setdefault(lang, []).append((h, text))
-    return {lang: "\n".join(t.lower() for _, t in sorted(got)).encode()[-dict_bytes:] for lang, got in sorted(texts.items())}
+    recurring = Counter(line for got in texts.values() for _, t in got for line in set(t.split("\n")))
+    out = {}
+    for lang, got in sorted(texts.items()):
+        own = "\n".join(line for _, t in sorted(got) for line in t.split("\n") if recurring[line] < 2)
+        out[lang] = spaced(WORD.findall(own.lower()))[-dict_bytes:]
+    return out
+
+
+def spaced(words) -> bytes:
+    return (" " + " ".join(words) + " ").encode("utf-8", "surrogatepass")
 
 
 class Compressors:
     """One compressor a language; sizes() gives the bytes a text takes with each."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, block: int = BLOCK) -> None:
-        self.langs, self.block = sorted(dictionaries), block
+        self.langs, self.block = sorted(dictionaries, key=lambda x: (-len(dictionaries[x]), x)), block
         self.each = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -62,7 +76,7 @@ class Compressors:
             self.each.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, text: str) -> np.ndarray:
-        raw = text.lower().encode("utf-8", "surrogatepass")
+        raw = spaced(dict.fromkeys(WORD.findall(text.lower())))
         parts = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         return np.array([sum(len(c.compress(p)) for p in parts) for c in self.each], dtype=np.float64)
 
@@ -72,7 +86,7 @@ def decide(sizes: np.ndarray, langs: list[str], min_margin: float) -> tuple[str,
     best = sizes[order[0]]
     second = sizes[order[1]] if len(order) > 1 else best * 2
     margin = float((second - best) / second)
-    # each byte of difference is eight bits of evidence; an eighth of it is trusted, for blocks are not independent
+    # each byte of difference counts as one bit of evidence, for the words of a text are not independent
     odds = np.exp2(-np.minimum(sizes - best, 60.0)).sum()
     return langs[order[0]], float(1 / odds), margin, margin >= min_margin
 
