@@ -39,10 +39,13 @@ def fit(docs: DataFrame, train: Column, donors: int = DONORS, donor_chars: int =
     """Dictionaries by language, from the ``donors`` texts with the smallest seeded hash among the rows that ``train`` keeps."""
     pool = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, donor_chars))
     order = F.xxhash64(F.lit(seed), F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("__h")
-    keys = pool.select("lang", order.alias("__h")).distinct().withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= donors)
+    # first in each of 64 hash classes of a language, then of the few that are left: no task sees a whole language
+    firsts = pool.select("lang", order.alias("__h")).distinct()
+    for group in (["lang", F.pmod("__h", F.lit(64))], ["lang"]):
+        firsts = firsts.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy("__h"))).where(F.col("__r") <= donors)
+    keys = firsts.select("lang", "__h")
     wanted: dict[str, set[int]] = {}
-    for lang, h, _ in keys.collect():  # donors rows a language
+    for lang, h in keys.collect():  # donors rows a language
         wanted.setdefault(lang, set()).add(h)
     if not wanted:
         return {}
