@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, documents
+from pagewright.llm.common import documents, stash
 
 CAPACITY, END_ID, BUCKETS, ROUNDS = 4096, 1, 256, 500
 CACHE = 400_000
@@ -237,4 +237,4 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(cut(pieces(documents(spark, sf_dir), default_tokenizer())))
+    return pack(stash(pieces(documents(spark, sf_dir), default_tokenizer())))

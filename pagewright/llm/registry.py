@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from pagewright.llm import mixing
+from pagewright.llm.imatch import op2_imatch_fingerprints
 from pagewright.llm.language_id import op7_language_id
+from pagewright.llm.mixing import op1_source_mixing
 from pagewright.llm.packing import op8_best_fit_packing
+from pagewright.llm.suffix_tree_lm import op3_lm_scoring
 
 
 def queries() -> dict:
     return {
+        "op1_source_mixing": op1_source_mixing,
+        "op2_imatch_fingerprints": op2_imatch_fingerprints,
+        "op3_lm_scoring": op3_lm_scoring,
         "op7_language_id": op7_language_id,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_source_mixing": mixing.oracle()}
