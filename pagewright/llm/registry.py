@@ -8,6 +8,7 @@ from pagewright.llm.language_id import op7_language_id
 from pagewright.llm.mixing import op1_source_mixing
 from pagewright.llm.packing import op8_best_fit_packing
 from pagewright.llm.suffix_tree_lm import op3_lm_scoring
+from pagewright.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict:
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_imatch_fingerprints": op2_imatch_fingerprints,
         "op3_lm_scoring": op3_lm_scoring,
         "op7_language_id": op7_language_id,
+        "op9_toxicity": op9_toxicity,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
 
