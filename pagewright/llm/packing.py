@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import documents, stash
 
 CAPACITY, END_ID, BUCKETS, ROUNDS = 4096, 1, 256, 500
-CACHE = 400_000
+CACHE = 700_000
 
 
 def default_tokenizer() -> str:
@@ -41,27 +41,62 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids as little-endian unsigned 32-bit bytes, remembered by space-delimited chunk.
 
-    The vocabulary drops white space, so a text's ids are those of its chunks in order. The memory is
-    emptied at ``CACHE`` chunks. A chunk that holds a special token's string is not cut apart: the whole
-    text then goes through the tokenizer.
+    The vocabulary drops white space, so a text's ids are those of its chunks in order, and a word of
+    letters followed by a comma or full stop has the ids of both. New words of letters are encoded
+    together and cut apart after the tokens that end a word; other chunks are set apart by a special
+    token. The memory is emptied at ``CACHE`` chunks. A text with a special token's string goes through
+    the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        vocabulary = self.t.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.apart, self.apart_id = next((a.content, i) for i, a in self.t.get_added_tokens_decoder().items() if a.special)
         self.memory: dict[str, bytes] = {}
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, chunks: list[str], letters: bool) -> None:
+        memory = self.memory
+        for lo in range(0, len(chunks), 2048):
+            part = chunks[lo : lo + 2048]
+            ids = self.ids((" " if letters else self.apart).join(part))
+            if letters:
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(part):  # a letter that lower-cases to more than a letter
+                    self.learn(part, False)
+                    continue
+                starts = [0, *ends[:-1].tolist()]
+            else:
+                at = np.flatnonzero(ids == self.apart_id)
+                starts, ends = [0, *(at + 1).tolist()], np.append(at, len(ids))
+            raw = ids.tobytes()
+            memory.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(starts, ends.tolist(), strict=True)], strict=True))
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         memory = self.memory
         if len(memory) > CACHE:
             memory.clear()
         chunks = [t.split() for t in texts]
-        unknown = list({w for c in chunks for w in c if w not in memory})
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i : i + 4096]
-            for w, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
-                memory[w] = np.array(e.ids, dtype="<u4").tobytes()
+        unknown = {w for c in chunks for w in c if w not in memory and "<|" not in w}
+        if unknown:
+            stems = {w[:-1] for w in unknown if w[-1] in ",." and w[:-1].isalpha()}
+            words = {w for w in unknown if w.isalpha()} | {w for w in stems if w not in memory}
+            self.learn(list(words), True)
+            if "," not in memory:
+                self.learn([",", "."], False)
+            rest = []
+            for w in unknown - words:
+                if w[-1] in ",." and w[:-1] in stems:
+                    memory[w] = memory[w[:-1]] + memory[w[-1]]
+                else:
+                    rest.append(w)
+            self.learn(rest, False)
         out = []
         for text, words in zip(texts, chunks, strict=True):
             if "<|" in text:
@@ -71,6 +106,16 @@ class WordEncoder:
         return out
 
 
+ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder, whose memory outlives a task."""
+    if path not in ENCODERS:
+        ENCODERS[path] = WordEncoder(path)
+    return ENCODERS[path]
+
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
 
 
@@ -80,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end, step = np.array([end_id], dtype="<u4").tobytes(), capacity * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             for lo in range(0, len(ids), 256):
