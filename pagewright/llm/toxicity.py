@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import documents, fold
 
-SAMPLE, SAMPLE_CHARS, LEAST, STANDS_OUT = 3_000, 65_536, 4, 4.0
-RIDGE, COUNTERFACTUAL, STEPS = 2e-3, 1.0, 400
+SAMPLE, SAMPLE_CHARS, LEAST, STANDS_OUT = 3_000, 65_536, 4, 3.0
+RIDGE, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 400
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 #: Groups of terms that may stand for one another in a neutral mention.
@@ -131,7 +131,7 @@ def train(texts: list[str], labels: list[int], prior: float, groups=IDENTITY, co
         velocity = 0.9 * velocity - 0.5 * grad / curve
         speed = 0.9 * speed - 0.5 * error.sum()
         w, b = w + velocity, b + speed
-    shift = 0.25 * float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))  # a quarter of the way from even classes to the share in the corpus
+    shift = 0.5 * float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))  # half way from even classes to the share in the corpus
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(b) + shift)
 
 
