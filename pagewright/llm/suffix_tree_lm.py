@@ -23,6 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,7 @@ class Tree:
     keys: list[np.ndarray] = field(default_factory=list)
     share: list[np.ndarray] = field(default_factory=list)  # discounted count over that of the context
     rest: list[np.ndarray] = field(default_factory=list)  # by context: what goes to the shorter one; 1 where it is no state
+    has: list[np.ndarray] = field(default_factory=list)  # by context: whether any gram has it
 
     def flat(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all symbols, each document ending in END and preceded by one, and the place of each document's first symbol."""
@@ -91,7 +93,7 @@ class Tree:
         out, starts = [end], []
         for ws in docs:
             starts.append(len(out))
-            out += [get(w, 0) for w in ws]
+            out += map(get, ws, repeat(0))
             out.append(end)
         return np.array(out, dtype=np.int64), np.array(starts, dtype=np.int64)
 
@@ -101,7 +103,7 @@ class Tree:
         out, end = [first], self.ids.get(END, 0)
         for k in range(orders):
             before = self.context(out[-1], ids, k, end)
-            out.append(find(self.keys[k], before, ids))
+            out.append(find(self.keys[k], before, ids, self.has[k]))
         return out
 
     @staticmethod
@@ -120,7 +122,7 @@ class Tree:
         gram = np.where(known, ids, -1)
         for k in range(len(self.keys)):
             before = self.context(gram, ids, k, end)
-            gram = find(self.keys[k], before, ids)
+            gram = find(self.keys[k], before, ids, self.has[k])
             state = before >= 0
             lam = np.ones(len(ids))
             lam[state] = self.rest[k][before[state]]
@@ -130,9 +132,11 @@ class Tree:
         return np.log10(p), known
 
 
-def find(keys: np.ndarray, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def find(keys: np.ndarray, context: np.ndarray, ids: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Where context << SHIFT | id stands in keys, -1 if it doesn't."""
     out = np.full(len(ids), -1, dtype=np.int64)
     ok = np.flatnonzero((context >= 0) & (ids > 0))
+    ok = ok[has[context[ok]]]
     if len(keys) and len(ok):
         want = context[ok] << SHIFT | ids[ok]
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
@@ -201,6 +205,7 @@ def fit(train: DataFrame, counts: DataFrame, q_word: float = Q_WORD, q_context:
         gain += others * np.log(np.maximum(rest, 1e-12))
         states = (np.bincount(context, minlength=len(size)) > 0) & (gain > evidence * np.log(np.maximum(size, 2)))
         tree.keys.append(keys)
+        tree.has.append(np.bincount(context, minlength=len(size)) > 0)
         tree.share.append(np.where(states[context], share, 0.0))
         tree.rest.append(np.where(states, np.clip(rest, 1e-9, 1 - 1e-12), 1.0))
         size = c
@@ -218,11 +223,11 @@ def shorter(tree: Tree, k: int, context: np.ndarray, word: np.ndarray) -> np.nda
             gram = key >> SHIFT
         suffix = last[-1]
         for i, w in enumerate(reversed(last[:-1])):
-            suffix = find(tree.keys[i], suffix, w)
+            suffix = find(tree.keys[i], suffix, w, tree.has[i])
         ok = suffix >= 0
         lam = np.ones(len(word))
         lam[ok] = tree.rest[j][suffix[ok]]
-        gram = find(tree.keys[j], suffix, word)
+        gram = find(tree.keys[j], suffix, word, tree.has[j])
         p *= lam
         hit = (gram >= 0) & (lam < 1)
         p[hit] += tree.share[j][gram[hit]]
@@ -245,10 +250,14 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             sums = lambda x: np.add.reduceat(x[1:], starts - 1) if len(starts) else x[:0]
             uid, doc = part.column("uid").to_pylist(), part.column("doc_id").to_pylist()
             rows = [uid[:], doc, [b" %d" % u for u in uid], [0] * len(uid), (ends - starts).tolist(), sums(known.astype(np.int64)).tolist(), sums(np.where(known, base[ids], 0.0)).tolist(), sums(logs).tolist()]
-            for u, ws in zip(uid, docs, strict=True):
-                for w, times in Counter([w for w in ws if w not in t.ids]).items():
-                    for col, v in zip(rows, (u, None, w, times, 0, 0, 0.0, 0.0), strict=True):
-                        col.append(v)
+            flat = [END, *chain.from_iterable((*ws, END) for ws in docs)]
+            at = np.flatnonzero(~known)
+            rare = Counter(zip((np.searchsorted(starts, at, side="right") - 1).tolist(), [flat[i] for i in at.tolist()], strict=True))
+            if rare:
+                owners, rare_words = zip(*rare, strict=True)
+                n = len(rare)
+                for col, more in zip(rows, ([uid[i] for i in owners], [None] * n, rare_words, rare.values(), [0] * n, [0] * n, [0.0] * n, [0.0] * n), strict=True):
+                    col.extend(more)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     parts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "uid long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, model double")
