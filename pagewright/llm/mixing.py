@@ -13,7 +13,7 @@ meets in one task.
 Edge cases: null levels form a node ``(none)``; null or blank texts have 0 tokens and fit any prefix
 that reaches them. Rows with equal ids follow one another, shorter first; a null id hashes as ``null``.
 Nodes of weight 0 get nothing. An empty table gives no rows. Input columns named like result columns are
-replaced, others are not carried by ``mix``; ``keep`` returns the input's own columns.
+replaced, others are carried by ``mix`` on request; ``keep`` returns the input's own columns.
 """
 
 from __future__ import annotations
@@ -73,9 +73,9 @@ def budgets(slim: DataFrame, levels: list[str], weights: dict, default: int, sha
     return leaves.join(poured, levels).select(*levels, "leaf_tokens", F.floor(F.col("budget") + 1e-6).cast("long").alias("leaf_budget"))
 
 
-def mix(docs: DataFrame, levels: list[str] = LEVELS, weights: dict = WEIGHTS, default: int = DEFAULT_WEIGHT, share: tuple[int, int] = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Chosen documents: levels, doc_id, epoch, n_tokens, leaf_tokens, leaf_budget. docs has the levels, doc_id and text."""
-    slim = stash(docs.select(*(F.coalesce(F.col(x).cast("string"), F.lit("(none)")).alias(x) for x in levels), "doc_id", tokens_of(F.col("text")).alias("n_tokens")))
+def mix(docs: DataFrame, levels: list[str] = LEVELS, weights: dict = WEIGHTS, default: int = DEFAULT_WEIGHT, share: tuple[int, int] = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chosen documents: levels, doc_id, epoch, n_tokens, leaf_tokens, leaf_budget and the columns to carry. docs has the levels, doc_id and text."""
+    slim = stash(docs.select(*(F.coalesce(F.col(x).cast("string"), F.lit("(none)")).alias(x) for x in levels), "doc_id", *carry, tokens_of(F.col("text")).alias("n_tokens")))
     plan = budgets(slim, levels, weights, default, share, max_epochs)
     has = F.col("leaf_tokens") > 0
     plan = plan.withColumn("__full", F.when(has, F.floor(F.col("leaf_budget") / F.greatest("leaf_tokens", F.lit(1)))).otherwise(0).cast("int"))
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, levels: list[str] = LEVELS, weights: dict = WEIGHTS, de
     over = sums.where(F.col("__upto") > F.col("__rest")).groupBy(*levels).agg(F.min(F.struct("__b", (F.col("__rest") - F.col("__upto") + F.col("__t")).alias("left"))).alias("__at"))
     edge = stash(over.select(*levels, F.col("__at.__b").alias("__edge"), F.col("__at.left").alias("__left")))
     final = last.join(edge, levels, "left")
-    out = [*levels, "doc_id", "epoch", "n_tokens", "leaf_tokens", "leaf_budget"]
+    out = [*levels, "doc_id", "epoch", "n_tokens", "leaf_tokens", "leaf_budget", *carry]
     whole = rows.where(F.col("__full") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__full"))))
     before = final.where(F.col("__edge").isNull() | (F.col("__b") < F.col("__edge")))
     rank = Window.partitionBy(*levels).orderBy("__h", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,6 +101,14 @@ def mix(docs: DataFrame, levels: list[str] = LEVELS, weights: dict = WEIGHTS, de
     return whole.select(*out).unionByName(before.select(*out)).unionByName(on.select(*out))
 
 
+def keep(docs: DataFrame, share: tuple[int, int], **options) -> DataFrame:
+    """The rows of docs (doc_id, lang, source, text) that one epoch of the mixture takes, as they are."""
+    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    slim = rows.select("__uid", "doc_id", "text", "lang", "source", domain_of(F.col("source")).alias("domain"))
+    chosen = stash(mix(slim, share=share, max_epochs=1, carry=("__uid",), **options).select("__uid"))
+    return rows.join(chosen, "__uid", "left_semi").select(*docs.columns)
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return mix(docs.withColumn("domain", domain_of(F.col("source"))))

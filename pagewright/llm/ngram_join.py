@@ -201,7 +201,7 @@ def grams_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies, and uid (the place of the row in docs) for every row of docs (doc_id, text)."""
+    """doc_id, class_id, n_links, n_copies, uid (the place of the row in docs) and label (of the class) for every row of docs (doc_id, text)."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_signed = stash(signed(rows, n, depth_for(threshold, trees, target), trees))
     full = all_signed.where("same is not null")
@@ -215,8 +215,15 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int =
     heads = stash(reps.select("same", "uid", "copies").join(group, "uid", "left").join(links, "uid", "left").select("same", F.coalesce("label", "uid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies")))
     member = stash(all_signed.select("uid", "doc_id", "same").join(heads, "same", "left").select("uid", "doc_id", F.coalesce("label", "uid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")))
     smallest = member.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return member.join(smallest, "label").select("doc_id", "class_id", "n_links", "n_copies", "uid")
+    return member.join(smallest, "label").select("doc_id", "class_id", "n_links", "n_copies", "uid", "label")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without all but the first document (doc_id, then row order) of each class."""
+    first = join(docs.select("doc_id", "text"), **options).groupBy("label").agg(F.min(F.struct("doc_id", "uid")).alias("x"))
+    kept = stash(first.select(F.col("x.uid").alias("__uid")))
+    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid", "left_semi").select(*docs.columns)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir)).drop("uid")
+    return join(documents(spark, sf_dir)).drop("uid", "label")
