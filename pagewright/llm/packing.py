@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import documents, stash
 
 CAPACITY, END_ID, BUCKETS, ROUNDS = 4096, 1, 256, 500
-CACHE = 700_000
+CACHE = 900_000
 
 
 def default_tokenizer() -> str:
@@ -41,8 +41,8 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids as little-endian unsigned 32-bit bytes, remembered by space-delimited chunk.
 
-    The vocabulary drops white space, so a text's ids are those of its chunks in order, and a word of
-    letters followed by a comma or full stop has the ids of both. New words of letters are encoded
+    The vocabulary drops white space and lower-cases, so a text's ids are those of its chunks in order,
+    and a word of letters followed by a comma or full stop has the ids of both. New words of letters are encoded
     together and cut apart after the tokens that end a word; other chunks are set apart by a special
     token. The memory is emptied at ``CACHE`` chunks. A text with a special token's string goes through
     the tokenizer whole.
@@ -82,27 +82,28 @@ class WordEncoder:
         memory = self.memory
         if len(memory) > CACHE:
             memory.clear()
+        whole = [i for i, t in enumerate(texts) if "<|" in t]
         chunks = [t.split() for t in texts]
-        unknown = {w for c in chunks for w in c if w not in memory and "<|" not in w}
+        for i in whole:
+            chunks[i] = []
+        unknown = set().union(*chunks).difference(memory)
         if unknown:
-            stems = {w[:-1] for w in unknown if w[-1] in ",." and w[:-1].isalpha()}
-            words = {w for w in unknown if w.isalpha()} | {w for w in stems if w not in memory}
-            self.learn(list(words), True)
             if "," not in memory:
                 self.learn([",", "."], False)
-            rest = []
-            for w in unknown - words:
-                if w[-1] in ",." and w[:-1] in stems:
-                    memory[w] = memory[w[:-1]] + memory[w[-1]]
+            rest, stem_of = [], {}
+            for w in unknown:
+                stem = w[:-1] if w[-1] in ",." else w
+                if stem.isalpha():
+                    stem_of[w] = stem.lower() if max(stem) <= "ÿ" else stem  # Latin letters lower one to one
                 else:
                     rest.append(w)
+            self.learn(list(set(stem_of.values()).difference(memory)), True)
             self.learn(rest, False)
-        out = []
-        for text, words in zip(texts, chunks, strict=True):
-            if "<|" in text:
-                out.append(np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            else:
-                out.append(b"".join([memory[w] for w in words]))
+            for w, stem in stem_of.items():
+                memory[w] = memory[stem] + memory[w[-1]] if w[-1] in ",." else memory[stem]
+        out = [b"".join(map(memory.__getitem__, words)) for words in chunks]
+        for i in whole:
+            out[i] = np.array(self.t.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
         return out
 
 
@@ -128,10 +129,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         enc = encoder(tokenizer)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for lo in range(0, len(ids), 256):
-                group = [t or "" for t in texts.slice(lo, 256).to_pylist()]
+            for lo in range(0, len(ids), 64):
+                group = [t or "" for t in texts.slice(lo, 64).to_pylist()]
                 rows: list[tuple] = []
-                for doc, raw in zip(ids[lo : lo + 256], enc.encode_batch(group), strict=True):
+                for doc, raw in zip(ids[lo : lo + 64], enc.encode_batch(group), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), step)):
                         part = raw[at : at + step]
