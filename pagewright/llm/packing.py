@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import documents, stash
 
 CAPACITY, END_ID, BUCKETS, ROUNDS = 4096, 1, 256, 500
-CACHE = 900_000
+CACHE = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -61,22 +61,41 @@ class WordEncoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn(self, chunks: list[str], letters: bool) -> None:
-        memory = self.memory
+    def encode(self, chunks: list[str], letters: bool) -> Iterator[bytes]:
+        """Ids of each chunk; with `letters` all chunks are words of letters alone."""
         for lo in range(0, len(chunks), 2048):
             part = chunks[lo : lo + 2048]
             ids = self.ids((" " if letters else self.apart).join(part))
             if letters:
-                ends = np.flatnonzero(self.last[ids]) + 1
+                ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
                 if len(ends) != len(part):  # a letter that lower-cases to more than a letter
-                    self.learn(part, False)
+                    yield from self.encode(part, False)
                     continue
-                starts = [0, *ends[:-1].tolist()]
+                starts = [0, *ends[:-1]]
             else:
                 at = np.flatnonzero(ids == self.apart_id)
-                starts, ends = [0, *(at + 1).tolist()], np.append(at, len(ids))
+                starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
-            memory.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(starts, ends.tolist(), strict=True)], strict=True))
+            yield from map(raw.__getitem__, map(slice, starts, ends))
+
+    def learn(self, unknown: set[str]) -> None:
+        memory = self.memory
+        words, marked, rest = [], [], []
+        for w in unknown:
+            if w.isalpha():
+                words.append(w)
+            elif w[-1] in ",." and w[:-1].isalpha():
+                marked.append(w)
+            else:
+                rest.append(w)
+        memory.update(zip(words, self.encode(words, True), strict=True))
+        new = list({w[:-1] for w in marked}.difference(memory))
+        stems = dict(zip(new, self.encode(new, True), strict=True))
+        mark = dict(zip(",.", self.encode([",", "."], False), strict=True))
+        for w in marked:
+            stem = w[:-1]
+            memory[w] = (stems.get(stem) or memory[stem]) + mark[w[-1]]
+        memory.update(zip(rest, self.encode(rest, False), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         memory = self.memory
@@ -86,21 +105,8 @@ class WordEncoder:
         chunks = [t.split() for t in texts]
         for i in whole:
             chunks[i] = []
-        unknown = set().union(*chunks).difference(memory)
-        if unknown:
-            if "," not in memory:
-                self.learn([",", "."], False)
-            rest, stem_of = [], {}
-            for w in unknown:
-                stem = w[:-1] if w[-1] in ",." else w
-                if stem.isalpha():
-                    stem_of[w] = stem.lower() if max(stem) <= "ÿ" else stem  # Latin letters lower one to one
-                else:
-                    rest.append(w)
-            self.learn(list(set(stem_of.values()).difference(memory)), True)
-            self.learn(rest, False)
-            for w, stem in stem_of.items():
-                memory[w] = memory[stem] + memory[w[-1]] if w[-1] in ",." else memory[stem]
+        if unknown := set().union(*chunks).difference(memory):
+            self.learn(unknown)
         out = [b"".join(map(memory.__getitem__, words)) for words in chunks]
         for i in whole:
             out[i] = np.array(self.t.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
