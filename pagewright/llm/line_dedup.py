@@ -90,14 +90,14 @@ def cleaned(text: str | None, at, sizes) -> tuple[str | None, int, int, int]:
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the cleaned text, n_lines, n_deleted and n_runs."""
     rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    found = stash(repeated(rows.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)).withColumnRenamed("uid", "__uid")
+    found = stash(repeated(rows.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)).select(F.col("uid").alias("__uid"), F.col("at").alias("__at"), F.col("sizes").alias("__sizes"))
 
     @F.pandas_udf("text string, n_lines long, n_deleted long, n_runs long")
     def clean(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, at, sizes in parts:
             yield pd.DataFrame([cleaned(t, a, n) for t, a, n in zip(text, at, sizes, strict=True)], columns=["text", "n_lines", "n_deleted", "n_runs"])
 
-    joined = rows.join(found, "__uid", "left").withColumn("__c", clean("text", "at", "sizes"))
+    joined = rows.join(found, "__uid", "left").withColumn("__c", clean("text", "__at", "__sizes"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]
     return joined.select(*(F.col("__c.text").alias("text") if c == "text" else F.col(c) for c in names), "__c.n_lines", "__c.n_deleted", "__c.n_runs")
 
