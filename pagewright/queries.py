@@ -459,10 +459,11 @@ LLMS = "(VALUES ('a', 200, '# Site' || chr(10) || '> About it' || chr(10) || '##
 
 
 @query(f"""WITH f AS (SELECT *, regexp_matches(body, '(?i)^\\s*<(!doctype|html)') AS html, string_split(body, chr(10)) AS l FROM {LLMS})
-  SELECT site, status = 200 AND body <> '' AND NOT html AS present, html, CASE WHEN status = 200 THEN len(list_filter(l, lambda x: regexp_matches(x, '^#\\s+\\S'))) > 0 END AS h1, CASE WHEN status = 200 THEN len(list_filter(l, lambda x: regexp_matches(x, '^>\\s*\\S'))) > 0 END AS summary,
-    CAST(CASE WHEN status = 200 THEN len(list_filter(l, lambda x: regexp_matches(x, '^##\\s+\\S'))) END AS INTEGER) AS sections, CAST(CASE WHEN status = 200 THEN len(regexp_extract_all(body, '\\[[^\\]]+\\]\\([^)]+\\)')) END AS INTEGER) AS links FROM f""")
+  SELECT site, status = 200 AND body <> '' AND NOT html AS present, html, status = 200 AND len(list_filter(l, lambda x: regexp_matches(x, '^#\\s+\\S'))) > 0 AS h1, status = 200 AND len(list_filter(l, lambda x: regexp_matches(x, '^>\\s*\\S'))) > 0 AS summary,
+    CAST(CASE WHEN status = 200 THEN len(list_filter(l, lambda x: regexp_matches(x, '^##\\s+\\S'))) ELSE 0 END AS INTEGER) AS sections, CAST(CASE WHEN status = 200 THEN len(regexp_extract_all(body, '\\[[^\\]]+\\]\\([^)]+\\)')) ELSE 0 END AS INTEGER) AS links FROM f""")
 def llms_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.llms_shape(values(spark, LLMS))
+    f = ST.llms_shape(values(spark, LLMS))
+    return f.select("site", "present", "html", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("h1", "summary")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sections", "links")))
 
 
 @query(f"""WITH f AS (SELECT *, regexp_matches(body, '(?i)^\\s*<(!doctype|html)') AS html FROM {LLMS})

@@ -1,0 +1,149 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pagewright.functions import urls
+from pagewright.operators import findings as FD
+from pagewright.operators import robots as RB
+from pagewright.operators import site as ST
+from pagewright.plans import audit as A
+from pagewright.sources.snapshots import extract, measure, nodes_of, row_schema
+from pagewright.streaming import pages as SP
+
+MESSY = """<!doctype html><html lang="en-AU"><head><title>Widgets for sheds, gates and ponds</title>
+<meta name="Robots" content="index, follow, max-snippet:-1"><link rel="Canonical" href="/widgets"><meta property="og:title" content="W"><meta property="og:image" content="w.png">
+<link rel="alternate" hreflang="en-nz" href="/nz/widgets"><script type="application/ld+json">{"@type": "Service", "name": "Shed care"}</script><script type="application/ld+json">{"@type": oops}</script>
+<script src="https://cdn.example.net/t.js"></script></head><body><nav><h2>Menu</h2><a href="/">Home</a><a href="/about">About</a></nav>
+<main><h1>Widgets</h1><p>Some text <a href="https://other.example.org/" rel="nofollow">elsewhere</a><h3>Deep</h3><p>More text here.<h1>Again</h1><h2> </h2>
+<img src="a.jpg" width=1 height=1 alt="a"><img src="b.webp" loading=lazy><img src="c.png" alt="">
+<a href="mailto:a@example.com">Mail</a><a href="#top">Up</a><a>Nothing</a><a href="/gate"></a><a href="https://third.example.org/x">Third</a></main><footer><h4>Foot</h4></footer></body></html>"""
+
+
+def pages(spark, *rows):
+    return spark.createDataFrame(list(rows), "page_id long, url string, html string")
+
+
+def ids(df):
+    return {r.id: r.severity for r in FD.long(df).collect()}
+
+
+def test_messy_page(spark):
+    s = measure(MESSY, "https://example.com/widgets")
+    assert s["title"]["text"] == "Widgets for sheds, gates and ponds" and s["title"]["count"] == 1
+    assert s["canonical"]["href"] == "https://example.com/widgets" and s["lang"] == "en-AU" and s["viewport"] is None
+    assert [h["level"] for h in s["headings"]] == [2, 1, 3, 1, 2, 4] and s["headings"][0]["region"] == "nav" and s["headings"][-1]["region"] == "footer"
+    assert s["specialLinks"] == {"mailto": 1, "tel": 0, "javascript": 0, "fragment": 1}
+    assert sum(x["internal"] is True for x in s["links"]) == 3 and sum(x["internal"] is False for x in s["links"]) == 2
+    assert [b["ok"] for b in s["structuredData"]["jsonLd"]] == [True, False]
+    assert s["content"]["hasMain"] and s["content"]["mainWords"] < s["content"]["bodyWords"]
+    got = ids(A.audit(extract(pages(spark, (1, "https://example.com/widgets", MESSY)))))
+    want = {"canon.self": "pass", "index.indexable": "pass", "desc.missing": "warn", "meta.viewport": "fail", "h1.multiple": "warn", "head.empty": "note", "head.skipped": "note", "schema.parse": "fail", "schema.required.Service": "warn", "schema.no-id": "note", "hreflang.no-self": "warn", "img.no-alt": "warn", "img.no-dims": "warn", "link.no-text": "warn", "og.partial": "note"}
+    assert want.items() <= got.items()
+
+
+def test_failures_first_and_fixes(spark):
+    found = FD.long(A.audit(extract(pages(spark, (1, "http://example.com/", "<p>x")))))
+    order = [r.severity for r in FD.in_order(found).collect()]
+    assert order == sorted(order, key=FD.SEVERITIES.index)
+    assert all(r.fix for r in found.where("severity in ('fail', 'warn')").collect())
+    assert found.where("area is null").count() == 0
+
+
+def test_null_and_odd_pages(spark):
+    rows = A.audit(extract(pages(spark, (1, None, None), (2, "not a url", "<<<>"), (3, "https://a.com", ""), (None, "https://a.com", "<p")))).collect()
+    assert len(rows) == 4
+
+
+def test_tech_and_views(spark):
+    html = "<html><head><meta name=generator content='WordPress 6'><link href='/wp-content/themes/astra/a.css' rel=stylesheet></head><body><script>GTM-ABC1234 UA-12345-1 UA-12345-2</script><a href='https://www.facebook.com/me'>f</a>"
+    snap = extract(pages(spark, (1, "https://example.com/", html)))
+    t = A.tech_audit(snap).first()
+    assert [x.key for x in t.trackers] == ["gtm", "ua"] and t.platform.cms == "WordPress" and "Theme: astra" in t.platform.detail
+    assert {"tech.dead.ua", "tech.dupe.ua"} <= {f.id for f in t.findings}
+    found = FD.long(A.audit(snap))
+    assert A.report(snap, found).first().report.startswith("# Page report\nhttps://example.com/")
+    for view in (A.summary, A.social, A.headings, A.heading_levels, A.links, A.images, A.schema_blocks, A.hreflang, A.dump, A.outline, ST.host_tally, ST.unique_targets, ST.links_to_check):
+        view(snap).collect()
+
+
+def test_site_audit(spark):
+    snap = extract(pages(spark, (1, "https://example.com/", MESSY)))
+    facts = spark.sql("SELECT 1L AS page_id, 'read' AS verdict, array(named_struct('id', 'Googlebot', 'group', 'search', 'allowed', false)) AS grid, array(named_struct('agent', 'GPTBot', 'status', 403, 'bytes', 1L, 'error', cast(null as string))) AS probes, 100L AS base_bytes, named_struct('html', false, 'present', true, 'h1', true, 'summary', true) AS llms")
+    got = ids(A.site_audit(snap, snap.where("false"), facts))
+    assert {"js.no-raw": "note", "robots.search-blocked": "fail", "probe.blocked.GPTBot": "fail", "llms.present": "pass"}.items() <= got.items()
+
+
+def test_link_answers(spark):
+    snap = extract(pages(spark, (1, "https://a.com/", "<a href='/x#1'>x</a><a href='/x#2'>x</a><a href='/y'>y</a>")))
+    answers = spark.sql("SELECT * FROM (VALUES ('https://a.com/x', 404, false, cast(null as string))) AS t(url, status, redirected, error)")
+    got = {r.key: r.severity for r in ST.link_status(snap, answers).collect()}
+    assert got == {"https://a.com/x": "fail", "https://a.com/y": None}
+    assert ST.status_results(ST.link_status(snap, answers)).first().results[0].status == 404
+
+
+def brute_allowed(rules, target):
+    """Longest matching path wins, allow on a tie; no rule, allowed."""
+    best = None
+    for kind, path in rules:
+        if not path:
+            continue
+        body = path[:-1] if path.endswith("$") else path
+        if re.match("".join(".*" if c == "*" else re.escape(c) for c in body) + ("$" if path.endswith("$") else ""), target):
+            if best is None or (len(path), kind == "allow") > (len(best[1]), best[0] == "allow"):
+                best = (kind, path)
+    return best is None or best[0] == "allow"
+
+
+PATHS = st.text(alphabet="/ab*$.", min_size=0, max_size=5).map(lambda x: "/" + x)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["allow", "disallow"]), PATHS), max_size=6), min_size=8, max_size=8), st.lists(st.text(alphabet="/ab.", max_size=6).map(lambda x: "/" + x), min_size=4, max_size=4))
+def test_robots_against_brute_force(spark, files, targets):
+    robots = spark.createDataFrame([(str(i), "User-agent: *\n" + "\n".join(f"{k}: {p}" for k, p in f)) for i, f in enumerate(files)], "site string, text string")
+    asked = spark.createDataFrame([(str(i), "https://h" + t) for i in range(len(files)) for t in set(targets)], "site string, url string")
+    got = {(r.site, r.url): r.allowed for r in RB.grid(RB.lines(robots), asked, [("Googlebot", "search")]).collect()}
+    for i, f in enumerate(files):
+        for t in set(targets):
+            assert got[str(i), "https://h" + t] == brute_allowed(f, t), (f, t)
+
+
+def test_robots_tables(spark):
+    text = "Disallow: /early\nUser-agent: a\n\nbad line\nUser-agent: b\nDisallow: /x\nSitemap: https://h/s.xml\nUser-agent: c\nCrawl-delay: 2\nHost: h"
+    p = RB.lines(spark.createDataFrame([("s", text), ("n", None)], "site string, text string"))
+    assert {(r.grp, r.token) for r in RB.agents(p).collect()} == {(1, "a"), (1, "b"), (2, "c")}
+    assert [r.line for r in RB.errors(p).orderBy("line").collect()] == [1, 4]
+    assert RB.sitemaps(p).first().sitemap == "https://h/s.xml" and RB.crawl_delays(p).first().crawl_delay == "2" and RB.unknown(p).first().field == "host"
+
+
+def test_urls():
+    assert urls.resolve("/a b", "HTTPS://Example.com:443/x") == "https://example.com/a%20b"
+    assert urls.resolve("//d.org", "https://a.com") == "https://d.org/" and urls.resolve("?q=1", "https://a.com/p") == "https://a.com/p?q=1"
+    assert urls.resolve("http://[bad", "https://a.com") is None and urls.host("https://a.com:8080/") == "a.com:8080"
+
+
+def test_json_ld_shapes():
+    assert nodes_of(None) == [] and nodes_of({"@graph": [{"@type": ["A", "B"], "@id": "x"}, 3]})[0]["types"] == ["A", "B"]
+
+
+def test_stream_matches_batch(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40)
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    got = []
+    q = SP.run(SP.page_stream(spark, str(tmp_path / "in"), 1), lambda df, n: got.extend(df.select("page_id", "id").collect()), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    want = FD.long(A.audit(extract(rows))).select("page_id", "id").collect()
+    assert sorted(got) == sorted(want)
+
+
+def test_latest_and_stored_snapshots(spark, tmp_path):
+    f = spark.sql("SELECT * FROM (VALUES ('u', 1, 'old'), ('u', 2, 'new')) AS t(url, fetched_at, body)")
+    assert SP.latest(f).first().body == "new"
+    snap = extract(pages(spark, (1, "https://a.com/", MESSY)))
+    snap.write.parquet(str(tmp_path / "s"))
+    from pagewright.sources.snapshots import read
+
+    back = read(spark, str(tmp_path / "s"))
+    assert back.schema == row_schema() and ids(A.audit(back)) == ids(A.audit(snap))
