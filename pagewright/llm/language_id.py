@@ -110,8 +110,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
                     out.append(decide(use.sizes(t), use.langs, min_margin))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "margin", "accepted"])
 
+    # called nondeterministic so that a filter on the result does not evaluate it a second time
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin", "accepted", "__lid")]
-    return docs.select(*kept, judge(F.col("text")).alias("__lid")).select(*kept, "__lid.*")
+    return docs.select(*kept, judge.asNondeterministic()(F.col("text")).alias("__lid")).select(*kept, "__lid.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for text, at, sizes in parts:
             yield pd.DataFrame([cleaned(t, a, n) for t, a, n in zip(text, at, sizes, strict=True)], columns=["text", "n_lines", "n_deleted", "n_runs"])
 
-    joined = rows.join(found, "__uid", "left").withColumn("__c", clean("text", "__at", "__sizes"))
+    joined = rows.join(found, "__uid", "left").withColumn("__c", clean.asNondeterministic()("text", "__at", "__sizes"))  # else a filter evaluates it again
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]
     return joined.select(*(F.col("__c.text").alias("text") if c == "text" else F.col(c) for c in names), "__c.n_lines", "__c.n_deleted", "__c.n_runs")
 
@@ -119,9 +119,9 @@ def oracle(table: str = "documents", min_words: int = MIN_WORDS) -> str:
     judged AS (SELECT *, (one AND len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {min_words}) OR two
                          OR coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM seen),
     runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM judged),
-    counts AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS d, count(*) FILTER (starts) AS r FROM runs GROUP BY doc_id),
+    counts AS (SELECT doc_id, count(*) AS n_real, count(*) FILTER (gone) AS n_gone, count(*) FILTER (starts) AS n_starts FROM runs GROUP BY doc_id),
     kept AS (SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.k) AS text FROM all_lines a LEFT JOIN judged j ON a.doc_id = j.doc_id AND a.k = j.k
              WHERE coalesce(j.gone, false) = false GROUP BY a.doc_id)
-    SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(d, 0) AS BIGINT) AS n_deleted, CAST(coalesce(r, 0) AS BIGINT) AS n_runs,
-           sha256(CASE WHEN n = d THEN '' ELSE coalesce(kept.text, '') END) AS kept_sha256
+    SELECT t.doc_id, CAST(coalesce(n_real, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_deleted, CAST(coalesce(n_starts, 0) AS BIGINT) AS n_runs,
+           sha256(CASE WHEN n_real = n_gone THEN '' ELSE coalesce(kept.text, '') END) AS kept_sha256
     FROM {table} t LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)"""

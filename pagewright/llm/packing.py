@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import documents, stash
 
 CAPACITY, END_ID, BUCKETS, ROUNDS = 4096, 1, 256, 500
-CACHE = 1_200_000
+CACHE = 800_000
 
 
 def default_tokenizer() -> str:
