@@ -24,6 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/pagewright-checkpoints"
 
 
+def row_ids(docs: DataFrame, name: str = "uid") -> DataFrame:
+    """docs with a number for each row that is the same whenever docs is read again.
+
+    docs must be a stored table (or cached): then rows are numbered by scan partition and place. How files
+    are dealt to partitions would follow the number of cores in use, which falls when an executor is lost
+    between two scans; it is pinned for the session at its first value.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, stash
+from pagewright.llm.common import documents, row_ids, stash
 
 SLOT_BITS, GROUPS, LEVELS = 24, 8, 6
 #: The band: a term must occur in MIN_DF documents and in at most this share of them.
@@ -103,7 +103,7 @@ def successors(rows: DataFrame) -> DataFrame:
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     bits = lexicon(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = row_ids(docs.select("doc_id", "text")).select("uid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     before = stash(successors(rows.select("uid", "doc_id", F.length("text").cast("long").alias("n"))))
     own = hashes(rows, "text", "fp", bits)
     both = own.join(before, "uid")

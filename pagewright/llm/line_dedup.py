@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, stash
+from pagewright.llm.common import documents, row_ids, stash
 from pagewright.llm.ordering import numbered
 
 MIN_WORDS = 8
@@ -89,7 +89,7 @@ def cleaned(text: str | None, at, sizes) -> tuple[str | None, int, int, int]:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the cleaned text, n_lines, n_deleted and n_runs."""
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    rows = row_ids(docs, "__uid")
     found = stash(repeated(rows.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)).select(F.col("uid").alias("__uid"), F.col("at").alias("__at"), F.col("sizes").alias("__sizes"))
 
     @F.pandas_udf("text string, n_lines long, n_deleted long, n_runs long")

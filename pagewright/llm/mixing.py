@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, stash
+from pagewright.llm.common import documents, row_ids, stash
 
 LEVELS = ["domain", "lang", "source"]
 #: Integer weights by level and value; a value that isn't named has DEFAULT_WEIGHT.
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, levels: list[str] = LEVELS, weights: dict = WEIGHTS, de
 
 def keep(docs: DataFrame, share: tuple[int, int], **options) -> DataFrame:
     """The rows of docs (doc_id, lang, source, text) that one epoch of the mixture takes, as they are."""
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    rows = row_ids(docs, "__uid")
     slim = rows.select("__uid", "doc_id", "text", "lang", "source", domain_of(F.col("source")).alias("domain"))
     chosen = stash(mix(slim, share=share, max_epochs=1, carry=("__uid",), **options).select("__uid"))
     return rows.join(chosen, "__uid", "left_semi").select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import bloom, hashing
-from pagewright.llm.common import documents, stash
+from pagewright.llm.common import documents, row_ids, stash
 from pagewright.llm.graphs import components, forest, whole_groups
 
 N, THRESHOLD, TREES, DEEPEST, TARGET, ESTIMATE = 5, 0.8, 24, 8, 0.99999, 0.55
@@ -202,7 +202,7 @@ def grams_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET) -> DataFrame:
     """doc_id, class_id, n_links, n_copies, uid (the place of the row in docs) and label (of the class) for every row of docs (doc_id, text)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("uid", "doc_id", "text")
     all_signed = stash(signed(rows, n, depth_for(threshold, trees, target), trees))
     full = all_signed.where("same is not null")
     reps = stash(full.groupBy("same").agg(F.min(F.struct("uid", "keys", "sig")).alias("r"), F.count("*").alias("copies")).select("same", "copies", "r.*"))
@@ -222,7 +222,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the first document (doc_id, then row order) of each class."""
     first = join(docs.select("doc_id", "text"), **options).groupBy("label").agg(F.min(F.struct("doc_id", "uid")).alias("x"))
     kept = stash(first.select(F.col("x.uid").alias("__uid")))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid", "left_semi").select(*docs.columns)
+    return row_ids(docs, "__uid").join(kept, "__uid", "left_semi").select(*docs.columns)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

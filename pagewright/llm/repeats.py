@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import hashing
-from pagewright.llm.common import documents, stash
+from pagewright.llm.common import documents, row_ids, stash
 from pagewright.llm.graphs import whole_groups
 
 LENGTH, GRAM, PERIOD, STEP = 400, 64, 64, 8
@@ -256,7 +256,7 @@ def spans(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of from, to in bytes), kept (binary) for every row of docs (doc_id, text)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("uid", "doc_id", "text")
     found = stash(repeats(rows.select("uid", "text"), length))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
