@@ -47,7 +47,8 @@ def repeated(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order = numbered(rows.select("uid", "doc_id"), ["doc_id", "uid"], "n")
     active = lines.join(ranks, ["h", "g"]).join(order.select("uid", "n"), "uid")
     active = active.select((F.col("n") * (1 << LINE_BITS) + F.col("i")).alias("place"), "uid", "i", "words", "rank")
-    first = active.groupBy("rank").agg(F.min("place").alias("first"))
+    # written first, so that both sides of the join are plain exchanges, which can be split where a line is very common
+    first = stash(active.groupBy("rank").agg(F.min("place").alias("first")))
     now = stash(active.join(first, "rank"))
     found = [now.where("first < place").select("uid", "i", F.lit(1).alias("size"), "words")]
     size = 1
