@@ -22,8 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first: the join then has plain exchanges on both sides, and a node with very many neighbours can be split
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stash(large)
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stash(down.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
