@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -37,6 +42,24 @@ def row_ids(docs: DataFrame, name: str = "uid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Arrow batches have that many rows at most: texts are large, and a batch is held by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def by_size(batch: pa.RecordBatch, limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of batch with about `limit` bytes of text each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        base = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, base + limit)) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import bloom, hashing
-from pagewright.llm.common import documents, row_ids, stash
+from pagewright.llm.common import by_size, documents, row_ids, stash
 from pagewright.llm.graphs import components, forest, whole_groups
 
 N, THRESHOLD, TREES, DEEPEST, TARGET, ESTIMATE = 5, 0.8, 24, 8, 0.99999, 0.55
-BUCKET_TILE, SET_TILE = 1_024, 256
+BUCKET_TILE, SET_TILE, BATCH = 1_024, 256, 1_000_000
 
 
 def depth_for(threshold: float, trees: int = TREES, target: float = TARGET, deepest: int = DEEPEST) -> int:
@@ -68,8 +68,7 @@ def signed(docs: DataFrame, n: int, depth: int, trees: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for b in by_size(whole, BATCH):
                 values, sizes = sets_of(b.column("text").to_pylist(), n)
                 minima = signatures(values, sizes, trees * depth)
                 keys = np.zeros((len(minima), trees), dtype=np.uint64)
@@ -190,8 +189,7 @@ def grams_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             b = whole.filter(pa.array(bloom.has(held.value, whole.column("place").to_numpy())))
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in by_size(b, BATCH):
                 values, sizes = sets_of(part.column("text").to_pylist(), n)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))
                 grams = [values[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]

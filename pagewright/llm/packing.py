@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, stash
+from pagewright.llm.common import by_size, documents, stash
 
 CAPACITY, END_ID, BUCKETS, ROUNDS = 4096, 1, 256, 500
-CACHE = 800_000
+CACHE = 550_000  # chunks remembered
+BATCH = 250_000  # bytes of text at once
 
 
 def default_tokenizer() -> str:
@@ -134,16 +135,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for lo in range(0, len(ids), 64):
-                group = [t or "" for t in texts.slice(lo, 64).to_pylist()]
+            for part in by_size(b, BATCH):
+                ids, group = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
                 rows: list[tuple] = []
-                for doc, raw in zip(ids[lo : lo + 64], enc.encode_batch(group), strict=True):
+                for doc, raw in zip(ids, enc.encode_batch(group), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), step)):
-                        part = raw[at : at + step]
-                        crc = zlib.crc32(part)
-                        rows.append((doc, k, at // 4, len(part) // 4, crc, (crc ^ (doc or 0) * 2654435761 ^ k) % buckets))
+                        piece = raw[at : at + step]
+                        crc = zlib.crc32(piece)
+                        rows.append((doc, k, at // 4, len(piece) // 4, crc, (crc ^ (doc or 0) * 2654435761 ^ k) % buckets))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)

@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import hashing
-from pagewright.llm.common import documents, row_ids, stash
+from pagewright.llm.common import by_size, documents, row_ids, stash
 from pagewright.llm.graphs import whole_groups
 
 LENGTH, GRAM, PERIOD, STEP = 400, 64, 64, 8
 POSITION = 30  # bits for the place in a batch: texts up to 1 GiB
-BATCH = 2_000_000
+BATCH = 1_000_000  # bytes of text at once
 
 #: Difference cover of 64: 0..7 and every eighth from 7 on; each distance is a difference of two of these.
 COVER = np.zeros(PERIOD, dtype=bool)
@@ -80,23 +80,13 @@ def anchors(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return joined, doc[new], start[new], start[last], at[new], h[at[new]].view(np.int64)
 
 
-def grouped(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of b of about BATCH characters."""
-    sizes = np.diff(np.frombuffer(b.column("text").buffers()[1], dtype=np.int32)[b.column("text").offset :][: b.num_rows + 1]) if b.column("text").type == pa.string() else np.full(b.num_rows, 5_000)
-    at = 0
-    while at < b.num_rows:
-        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 4096]), BATCH)))
-        yield b.slice(at, n)
-        at += n
-
-
 def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     """hash, uid, times (1, or 2 for more) of the anchors of each document."""
     schema = pa.schema([("hash", pa.int64()), ("uid", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in grouped(whole):
+            for b in by_size(whole, BATCH):
                 _, doc, _, _, _, h = anchors(loaded(b.column("text").to_pylist()), length)
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
@@ -118,7 +108,7 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for whole in batches:
-            for b in grouped(whole):
+            for b in by_size(whole, BATCH):
                 raw = loaded(b.column("text").to_pylist())
                 joined, doc, lo, hi, at, h = anchors(raw, length)
                 lists = b.column("hashes")
@@ -262,7 +252,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in grouped(whole):
+            for b in by_size(whole, BATCH):
                 out = []
                 for doc, raw, w in zip(b.column("doc_id").to_pylist(), loaded(b.column("text").to_pylist()), b.column("windows"), strict=True):
                     cut = spans(np.asarray(w.values), length) if w.is_valid and len(w.values) else []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, fold, stash
+from pagewright.llm.common import by_size, documents, fold, stash
 
 END = b" "  # never a word, for words hold no space
 SHIFT = 22
@@ -41,10 +41,9 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def batches_of_words(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def batches_of_words(batches: Iterator[pa.RecordBatch], at_once: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for b in batches:
-        for lo in range(0, b.num_rows, at_once):
-            part = b.slice(lo, at_once)
+        for part in by_size(b, at_once):
             yield part, [words(t) for t in part.column("text").to_pylist()]
 
 
