@@ -95,8 +95,8 @@ def grid(parsed: DataFrame, targets: DataFrame, wanted: list[tuple[str, str]] =
     asked = targets.select("site", "url", path_of(F.col("url")).alias("target"))
     weight = F.struct(F.length("path"), F.col("type") == "allow", F.when(F.col("type") == "allow", F.col("line")).otherwise(-F.col("line")))
     hits = asked.join(own, "site").where("target rlike re").groupBy("site", "url", "id").agg(F.max_by(F.struct("type", "path", "line"), weight).alias("rule"))
-    dimension = steps.where("priority = 0").select("id", "grp_name")
-    every = asked.select("site", "url").crossJoin(F.broadcast(dimension))  # fifteen rows a url, the crawler dimension
+    dimension = F.array(*(F.struct(F.lit(name).alias("id"), F.lit(group).alias("grp_name")) for name, group in wanted))
+    every = asked.select("site", "url", F.inline(dimension))  # a row a crawler
     out = every.join(obeyed, ["site", "id"], "left").join(hits, ["site", "url", "id"], "left")
     return out.select(
         "site", "url", "id", F.col("grp_name").alias("agent_group"),

@@ -30,6 +30,16 @@ def llms_shape(files: DataFrame) -> DataFrame:
     )
 
 
+def sitemap_candidates(parsed_robots: DataFrame, sites: DataFrame) -> DataFrame:
+    """sites (site, origin) -> site, place, sitemap: those robots.txt names, else the usual address."""
+    from pagewright.operators import robots
+
+    named = robots.sitemaps(parsed_robots).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("line", "sitemap"))).alias("x"))
+    rows = sites.join(named, "site", "left")
+    urls = F.coalesce(F.transform("x", lambda r: r["sitemap"]), F.array(F.concat("origin", F.lit("/sitemap.xml"))))
+    return rows.select("site", F.posexplode(urls).alias("place", "sitemap"))
+
+
 def locations(sitemaps: DataFrame) -> DataFrame:
     """sitemaps (url, status, body) -> url, is_index, pos, loc."""
     locs = F.regexp_extract_all("body", F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
@@ -63,6 +73,12 @@ def links_to_check(snapshots: DataFrame, limit: int = CHECKED_LINKS) -> DataFram
     return web.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= limit)
 
 
+def same_origin(checked: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Of the links to check, those on the page's own origin: all that may be asked without leave for other hosts."""
+    origins = snapshots.select("page_id", F.col("s.origin").alias("origin"))
+    return checked.join(origins, "page_id").where(F.col("key").startswith(F.concat("origin", F.lit("/"))) | (F.col("key") == F.col("origin"))).drop("origin")
+
+
 def link_status(snapshots: DataFrame, answers: DataFrame) -> DataFrame:
     """Checked targets with their answers (url, status, redirected, error): severity and label, null where there is no answer yet."""
     joined = links_to_check(snapshots).join(answers.withColumnRenamed("url", "key"), "key", "left")
@@ -81,3 +97,7 @@ def host_tally(snapshots: DataFrame) -> DataFrame:
     """Hosts a page loads from, most used first."""
     rows = snapshots.select("page_id", F.explode("s.loaded.hosts").alias("h")).select("page_id", "h.host", "h.count", "h.thirdParty", F.array_join("h.how", ",").alias("how"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("count"), "host")))
+
+
+def top_hosts(snapshots: DataFrame, n: int = 10) -> DataFrame:
+    return host_tally(snapshots).where(F.col("place") <= n)

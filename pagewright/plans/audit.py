@@ -68,6 +68,47 @@ def issues(found: DataFrame) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order))
 
 
+def flags(found: DataFrame) -> DataFrame:
+    """What is to be said of a page: all findings but passes, in reading order."""
+    return issues(found).where("severity <> 'pass'")
+
+
+def by_prefix(found: DataFrame, *prefixes: str) -> DataFrame:
+    """Findings whose ids begin with one of the prefixes; a whole id is its own prefix."""
+    test = F.lit(False)
+    for p in prefixes:
+        test = test | F.col("id").startswith(p)
+    return found.where(test)
+
+
+def field_row(found: DataFrame, *prefixes: str) -> DataFrame:
+    """One field of a summary: its gravest finding owns it, the others that aren't passes stand below by rank."""
+    order = F.struct(FD.rank(F.col("severity")).alias("rank"), "seq", "id", "severity")
+    rows = by_prefix(found, *prefixes).groupBy("page_id").agg(F.array_sort(F.collect_list(order)).alias("x"))
+    others = F.filter(F.slice("x", 2, 1_000_000), lambda r: r["severity"] != "pass")
+    return rows.select("page_id", F.element_at("x", 1)["id"].alias("owner"), F.element_at("x", 1)["severity"].alias("severity"), F.transform(others, lambda r: r["id"]).alias("others"))
+
+
+def paged(rows: DataFrame, page: int, size: int = 120, order: tuple[str, ...] = ("pos",), keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The page-th screenful (from 0) of each key's rows."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__n", n).where((F.col("__n") > page * size) & (F.col("__n") <= (page + 1) * size)).drop("__n")
+
+
+def all_findings(page: DataFrame, *others: DataFrame) -> DataFrame:
+    """Findings arrays (page_id, findings) of several audits as one; pages without one of them keep the rest."""
+    out = page.select("page_id", "findings")
+    for more in others:
+        out = out.join(more.select("page_id", F.col("findings").alias("__more")), "page_id", "left")
+        out = out.select("page_id", F.concat("findings", F.coalesce("__more", F.array().cast(FD.FINDING))).alias("findings"))
+    return out
+
+
+def ai_score(site: DataFrame) -> DataFrame:
+    """Counts of answer-engine findings with their total."""
+    return FD.counts(FD.long(site))
+
+
 def report(snapshots: DataFrame, found: DataFrame) -> DataFrame:
     """One Markdown text a page: what is wrong first; passed checks are counted, not listed."""
     line = F.concat(F.lit("- **"), F.col("title"), F.lit("**"), F.when(F.col("detail").isNotNull(), F.concat(F.lit(": "), F.col("detail"))).otherwise(""), F.when(F.col("fix").isNotNull(), F.concat(F.lit(" Fix: "), F.col("fix"))).otherwise(""))

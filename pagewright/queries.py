@@ -612,3 +612,44 @@ def host_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 def social_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, "(VALUES (1, '<head><meta property=\"og:title\" content=\"og T\"></head>'), (2, '<head><meta name=\"twitter:title\" content=\"tw\"><meta property=\"og:title\" content=\"og\"><meta property=\"og:image\" content=\"i.png\"></head>')) AS t(page_id, html)").withColumn("url", F.lit("https://a.com/"))
     return A.social(extract(rows)).select("page_id", "title", "title_from", "image_from")
+
+
+@query(f"WITH {SCAN_SQL}, pat AS (SELECT * FROM (VALUES {_ID_PATTERNS}) AS g(key, n, re)), found AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(text, re, 1)) AS id FROM hit JOIN pat USING (key) WHERE key IN ('gtm', 'ga4', 'google_ads')) SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN id LIKE 'GTM-%' THEN 'https://www.googletagmanager.com/gtm.js?id=' || id ELSE 'https://www.googletagmanager.com/gtag/js?id=' || id END AS url FROM found WHERE id LIKE 'GTM-%' OR id LIKE 'G-%'")
+def container_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracker_fixture(spark).select("page_id", F.explode(tech.container_urls(F.col("t"))).alias("url"))
+
+
+SITES = "(VALUES ('a', 'https://a'), ('b', 'https://b'), ('c', 'https://c')) AS t(site, origin)"
+
+
+@query(f"WITH {ROBOTS_SQL}, named AS (SELECT site, value FROM rg WHERE field = 'sitemap') SELECT s.site, coalesce(n.value, s.origin || '/sitemap.xml') AS sitemap FROM (SELECT * FROM {SITES}) s LEFT JOIN named n ON n.site = s.site")
+def sitemap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.sitemap_candidates(RB.lines(values(spark, ROBOTS)), values(spark, SITES)).select("site", "sitemap")
+
+
+@query(f"WITH {FOUND} SELECT page_id, id, severity FROM found WHERE severity <> 'pass'")
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.flags(page_findings(spark, sf_dir)).select("page_id", "id", "severity")
+
+
+@query(f"""WITH {FOUND}, t AS (SELECT *, {RANK_SQL} * 100 + {SEQ_SQL} AS o FROM found WHERE id LIKE 'title.%'), w AS (SELECT page_id, min(o) AS o FROM t GROUP BY page_id)
+  SELECT t.page_id, max(CASE WHEN t.o = w.o THEN id END) AS owner, max(CASE WHEN t.o = w.o THEN severity END) AS severity, coalesce(string_agg(CASE WHEN t.o > w.o AND severity <> 'pass' THEN id END, ',' ORDER BY t.o), '') AS others FROM t JOIN w USING (page_id) GROUP BY t.page_id""")
+def title_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.field_row(page_findings(spark, sf_dir), "title.").withColumn("others", F.array_join("others", ","))
+
+
+@query(f"WITH {MEASURED} SELECT page_id, url, title, h1 AS h1_text, words, lang, charset, CAST(1 AS INTEGER) AS h1, CAST(0 AS INTEGER) AS h2, n_links AS links, CAST(0 AS INTEGER) AS images FROM m")
+def summary_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.summary(snapshots(spark, sf_dir)).select("page_id", "url", "title", "h1_text", "words", "lang", "charset", "h1", "h2", "links", "images")
+
+
+@query(f"WITH {LINKS}, u AS (SELECT page_id, raw, min(pos) AS pos FROM l GROUP BY 1, 2) SELECT page_id, count(*) AS n FROM u GROUP BY page_id")
+def links_to_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = snapshots(spark, sf_dir)
+    return ST.same_origin(ST.links_to_check(snap), snap).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SCAN_SQL}, names AS (SELECT * FROM (VALUES {', '.join(f'({_sql(k)}, {_sql(n)}, {_sql(c)})' for k, n, c, _, _ in TRACKERS)}) AS g(key, name, category)) SELECT CAST(page_id AS BIGINT) AS page_id, category, string_agg(DISTINCT name, '; ' ORDER BY name) AS names FROM hit JOIN names USING (key) GROUP BY page_id, category")
+def tech_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.tech_view(tracker_fixture(spark).select("page_id", F.col("t").alias("trackers")))
+    return rows.select("page_id", "category", F.array_join("names", "; ").alias("names"))

@@ -147,3 +147,33 @@ def test_latest_and_stored_snapshots(spark, tmp_path):
 
     back = read(spark, str(tmp_path / "s"))
     assert back.schema == row_schema() and ids(A.audit(back)) == ids(A.audit(snap))
+
+
+def test_tables_and_sinks(spark, tmp_path):
+    from pagewright.sources import tables
+
+    rows = spark.createDataFrame([("https://a.com/", {"X-Robots-Tag": "noindex"})], "url string, headers map<string,string>")
+    assert tables.x_robots(rows).first().x_robots == "noindex"
+    snap = extract(pages(spark, (1, "https://a.com/", MESSY)))
+    found = FD.long(A.audit(snap))
+    tables.write_reports(A.report(snap, found), str(tmp_path / "r"))
+    tables.write_dump(A.dump(snap), str(tmp_path / "d"))
+    tables.write_findings(found, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).where("area = 'meta'").count() > 0
+    assert spark.read.text(str(tmp_path / "d")).count() == 1
+    pages(spark, (1, "u", "h")).write.parquet(str(tmp_path / "p"))
+    assert tables.read(spark, "pages", str(tmp_path / "p")).first().html == "h"
+    both = A.all_findings(A.audit(snap), A.tech_audit(snap))
+    assert "tech.no-analytics" in ids(both) and A.paged(A.links(snap), 0, 2).count() == 2
+
+
+def test_hot_columns_only_are_read(spark, tmp_path):
+    """A stored snapshot's rules read the nested fields that they use, and no others."""
+    from pagewright.operators import rules as R
+    from pagewright.sources.snapshots import read
+
+    extract(pages(spark, (1, "https://a.com/", MESSY))).write.parquet(str(tmp_path / "s"))
+    back = read(spark, str(tmp_path / "s"))
+    plan = back.select("page_id", F.col("s.title.text").alias("t")).where("t is not null")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<page_id:bigint,s:struct<title:struct<text:string>>>" in plan
+    assert R.TITLE_MAX == 580
