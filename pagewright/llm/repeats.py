@@ -13,7 +13,9 @@ bucket of the suffix array, and no bucket needs another. Anchors that occur once
    its next cover position and that position's rank. Neighbours that share ``length`` bytes are repeats.
 4. The repeated windows of each document are joined, and taken out of its text.
 
-Memory is that of one bucket's distinct segments. Ids are the rows' places, so equal or null doc_ids are
+A bucket with more than HOT distinct segments (a passage that very many texts share, each going on in its
+own way) is not sorted in one task: its windows become rows, are counted by their hash with
+pre-aggregation, and those that recur are joined back. So memory is that of HOT segments. Ids are the rows' places, so equal or null doc_ids are
 separate documents.
 
 Edge cases: null is empty (sha of nothing); texts under ``length`` bytes are kept whole; matches never
@@ -37,7 +39,7 @@ from pagewright.llm.graphs import whole_groups
 
 LENGTH, GRAM, PERIOD, STEP = 400, 64, 64, 8
 POSITION = 30  # bits for the place in a batch: texts up to 1 GiB
-BATCH = 1_000_000  # bytes of text at once
+BATCH, HOT = 1_000_000, 512  # bytes of text at once; distinct segments that a task sorts together
 
 #: Difference cover of 64: 0..7 and every eighth from 7 on; each distance is a difference of two of these.
 COVER = np.zeros(PERIOD, dtype=bool)
@@ -220,15 +222,42 @@ def sorted_buckets(distinct: DataFrame, length: int, at_once: int = 400) -> Data
     return distinct.mapInArrow(run, "digest binary, ranges array<long>")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def window_rows(hot: DataFrame, length: int) -> DataFrame:
+    """h (of the window), digest, start, times: every window of segments that are too many for one task."""
+    schema = pa.schema([("h", pa.int64()), ("digest", pa.binary()), ("start", pa.int64()), ("times", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in by_size(whole, BATCH, "seg"):
+                segs = b.column("seg").to_pylist()
+                sizes = np.array([len(s) for s in segs], dtype=np.int64)
+                n = sizes - length + 1
+                owner = np.repeat(np.arange(len(segs)), n)
+                start = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                at = start + (np.cumsum(sizes) - sizes)[owner]
+                h = hashing.windows(hashing.prefixes(np.frombuffer(b"".join(segs), dtype=np.uint8)), at, at + length)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("digest").take(pa.array(owner)), pa.array(start), b.column("times").take(pa.array(owner))], schema=schema)
+
+    return hot.mapInArrow(run, "h long, digest binary, start long, times long")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """uid, windows: [from, to, ...] of the window starts (bytes) of each document that recur; docs has uid and text."""
+    parts_n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = stash(anchor_counts(docs, length))
-    again = own.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
+    again = stash(own.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash"))
     per_doc = own.join(again, "hash").groupBy("uid").agg(F.collect_list("hash").alias("hashes"))
     parts = stash(segments(docs.join(per_doc, "uid"), length))
     distinct = parts.where("times is not null").groupBy("digest").agg(F.max("hash").alias("hash"), F.max("seg").alias("seg"), F.max("anchor").alias("anchor"), F.sum("times").alias("times"))
-    dealt = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hash").sortWithinPartitions("hash")
-    flagged = sorted_buckets(dealt.select("digest", "hash", "seg", "anchor", "times"), length)
+    large = parts.where("times is not null").select("hash", "digest").distinct().groupBy("hash").count().where(F.col("count") > hot)
+    large = stash(large.select("hash", F.lit(True).alias("large")))
+    distinct = distinct.join(large, "hash", "left").select("digest", "hash", "seg", "anchor", "times", "large")
+    dealt = distinct.where("large is null").repartition(parts_n, "hash").sortWithinPartitions("hash")
+    flagged = sorted_buckets(dealt.drop("large"), length)
+    rows = stash(window_rows(distinct.where("large").drop("large").repartition(min(parts_n, 64)), length))
+    counted = stash(rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
+    met = rows.join(counted, "h").groupBy("digest").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("ranges"))
+    flagged = flagged.unionByName(met)
     places = parts.where("uid is not null")
     known = places.where("digest is null").select("uid", F.array("lo", "hi").alias("windows"))
     met = places.where("digest is not null").select("digest", "uid", "lo").join(flagged, "digest").select("uid", F.transform("ranges", lambda x: x + F.col("lo")).alias("windows"))
@@ -244,10 +273,10 @@ def spans(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(w[new, 0].tolist(), end[np.append(new[1:] - 1, len(w) - 1)].tolist(), strict=True))
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of from, to in bytes), kept (binary) for every row of docs (doc_id, text)."""
     rows = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("uid", "doc_id", "text")
-    found = stash(repeats(rows.select("uid", "text"), length))
+    found = stash(repeats(rows.select("uid", "text"), length, hot))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,11 +137,11 @@ def brute_repeats(raws: list[bytes], length: int) -> list[bytearray]:
     return out
 
 
-@pytest.mark.parametrize("length", [400, 100])
-def test_repeats(spark, docs, table, length):
+@pytest.mark.parametrize(("length", "hot"), [(400, 512), (100, 512), (100, 0)])
+def test_repeats(spark, docs, table, length, hot):
     raws = [(i, (t or "").encode()) for i, t in table]
     want = Counter((i, len(b), bytes(x for x, c in zip(b, cover, strict=True) if not c)) for (i, b), cover in zip(raws, brute_repeats([b for _, b in raws], length), strict=True))
-    got = Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in repeats.remove(docs, length).collect())
+    got = Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in repeats.remove(docs, length, hot).collect())
     assert got == want
     assert any(len(k) < n for _, n, k in got)
     assert repeats.remove(fixtures.empty(spark)).count() == 0
