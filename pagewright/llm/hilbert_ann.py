@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import stash
+from pagewright.llm.common import stash, tidied
 from pagewright.llm.graphs import whole_groups
 from pagewright.llm.ordering import numbered
 
@@ -101,7 +101,7 @@ def places(points: DataFrame, curves: Curves) -> DataFrame:
                 n, m = k.shape
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(k.ravel()), pa.array(np.repeat(b.column("id").to_numpy(), m)), pa.array(np.repeat(b.column("asks").to_numpy(zero_copy_only=False), m))], schema=schema)
 
-    return points.select("id", "asks", "v").mapInArrow(run, "o int, key long, id long, asks boolean")
+    return points.select("id", "asks", "v").mapInArrow(tidied(run), "o int, key long, id long, asks boolean")
 
 
 def coded(points: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def near_in_blocks(dealt: DataFrame, shortlist: int) -> DataFrame:
                     best = np.argpartition(d, n - 1, axis=1)[:, :n]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q], n)), pa.array(ids[c[best]].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel().astype(np.float64))], schema=schema)
 
-    return dealt.mapInArrow(run, "q long, id long, d2 double")
+    return dealt.mapInArrow(tidied(run), "q long, id long, d2 double")
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, fold
+from pagewright.llm.common import documents, fold, tidied
 
 #: Bound of the training sample: so many whole texts a language, none longer than this, and dictionary bytes.
 DONORS, DONOR_CHARS, DICT_BYTES = 96, 65_536, 65_536
@@ -98,8 +98,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
     """docs with lang_pred, score (0 to 1), margin and accepted."""
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded: DICT_BYTES a language
 
-    @F.pandas_udf(RESULT)
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         use = Compressors(held.value)
         for texts in batches:
             out = []
@@ -110,6 +109,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
                     out.append(decide(use.sizes(t), use.langs, min_margin))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "margin", "accepted"])
 
+    @F.pandas_udf(RESULT)
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidied(each)(batches)
+
     # called nondeterministic so that a filter on the result does not evaluate it a second time
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin", "accepted", "__lid")]
     return docs.select(*kept, judge.asNondeterministic()(F.col("text")).alias("__lid")).select(*kept, "__lid.*")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, row_ids, stash
+from pagewright.llm.common import documents, row_ids, stash, tidied
 from pagewright.llm.ordering import numbered
 
 MIN_WORDS = 8
@@ -93,11 +93,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = row_ids(docs, "__uid")
     found = stash(repeated(rows.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)).select(F.col("uid").alias("__uid"), F.col("at").alias("__at"), F.col("sizes").alias("__sizes"))
 
-    @F.pandas_udf("text string, n_lines long, n_deleted long, n_runs long")
-    def clean(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def each(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, at, sizes in parts:
             yield pd.DataFrame([cleaned(t, a, n) for t, a, n in zip(text, at, sizes, strict=True)], columns=["text", "n_lines", "n_deleted", "n_runs"])
 
+    @F.pandas_udf("text string, n_lines long, n_deleted long, n_runs long")
+    def clean(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from tidied(each)(parts)
+
     joined = rows.join(found, "__uid", "left").withColumn("__c", clean.asNondeterministic()("text", "__at", "__sizes"))  # else a filter evaluates it again
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]
     return joined.select(*(F.col("__c.text").alias("text") if c == "text" else F.col(c) for c in names), "__c.n_lines", "__c.n_deleted", "__c.n_runs")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import bloom, hashing
-from pagewright.llm.common import by_size, documents, row_ids, stash
+from pagewright.llm.common import by_size, documents, row_ids, stash, tidied
 from pagewright.llm.graphs import components, forest, whole_groups
 
 N, THRESHOLD, TREES, DEEPEST, TARGET, ESTIMATE = 5, 0.8, 24, 8, 0.99999, 0.55
@@ -88,7 +88,7 @@ def signed(docs: DataFrame, n: int, depth: int, trees: int) -> DataFrame:
                     at += size
                 yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(same, pa.binary()), pa.array(k, pa.list_(pa.int64())), pa.array(s, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "uid long, doc_id long, same binary, keys array<long>, sig binary")
+    return docs.mapInArrow(tidied(run), "uid long, doc_id long, same binary, keys array<long>, sig binary")
 
 
 def tiles(ranked: DataFrame, keys: list[str], tile: int) -> DataFrame:
@@ -130,7 +130,7 @@ def candidate_links(reps: DataFrame, estimate: float) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], schema=schema)
 
-    return tiled.select("key", "ti", "tj", "uid", "sig").mapInArrow(run, "a long, b long").where("a <> b")
+    return tiled.select("key", "ti", "tj", "uid", "sig").mapInArrow(tidied(run), "a long, b long").where("a <> b")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -178,7 +178,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-    return tiles(members, ["label"], SET_TILE).select("label", "ti", "tj", "__b", "uid", "grams").mapInArrow(run, "uid long, links long, a long")
+    return tiles(members, ["label"], SET_TILE).select("label", "ti", "tj", "__b", "uid", "grams").mapInArrow(tidied(run), "uid long, links long, a long")
 
 
 def grams_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -195,7 +195,7 @@ def grams_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 grams = [values[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(grams, pa.binary())], schema=schema)
 
-    return docs.select("uid", "text", bloom.place("uid").alias("place")).mapInArrow(run, "uid long, grams binary")
+    return docs.select("uid", "text", bloom.place("uid").alias("place")).mapInArrow(tidied(run), "uid long, grams binary")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import by_size, documents, stash
+from pagewright.llm.common import by_size, documents, stash, tidied
 
 CAPACITY, END_ID, BUCKETS, ROUNDS = 4096, 1, 256, 500
 CACHE = 550_000  # chunks remembered
@@ -118,7 +118,7 @@ ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder, whose memory outlives a task."""
+    """This worker's encoder; the vocabulary is loaded once."""
     if path not in ENCODERS:
         ENCODERS[path] = WordEncoder(path)
     return ENCODERS[path]
@@ -145,8 +145,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         crc = zlib.crc32(piece)
                         rows.append((doc, k, at // 4, len(piece) // 4, crc, (crc ^ (doc or 0) * 2654435761 ^ k) % buckets))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        enc.memory.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), PIECE)
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> list[int]:

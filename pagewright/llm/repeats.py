@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import hashing
-from pagewright.llm.common import by_size, documents, row_ids, stash
+from pagewright.llm.common import by_size, documents, row_ids, stash, tidied
 from pagewright.llm.graphs import whole_groups
 
 LENGTH, GRAM, PERIOD, STEP = 400, 64, 64, 8
@@ -96,7 +96,7 @@ def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
                 times = np.minimum(np.diff(np.append(new, len(h))), 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(b.column("uid").to_numpy()[doc[new]]), pa.array(times, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "hash long, uid long, times long")
+    return docs.mapInArrow(tidied(run), "hash long, uid long, times long")
 
 
 #: Rows with seg: a distinct segment (of this task). Rows with uid: where one occurs (lo), or, without digest, windows lo..hi known to recur.
@@ -137,7 +137,7 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.select("uid", "text", "hashes").mapInArrow(run, SEGMENTS)
+    return texts.select("uid", "text", "hashes").mapInArrow(tidied(run), SEGMENTS)
 
 
 def repeated_starts(segs: list[bytes], anchor: np.ndarray, bucket: np.ndarray, length: int) -> list[np.ndarray]:
@@ -219,7 +219,7 @@ def sorted_buckets(distinct: DataFrame, length: int, at_once: int = 400) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 at = to
 
-    return distinct.mapInArrow(run, "digest binary, ranges array<long>")
+    return distinct.mapInArrow(tidied(run), "digest binary, ranges array<long>")
 
 
 def window_rows(hot: DataFrame, length: int) -> DataFrame:
@@ -238,7 +238,7 @@ def window_rows(hot: DataFrame, length: int) -> DataFrame:
                 h = hashing.windows(hashing.prefixes(np.frombuffer(b"".join(segs), dtype=np.uint8)), at, at + length)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("digest").take(pa.array(owner)), pa.array(start), b.column("times").take(pa.array(owner))], schema=schema)
 
-    return hot.mapInArrow(run, "h long, digest binary, start long, times long")
+    return hot.mapInArrow(tidied(run), "h long, digest binary, start long, times long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -293,7 +293,7 @@ def remove(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                     out.append((doc, len(raw), sum(e - s for s, e in cut), [x for p in cut for x in p], b"".join(kept)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.join(found, "uid", "left").select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
+    return rows.join(found, "uid", "left").select("doc_id", "text", "windows").mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

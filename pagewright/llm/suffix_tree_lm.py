@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import by_size, documents, fold, stash
+from pagewright.llm.common import by_size, documents, fold, stash, tidied
 
 END = b" "  # never a word, for words hold no space
 SHIFT = 22
@@ -68,7 +68,7 @@ def word_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
         if seen:
             yield out()
 
-    return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(tidied(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -170,7 +170,7 @@ def gram_counts(train: DataFrame, tree: Tree, contexts: np.ndarray, nexts: np.nd
         if kept:
             yield out()
 
-    return train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(tidied(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def fit(train: DataFrame, counts: DataFrame, q_word: float = Q_WORD, q_context: float = Q_CONTEXT, q_pair: float = Q_PAIR, depth: int = DEPTH, discount: float = DISCOUNT, evidence: float = EVIDENCE) -> Tree:
@@ -259,7 +259,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                     col.extend(more)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    parts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "uid long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, model double")
+    parts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "uid long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, model double")
     rare = counts.where(F.col("n") < Q_WORD * tree.total)
     n, times = F.coalesce("n", F.lit(0)), F.col("times")
     root = F.when(n > 0, n / F.lit(float(max(tree.total, 1))) * F.lit(1 - tree.unknown)).otherwise(F.lit(tree.unknown))
