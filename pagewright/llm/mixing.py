@@ -13,7 +13,7 @@ meets in one task.
 Edge cases: null levels form a node ``(none)``; null or blank texts have 0 tokens and fit any prefix
 that reaches them. Rows with equal ids follow one another, shorter first; a null id hashes as ``null``.
 Nodes of weight 0 get nothing. An empty table gives no rows. Input columns named like result columns are
-replaced, others are carried by ``mix`` on request; ``keep`` returns the input's own columns.
+replaced, others are not carried by ``mix``; ``keep`` returns the input's own columns.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, row_ids, stash
+from pagewright.llm.common import documents, stash
 
 LEVELS = ["domain", "lang", "source"]
 #: Integer weights by level and value; a value that isn't named has DEFAULT_WEIGHT.
@@ -73,40 +73,63 @@ def budgets(slim: DataFrame, levels: list[str], weights: dict, default: int, sha
     return leaves.join(poured, levels).select(*levels, "leaf_tokens", F.floor(F.col("budget") + 1e-6).cast("long").alias("leaf_budget"))
 
 
-def mix(docs: DataFrame, levels: list[str] = LEVELS, weights: dict = WEIGHTS, default: int = DEFAULT_WEIGHT, share: tuple[int, int] = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Chosen documents: levels, doc_id, epoch, n_tokens, leaf_tokens, leaf_budget and the columns to carry. docs has the levels, doc_id and text."""
-    slim = stash(docs.select(*(F.coalesce(F.col(x).cast("string"), F.lit("(none)")).alias(x) for x in levels), "doc_id", *carry, tokens_of(F.col("text")).alias("n_tokens")))
-    plan = budgets(slim, levels, weights, default, share, max_epochs)
-    has = F.col("leaf_tokens") > 0
-    plan = plan.withColumn("__full", F.when(has, F.floor(F.col("leaf_budget") / F.greatest("leaf_tokens", F.lit(1)))).otherwise(0).cast("int"))
-    plan = stash(plan.withColumn("__rest", F.col("leaf_budget") - F.col("__full") * F.col("leaf_tokens")))
+def slim_of(docs: DataFrame, levels: list[str]) -> DataFrame:
+    return docs.select(*(F.coalesce(F.col(x).cast("string"), F.lit("(none)")).alias(x) for x in levels), "doc_id", tokens_of(F.col("text")).alias("n_tokens"))
+
+
+def hashed(epoch: Column, seed: str) -> Column:
+    """A document's place in an epoch's seeded order."""
+    return F.md5(F.concat_ws("/", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
-    def hashed(epoch: Column) -> Column:
-        return F.md5(F.concat_ws("/", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
+def planned(slim: DataFrame, levels: list[str], weights: dict, default: int, share: tuple[int, int], max_epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The leaves with budget, whole epochs, the bucket in which the prefix of the last epoch ends and what is left for it; and the rows of that epoch."""
+    plan = budgets(slim, levels, weights, default, share, max_epochs)
+    plan = plan.withColumn("__full", F.when(F.col("leaf_tokens") > 0, F.floor(F.col("leaf_budget") / F.greatest("leaf_tokens", F.lit(1)))).otherwise(0).cast("int"))
+    plan = stash(plan.withColumn("__rest", F.col("leaf_budget") - F.col("__full") * F.col("leaf_tokens")))
     rows = slim.join(plan, levels).where((F.col("leaf_budget") > 0) | (F.col("leaf_tokens") == 0))
-    last = rows.withColumn("epoch", F.col("__full") + 1).where(F.col("__full") < max_epochs).withColumn("__h", hashed(F.col("epoch"))).withColumn("__b", F.left("__h", F.lit(BUCKET_CHARS)))
+    last = rows.withColumn("epoch", F.col("__full") + 1).where(F.col("__full") < max_epochs).withColumn("__h", hashed(F.col("epoch"), seed)).withColumn("__b", F.left("__h", F.lit(BUCKET_CHARS)))
     sums = last.groupBy(*levels, "__b").agg(F.sum("n_tokens").alias("__t"), F.first("__rest").alias("__rest"))
     upto = Window.partitionBy(*levels).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("__upto", F.sum("__t").over(upto))
-    # the bucket that the prefix ends in: the first whose sum goes over the remainder
+    # the first bucket whose sum goes over the remainder
     over = sums.where(F.col("__upto") > F.col("__rest")).groupBy(*levels).agg(F.min(F.struct("__b", (F.col("__rest") - F.col("__upto") + F.col("__t")).alias("left"))).alias("__at"))
     edge = stash(over.select(*levels, F.col("__at.__b").alias("__edge"), F.col("__at.left").alias("__left")))
-    final = last.join(edge, levels, "left")
-    out = [*levels, "doc_id", "epoch", "n_tokens", "leaf_tokens", "leaf_budget", *carry]
-    whole = rows.where(F.col("__full") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__full"))))
-    before = final.where(F.col("__edge").isNull() | (F.col("__b") < F.col("__edge")))
-    rank = Window.partitionBy(*levels).orderBy("__h", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    on = final.where(F.col("__b") == F.col("__edge")).withColumn("__upto", F.sum("n_tokens").over(rank)).where(F.col("__upto") <= F.col("__left"))
-    return whole.select(*out).unionByName(before.select(*out)).unionByName(on.select(*out))
+    return plan.join(edge, levels, "left"), last.join(edge, levels, "left")
 
 
-def keep(docs: DataFrame, share: tuple[int, int], **options) -> DataFrame:
-    """The rows of docs (doc_id, lang, source, text) that one epoch of the mixture takes, as they are."""
-    rows = row_ids(docs, "__uid")
-    slim = rows.select("__uid", "doc_id", "text", "lang", "source", domain_of(F.col("source")).alias("domain"))
-    chosen = stash(mix(slim, share=share, max_epochs=1, carry=("__uid",), **options).select("__uid"))
-    return rows.join(chosen, "__uid", "left_semi").select(*docs.columns)
+def on_edge(last: DataFrame, levels: list[str]) -> DataFrame:
+    """Rows of the bucket that the prefix ends in which still fit."""
+    rank = Window.partitionBy(*levels).orderBy("__h", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    return last.where(F.col("__b") == F.col("__edge")).withColumn("__upto", F.sum("n_tokens").over(rank)).where(F.col("__upto") <= F.col("__left"))
+
+
+def mix(docs: DataFrame, levels: list[str] = LEVELS, weights: dict = WEIGHTS, default: int = DEFAULT_WEIGHT, share: tuple[int, int] = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """Chosen documents: levels, doc_id, epoch, n_tokens, leaf_tokens, leaf_budget. docs has the levels, doc_id and text."""
+    slim = stash(slim_of(docs, levels))
+    plan, last = planned(slim, levels, weights, default, share, max_epochs, seed)
+    out = [*levels, "doc_id", "epoch", "n_tokens", "leaf_tokens", "leaf_budget"]
+    whole = slim.join(plan.where(F.col("__full") > 0), levels).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__full"))))
+    before = last.where(F.col("__edge").isNull() | (F.col("__b") < F.col("__edge")))
+    return whole.select(*out).unionByName(before.select(*out)).unionByName(on_edge(last, levels).select(*out))
+
+
+def keep(docs: DataFrame, share: tuple[int, int], levels: list[str] = LEVELS, weights: dict = WEIGHTS, default: int = DEFAULT_WEIGHT, seed: str = SEED) -> DataFrame:
+    """The rows of docs (doc_id, lang, source, text) that one epoch of the mixture takes, as they are.
+
+    A prefix is known by its last document, so that rows meet a table of leaves only, and texts are not
+    shuffled. Rows with the same id and number of tokens as that document stay together.
+    """
+    rows = docs.withColumn("domain", domain_of(F.col("source")))
+    slim = stash(slim_of(rows, levels))
+    plan, last = planned(slim, levels, weights, default, share, 1, seed)
+    cut = on_edge(last, levels).groupBy(*levels).agg(F.max(F.struct("__h", "n_tokens")).alias("__cut"))
+    plan = stash(plan.join(cut, levels, "left").where((F.col("leaf_budget") > 0) | (F.col("leaf_tokens") == 0)).select(*(F.col(x).alias(f"__k_{x}") for x in levels), "__full", "__edge", "__cut"))
+    h = hashed(F.lit(1), seed)
+    inside = F.left(h, F.lit(BUCKET_CHARS)) < F.col("__edge")
+    cut_off = F.coalesce(F.struct(h.alias("__h"), tokens_of(F.col("text")).alias("n_tokens")) <= F.col("__cut"), F.lit(False))
+    on = [F.coalesce(F.col(x).cast("string"), F.lit("(none)")) == F.col(f"__k_{x}") for x in levels]
+    return rows.join(plan, on).where((F.col("__full") > 0) | F.col("__edge").isNull() | inside | cut_off).select(*docs.columns)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

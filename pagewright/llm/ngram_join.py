@@ -218,9 +218,11 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int =
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the first document (doc_id, then row order) of each class."""
-    first = join(docs.select("doc_id", "text"), **options).groupBy("label").agg(F.min(F.struct("doc_id", "uid")).alias("x"))
-    kept = stash(first.select(F.col("x.uid").alias("__uid")))
-    return row_ids(docs, "__uid").join(kept, "__uid", "left_semi").select(*docs.columns)
+    classes = stash(join(docs.select("doc_id", "text"), **options).select("uid", "doc_id", "label"))
+    first = classes.groupBy("label").agg(F.min(F.struct("doc_id", "uid")).alias("x")).select("x.uid")
+    # what goes is less than what stays, and the join that is told of it need not shuffle texts for as long
+    gone = stash(classes.join(first, "uid", "left_anti").select(F.col("uid").alias("__uid")))
+    return row_ids(docs, "__uid").join(gone, "__uid", "left_anti").select(*docs.columns)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

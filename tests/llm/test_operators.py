@@ -69,6 +69,8 @@ def test_mixing_empty_and_keep(spark, docs):
     assert mixing.mix(e.withColumn("domain", mixing.domain_of(e.source))).count() == 0
     kept = mixing.keep(docs, (4, 5))
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    chosen = mixing.mix(docs.withColumn("domain", mixing.domain_of(docs.source)), share=(4, 5), max_epochs=1)
+    assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(r.doc_id for r in chosen.select("doc_id").collect())
 
 
 # ------------------------------------------------------------ 2
