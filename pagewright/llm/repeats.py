@@ -223,22 +223,39 @@ def sorted_buckets(distinct: DataFrame, length: int, at_once: int = 400) -> Data
 
 
 def window_rows(hot: DataFrame, length: int) -> DataFrame:
-    """h (of the window), digest, start, times: every window of segments that are too many for one task."""
-    schema = pa.schema([("h", pa.int64()), ("digest", pa.binary()), ("start", pa.int64()), ("times", pa.int64())])
+    """Every window of segments that are too many for one task: h (its hash), digest, start, times.
+
+    Windows that a batch has twice are known to recur: they come as ranges of starts a segment, and as one
+    row without digest that tells other batches.
+    """
+    schema = pa.schema([("h", pa.int64()), ("digest", pa.binary()), ("start", pa.int64()), ("times", pa.int64()), ("ranges", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in by_size(whole, BATCH, "seg"):
-                segs = b.column("seg").to_pylist()
+                segs, digests, times = b.column("seg").to_pylist(), b.column("digest"), b.column("times").to_numpy()
                 sizes = np.array([len(s) for s in segs], dtype=np.int64)
                 n = sizes - length + 1
                 owner = np.repeat(np.arange(len(segs)), n)
                 start = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
                 at = start + (np.cumsum(sizes) - sizes)[owner]
-                h = hashing.windows(hashing.prefixes(np.frombuffer(b"".join(segs), dtype=np.uint8)), at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("digest").take(pa.array(owner)), pa.array(start), b.column("times").take(pa.array(owner))], schema=schema)
-
-    return hot.mapInArrow(tidied(run), "h long, digest binary, start long, times long")
+                h = hashing.windows(hashing.prefixes(np.frombuffer(b"".join(segs), dtype=np.uint8)), at, at + length).view(np.int64)
+                values, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+                again = counts[which] > 1
+                one, several = np.flatnonzero(~again), values[counts > 1]
+                cuts = np.searchsorted(owner[again], np.arange(len(segs) + 1))
+                own = [(k, ranges(start[again][x:y])) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                none = lambda size, kind: pa.nulls(size, kind)
+                columns = [
+                    pa.concat_arrays([pa.array(h[one]), pa.array(several), none(len(own), pa.int64())]),
+                    pa.concat_arrays([digests.take(pa.array(owner[one])), none(len(several), pa.binary()), digests.take(pa.array([k for k, _ in own], pa.int64()))]),
+                    pa.concat_arrays([pa.array(start[one]), none(len(several) + len(own), pa.int64())]),
+                    pa.concat_arrays([pa.array(times[owner[one]]), pa.array([2] * len(several), pa.int64()), none(len(own), pa.int64())]),
+                    pa.concat_arrays([none(len(one) + len(several), schema.field("ranges").type), pa.array([r for _, r in own], schema.field("ranges").type)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return hot.mapInArrow(tidied(run), "h long, digest binary, start long, times long, ranges array<long>")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -254,9 +271,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     distinct = distinct.join(large, "hash", "left").select("digest", "hash", "seg", "anchor", "times", "large")
     dealt = distinct.where("large is null").repartition(parts_n, "hash").sortWithinPartitions("hash")
     flagged = sorted_buckets(dealt.drop("large"), length)
-    rows = stash(window_rows(distinct.where("large").drop("large").repartition(min(parts_n, 64)), length))
-    counted = stash(rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
-    met = rows.join(counted, "h").groupBy("digest").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("ranges"))
+    rows = stash(window_rows(distinct.where("large").drop("large").repartition(min(parts_n, 32)), length))
+    counted = stash(rows.where("h is not null").groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
+    met = rows.where("start is not null").join(counted, "h").select("digest", F.array("start", "start").alias("ranges"))
+    met = met.unionByName(rows.where("ranges is not null").select("digest", "ranges")).groupBy("digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     flagged = flagged.unionByName(met)
     places = parts.where("uid is not null")
     known = places.where("digest is null").select("uid", F.array("lo", "hi").alias("windows"))
