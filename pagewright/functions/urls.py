@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import quote, urljoin, urlsplit
 
 DEFAULT_PORTS = {"http": 80, "https": 443, "ftp": 21}
 
 
+#: Addresses that are normal as they stand, and paths that only need an origin before them.
+SEGMENT = r"[A-Za-z0-9_~%-][A-Za-z0-9_.~%-]*"
+REST = rf"(?:{SEGMENT}(?:/{SEGMENT})*/?)?(?:\?[A-Za-z0-9=&_.~%-]*)?(?:#[A-Za-z0-9_.~%-]*)?"
+PLAIN = re.compile(rf"https?://[a-z0-9-]+(?:\.[a-z0-9-]+)+/{REST}")
+PATH = re.compile(rf"/{REST}")
+ORIGIN = re.compile(r"https?://[a-z0-9-]+(?:\.[a-z0-9-]+)+(?=[/?#]|$)")
+
+
 def normal(url: str) -> str | None:
     try:
         p = urlsplit(url)
@@ -44,6 +53,10 @@ def resolve(href: str | None, base: str) -> str | None:
     """href against base, normalised; null if either cannot be read."""
     if not href:
         return None
+    if PLAIN.fullmatch(href):
+        return href
+    if (o := ORIGIN.match(base)) and PATH.fullmatch(href):
+        return o[0] + href
     href = href.strip(" \t\n\r\f").replace("\t", "").replace("\n", "").replace("\r", "")
     try:
         return normal(urljoin(base, href) if href else base)
@@ -54,6 +67,8 @@ def resolve(href: str | None, base: str) -> str | None:
 def host(url: str | None) -> str:
     if not url:
         return ""
+    if o := ORIGIN.match(url):
+        return o[0].partition("://")[2]
     try:
         p = urlsplit(url)
         if not p.hostname:

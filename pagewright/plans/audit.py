@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,17 @@ AREAS = ["indexability", "meta", "content", "links", "images", "schema", "intern
 TABS = ["summary", "headings", "links", "images", "schema", "social", "tech", "ai"]
 
 
+@cache
+def page_findings(application: str, optional: tuple[str, ...]) -> Column:
+    """The findings of column s as one expression, built once an application: it is made of thousands of small ones."""
+    has = lambda c: F.col(c) if c in optional else None
+    return FD.evaluate(R.page_rules(F.col("s"), has("x_robots"), has("title_px"), has("desc_px")))
+
+
 def audit(snapshots: DataFrame) -> DataFrame:
     """snapshots (page_id, s; optional x_robots, title_px, desc_px) -> page_id, findings. Row-local: runs on streams as it is."""
-    has = lambda c: F.col(c) if c in snapshots.columns else None
-    found = FD.evaluate(R.page_rules(F.col("s"), has("x_robots"), has("title_px"), has("desc_px")))
-    return snapshots.select("page_id", found.alias("findings"))
+    optional = tuple(c for c in ("x_robots", "title_px", "desc_px") if c in snapshots.columns)
+    return snapshots.select("page_id", page_findings(snapshots.sparkSession.sparkContext.applicationId, optional).alias("findings"))
 
 
 def tech_audit(snapshots: DataFrame) -> DataFrame:

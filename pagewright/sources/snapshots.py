@@ -56,12 +56,24 @@ def row_schema() -> StructType:
     return StructType([StructField("page_id", LongType()), StructField("s", schema())])
 
 
-def region(node: dom.Node) -> str:
-    seen = [(n.tag, n.attrs.get("role")) for n in node.ancestors()]
-    for name, tags, role in REGIONS:
-        if any(t in tags or r == role for t, r in seen):
-            return name
-    return "body"
+TAG_BITS = {t: 1 << i for i, (_, tags, _) in enumerate(REGIONS) for t in tags}
+ROLE_BITS = {role: 1 << i for i, (_, _, role) in enumerate(REGIONS)}
+
+
+def region(node: dom.Node, seen: dict[int, int]) -> str:
+    """The first region in precedence that any ancestor opens; seen remembers the regions above each element."""
+    path = []
+    for n in node.ancestors():
+        if id(n) in seen:
+            bits = seen[id(n)]
+            break
+        path.append(n)
+    else:
+        bits = 0
+    for n in reversed(path):
+        bits |= TAG_BITS.get(n.tag, 0) | ROLE_BITS.get(n.attrs.get("role"), 0)
+        seen[id(n)] = bits
+    return REGIONS[(bits & -bits).bit_length() - 1][0] if bits else "body"
 
 
 def json_ld(raw: str, index: int) -> dict:
@@ -99,6 +111,7 @@ def measure(html: str, url: str) -> dict:
     tree = dom.parse(html)
     nodes = list(tree.html.walk())
     by: dict[str, list[dom.Node]] = {}
+    above: dict[int, int] = {}
     for n in nodes:
         by.setdefault(n.tag, []).append(n)
     of = lambda *tags: [n for n in nodes if n.tag in tags] if len(tags) > 1 else by.get(tags[0], [])
@@ -132,7 +145,7 @@ def measure(html: str, url: str) -> dict:
     headings = []
     for n in of("h1", "h2", "h3", "h4", "h5", "h6"):
         text = dom.squeeze(n.text(), 200)
-        headings.append({"level": int(n.tag[1]), "text": text, "empty": not text, "hidden": None, "region": region(n)})
+        headings.append({"level": int(n.tag[1]), "text": text, "empty": not text, "hidden": None, "region": region(n, above)})
     links, special = [], {"mailto": 0, "tel": 0, "javascript": 0, "fragment": 0}
     for n in of("a"):
         raw = n.attrs.get("href")
@@ -145,7 +158,7 @@ def measure(html: str, url: str) -> dict:
                 continue
             href = absolute(raw) if raw else None
             row = {"href": href, "raw": dom.squeeze(raw, 300), "kind": "link", "internal": urls.host(href) == here if href else None}
-        links.append(row | {"text": dom.squeeze(n.text(), 120), "rel": dom.squeeze(n.get("rel"), 120), "target": n.get("target"), "region": region(n), "hidden": None, "hasImage": any(c.tag == "img" for c in n.walk()), "ariaLabel": dom.squeeze(n.get("aria-label"), 120)})
+        links.append(row | {"text": dom.squeeze(n.text(), 120), "rel": dom.squeeze(n.get("rel"), 120), "target": n.get("target"), "region": region(n, above), "hidden": None, "hasImage": any(c.tag == "img" for c in n.walk()), "ariaLabel": dom.squeeze(n.get("aria-label"), 120)})
     images = []
     for n in of("img"):
         src = absolute(n.attrs.get("src"))
@@ -153,7 +166,7 @@ def measure(html: str, url: str) -> dict:
         images.append({
             "src": src, "isData": n.attrs.get("src", "").startswith("data:"), "ext": ext, "alt": dom.squeeze(n.attrs["alt"], 200) if "alt" in n.attrs else None, "hasAlt": "alt" in n.attrs, "title": dom.squeeze(n.get("title"), 120),
             "loading": n.get("loading"), "decoding": n.get("decoding"), "widthAttr": n.get("width"), "heightAttr": n.get("height"), "broken": None, "naturalWidth": None, "naturalHeight": None, "displayWidth": None, "displayHeight": None, "inViewport": None,
-            "srcset": bool(n.get("srcset")), "inPicture": any(a.tag == "picture" for a in n.ancestors()), "region": region(n), "hidden": None,
+            "srcset": bool(n.get("srcset")), "inPicture": any(a.tag == "picture" for a in n.ancestors()), "region": region(n, above), "hidden": None,
         })
     main = next((n for n in nodes if n.tag == "main" or n.attrs.get("role") == "main"), None) or next(iter(of("article")), None)
     count_words = lambda s: len([w for w in dom.SPACE.split(s) if w])
