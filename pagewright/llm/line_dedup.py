@@ -33,24 +33,25 @@ MIN_WORDS = 8
 LINE_BITS = 24  # lines in a document
 
 
-def lines_of(rows: DataFrame) -> DataFrame:
-    """uid, i (place among the non-blank lines), h, g (hashes), words of every non-blank line."""
-    line = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t-\r]", " ")) != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
+def lines_of(rows: DataFrame, min_words: int) -> DataFrame:
+    """uid, i (place among the non-blank lines), h, g (hashes), long (min_words words or more) of every non-blank line."""
+    several = rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{max(min_words - 1, 0)}}}[^\x20\x09-\x0D]"
+    line = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), x.rlike(several).alias("long")))
     return rows.select("uid", F.posexplode(line).alias("i", "x")).select("uid", "i", "x.*")
 
 
 def repeated(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """uid, covered: (first line, number of lines) of stretches that an earlier copy has; rows has uid, doc_id, text."""
-    lines = lines_of(rows.where("text is not null"))
+    lines = stash(lines_of(rows.where("text is not null"), min_words))  # a few bytes a line; texts are split once
     several = lines.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
     ranks = numbered(several, ["h", "g"], "rank")
     order = numbered(rows.select("uid", "doc_id"), ["doc_id", "uid"], "n")
     active = lines.join(ranks, ["h", "g"]).join(order.select("uid", "n"), "uid")
-    active = active.select((F.col("n") * (1 << LINE_BITS) + F.col("i")).alias("place"), "uid", "i", "words", "rank")
+    active = active.select((F.col("n") * (1 << LINE_BITS) + F.col("i")).alias("place"), "uid", "i", "long", "rank")
     # written first, so that both sides of the join are plain exchanges, which can be split where a line is very common
     first = stash(active.groupBy("rank").agg(F.min("place").alias("first")))
     now = stash(active.join(first, "rank"))
-    found = [now.where("first < place").select("uid", "i", F.lit(1).alias("size"), "words")]
+    found = [now.where("first < place").select("uid", "i", F.lit(1).alias("size"), "long")]
     size = 1
     while True:
         ahead = Window.partitionBy("uid").orderBy("i").rangeBetween(size, size)
@@ -61,12 +62,12 @@ def repeated(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if now.isEmpty():
             break
         size *= 2
-        found.append(now.where("first < place").select("uid", "i", F.lit(size).alias("size"), F.lit(None).cast("int").alias("words")))
+        found.append(now.where("first < place").select("uid", "i", F.lit(size).alias("size"), F.lit(False).alias("long")))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    longest = every.groupBy("uid", "i").agg(F.max("size").alias("size"), F.max("words").alias("words"))
-    kept = longest.where(f"size > 1 or words >= {min_words}")
+    longest = every.groupBy("uid", "i").agg(F.max("size").alias("size"), F.max("long").alias("long"))
+    kept = longest.where("size > 1 or long")
     return kept.groupBy("uid").agg(F.collect_list(F.struct("i", "size")).alias("covered")).select("uid", F.col("covered.i").alias("at"), F.col("covered.size").alias("sizes"))
 
 
