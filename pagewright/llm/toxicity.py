@@ -16,7 +16,6 @@ any marked 1 makes the id 1. With no labels, or one class only, every row scores
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import documents, fold
 
-SAMPLE, SAMPLE_CHARS, LEAST, STANDS_OUT = 3_000, 65_536, 4, 3.0
+SAMPLE, SAMPLE_CHARS, LEAST, STANDS_OUT = 2_000, 65_536, 4, 3.0
 RIDGE, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 400
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -100,21 +99,22 @@ def train(texts: list[str], labels: list[int], prior: float, groups=IDENTITY, co
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-    sets = [features(WORD.findall(t.lower())) for t in texts]
-    pos, neg = Counter(), Counter()
-    for s, label in zip(sets, labels, strict=True):
-        (pos if label else neg).update(s)
+    number: dict[str, int] = {}  # of each feature; a text is kept as the numbers of its own
+    rows = []
+    for t in texts:
+        own = features(WORD.findall(t.lower()))
+        rows.append(np.fromiter((number.setdefault(f, len(number)) for f in own), dtype=np.int32, count=len(own)))
+    doc, all_ = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
     p, n = y.sum(), len(y) - y.sum()
-    identity = {t for g in groups for t in g}
-    index: dict[str, int] = {}
-    for f in sorted(pos.keys() | neg.keys()):
-        a, b = pos[f], neg[f]
-        if a + b >= least:
-            z = (np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if abs(z) >= stands_out or f in identity:
-                index[f] = len(index)
-    rows = [np.array(sorted(index[f] for f in s if f in index), dtype=np.int64) for s in sets]
-    doc, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    a, b = np.bincount(all_, y[doc], len(number)), np.bincount(all_, 1 - y[doc], len(number))
+    z = (np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    chosen = (a + b >= least) & (np.abs(z) >= stands_out)
+    for term in {t for g in groups for t in g} & number.keys():
+        chosen[number[term]] |= a[number[term]] + b[number[term]] >= least
+    place = np.where(chosen, np.cumsum(chosen) - 1, -1)
+    index = {f: int(place[k]) for f, k in number.items() if chosen[k]}
+    keep = chosen[all_]
+    doc, col = doc[keep], place[all_[keep]]
     diffs = [(a, b) for t in texts for a, b in swaps(t, groups)]
     sign = [(i, index[f], 1.0 if f in a else -1.0) for i, (a, b) in enumerate(diffs) for f in a ^ b if f in index]
     pair, pcol, pval = (np.array(x) for x in zip(*sign, strict=True)) if sign else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
