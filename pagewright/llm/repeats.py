@@ -39,7 +39,7 @@ from pagewright.llm.graphs import whole_groups
 
 LENGTH, GRAM, PERIOD, STEP = 400, 64, 64, 8
 POSITION = 30  # bits for the place in a batch: texts up to 1 GiB
-BATCH, HOT = 1_000_000, 512  # bytes of text at once; distinct segments that a task sorts together
+BATCH, HOT = 1_000_000, 2_048  # bytes of text at once; distinct segments that a task sorts together
 
 #: Difference cover of 64: 0..7 and every eighth from 7 on; each distance is a difference of two of these.
 COVER = np.zeros(PERIOD, dtype=bool)
