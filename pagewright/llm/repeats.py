@@ -265,13 +265,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     again = stash(own.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash"))
     per_doc = own.join(again, "hash").groupBy("uid").agg(F.collect_list("hash").alias("hashes"))
     parts = stash(segments(docs.join(per_doc, "uid"), length))
-    distinct = parts.where("times is not null").groupBy("digest").agg(F.max("hash").alias("hash"), F.max("seg").alias("seg"), F.max("anchor").alias("anchor"), F.sum("times").alias("times"))
-    large = parts.where("times is not null").select("hash", "digest").distinct().groupBy("hash").count().where(F.col("count") > hot)
-    large = stash(large.select("hash", F.lit(True).alias("large")))
-    distinct = distinct.join(large, "hash", "left").select("digest", "hash", "seg", "anchor", "times", "large")
-    dealt = distinct.where("large is null").repartition(parts_n, "hash").sortWithinPartitions("hash")
-    flagged = sorted_buckets(dealt.drop("large"), length)
-    rows = stash(window_rows(distinct.where("large").drop("large").repartition(min(parts_n, 32)), length))
+    found = parts.where("times is not null")
+    distinct = lambda df: df.groupBy("digest").agg(F.max("hash").alias("hash"), F.max("seg").alias("seg"), F.max("anchor").alias("anchor"), F.sum("times").alias("times"))
+    large = stash(found.select("hash", "digest").distinct().groupBy("hash").count().where(F.col("count") > hot).select("hash"))
+    # each segment is shuffled in one of the two only
+    dealt = distinct(found.join(large, "hash", "left_anti")).repartition(parts_n, "hash").sortWithinPartitions("hash")
+    flagged = sorted_buckets(dealt.select("digest", "hash", "seg", "anchor", "times"), length)
+    rows = stash(window_rows(distinct(found.join(large, "hash", "left_semi")).repartition(min(parts_n, 32)), length))
     counted = stash(rows.where("h is not null").groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
     met = rows.where("start is not null").join(counted, "h").select("digest", F.array("start", "start").alias("ranges"))
     met = met.unionByName(rows.where("ranges is not null").select("digest", "ranges")).groupBy("digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
