@@ -77,15 +77,25 @@ def by_size(batch: pa.RecordBatch, limit: int, column: str = "text") -> Iterator
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The application's tables go when its driver ends, or earlier by sweep().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagewright-stash/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    top, fs = stash_dir(spark)
+    path = f"{top.toString()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs.deleteOnExit(top)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_dir(spark: SparkSession) -> tuple:
+    """The folder of this application's tables, and its file system (both of the JVM)."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pagewright-stash/{spark.sparkContext.applicationId}")
+    return top, top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete what stash() wrote in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pagewright-stash/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    top, fs = stash_dir(spark)
+    fs.delete(top, True)
