@@ -95,6 +95,19 @@ def stash_dir(spark: SparkSession) -> tuple:
     return top, top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def release(spark: SparkSession, *stashed: DataFrame) -> None:
+    """Delete tables of stash() that nothing reads any more."""
+    top, fs = stash_dir(spark)
+    for df in stashed:
+        for folder in {f.rsplit("/", 2)[-2] for f in df.inputFiles()}:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top.toString()}/{folder}"), True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete a query's shuffle files when the query ends, not when the driver's memory is next collected."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete what stash() wrote in this application."""
     top, fs = stash_dir(spark)

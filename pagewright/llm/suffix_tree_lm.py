@@ -1,16 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are words and one end symbol. A context is the last one to ``depth`` words; it is a node of the
-tree when it is common enough (``q_context`` of all tokens), and stays a state when a divergence test
-says that its next-symbol distribution differs from that of the next shorter context by more than its
-size explains. Next symbols of a state are kept when the pair reaches ``q_pair`` of all tokens, are
-discounted by a constant, and hand what is left to the next shorter state; the root is the unigram
-distribution with the mass of words seen once set aside for one unknown symbol. Each distribution sums
-to one over the training words and the unknown symbol, the event space of the base score.
-
-Sizes: at most 1 / q_word words, 1 / q_pair next symbols an order, so what is broadcast has a bound that
-no corpus exceeds. Counts cover the whole corpus and are made by distributed aggregation; words too rare
-for the broadcast list meet their exact counts in a join.
+tree when it was seen MIN_CONTEXT times, and stays a state when a divergence test says that its
+next-symbol distribution differs from that of the next shorter context by more than its size explains.
+Next symbols of a state are kept when the pair was seen MIN_PAIR times, are discounted by a constant, and
+hand what is left to the next shorter state; the root is the unigram distribution with the mass of words
+seen once set aside for one unknown symbol. Each distribution sums to one over the training words and the
+unknown symbol, the event space of the base score. The least counts are the same for every corpus, so the
+tree grows with it.
+
+The log probability of a text is a sum over its runs of 1 to depth + 1 words: the logarithm of what the
+run's last word has after it over what it has after the next shorter context, and of what the run, as
+a state, leaves to shorter ones. The model is therefore one table from run to value (`values`), keyed by
+64-bit hashes, which scoring joins. Runs that make Q_HEAD of the training tokens, 1 / Q_HEAD a length at
+most, are broadcast instead, so that no key of the join is hot. Bitmaps of a fixed size keep most runs
+that the table cannot have out of the shuffles; what they let pass costs time and changes nothing.
+A corpus of SMALL tokens at most has the same tree in arrays (`Tree`), without a join.
 
 Edge cases: a null text is empty and has one token, the end. Rows with equal or null ids are scored one
 by one. A corpus without training rows gives base and model scores of the uniform kind (counts 0, one
@@ -30,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import by_size, documents, fold, stash, tidied
+from pagewright.llm.common import by_size, documents, drop_shuffles, fold, release, stash, tidied
+from pagewright.llm.hashing import word_hashes
 
 END = b" "  # never a word, for words hold no space
 SHIFT = 22
-Q_WORD, Q_CONTEXT, Q_PAIR, DEPTH, DISCOUNT, EVIDENCE = 5e-7, 2e-5, 1e-6, 3, 0.6, 2.0
+Q_WORD, MIN_CONTEXT, MIN_PAIR, DEPTH, DISCOUNT, EVIDENCE = 5e-7, 8, 2, 3, 0.6, 2.0
+SMALL, Q_HEAD, PLACES = 1_000_000, 1e-6, 26
+END_KEY, STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -173,7 +181,7 @@ def gram_counts(train: DataFrame, tree: Tree, contexts: np.ndarray, nexts: np.nd
     return train.select("text").mapInArrow(tidied(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, counts: DataFrame, q_word: float = Q_WORD, q_context: float = Q_CONTEXT, q_pair: float = Q_PAIR, depth: int = DEPTH, discount: float = DISCOUNT, evidence: float = EVIDENCE) -> Tree:
+def fit(train: DataFrame, counts: DataFrame, q_word: float = Q_WORD, q_context: float | None = None, q_pair: float | None = None, depth: int = DEPTH, discount: float = DISCOUNT, evidence: float = EVIDENCE) -> Tree:
     s = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).first()
     total, distinct, once = int(s[0] or 0), int(s[1]), int(s[2] or 0)
     common = counts.where((F.col("n") >= q_word * total) | (F.col("word") == F.lit(END))).collect() if total else []  # 1 / q_word rows at most
@@ -182,7 +190,8 @@ def fit(train: DataFrame, counts: DataFrame, q_word: float = Q_WORD, q_context:
     n = np.array([0, *(c for _, c in common)], dtype=np.float64)
     unknown = max(once, 1) / (max(total, 1) + (once == 0))
     tree = Tree(ids, n / max(total, 1) * (1 - unknown), n, total, distinct, unknown)
-    size, least, follow = n, q_context * total, n >= q_pair * total
+    least, least_pair = MIN_CONTEXT if q_context is None else q_context * total, MIN_PAIR if q_pair is None else q_pair * total
+    size, follow = n, n >= least_pair
     follow[0] = False
     for k in range(depth if total else 0):
         contexts = size >= least
@@ -190,7 +199,7 @@ def fit(train: DataFrame, counts: DataFrame, q_word: float = Q_WORD, q_context:
             contexts[0] = False
         if not contexts.any():
             break
-        got = gram_counts(train, tree, contexts, follow, k + 1).where(F.col("n") >= q_pair * total).orderBy("key").toPandas()  # 1 / q_pair rows at most
+        got = gram_counts(train, tree, contexts, follow, k + 1).where(F.col("n") >= least_pair).orderBy("key").toPandas()
         keys, c = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
         if not len(keys):
             break
@@ -275,10 +284,218 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     return sums.select("uid", "doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
 
 
+def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts, each ending in END and all preceded by one: the keys of the symbols, their places in their texts (-1 for the first END) and their texts."""
+    raws = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    start, key = word_hashes(np.frombuffer(b"\n".join([*raws, b""]), dtype=np.uint8))
+    owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), start, side="right")
+    n = np.bincount(owner, minlength=len(raws)) + 1
+    out = np.full(int(n.sum()) + 1, END_KEY, dtype=np.uint64)
+    out[np.arange(len(key)) + owner + 1] = key
+    place = np.arange(len(out) - 1) - np.repeat(np.cumsum(n) - n, n)
+    return out, np.concatenate(([-1], place)), np.concatenate(([0], np.repeat(np.arange(len(raws)), n)))
+
+
+def longer(keys: np.ndarray) -> np.ndarray:
+    """keys: of runs of one size. Keys of the runs one symbol longer that end at the same places."""
+    out = np.zeros_like(keys)
+    out[1:] = joint(keys[:-1], keys[1:])
+    return out
+
+
+def joint(ctx: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """Key of a run from those of the run without its last symbol and without its first."""
+    return ctx * STEP + suf
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    p = (keys >> np.uint64(64 - PLACES)).astype(np.int64)
+    return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """Bitmap (2^PLACES bits, a key's first bits are its place) of the one column."""
+    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - PLACES)
+    got = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("w")).toArrow()
+    out = np.zeros(1 << PLACES - 6, dtype=np.uint64)
+    out[got["i"].to_numpy()] = got["w"].to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], size: int, maps: tuple, flush: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ctx and suf of each run of `size` symbols whose ctx, suf and key pass the maps (any may be missing), in portions."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    have = 0
+    for b in batches:
+        for part in by_size(b, 1_000_000):
+            suf, place, _ = symbols(part.column("text").to_pylist())
+            for _ in range(size - 2):
+                suf = longer(suf)
+            ok = np.flatnonzero((place >= 0) & (place + 2 >= size))
+            for bitmap, of in zip(maps, (lambda at: suf[at - 1], lambda at: suf[at], lambda at: joint(suf[at - 1], suf[at])), strict=True):  # noqa: B023
+                if bitmap is not None:
+                    ok = ok[passes(bitmap, of(ok))]
+            kept.append((suf[ok - 1], suf[ok]))
+            if (have := have + len(ok)) >= flush:
+                yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+                kept, have = [], 0
+    if have:
+        yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+
+
+def repeated(train: DataFrame, size: int, contexts: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """Bitmap of the runs seen twice or more. The first 40 bits of keys are compared, four bytes a run in 2^8 lists: most runs are seen once, and that shows here cheaply."""
+    held = train.sparkSession.sparkContext.broadcast((contexts, suffixes, None))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ctx, suf in runs_of(batches, size, held.value):
+            mark, n = np.unique(joint(ctx, suf) >> np.uint64(24), return_counts=True)
+            mark = np.repeat(mark, np.minimum(n, 2))
+            ends = np.searchsorted(mark, np.arange(257, dtype=np.uint64) << np.uint64(32))
+            low = mark.astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"list": pa.array(range(256), pa.int32()), "marks": pa.array([low[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+    def twice(t: pa.Table) -> pa.Table:
+        low = np.sort(np.frombuffer(b"".join(t["marks"].to_pylist()), dtype=np.uint32))
+        bits = np.zeros(1 << PLACES - 8, dtype=bool)
+        bits[low[1:][low[1:] == low[:-1]] >> np.uint32(40 - PLACES)] = True
+        return pa.table({"list": t["list"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    got = train.select("text").mapInArrow(tidied(lists), "list int, marks binary").groupBy("list").applyInArrow(twice, "list int, bits binary").collect()
+    out = np.zeros((256, 1 << PLACES - 11), dtype=np.uint8)
+    for r in got:
+        out[r[0]] = np.frombuffer(r[1], dtype=np.uint8)
+    return out.ravel()
+
+
+def unit_counts(train: DataFrame, flush: int = 3_000_000) -> DataFrame:
+    """key, n of the symbols."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, symbol in runs_of(batches, 1, (None, None, None), flush):
+            key, n = np.unique(symbol, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], schema=schema)
+
+    return train.select("text").mapInArrow(tidied(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def run_counts(train: DataFrame, size: int, contexts: np.ndarray, suffixes: np.ndarray) -> DataFrame:
+    """key, ctx (the run without its last symbol), suf (without its first), n of the runs of `size` symbols seen MIN_PAIR (two at least) times whose ctx and suf pass the bitmaps."""
+    held = train.sparkSession.sparkContext.broadcast((contexts, suffixes, repeated(train, size, contexts, suffixes)))
+    schema = pa.schema([(c, pa.int64()) for c in ("ctx", "suf", "n")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ctx, suf in runs_of(batches, size, held.value):
+            _, first, n = np.unique(joint(ctx, suf), return_index=True, return_counts=True)
+            t = pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (ctx[first], suf[first], n)], schema=schema)
+            yield from (t.slice(at, 200_000) for at in range(0, t.num_rows, 200_000))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = joint(*(b.column(c).to_numpy().view(np.uint64) for c in ("ctx", "suf")))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], names=["key", *b.schema.names])
+
+    counts = train.select("text").mapInArrow(tidied(run), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= MIN_PAIR).mapInArrow(named, "key long, ctx long, suf long, n long")
+
+
+def values(train: DataFrame, units: DataFrame, total: int, unknown: float, depth: int = DEPTH, discount: float = DISCOUNT, evidence: float = EVIDENCE) -> DataFrame:
+    """key, value, n (training count, of a run that is no more than a context 0), word_n (null where the run is no word)."""
+    level = units.withColumn("p", F.col("n") / F.lit(float(total)) * F.lit(1 - unknown))
+    parts = [level.select("key", F.log10("p").alias("value"), "n", F.col("n").alias("word_n"))]
+    no, levels = F.lit(None).cast("long"), []
+    for size in range(2, depth + 2):
+        contexts = level.where(F.col("n") >= MIN_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("size"))
+        maps = [bitmap_of(c) for c in (contexts.select("ctx"), level.where(F.col("n") >= MIN_PAIR).select("key"))]
+        got = stash(run_counts(train, size, *maps))
+        sums = got.groupBy("ctx").agg(F.sum(F.col("n") - discount).alias("s"), F.sum("n").alias("followed"))
+        sums = sums.join(contexts, "ctx").select("ctx", "size", "followed", (1 - F.col("s") / F.col("size")).alias("rest"))
+        runs = got.join(sums, "ctx").join(level.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf")
+        runs = runs.select("key", "ctx", "n", "size", "followed", "rest", "parent", ((F.col("n") - discount) / F.col("size")).alias("share"))
+        gain = F.sum(F.col("n") * F.log((F.col("share") + F.col("rest") * F.col("parent")) / F.col("parent")))
+        gains = runs.groupBy("ctx", "size", "followed", "rest").agg(gain.alias("gain"))
+        others = (F.col("size") - F.col("followed")) * F.log(F.greatest("rest", F.lit(1e-12)))
+        states = gains.where(F.col("gain") + others > evidence * F.log(F.greatest("size", F.lit(2)))).select("ctx", F.least(F.greatest("rest", F.lit(1e-9)), F.lit(1 - 1e-12)).alias("lam"))
+        p = F.when(F.col("lam").isNull(), F.col("parent")).otherwise(F.col("share") + F.col("lam") * F.col("parent"))
+        level = stash(runs.join(states, "ctx", "left").select("key", "ctx", "n", "parent", "lam", p.alias("p")))
+        levels.append(level)
+        release(train.sparkSession, got)
+        of_states = level.where("lam IS NOT NULL")
+        parts.append(of_states.select("key", (F.log10("p") - F.log10("parent") - F.log10("lam")).alias("value"), "n", no.alias("word_n")))
+        parts.append(of_states.groupBy("ctx").agg(F.log10(F.first("lam")).alias("value")).select(F.col("ctx").alias("key"), "value", F.lit(0).cast("long").alias("n"), no.alias("word_n")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    table = stash(every.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"), F.max("word_n").alias("word_n")))
+    release(train.sparkSession, *levels)
+    return table
+
+
+def score_by_table(docs: DataFrame, table: DataFrame, total: int, distinct: int, unknown: float, depth: int = DEPTH, q_head: float = Q_HEAD) -> DataFrame:
+    """As score(), with the model in a table of values()."""
+    cold = table.where(F.col("n") < q_head * total)
+    head = table.where(F.col("n") >= q_head * total).toArrow().sort_by("key")  # 1 / q_head rows a length at most
+    base = np.nan_to_num(np.log10(head["word_n"].to_numpy().astype(np.float64) + 0.5))
+    bitmap = bitmap_of(cold.where("word_n IS NULL").select("key"))
+    held = docs.sparkSession.sparkContext.broadcast((head["key"].to_numpy(), head["value"].to_numpy(), base, bitmap))
+    row = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+    schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("is_word", pa.bool_()), ("row", row)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, worth, bases, may_be = held.value
+        for b in batches:
+            for part in by_size(b, 1_000_000):
+                symbol, place, owner = symbols(part.column("text").to_pylist())
+                uid, n, keys = part.column("uid").to_numpy(), part.num_rows, symbol
+                model, base, n_known = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
+                for size in range(1, depth + 2):
+                    ok = np.flatnonzero((place >= 0) & (place + 2 >= size))
+                    key, own = keys[ok].view(np.int64), owner[ok]
+                    at = np.minimum(np.searchsorted(heads, key), max(len(heads) - 1, 0))
+                    hit = heads[at] == key if len(heads) else np.zeros(len(key), dtype=bool)
+                    model += np.bincount(own[hit], worth[at[hit]], n)
+                    if size == 1:
+                        base += np.bincount(own[hit], bases[at[hit]], n)
+                        n_known += np.bincount(own[hit], minlength=n)
+                    rest = np.flatnonzero(~hit if size == 1 else ~hit & passes(may_be, keys[ok]))
+                    if len(rest):
+                        m = len(rest)
+                        yield pa.RecordBatch.from_arrays([pa.array(uid[own[rest]]), pa.array(key[rest]), pa.array(np.full(m, size == 1)), pa.nulls(m, row)], schema=schema)
+                    keys = longer(keys)
+                lengths = np.bincount(owner[1:], minlength=n)
+                fields = [part.column("doc_id"), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(model)]
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(uid), pa.nulls(n, pa.bool_()), pa.StructArray.from_arrays(fields, fields=list(row))], schema=schema)
+
+    parts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "uid long, key long, is_word boolean, row struct<doc_id: long, n_tokens: long, n_known: long, base: double, model: double>")
+    joined = parts.join(cold.select("key", "value", "word_n"), "key", "left")
+    is_word, n = F.coalesce("is_word", F.lit(False)), F.coalesce("word_n", F.lit(0))
+    worth = F.when(F.col("is_word").isNull(), 0.0).otherwise(F.coalesce("value", F.when(is_word, F.lit(math.log10(unknown))).otherwise(0.0)))
+    sums = joined.groupBy("uid").agg(
+        F.max("row.doc_id").alias("doc_id"),
+        F.sum("row.n_tokens").alias("n_tokens"),
+        (F.sum("row.n_known") + F.count(F.when(is_word & (n > 0), 1))).alias("n_known"),
+        (F.sum("row.base") + F.coalesce(F.sum(F.when(is_word, F.log10(n + 0.5))), F.lit(0.0))).alias("base"),
+        (F.sum("row.model") + F.sum(worth)).alias("score"),
+    )
+    norm = math.log10(total + 0.5 * (distinct + 1))
+    return sums.select("uid", "doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+
+
+def score_corpus(docs: DataFrame, train: DataFrame, small: int = SMALL, q_head: float = Q_HEAD) -> tuple[DataFrame, int]:
+    """Scores of docs by the model of train, and the number of training tokens."""
+    units = stash(unit_counts(train))
+    s = units.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).first()
+    total, distinct, once = int(s[0] or 0), int(s[1]), int(s[2] or 0)
+    if total <= small:
+        counts = stash(word_counts(train))
+        return score(docs, fit(train, counts), counts), total
+    unknown = max(once, 1) / (total + (once == 0))
+    return score_by_table(docs, values(train, units, total, unknown), total, distinct, unknown, q_head=q_head), total
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    train = docs.where(fold("doc_id") != 1)
-    counts = stash(word_counts(train))
-    tree = fit(train, counts)
-    got = score(docs, tree, counts)
-    return got.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    drop_shuffles(spark)
+    got, total = score_corpus(docs, docs.where(fold("doc_id") != 1))
+    return got.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -126,6 +126,29 @@ def test_suffix_tree_without_training(spark, docs):
     assert len(got) == docs.count() and all(math.isfinite(r.score) and r.n_known == 0 for r in got)
 
 
+@pytest.mark.parametrize("q_head", [1e-6, 1e-3, 1.0])
+def test_suffix_tree_in_a_table_is_the_tree(spark, docs, q_head):
+    train = docs.where(fold("doc_id") != 1)
+    rows = lambda small: suffix_tree_lm.score_corpus(docs, train, small, q_head)[0].collect()
+    key = lambda r: (r.doc_id or -1, r.n_tokens, r.n_known, r.score)
+    for a, b in zip(sorted(rows(10**9), key=key), sorted(rows(0), key=key), strict=True):
+        assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
+        assert a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"t{i // 10}w{w}" for w in rng.integers(0, 20, 150))) for i in range(800)]
+    every = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    kept = []
+    for n in (400, 800):  # twice as many topics, as much text a topic
+        train = every.where(f"doc_id < {n}")
+        units = suffix_tree_lm.unit_counts(train).cache()
+        total = units.agg({"n": "sum"}).first()[0]
+        kept.append((total, suffix_tree_lm.values(train, units, total, 1e-6).where("word_n IS NULL AND n > 0").count()))
+    assert kept[0][1] > 1000 and kept[1][1] > 1.8 * kept[0][1]
+
+
 # ------------------------------------------------------------ 4
 def brute_repeats(raws: list[bytes], length: int) -> list[bytearray]:
     seen = Counter(b[k : k + length] for b in raws for k in range(len(b) - length + 1))
