@@ -2,9 +2,14 @@
 
 Each of ORDERINGS curves has its own random projection to DIMS dimensions and its own random shift; a
 vector's place on a curve is the Hilbert key of its projected, shifted and quantised coordinates. All
-vectors are sorted along every curve (range partitions, numbered across them) and cut into blocks of
-BLOCK; a query meets the vectors of its own block and of the two beside it. Vectors travel as one byte a
-component; the SHORTLIST nearest of each query over all curves are merged and reranked on the original
+vectors are sorted along every curve (range partitions, numbered across them) and cut into blocks; a query
+meets the vectors of its own block and of those beside it. How far that has to reach follows from the
+table: TRIAL queries are answered exactly by one scan, and blocks are so wide that TARGET of their pairs
+of query and neighbour are within reach on some curve, BLOCK at least. Where vectors have no structure
+that is a fixed share of the table, and the work grows with the square of the rows.
+
+Vectors travel as one byte a component, with the length of what that rounds off, which bounds how wrong a
+distance can be; every candidate that could be among the k nearest of those met is reranked on the original
 vectors in double precision.
 
 Equal vectors are one point of the curves, with the ``k`` + 1 smallest ids that have it, so that copies
@@ -30,7 +35,8 @@ from pagewright.llm.common import stash, tidied
 from pagewright.llm.graphs import whole_groups
 from pagewright.llm.ordering import numbered
 
-ORDERINGS, DIMS, BITS, BLOCK, SHORTLIST, SAMPLE, K, EVERY = 32, 16, 3, 640, 48, 10_000, 10, 100
+ORDERINGS, DIMS, BITS, BLOCK, SAMPLE, K, EVERY = 32, 16, 3, 640, 10_000, 10, 100
+TRIAL, TARGET, WIDEST, TILE = 64, 0.97, 65_536, 2_000_000
 
 
 def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
@@ -105,32 +111,76 @@ def places(points: DataFrame, curves: Curves) -> DataFrame:
 
 
 def coded(points: DataFrame) -> DataFrame:
-    """id, code (a byte a component), unit (what a step of it is worth)."""
+    """id, code (a byte a component), unit (what a step of it is worth), off (the distance between the vector and what its code says)."""
     largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    return points.select("id", F.transform("v", lambda x: F.round(x / largest * 127).cast("byte")).alias("code"), (largest / 127).alias("unit"))
+    codes = points.select("id", "v", F.transform("v", lambda x: F.round(x / largest * 127).cast("byte")).alias("code"), (largest / 127).alias("unit"))
+    square = F.aggregate(F.zip_with("v", "code", lambda x, c: (x - c * F.col("unit")) * (x - c * F.col("unit"))), F.lit(0.0), lambda s, x: s + x)
+    return codes.select("id", "code", "unit", F.sqrt(square).alias("off"))
 
 
-def near_in_blocks(dealt: DataFrame, shortlist: int) -> DataFrame:
-    """dealt (o, block, asks, id, code, unit), sorted: q, id, d2 (by the codes) of each query's nearest in the block."""
+def exact_pairs(points: DataFrame, trial: list, k: int) -> list:
+    """(q, id) of the k nearest points of each trial row, by one scan."""
+    held = points.sparkSession.sparkContext.broadcast((np.array([r.id for r in trial]), np.array([r.v for r in trial], dtype=np.float64)))
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("d2", pa.float64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qs, x = held.value
+        for b in batches:
+            if b.num_rows:
+                c, ids = packed(b.column("v")), b.column("id").to_numpy()
+                d = (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * (x @ c.T)
+                d[qs[:, None] == ids[None]] = np.inf
+                n = min(k, len(ids))
+                best = np.argpartition(d, n - 1, axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, n)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())], schema=schema)
+
+    got = points.select("id", "v").mapInArrow(tidied(run), "q long, id long, d2 double").where("q <> id")
+    return got.withColumn("__r", F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))).where(F.col("__r") <= k).select("q", "id").collect()
+
+
+def width_needed(points: DataFrame, at: DataFrame, k: int, trial: int, target: float) -> int:
+    """How many places apart on their nearest curve all but 1 - target of the trial queries and their k nearest points are."""
+    rows = points.where("asks").orderBy(F.xxhash64("id"), "id").limit(trial).select("id", "v").collect()
+    pairs = exact_pairs(points, rows, k) if rows else []
+    if not pairs:
+        return 0
+    ids = sorted({i for p in pairs for i in p})
+    on = {i: {} for i in ids}
+    for o, i, n in at.where(F.col("id").isin(ids)).select("o", "id", "n").collect():  # trial * (k + 1) ids at most
+        on[i][o] = n
+    gaps = sorted(min(abs(n - on[i][o]) for o, n in on[q].items()) for q, i in pairs)
+    return gaps[int(np.ceil(target * len(gaps))) - 1]
+
+
+def near_in_blocks(dealt: DataFrame, k: int) -> DataFrame:
+    """dealt (o, block, asks, id, code, unit, off), sorted: q, id, low, high (bounds of the distance) of what may be among each query's k nearest in the block."""
+    schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["o", "block"]):
             x = packed(t.column("code").combine_chunks()).astype(np.float32) * t.column("unit").to_numpy().astype(np.float32)[:, None]
-            ids, asks, square = t.column("id").to_numpy(), t.column("asks").to_numpy(), (x * x).sum(axis=1)
+            ids, asks, square, off = t.column("id").to_numpy(), t.column("asks").to_numpy(), (x * x).sum(axis=1), t.column("off").to_numpy()
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
                 own = np.arange(s, e)
-                q, c = own[asks[s:e]], own[~asks[s:e]]
-                if len(q) and len(c):
-                    d = square[q][:, None] + square[c][None] - 2 * (x[q] @ x[c].T)
-                    n = min(shortlist, len(c))
-                    best = np.argpartition(d, n - 1, axis=1)[:, :n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q], n)), pa.array(ids[c[best]].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel().astype(np.float64))], schema=schema)
-
-    return dealt.mapInArrow(tidied(run), "q long, id long, d2 double")
-
-
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
+                every, c = own[asks[s:e]], own[~asks[s:e]]
+                if not len(c):
+                    continue
+                step = max(1, TILE // len(c))
+                for q in (every[i : i + step] for i in range(0, len(every), step)):
+                    both = square[q][:, None] + square[c][None]
+                    d2 = np.maximum(both - 2 * (x[q] @ x[c].T), 0).astype(np.float64)
+                    lost = both * (np.finfo(np.float32).eps * (x.shape[1] + 8))  # by single precision
+                    away = off[q][:, None] + off[c][None]
+                    low = np.nan_to_num(np.sqrt(np.maximum(d2 - lost, 0)) - away, nan=0.0)
+                    high = np.nan_to_num(np.sqrt(d2 + lost) + away, nan=np.inf)
+                    may = low <= np.partition(high, k - 1, axis=1)[:, k - 1 : k] if len(c) > k else np.ones(low.shape, dtype=bool)
+                    i, j = np.nonzero(may)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q][i]), pa.array(ids[c][j]), pa.array(low[may]), pa.array(high[may])], schema=schema)
+
+    return dealt.mapInArrow(tidied(run), "q long, id long, low double, high double")
+
+
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, sample: int = SAMPLE, trial: int = TRIAL, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id `every` divides."""
     spark = vectors.sparkSession
     rows = stash(valid(vectors, id_col, vec_col))
@@ -143,14 +193,19 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
     picked = points.select("v").orderBy(F.xxhash64("id")).limit(sample).collect()
     fitted = np.array([r.v for r in picked], dtype=np.float64) if picked else np.zeros((1, 1))
     total = points.count()
-    at = numbered(places(points, Curves(fitted, orderings, dims, bits)), ["o", "key", "id"], "n").withColumn("block", F.expr(f"(n - o * {total}L) div {block}"))
+    at = numbered(places(points, Curves(fitted, orderings, dims, bits)), ["o", "key", "id"], "n")
+    wide = max(block, width_needed(points, at, k, trial, target))
+    reach = -(-wide // WIDEST)
+    at = at.withColumn("block", F.expr(f"(n - o * {total}L) div {-(-wide // reach)}"))
     codes = coded(points)
     as_candidates = at.select("o", "block", F.lit(False).alias("asks"), "id")
-    as_queries = at.where("asks").select("o", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.lit(True).alias("asks"), "id")
+    as_queries = at.where("asks").select("o", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.lit(True).alias("asks"), "id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = as_candidates.unionByName(as_queries).join(codes, "id").select("o", "block", "asks", "id", "code", "unit").repartition(parts, "o", "block").sortWithinPartitions("o", "block")
-    short = near_in_blocks(dealt, shortlist).groupBy("q", "id").agg(F.min("d2").alias("d2"))
-    short = short.withColumn("__r", F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))).where(F.col("__r") <= shortlist).select("q", "id")
+    dealt = as_candidates.unionByName(as_queries).join(codes, "id").select("o", "block", "asks", "id", "code", "unit", "off").repartition(parts, "o", "block").sortWithinPartitions("o", "block")
+    short = near_in_blocks(dealt, k + 1).groupBy("q", "id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    short = short.withColumn("__r", F.row_number().over(Window.partitionBy("q").orderBy("high", "id")))
+    short = short.withColumn("__cut", F.min(F.when(F.col("__r") == k + 1, F.col("high"))).over(Window.partitionBy("q")))
+    short = short.where(F.col("__cut").isNull() | (F.col("low") <= F.col("__cut"))).select("q", "id")
     exact = short.join(points.select("id", "ids", F.col("v").alias("cv")), "id").join(points.select(F.col("id").alias("q"), "v"), "q")
     square = F.aggregate(F.zip_with("v", "cv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     exact = exact.select("q", "id", "ids", F.sqrt(square).alias("score"))

@@ -206,6 +206,32 @@ def test_neighbours(spark):
     assert hilbert_ann.search(df.where("false")).count() == 0
 
 
+def nearest(x: np.ndarray, q: int, k: int = 10) -> list[int]:
+    d = ((x - x[q]) ** 2).sum(axis=1)
+    d[q] = np.inf
+    return np.lexsort((np.arange(len(d)), d))[:k].tolist()
+
+
+def test_neighbours_reach_follows_the_table(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = defaultdict(set)
+    for r in hilbert_ann.search(df, every=20, block=16, orderings=4).collect():
+        found[r.query_id].add(r.vec_id)
+    assert len(found) == 150
+    assert np.mean([len(found[q] & set(nearest(x, q))) / 10 for q in found]) >= 0.9
+
+
+def test_neighbours_closer_than_the_codes_tell(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=24) + rng.normal(size=(400, 24)) * 1e-4
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = defaultdict(list)
+    for r in sorted(hilbert_ann.search(df).collect(), key=lambda r: (r.query_id, r["rank"])):
+        found[r.query_id].append(r.vec_id)
+    assert {q: v for q, v in found.items()} == {q: nearest(x, q) for q in (0, 100, 200, 300)}
+
+
 def test_hilbert_keys_walk_the_grid():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     k = hilbert_ann.hilbert_keys(grid, 3)
