@@ -10,7 +10,8 @@ together: inside a component of candidate pairs every pair is verified on the ex
 fixed size, so that no group lands in one task and links are counted without being listed.
 
 Result: one row per document with its class (smallest doc_id connected by links or copies), the number
-of links (different texts at the threshold or above) and of copies.
+of links (different texts at the threshold or above, those with an equal set among them) and of copies
+(rows with an equal set).
 
 Edge cases: null, empty and blank texts have no runs, are alone in their class and have no links. Rows
 with equal or null doc_id are separate documents. Extra columns are not carried. An empty table gives no
@@ -63,13 +64,15 @@ def signatures(values: np.ndarray, sizes: np.ndarray, count: int, seed: int = 10
 
 
 def signed(docs: DataFrame, n: int, depth: int, trees: int) -> DataFrame:
-    """uid, doc_id, same (of the set), keys (one a tree), sig (a byte a minimum); the last three null for empty sets."""
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("same", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """uid, doc_id, exact (of the text), same (of the set), keys (one a tree), sig (a byte a minimum); the last three null for empty sets."""
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("exact", pa.binary()), ("same", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in by_size(whole, BATCH):
-                values, sizes = sets_of(b.column("text").to_pylist(), n)
+                texts = b.column("text").to_pylist()
+                exact = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if t else None for t in texts]
+                values, sizes = sets_of(texts, n)
                 minima = signatures(values, sizes, trees * depth)
                 keys = np.zeros((len(minima), trees), dtype=np.uint64)
                 for d in range(depth):
@@ -86,9 +89,9 @@ def signed(docs: DataFrame, n: int, depth: int, trees: int) -> DataFrame:
                     else:
                         same.append(None), k.append(None), s.append(None)
                     at += size
-                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(same, pa.binary()), pa.array(k, pa.list_(pa.int64())), pa.array(s, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(exact, pa.binary()), pa.array(same, pa.binary()), pa.array(k, pa.list_(pa.int64())), pa.array(s, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(tidied(run), "uid long, doc_id long, same binary, keys array<long>, sig binary")
+    return docs.mapInArrow(tidied(run), "uid long, doc_id long, exact binary, same binary, keys array<long>, sig binary")
 
 
 def tiles(ranked: DataFrame, keys: list[str], tile: int) -> DataFrame:
@@ -153,12 +156,12 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(members: DataFrame, threshold: float) -> DataFrame:
-    """members (label, uid, grams, __n, __i) -> uid, links, and a: a verified neighbour (rows of links 0 only span classes)."""
+    """members (label, uid, texts, grams, __n, __i) -> uid, links (to texts), and a: a verified neighbour (rows of links 0 only span classes)."""
     schema = pa.schema([("uid", pa.int64()), ("links", pa.int64()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["label", "ti", "tj"]):
-            uid, block = t.column("uid").to_numpy(), t.column("__b").to_numpy()
+            uid, block, texts = t.column("uid").to_numpy(), t.column("__b").to_numpy(), t.column("texts").to_numpy()
             grams, tj, ti = t.column("grams"), t.column("tj").to_numpy(), t.column("ti").to_numpy()
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(uid)], strict=True):
                 if e - s < 2:
@@ -172,13 +175,13 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 if ti[s] != tj[s]:
                     own = block[s:e]
                     near &= own[:, None] != own[None, :]
-                links = near.sum(axis=1)
+                links = near @ texts[s:e]
                 rows = [(int(uid[s + i]), int(links[i]), int(uid[s + i])) for i in np.flatnonzero(links)]
                 rows += [(int(uid[s + i]), 0, int(uid[s + j])) for i, j in forest(e - s, lambda i, rest: near[i, rest])]  # noqa: B023
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-    return tiles(members, ["label"], SET_TILE).select("label", "ti", "tj", "__b", "uid", "grams").mapInArrow(tidied(run), "uid long, links long, a long")
+    return tiles(members, ["label"], SET_TILE).select("label", "ti", "tj", "__b", "uid", "texts", "grams").mapInArrow(tidied(run), "uid long, links long, a long")
 
 
 def grams_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -203,14 +206,15 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int =
     rows = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("uid", "doc_id", "text")
     all_signed = stash(signed(rows, n, depth_for(threshold, trees, target), trees))
     full = all_signed.where("same is not null")
-    reps = stash(full.groupBy("same").agg(F.min(F.struct("uid", "keys", "sig")).alias("r"), F.count("*").alias("copies")).select("same", "copies", "r.*"))
+    by_text = full.groupBy("same", "exact").agg(F.min(F.struct("uid", "keys", "sig")).alias("r"), F.count("*").alias("copies"))
+    reps = stash(by_text.groupBy("same").agg(F.min("r").alias("r"), F.sum("copies").alias("copies"), F.count("*").alias("texts")).select("same", "copies", "texts", "r.*"))
     label = components(candidate_links(reps, ESTIMATE)).withColumnRenamed("node", "uid")
     of_label = Window.partitionBy("label")
     ranked = stash(label.withColumn("__n", F.count("*").over(of_label)).withColumn("__i", F.row_number().over(of_label.orderBy("uid"))))
-    found = stash(verified(ranked.join(grams_of(rows, ranked, n), "uid"), threshold))
+    found = stash(verified(ranked.join(reps.select("uid", "texts"), "uid").join(grams_of(rows, ranked, n), "uid"), threshold))
     links = found.groupBy("uid").agg(F.sum("links").alias("n_links"))
     group = components(found.where("links = 0").select(F.col("uid").alias("b"), "a")).withColumnRenamed("node", "uid")
-    heads = stash(reps.select("same", "uid", "copies").join(group, "uid", "left").join(links, "uid", "left").select("same", F.coalesce("label", "uid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies")))
+    heads = stash(reps.select("same", "uid", "copies", "texts").join(group, "uid", "left").join(links, "uid", "left").select("same", F.coalesce("label", "uid").alias("label"), (F.coalesce("n_links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links"), F.col("copies").alias("n_copies")))
     member = stash(all_signed.select("uid", "doc_id", "same").join(heads, "same", "left").select("uid", "doc_id", F.coalesce("label", "uid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")))
     smallest = member.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return member.join(smallest, "label").select("doc_id", "class_id", "n_links", "n_copies", "uid", "label")

@@ -392,6 +392,15 @@ def test_ngram_join(spark, docs, table):
     assert kept.columns == docs.columns and kept.where("doc_id in (205, 206, 208)").count() == 0
 
 
+def test_links_between_texts_of_equal_sets(spark):
+    words = [f"w{i}" for i in range(60)]
+    base = " ".join(words)
+    texts = [base, base.upper(), base.replace(" ", "\n"), base, " ".join([*words[:-1], "other"]), "alone in this"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.join(d).collect()}
+    assert got == {0: (0, 3, 4), 1: (0, 3, 4), 2: (0, 3, 4), 3: (0, 3, 4), 4: (0, 3, 1), 5: (5, 0, 1)}
+
+
 def test_near_copies_in_large_groups(spark):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in rng.integers(0, 400, 300)]
