@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -300,6 +302,42 @@ def test_packing(spark, docs, table):
     assert packing.pack(packing.pieces(fixtures.empty(spark), packing.default_tokenizer())).count() == 0
 
 
+def test_ids_are_the_tokenizers():
+    rng = random.Random(5)
+    pool = [*"abzAZéÉİıΣσς'’.,-_12²½ \n\t\x0b\x1c\x1d\x1e\x1f\x85\u0301\u0323\u00a0\u2003\u200bªßẞǅﬁ中あ😀<|>ΑÅſK", "'s", "'re", "<|endoftext|>", "I\u0307"]
+    odd = ["ab\x1ccd", "İ, x", "ΑΣ ΑΣ. σΣ", "", " ", *("".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(4000))]
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    for lo in range(0, len(odd), 50):  # words met in even and in other texts share the memory
+        for text, raw in zip(odd[lo : lo + 50], enc.encode_batch(odd[lo : lo + 50]), strict=True):
+            assert np.frombuffer(raw, dtype="<u4").tolist() == enc.t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_cover_meets_its_bound():
+    rng = np.random.default_rng(3)
+    total = np.zeros(257, dtype=np.int64)
+    np.add.at(total, np.minimum(rng.lognormal(3.6, 0.9, 4000).astype(int) + 1, 255), 20)
+    cover = packing.fractional_cover(total, 256)
+    assert cover.bound <= cover.size <= 1.01 * cover.bound
+    assert cover.bound >= (total * np.arange(257)).sum() / 256 * 0.999
+    used = np.zeros(257)
+    for config, amount in cover.amounts.items():
+        assert sum(config) <= 256
+        np.add.at(used, list(config), amount)
+    assert (used <= total * (1 + 1e-6) + 1e-6).all() and (used * np.arange(257)).sum() > 0.7 * (total * np.arange(257)).sum()
+
+
+def test_knapsack_is_exact():
+    rng = np.random.default_rng(4)
+    prices = np.full(25, -np.inf)
+    prices[[3, 5, 7, 11]] = rng.random(4)
+    best, _ = packing.knapsack(prices, 24)
+    ways = {0: 0.0}
+    for a, b, c, d in itertools.product(range(9), range(5), range(4), range(3)):
+        size = 3 * a + 5 * b + 7 * c + 11 * d
+        ways[size] = max(ways.get(size, -np.inf), a * prices[3] + b * prices[5] + c * prices[7] + d * prices[11])
+    assert best.tolist() == pytest.approx([ways.get(k, -np.inf) for k in range(25)])
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(1)
     for n, top in ((300, 4096), (5_000, 1_500), (2_000, 4096)):
