@@ -11,277 +11,45 @@ tree grows with it.
 
 The log probability of a text is a sum over its runs of 1 to depth + 1 words: the logarithm of what the
 run's last word has after it over what it has after the next shorter context, and of what the run, as
-a state, leaves to shorter ones. The model is therefore one table from run to value (`values`), keyed by
-64-bit hashes, which scoring joins. Runs that make Q_HEAD of the training tokens, 1 / Q_HEAD a length at
-most, are broadcast instead, so that no key of the join is hot. Bitmaps of a fixed size keep most runs
-that the table cannot have out of the shuffles; what they let pass costs time and changes nothing.
-A corpus of SMALL tokens at most has the same tree in arrays (`Tree`), without a join.
+a state, leaves to shorter ones. The model is therefore one table from run to value. Runs are known by 64-bit
+hashes; the first bits of a hash name its list, and runs travel packed, a row for each list and batch, so
+that a shuffle costs a few bytes a run and no rows. There are as many lists as keep one to about LIST_TOKENS training
+tokens:
+
+1. words are counted by list;
+2. for each size from 2 to depth + 1, runs that can matter (the run without its last word is a context, the one
+   without its first a kept run: bitmaps of a fixed size tell) are counted, meet the probability of their
+   last word after the shorter context in the list of the latter, and then the other runs of their
+   own context, where the test is made;
+3. every text gives off its runs, these meet the model list by list, and the sums come back by batch.
+
+Runs that make Q_HEAD of the training tokens, 1 / Q_HEAD a length at most, are broadcast instead, so that no run is
+sent very often.
 
 Edge cases: a null text is empty and has one token, the end. Rows with equal or null ids are scored one
 by one. A corpus without training rows gives base and model scores of the uniform kind (counts 0, one
-unknown symbol). Extra columns are not carried.
+unknown symbol). Extra columns are not carried. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import by_size, documents, drop_shuffles, fold, release, stash, tidied
+from pagewright.llm.common import by_size, documents, drop_shuffles, fold, stash, tidied
 from pagewright.llm.hashing import word_hashes
 
-END = b" "  # never a word, for words hold no space
-SHIFT = 22
-Q_WORD, MIN_CONTEXT, MIN_PAIR, DEPTH, DISCOUNT, EVIDENCE = 5e-7, 8, 2, 3, 0.6, 2.0
-SMALL, Q_HEAD, PLACES = 1_000_000, 1e-6, 26
+MIN_CONTEXT, MIN_PAIR, DEPTH, DISCOUNT, EVIDENCE = 8, 2, 3, 0.6, 2.0
+Q_HEAD, PLACES, LEAST_LISTS, LIST_TOKENS = 4e-6, 26, 6, 4_000_000  # lists: two to the power of LEAST_LISTS at least
+FLUSH, TEXT = 3_000_000, 16_000_000  # runs counted, bytes of text scored, before a task gives off rows
 END_KEY, STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
-
-
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def batches_of_words(batches: Iterator[pa.RecordBatch], at_once: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    for b in batches:
-        for part in by_size(b, at_once):
-            yield part, [words(t) for t in part.column("text").to_pylist()]
-
-
-def word_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
-    """word, n over all rows; the end symbol included."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-            seen.clear()
-            return batch
-
-        for _, docs in batches_of_words(batches):
-            for ws in docs:
-                seen.update(ws)
-            seen[END] += len(docs)
-            if len(seen) >= flush:
-                yield out()
-        if seen:
-            yield out()
-
-    return train.select("text").mapInArrow(tidied(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Tree:
-    """Everything that scoring needs; arrays only. Order k has the grams of k + 1 words: gram = key, its context is key >> SHIFT."""
-
-    ids: dict[bytes, int]
-    root: np.ndarray  # by word id; [0] stands for words outside ids and is not used
-    counts: np.ndarray
-    total: int
-    distinct: int
-    unknown: float
-    keys: list[np.ndarray] = field(default_factory=list)
-    share: list[np.ndarray] = field(default_factory=list)  # discounted count over that of the context
-    rest: list[np.ndarray] = field(default_factory=list)  # by context: what goes to the shorter one; 1 where it is no state
-    has: list[np.ndarray] = field(default_factory=list)  # by context: whether any gram has it
-
-    def flat(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all symbols, each document ending in END and preceded by one, and the place of each document's first symbol."""
-        get, end = self.ids.get, self.ids.get(END, 0)
-        out, starts = [end], []
-        for ws in docs:
-            starts.append(len(out))
-            out += map(get, ws, repeat(0))
-            out.append(end)
-        return np.array(out, dtype=np.int64), np.array(starts, dtype=np.int64)
-
-    def grams(self, ids: np.ndarray, orders: int) -> list[np.ndarray]:
-        """For each order from 1: the number of the gram that ends here, -1 if it isn't kept. Order 1 are the word ids."""
-        first = np.where(ids > 0, ids, -1)
-        out, end = [first], self.ids.get(END, 0)
-        for k in range(orders):
-            before = self.context(out[-1], ids, k, end)
-            out.append(find(self.keys[k], before, ids, self.has[k]))
-        return out
-
-    @staticmethod
-    def context(gram: np.ndarray, ids: np.ndarray, k: int, end: int) -> np.ndarray:
-        """Context of each place: the gram that ends just before it; only END itself reaches over a document's start."""
-        before = np.full(len(gram), -1, dtype=np.int64)
-        before[1:] = gram[:-1]
-        if k:
-            before[1:][ids[:-1] == end] = -1
-        return before
-
-    def log10s(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each symbol's probability; for id 0 the part without the root's probability."""
-        p = np.where(ids > 0, self.root[ids], 1.0)
-        known, end = ids > 0, self.ids.get(END, 0)
-        gram = np.where(known, ids, -1)
-        for k in range(len(self.keys)):
-            before = self.context(gram, ids, k, end)
-            gram = find(self.keys[k], before, ids, self.has[k])
-            state = before >= 0
-            lam = np.ones(len(ids))
-            lam[state] = self.rest[k][before[state]]
-            p *= lam
-            hit = (gram >= 0) & (lam < 1)
-            p[hit] += self.share[k][gram[hit]]
-        return np.log10(p), known
-
-
-def find(keys: np.ndarray, context: np.ndarray, ids: np.ndarray, has: np.ndarray) -> np.ndarray:
-    """Where context << SHIFT | id stands in keys, -1 if it doesn't."""
-    out = np.full(len(ids), -1, dtype=np.int64)
-    ok = np.flatnonzero((context >= 0) & (ids > 0))
-    ok = ok[has[context[ok]]]
-    if len(keys) and len(ok):
-        want = context[ok] << SHIFT | ids[ok]
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        out[ok] = np.where(keys[at] == want, at, -1)
-    return out
-
-
-def gram_counts(train: DataFrame, tree: Tree, contexts: np.ndarray, nexts: np.ndarray, order: int, flush: int = 2_000_000) -> DataFrame:
-    """key, n of the grams whose context (of `order` words) and next word are marked as common enough."""
-    held = train.sparkSession.sparkContext.broadcast((tree, contexts, nexts))
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, use, follow = held.value
-        kept: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], schema=schema)
-
-        for _, docs in batches_of_words(batches):
-            ids, starts = t.flat(docs)
-            before = t.context(t.grams(ids, order - 1)[-1], ids, order - 1, t.ids.get(END, 0))
-            ok = np.flatnonzero((before >= 0) & follow[ids])
-            ok = ok[use[before[ok]]]
-            kept.append(before[ok] << SHIFT | ids[ok])
-            if (size := size + len(ok)) >= flush:
-                yield out()
-                size = 0
-        if kept:
-            yield out()
-
-    return train.select("text").mapInArrow(tidied(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def fit(train: DataFrame, counts: DataFrame, q_word: float = Q_WORD, q_context: float | None = None, q_pair: float | None = None, depth: int = DEPTH, discount: float = DISCOUNT, evidence: float = EVIDENCE) -> Tree:
-    s = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).first()
-    total, distinct, once = int(s[0] or 0), int(s[1]), int(s[2] or 0)
-    common = counts.where((F.col("n") >= q_word * total) | (F.col("word") == F.lit(END))).collect() if total else []  # 1 / q_word rows at most
-    common.sort(key=lambda r: (-r[1], bytes(r[0])))
-    ids = {bytes(w): i for i, (w, _) in enumerate(common, 1)}
-    n = np.array([0, *(c for _, c in common)], dtype=np.float64)
-    unknown = max(once, 1) / (max(total, 1) + (once == 0))
-    tree = Tree(ids, n / max(total, 1) * (1 - unknown), n, total, distinct, unknown)
-    least, least_pair = MIN_CONTEXT if q_context is None else q_context * total, MIN_PAIR if q_pair is None else q_pair * total
-    size, follow = n, n >= least_pair
-    follow[0] = False
-    for k in range(depth if total else 0):
-        contexts = size >= least
-        if k == 0:
-            contexts[0] = False
-        if not contexts.any():
-            break
-        got = gram_counts(train, tree, contexts, follow, k + 1).where(F.col("n") >= least_pair).orderBy("key").toPandas()
-        keys, c = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
-        if not len(keys):
-            break
-        context, word = keys >> SHIFT, keys & (1 << SHIFT) - 1
-        share = np.maximum(c - discount, 0) / size[context]
-        rest = 1 - np.bincount(context, share, len(size))
-        parent = shorter(tree, k, context, word)
-        p = share + rest[context] * parent
-        gain = np.bincount(context, c * np.log(p / parent), len(size))  # what its symbols gain; the others lose log(rest) each
-        others = size - np.bincount(context, c, len(size))
-        gain += others * np.log(np.maximum(rest, 1e-12))
-        states = (np.bincount(context, minlength=len(size)) > 0) & (gain > evidence * np.log(np.maximum(size, 2)))
-        tree.keys.append(keys)
-        tree.has.append(np.bincount(context, minlength=len(size)) > 0)
-        tree.share.append(np.where(states[context], share, 0.0))
-        tree.rest.append(np.where(states, np.clip(rest, 1e-9, 1 - 1e-12), 1.0))
-        size = c
-    return tree
-
-
-def shorter(tree: Tree, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Probability of word after the context without its first word; context is a gram of k + 1 words."""
-    p = tree.root[word].copy()
-    for j in range(k):
-        gram, last = context, []
-        for i in range(k, k - j - 1, -1):  # the last j + 1 words of the context, latest first
-            key = tree.keys[i - 1][gram] if i else gram
-            last.append(key & (1 << SHIFT) - 1)
-            gram = key >> SHIFT
-        suffix = last[-1]
-        for i, w in enumerate(reversed(last[:-1])):
-            suffix = find(tree.keys[i], suffix, w, tree.has[i])
-        ok = suffix >= 0
-        lam = np.ones(len(word))
-        lam[ok] = tree.rest[j][suffix[ok]]
-        gram = find(tree.keys[j], suffix, word, tree.has[j])
-        p *= lam
-        hit = (gram >= 0) & (lam < 1)
-        p[hit] += tree.share[j][gram[hit]]
-    return p
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
-    """uid, doc_id, n_tokens, n_known, base_score, score for every row; columns of the same names and `fold` come from docs."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(tree)
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = held.value
-        base = np.log10(t.counts + 0.5)
-        for part, docs in batches_of_words(batches):
-            ids, starts = t.flat(docs)
-            logs, known = t.log10s(ids)
-            ends = starts + [len(ws) + 1 for ws in docs]
-            sums = lambda x: np.add.reduceat(x[1:], starts - 1) if len(starts) else x[:0]
-            uid, doc = part.column("uid").to_pylist(), part.column("doc_id").to_pylist()
-            rows = [uid[:], doc, [b" %d" % u for u in uid], [0] * len(uid), (ends - starts).tolist(), sums(known.astype(np.int64)).tolist(), sums(np.where(known, base[ids], 0.0)).tolist(), sums(logs).tolist()]
-            flat = [END, *chain.from_iterable((*ws, END) for ws in docs)]
-            at = np.flatnonzero(~known)
-            rare = Counter(zip((np.searchsorted(starts, at, side="right") - 1).tolist(), [flat[i] for i in at.tolist()], strict=True))
-            if rare:
-                owners, rare_words = zip(*rare, strict=True)
-                n = len(rare)
-                for col, more in zip(rows, ([uid[i] for i in owners], [None] * n, rare_words, rare.values(), [0] * n, [0] * n, [0.0] * n, [0.0] * n), strict=True):
-                    col.extend(more)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-
-    parts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "uid long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, model double")
-    rare = counts.where(F.col("n") < Q_WORD * tree.total)
-    n, times = F.coalesce("n", F.lit(0)), F.col("times")
-    root = F.when(n > 0, n / F.lit(float(max(tree.total, 1))) * F.lit(1 - tree.unknown)).otherwise(F.lit(tree.unknown))
-    joined = parts.join(rare, "word", "left")
-    sums = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(n > 0, times).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + times * F.log10(n + 0.5)).alias("base"),
-        F.sum(F.col("model") + F.when(times > 0, times * F.log10(root)).otherwise(0.0)).alias("score"),
-    )
-    norm = math.log10(tree.total + 0.5 * (tree.distinct + 1))
-    return sums.select("uid", "doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+KINDS = {"key": "<u8", "ctx": "<u8", "suf": "<u8", "n": "<i8", "p": "<f8", "value": "<f8", "doc": "<u4", "base": "<f8", "known": "<i4"}
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,190 +76,379 @@ def joint(ctx: np.ndarray, suf: np.ndarray) -> np.ndarray:
     return ctx * STEP + suf
 
 
+def list_bits(tokens: int) -> int:
+    return max(LEAST_LISTS, math.ceil(math.log2(max(tokens, 1) / LIST_TOKENS)))
+
+
 def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     p = (keys >> np.uint64(64 - PLACES)).astype(np.int64)
     return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """Bitmap (2^PLACES bits, a key's first bits are its place) of the one column."""
-    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - PLACES)
-    got = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("w")).toArrow()
-    out = np.zeros(1 << PLACES - 6, dtype=np.uint64)
-    out[got["i"].to_numpy()] = got["w"].to_numpy().view(np.uint64)
-    return out.view(np.uint8)
-
-
-def runs_of(batches: Iterator[pa.RecordBatch], size: int, maps: tuple, flush: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """ctx and suf of each run of `size` symbols whose ctx, suf and key pass the maps (any may be missing), in portions."""
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    have = 0
-    for b in batches:
-        for part in by_size(b, 1_000_000):
-            suf, place, _ = symbols(part.column("text").to_pylist())
-            for _ in range(size - 2):
-                suf = longer(suf)
-            ok = np.flatnonzero((place >= 0) & (place + 2 >= size))
-            for bitmap, of in zip(maps, (lambda at: suf[at - 1], lambda at: suf[at], lambda at: joint(suf[at - 1], suf[at])), strict=True):  # noqa: B023
-                if bitmap is not None:
-                    ok = ok[passes(bitmap, of(ok))]
-            kept.append((suf[ok - 1], suf[ok]))
-            if (have := have + len(ok)) >= flush:
-                yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
-                kept, have = [], 0
-    if have:
-        yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
-
-
-def repeated(train: DataFrame, size: int, contexts: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-    """Bitmap of the runs seen twice or more. The first 40 bits of keys are compared, four bytes a run in 2^8 lists: most runs are seen once, and that shows here cheaply."""
-    held = train.sparkSession.sparkContext.broadcast((contexts, suffixes, None))
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ctx, suf in runs_of(batches, size, held.value):
-            mark, n = np.unique(joint(ctx, suf) >> np.uint64(24), return_counts=True)
-            mark = np.repeat(mark, np.minimum(n, 2))
-            ends = np.searchsorted(mark, np.arange(257, dtype=np.uint64) << np.uint64(32))
-            low = mark.astype(np.uint32)
-            yield pa.RecordBatch.from_pydict({"list": pa.array(range(256), pa.int32()), "marks": pa.array([low[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
-
-    def twice(t: pa.Table) -> pa.Table:
-        low = np.sort(np.frombuffer(b"".join(t["marks"].to_pylist()), dtype=np.uint32))
-        bits = np.zeros(1 << PLACES - 8, dtype=bool)
-        bits[low[1:][low[1:] == low[:-1]] >> np.uint32(40 - PLACES)] = True
-        return pa.table({"list": t["list"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    got = train.select("text").mapInArrow(tidied(lists), "list int, marks binary").groupBy("list").applyInArrow(twice, "list int, bits binary").collect()
-    out = np.zeros((256, 1 << PLACES - 11), dtype=np.uint8)
-    for r in got:
-        out[r[0]] = np.frombuffer(r[1], dtype=np.uint8)
-    return out.ravel()
+# ---------------------------------------------------------------- packed rows
+def packed(by: np.ndarray, bits: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each list that `by` (keys) names, with its items of the columns as bytes."""
+    at = (by >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(at, kind="stable")
+    lists, first = np.unique(at[order], return_index=True)
+    cuts = [*first.tolist(), len(at)]
+    arrays = [pa.array(lists.astype(np.int32))]
+    for name, values in columns.items():
+        raw, size = np.ascontiguousarray(values[order].astype(KINDS[name], copy=False)).tobytes(), np.dtype(KINDS[name]).itemsize
+        arrays.append(pa.array([raw[s * size : e * size] for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, names=["list", *columns])
+
+
+def fields(*columns: str) -> str:
+    return ", ".join(["list int", *(f"{c} binary" for c in columns)])
+
+
+def opened(t: pa.Table, *columns: str) -> tuple[np.ndarray, ...]:
+    """The items of packed rows."""
+    return tuple(np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=KINDS[c]) for c in columns)
 
 
-def unit_counts(train: DataFrame, flush: int = 3_000_000) -> DataFrame:
-    """key, n of the symbols."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+def nothing(*columns: str) -> pa.Table:
+    return pa.table({"list": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in columns}})
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of one of each, and their sums."""
+    if not len(key):
+        return key, np.zeros(0, np.int64), n
+    order = np.argsort(key)
+    sorted_ = key[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    return sorted_[first], order[first], np.add.reduceat(n[order], first)
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted stand in the sorted keys, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+# ---------------------------------------------------------------- fitting
+def unit_counts(train: DataFrame, flush: int = FLUSH) -> DataFrame:
+    """Packed key and n of the symbols; LEAST_LISTS bits of lists, for the tokens are not known yet: rows of a task are split by them again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, symbol in runs_of(batches, 1, (None, None, None), flush):
-            key, n = np.unique(symbol, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], schema=schema)
+        kept: list[np.ndarray] = []
+        have = 0
 
-    return train.select("text").mapInArrow(tidied(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        def out() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(kept), return_counts=True)
+            kept.clear()
+            return packed(key, LEAST_LISTS + 4, key=key, n=n)
 
+        for b in batches:
+            for part in by_size(b, 1_000_000):
+                kept.append(symbols(part.column("text").to_pylist())[0][1:])
+                if (have := have + len(kept[-1])) >= flush:
+                    yield out()
+                    have = 0
+        if kept:
+            yield out()
+
+    def count(t: pa.Table) -> pa.Table:
+        key, _, n = summed(*opened(t, "key", "n"))
+        return pa.Table.from_batches([packed(key, LEAST_LISTS + 4, key=key, n=n)]) if len(key) else nothing("key", "n")
 
-def run_counts(train: DataFrame, size: int, contexts: np.ndarray, suffixes: np.ndarray) -> DataFrame:
-    """key, ctx (the run without its last symbol), suf (without its first), n of the runs of `size` symbols seen MIN_PAIR (two at least) times whose ctx and suf pass the bitmaps."""
-    held = train.sparkSession.sparkContext.broadcast((contexts, suffixes, repeated(train, size, contexts, suffixes)))
-    schema = pa.schema([(c, pa.int64()) for c in ("ctx", "suf", "n")])
+    return train.select("text").mapInArrow(tidied(run), fields("key", "n")).groupBy("list").applyInArrow(count, fields("key", "n"))
+
+
+def totals(units: DataFrame) -> tuple[int, int, int]:
+    """Tokens, distinct symbols, symbols seen once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ctx, suf in runs_of(batches, size, held.value):
-            _, first, n = np.unique(joint(ctx, suf), return_index=True, return_counts=True)
-            t = pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (ctx[first], suf[first], n)], schema=schema)
-            yield from (t.slice(at, 200_000) for at in range(0, t.num_rows, 200_000))
+        for b in batches:
+            (n,) = opened(pa.Table.from_batches([b]), "n")
+            yield pa.RecordBatch.from_pydict({"a": [int(n.sum())], "b": [len(n)], "c": [int((n == 1).sum())]})
+
+    s = units.mapInArrow(run, "a long, b long, c long").agg(F.sum("a"), F.sum("b"), F.sum("c")).first()
+    return tuple(int(x or 0) for x in s)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def first_level(units: DataFrame, total: int, unknown: float, bits: int) -> DataFrame:
+    """units as a level (key, n, p, value), in `bits` bits of lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = joint(*(b.column(c).to_numpy().view(np.uint64) for c in ("ctx", "suf")))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], names=["key", *b.schema.names])
+            key, n = opened(pa.Table.from_batches([b]), "key", "n")
+            if len(key):
+                p = n / max(total, 1) * (1 - unknown)
+                yield packed(key, bits, key=key, n=n, p=p, value=np.log10(p))
+
+    return units.select("key", "n").mapInArrow(tidied(run), fields("key", "n", "p", "value"))
+
+
+def bitmaps(level: DataFrame, bits: int, of) -> list[np.ndarray]:
+    """Bitmaps (2^PLACES bits, a key's first bits are its place). of(n, p) gives a test for each of them."""
+    place = PLACES - bits  # bits that a list's share of a bitmap is numbered by
+
+    def share(t: pa.Table) -> pa.Table:
+        key, n, p = opened(t, "key", "n", "p")
+        at = (key >> np.uint64(64 - PLACES)).astype(np.int64) & ((1 << place) - 1)
+        maps = []
+        for test in of(n, p):
+            own = np.zeros(1 << place, dtype=bool)
+            own[at[test]] = True
+            maps.append(np.packbits(own, bitorder="little").tobytes())
+        return pa.table({"list": t.column("list")[:1], **{f"m{i}": pa.array([m], pa.binary()) for i, m in enumerate(maps)}})
+
+    kinds = len(of(np.zeros(0, np.int64), np.zeros(0)))
+    got = level.select("list", "key", "n", "p").groupBy("list").applyInArrow(share, ", ".join(["list int", *(f"m{i} binary" for i in range(kinds))])).collect()
+    out = np.zeros((kinds, 1 << bits, 1 << place - 3), dtype=np.uint8)
+    for r in got:
+        for i in range(kinds):
+            out[i, r[0]] = np.frombuffer(r[1 + i], dtype=np.uint8)
+    return [x.ravel() for x in out]
+
 
-    counts = train.select("text").mapInArrow(tidied(run), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= MIN_PAIR).mapInArrow(named, "key long, ctx long, suf long, n long")
+def run_counts(train: DataFrame, size: int, bits: int, contexts: np.ndarray, suffixes: np.ndarray, flush: int = FLUSH) -> DataFrame:
+    """Packed by suf: ctx (the run without its last symbol), suf (without its first) and n of the runs of `size` symbols seen MIN_PAIR times whose ctx and suf pass the bitmaps."""
+    held = train.sparkSession.sparkContext.broadcast((contexts, suffixes))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        have, (of_ctx, of_suf) = 0, held.value
 
-def values(train: DataFrame, units: DataFrame, total: int, unknown: float, depth: int = DEPTH, discount: float = DISCOUNT, evidence: float = EVIDENCE) -> DataFrame:
-    """key, value, n (training count, of a run that is no more than a context 0), word_n (null where the run is no word)."""
-    level = units.withColumn("p", F.col("n") / F.lit(float(total)) * F.lit(1 - unknown))
-    parts = [level.select("key", F.log10("p").alias("value"), "n", F.col("n").alias("word_n"))]
-    no, levels = F.lit(None).cast("long"), []
+        def out() -> pa.RecordBatch:
+            ctx, suf = (np.concatenate(c) for c in zip(*kept, strict=True))
+            kept.clear()
+            key, first, n = summed(joint(ctx, suf), np.ones(len(ctx), np.int64))
+            return packed(key, bits, ctx=ctx[first], suf=suf[first], known=n)
+
+        for b in batches:
+            for part in by_size(b, 1_000_000):
+                suf, place, _ = symbols(part.column("text").to_pylist())
+                for _ in range(size - 2):
+                    suf = longer(suf)
+                ok = np.flatnonzero((place >= 0) & (place + 2 >= size))
+                ok = ok[passes(of_ctx, suf[ok - 1])]
+                ok = ok[passes(of_suf, suf[ok])]
+                kept.append((suf[ok - 1], suf[ok]))
+                if (have := have + len(ok)) >= flush:
+                    yield out()
+                    have = 0
+        if have:
+            yield out()
+
+    def count(t: pa.Table) -> pa.Table:
+        ctx, suf, n = opened(t, "ctx", "suf", "known")
+        _, first, n = summed(joint(ctx, suf), n.astype(np.int64))
+        first, n = first[n >= MIN_PAIR], n[n >= MIN_PAIR]
+        return pa.Table.from_batches([packed(suf[first], bits, ctx=ctx[first], suf=suf[first], n=n)]) if len(n) else nothing("ctx", "suf", "n")
+
+    return train.select("text").mapInArrow(tidied(run), fields("ctx", "suf", "known")).groupBy("list").applyInArrow(count, fields("ctx", "suf", "n"))
+
+
+def next_level(level: DataFrame, runs: DataFrame, bits: int, discount: float, evidence: float) -> DataFrame:
+    """The level of the runs (key, n, p, value, packed by key), and with p not a number the values of the contexts that are states."""
+
+    def sorted_level(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, n, p = opened(t, "key", "n", "p")
+        own = np.flatnonzero(~np.isnan(p))
+        own = own[np.argsort(key[own])]
+        return key[own], n[own], p[own]
+
+    def parent(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, _, p = sorted_level(right)
+        ctx, suf, n = opened(left, "ctx", "suf", "n")
+        at, hit = found(key, suf)
+        if not hit.any():
+            return nothing("ctx", "suf", "n", "p")
+        return pa.Table.from_batches([packed(ctx[hit], bits, ctx=ctx[hit], suf=suf[hit], n=n[hit], p=p[at[hit]])])
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, sizes, _ = sorted_level(right)
+        ctx, suf, n, p = opened(left, "ctx", "suf", "n", "p")
+        at, hit = found(key, ctx)
+        if len(key):
+            hit &= sizes[at] >= MIN_CONTEXT
+        if not hit.any():
+            return nothing("key", "n", "p", "value")
+        ctx, suf, n, p, size = ctx[hit], suf[hit], n[hit], p[hit], sizes[at[hit]]
+        contexts, own, which = np.unique(ctx, return_index=True, return_inverse=True)
+        share, of = np.maximum(n - discount, 0) / size, size[own]
+        rest = 1 - np.bincount(which, share)
+        mixed = share + rest[which] * p
+        gain = np.bincount(which, n * np.log(mixed / p)) + (of - np.bincount(which, n)) * np.log(np.maximum(rest, 1e-12))
+        state = gain > evidence * np.log(np.maximum(of, 2))
+        lam = np.clip(rest, 1e-9, 1 - 1e-12)
+        mine = state[which]
+        new = np.where(mine, share + lam[which] * p, p)
+        worth = np.where(mine, np.log10(new) - np.log10(p) - np.log10(lam[which]), 0.0)
+        out = [packed(joint(ctx, suf), bits, key=joint(ctx, suf), n=n, p=new, value=worth)]
+        if state.any():
+            out.append(packed(contexts[state], bits, key=contexts[state], n=of[state], p=np.full(int(state.sum()), np.nan), value=np.log10(lam[state])))
+        return pa.Table.from_batches(out)
+
+    own = level.select("list", "key", "n", "p").groupBy("list")
+    with_parent = runs.groupBy("list").cogroup(own).applyInArrow(parent, fields("ctx", "suf", "n", "p"))
+    return with_parent.groupBy("list").cogroup(own).applyInArrow(judge, fields("key", "n", "p", "value"))
+
+
+def fit(train: DataFrame, units: DataFrame, total: int, unknown: float, depth: int = DEPTH, discount: float = DISCOUNT, evidence: float = EVIDENCE) -> list[DataFrame]:
+    """The model: packed levels of runs of one to depth + 1 symbols."""
+    bits = list_bits(total)
+    levels = [first_level(units, total, unknown, bits)]
     for size in range(2, depth + 2):
-        contexts = level.where(F.col("n") >= MIN_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("size"))
-        maps = [bitmap_of(c) for c in (contexts.select("ctx"), level.where(F.col("n") >= MIN_PAIR).select("key"))]
-        got = stash(run_counts(train, size, *maps))
-        sums = got.groupBy("ctx").agg(F.sum(F.col("n") - discount).alias("s"), F.sum("n").alias("followed"))
-        sums = sums.join(contexts, "ctx").select("ctx", "size", "followed", (1 - F.col("s") / F.col("size")).alias("rest"))
-        runs = got.join(sums, "ctx").join(level.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf")
-        runs = runs.select("key", "ctx", "n", "size", "followed", "rest", "parent", ((F.col("n") - discount) / F.col("size")).alias("share"))
-        gain = F.sum(F.col("n") * F.log((F.col("share") + F.col("rest") * F.col("parent")) / F.col("parent")))
-        gains = runs.groupBy("ctx", "size", "followed", "rest").agg(gain.alias("gain"))
-        others = (F.col("size") - F.col("followed")) * F.log(F.greatest("rest", F.lit(1e-12)))
-        states = gains.where(F.col("gain") + others > evidence * F.log(F.greatest("size", F.lit(2)))).select("ctx", F.least(F.greatest("rest", F.lit(1e-9)), F.lit(1 - 1e-12)).alias("lam"))
-        p = F.when(F.col("lam").isNull(), F.col("parent")).otherwise(F.col("share") + F.col("lam") * F.col("parent"))
-        level = stash(runs.join(states, "ctx", "left").select("key", "ctx", "n", "parent", "lam", p.alias("p")))
-        levels.append(level)
-        release(train.sparkSession, got)
-        of_states = level.where("lam IS NOT NULL")
-        parts.append(of_states.select("key", (F.log10("p") - F.log10("parent") - F.log10("lam")).alias("value"), "n", no.alias("word_n")))
-        parts.append(of_states.groupBy("ctx").agg(F.log10(F.first("lam")).alias("value")).select(F.col("ctx").alias("key"), "value", F.lit(0).cast("long").alias("n"), no.alias("word_n")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    table = stash(every.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"), F.max("word_n").alias("word_n")))
-    release(train.sparkSession, *levels)
-    return table
-
-
-def score_by_table(docs: DataFrame, table: DataFrame, total: int, distinct: int, unknown: float, depth: int = DEPTH, q_head: float = Q_HEAD) -> DataFrame:
-    """As score(), with the model in a table of values()."""
-    cold = table.where(F.col("n") < q_head * total)
-    head = table.where(F.col("n") >= q_head * total).toArrow().sort_by("key")  # 1 / q_head rows a length at most
-    base = np.nan_to_num(np.log10(head["word_n"].to_numpy().astype(np.float64) + 0.5))
-    bitmap = bitmap_of(cold.where("word_n IS NULL").select("key"))
-    held = docs.sparkSession.sparkContext.broadcast((head["key"].to_numpy(), head["value"].to_numpy(), base, bitmap))
-    row = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-    schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("is_word", pa.bool_()), ("row", row)])
+        maps = bitmaps(levels[-1], bits, lambda n, p: [(n >= MIN_CONTEXT) & ~np.isnan(p), (n >= MIN_PAIR) & ~np.isnan(p)])
+        levels.append(stash(next_level(levels[-1], run_counts(train, size, bits, *maps), bits, discount, evidence)))
+    return levels
+
+
+# ---------------------------------------------------------------- scoring
+def head_of(levels: list[DataFrame], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, value and word count (0: no word) of the runs with that count, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, worth, bases, may_be = held.value
         for b in batches:
-            for part in by_size(b, 1_000_000):
+            key, n, value = opened(pa.Table.from_batches([b]), "key", "n", "value")
+            hit = (n >= least) & (value != 0)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array([x[hit].tobytes()], pa.binary()) for x in (key, n, value)], names=["key", "n", "value"])
+
+    parts = []
+    for k, level in enumerate(levels):
+        key, n, value = opened(level.select("key", "n", "value").mapInArrow(run, "key binary, n binary, value binary").toArrow(), "key", "n", "value")
+        parts.append((key, n if k == 0 else np.zeros_like(n), value))
+    key, n, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+    keys, _, values = summed(key, value)
+    words = np.zeros(len(keys), np.int64)
+    np.maximum.at(words, np.searchsorted(keys, key), n)
+    return keys, values, words
+
+
+def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinct: int, unknown: float, q_head: float = Q_HEAD) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of docs."""
+    bits, depth = list_bits(total), len(levels) - 1
+    least = max(q_head * total, 1)
+    longer_runs = levels[1].select("list", "key", "n", "p") if depth else levels[0].select("list", "key", "n", "p").where("false")
+    for level in levels[2:]:
+        longer_runs = longer_runs.unionByName(level.select("list", "key", "n", "p"))
+    heads, worth, head_words = head_of(levels, least)
+    (may_be,) = bitmaps(longer_runs, bits, lambda n, p: [n < least])
+    held = docs.sparkSession.sparkContext.broadcast((heads, worth, head_words, may_be))
+    lookup = "batch long, doc binary, key binary, base binary"  # for sums: doc, value as key, base, known; for a batch's own row: list is null
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of, values, words, cold = held.value
+        bases = np.where(words > 0, np.log10(words + 0.5), 0.0)
+        number, parts, asked, size_, docs_n = TaskContext.get().partitionId() << 32, [], [], 0, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            doc_ids = pa.concat_arrays([p[0] for p in parts])
+            numbers = [np.concatenate([p[k] for p in parts]) for k in range(1, 5)]
+            mask = np.asarray(doc_ids.is_valid())
+            head = [np.asarray(doc_ids.fill_null(0)).astype("<i8").tobytes(), mask.astype("u1").tobytes(), np.stack(numbers).astype("<f8").tobytes()]
+            own = np.uint64((number * 0x9E3779B97F4A7C15) % (1 << 64))
+            row = pa.RecordBatch.from_arrays([pa.array([int(own >> np.uint64(64 - bits))], pa.int32()), pa.array([number]), *(pa.array([x], pa.binary()) for x in head), pa.array([True])], names=["list", "batch", "doc", "key", "base", "own"])
+            yield row
+            key, doc = (np.concatenate(c) for c in zip(*asked, strict=True))
+            if len(key):
+                b = packed(key, bits, doc=doc, key=key)
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column("list"), pa.array([number] * n, pa.int64()), b.column("doc"), b.column("key"), pa.nulls(n, pa.binary()), pa.array([False] * n)], names=["list", "batch", "doc", "key", "base", "own"])
+
+        for whole in batches:
+            for part in by_size(whole, 1_000_000):
                 symbol, place, owner = symbols(part.column("text").to_pylist())
-                uid, n, keys = part.column("uid").to_numpy(), part.num_rows, symbol
-                model, base, n_known = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
+                n, keys = part.num_rows, symbol
+                model, base, n_known = np.zeros(n), np.zeros(n), np.zeros(n)
                 for size in range(1, depth + 2):
                     ok = np.flatnonzero((place >= 0) & (place + 2 >= size))
-                    key, own = keys[ok].view(np.int64), owner[ok]
-                    at = np.minimum(np.searchsorted(heads, key), max(len(heads) - 1, 0))
-                    hit = heads[at] == key if len(heads) else np.zeros(len(key), dtype=bool)
-                    model += np.bincount(own[hit], worth[at[hit]], n)
+                    key, own = keys[ok], owner[ok]
+                    at, hit = found(keys_of, key)
+                    model += np.bincount(own[hit], values[at[hit]], n)
                     if size == 1:
-                        base += np.bincount(own[hit], bases[at[hit]], n)
-                        n_known += np.bincount(own[hit], minlength=n)
-                    rest = np.flatnonzero(~hit if size == 1 else ~hit & passes(may_be, keys[ok]))
-                    if len(rest):
-                        m = len(rest)
-                        yield pa.RecordBatch.from_arrays([pa.array(uid[own[rest]]), pa.array(key[rest]), pa.array(np.full(m, size == 1)), pa.nulls(m, row)], schema=schema)
+                        is_word = hit & (words[at] > 0) if len(words) else hit
+                        base += np.bincount(own[is_word], bases[at[is_word]], n)
+                        n_known += np.bincount(own[is_word], minlength=n)
+                    rest = np.flatnonzero(~hit if size == 1 else ~hit & passes(cold, key))
+                    asked.append((key[rest], ((own[rest] + docs_n) * 2 + (size == 1)).astype(np.uint32)))
                     keys = longer(keys)
-                lengths = np.bincount(owner[1:], minlength=n)
-                fields = [part.column("doc_id"), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(model)]
-                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(uid), pa.nulls(n, pa.bool_()), pa.StructArray.from_arrays(fields, fields=list(row))], schema=schema)
-
-    parts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "uid long, key long, is_word boolean, row struct<doc_id: long, n_tokens: long, n_known: long, base: double, model: double>")
-    joined = parts.join(cold.select("key", "value", "word_n"), "key", "left")
-    is_word, n = F.coalesce("is_word", F.lit(False)), F.coalesce("word_n", F.lit(0))
-    worth = F.when(F.col("is_word").isNull(), 0.0).otherwise(F.coalesce("value", F.when(is_word, F.lit(math.log10(unknown))).otherwise(0.0)))
-    sums = joined.groupBy("uid").agg(
-        F.max("row.doc_id").alias("doc_id"),
-        F.sum("row.n_tokens").alias("n_tokens"),
-        (F.sum("row.n_known") + F.count(F.when(is_word & (n > 0), 1))).alias("n_known"),
-        (F.sum("row.base") + F.coalesce(F.sum(F.when(is_word, F.log10(n + 0.5))), F.lit(0.0))).alias("base"),
-        (F.sum("row.model") + F.sum(worth)).alias("score"),
-    )
-    norm = math.log10(total + 0.5 * (distinct + 1))
-    return sums.select("uid", "doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+                parts.append((part.column("doc_id"), np.bincount(owner[1:], minlength=n), n_known, base, model))
+                docs_n += n
+                size_ += part.column("text").nbytes
+                if size_ >= TEXT:
+                    yield from out()
+                    number, parts, asked, size_, docs_n = number + 1, [], [], 0, 0
+        if parts:
+            yield from out()
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, n, p, value, word = opened(right, "key", "n", "p", "value", "known")
+        keys, _, values = summed(key, value)
+        counts = np.zeros(len(keys), np.int64)
+        np.maximum.at(counts, np.searchsorted(keys, key[word > 0]), n[word > 0])
+        rows = []
+        for batch, doc, asked, base, own in zip(*(left.column(c).to_pylist() for c in ("batch", "doc", "key", "base", "own")), strict=True):
+            if own:
+                rows.append((batch, doc, asked, base, None, True))
+                continue
+            which, wanted = np.frombuffer(doc, "<u4"), np.frombuffer(asked, "<u8")
+            at, hit = found(keys, wanted)
+            is_word = (which & 1) == 1
+            count = np.where(hit, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
+            worth = np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(wanted))
+            worth = np.where(is_word & (count == 0), worth + math.log10(unknown), worth)
+            used = is_word | hit
+            docs_, of = np.unique(which[used] >> 1, return_inverse=True)
+            sums = [np.bincount(of, x[used], len(docs_)) for x in (worth, np.where(is_word, np.log10(count + 0.5), 0.0), is_word & (count > 0))]
+            rows.append((batch, docs_.astype("<u4").tobytes(), sums[0].astype("<f8").tobytes(), sums[1].astype("<f8").tobytes(), sums[2].astype("<i4").tobytes(), False))
+        names = ("batch", "doc", "key", "base", "known", "own")
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.table({k: pa.array(c, t) for k, t, c in zip(names, kinds, zip(*rows, strict=True) if rows else [[]] * 6, strict=True)})
 
+    norm = math.log10(total + 0.5 * (distinct + 1))
 
-def score_corpus(docs: DataFrame, train: DataFrame, small: int = SMALL, q_head: float = Q_HEAD) -> tuple[DataFrame, int]:
+    def gather(t: pa.Table) -> pa.Table:
+        numbers = ids = None
+        sums = []
+        for doc, key, base, known, own in zip(*(t.column(c).to_pylist() for c in ("doc", "key", "base", "known", "own")), strict=True):
+            if own:
+                ids = pa.array(np.frombuffer(doc, "<i8"), mask=np.frombuffer(key, "u1") == 0)
+                numbers = np.frombuffer(base, "<f8").reshape(4, -1)
+            else:
+                sums.append((np.frombuffer(doc, "<u4"), np.frombuffer(key, "<f8"), np.frombuffer(base, "<f8"), np.frombuffer(known, "<i4")))
+        n_tokens, n_known, base, model = numbers.copy()
+        for which, worth, more, known in sums:
+            model[which] += worth
+            base[which] += more
+            n_known[which] += known
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "base_score": pa.array(base - n_tokens * norm), "score": pa.array(model)})
+
+    def cold_rows(word: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key, n, p, value = opened(pa.Table.from_batches([b]), "key", "n", "p", "value")
+                hit = (n < least) & (value != 0)
+                if hit.any():
+                    yield packed(key[hit], bits, key=key[hit], n=n[hit], p=p[hit], value=value[hit], known=np.full(int(hit.sum()), word))
+
+        return run
+
+    names = ("key", "n", "p", "value")
+    model = None
+    for k, level in enumerate(levels):
+        rows = level.select(*names).mapInArrow(tidied(cold_rows(int(k == 0))), fields(*names, "known"))
+        model = rows if model is None else model.unionByName(rows)
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(ask), f"list int, {lookup}, own boolean")
+    met = asked.groupBy("list").cogroup(model.groupBy("list")).applyInArrow(meet, f"{lookup}, known binary, own boolean")
+    return met.groupBy("batch").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score_corpus(docs: DataFrame, train: DataFrame, q_head: float = Q_HEAD) -> tuple[DataFrame, int]:
     """Scores of docs by the model of train, and the number of training tokens."""
     units = stash(unit_counts(train))
-    s = units.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).first()
-    total, distinct, once = int(s[0] or 0), int(s[1]), int(s[2] or 0)
-    if total <= small:
-        counts = stash(word_counts(train))
-        return score(docs, fit(train, counts), counts), total
-    unknown = max(once, 1) / (total + (once == 0))
-    return score_by_table(docs, values(train, units, total, unknown), total, distinct, unknown, q_head=q_head), total
+    total, distinct, once = totals(units)
+    unknown = max(once, 1) / (max(total, 1) + (once == 0))
+    levels = fit(train, units, total, unknown)
+    return score_by_model(docs, levels, total, distinct, unknown, q_head), total
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

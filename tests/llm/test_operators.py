@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 
 from pagewright.llm import bloom, graphs, hashing, hilbert_ann, imatch, language_id, line_dedup, mixing, ngram_join, ordering, packing, registry, repeats, suffix_tree_lm, toxicity
 from pagewright.llm.common import fold
@@ -99,43 +100,73 @@ def test_imatch(spark, docs, table):
 
 
 # ------------------------------------------------------------ 3
-def test_suffix_tree(spark, docs, table):
-    train = docs.where(fold("doc_id") != 1)
-    counts = suffix_tree_lm.word_counts(train).cache()
-    tree = suffix_tree_lm.fit(train, counts, q_word=5e-7, q_context=1e-3, q_pair=1e-4)
-    got = suffix_tree_lm.score(docs, tree, counts).collect()
-    words = [(i, WORD.findall((t or "").translate(LOW)) + [None]) for i, t in table]
-    c = Counter(w for i, ws in words if (0 if i is None else zlib.crc32(str(i).encode()) % 5) != 1 for w in ws)
+class BrutePst:
+    """The suffix tree over plain tuples; None is the end symbol."""
+
+    def __init__(self, texts, depth=3):
+        self.runs = [Counter() for _ in range(depth + 2)]
+        for ws in texts:
+            seq = [None, *ws, None]
+            for i in range(1, len(seq)):
+                for k in range(1, min(depth + 1, i + 1) + 1):
+                    self.runs[k][tuple(seq[i - k + 1 : i + 1])] += 1
+        self.total, once = sum(self.runs[1].values()), sum(n == 1 for n in self.runs[1].values())
+        self.unknown = max(once, 1) / (max(self.total, 1) + (once == 0))
+        self.states = {}
+        for k in range(1, depth + 1):
+            nexts = defaultdict(dict)
+            for run, n in self.runs[k + 1].items():
+                if n >= suffix_tree_lm.MIN_PAIR and self.runs[k][run[:-1]] >= suffix_tree_lm.MIN_CONTEXT:
+                    nexts[run[:-1]][run[-1]] = n
+            new = {}
+            for ctx, own in nexts.items():
+                size = self.runs[k][ctx]
+                share = {w: (n - suffix_tree_lm.DISCOUNT) / size for w, n in own.items()}
+                rest = 1 - sum(share.values())
+                gain = (size - sum(own.values())) * math.log(max(rest, 1e-12))
+                for w, n in own.items():
+                    shorter = self.p(ctx[1:], w)
+                    gain += n * math.log((share[w] + rest * shorter) / shorter)
+                if gain > suffix_tree_lm.EVIDENCE * math.log(max(size, 2)):
+                    new[ctx] = (share, min(max(rest, 1e-9), 1 - 1e-12))
+            self.states |= new
+
+    def p(self, ctx, w):
+        n = self.runs[1][w,]
+        out = n / self.total * (1 - self.unknown) if n else self.unknown
+        for k in range(1, len(ctx) + 1):
+            if state := self.states.get(ctx[len(ctx) - k :]):
+                out = state[0].get(w, 0.0) + state[1] * out
+        return out
+
+    def score(self, ws, depth=3):
+        seq = [None, *ws, None]
+        return sum(math.log10(self.p(tuple(seq[max(0, i - depth) : i]), seq[i])) for i in range(1, len(seq)))
+
+
+@pytest.mark.parametrize("q_head", [4e-6, 1e-3, 1.0])
+def test_suffix_tree(spark, docs, table, q_head, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "TEXT", 3_000)
+    got, total = suffix_tree_lm.score_corpus(docs, docs.where(fold("doc_id") != 1), q_head)
+    words = [(i, WORD.findall((t or "").translate(LOW))) for i, t in table]
+    trained = [ws for i, ws in words if (0 if i is None else zlib.crc32(str(i).encode()) % 5) != 1]
+    c = Counter(w for ws in trained for w in [*ws, None])
     n, v = sum(c.values()), len(c)
-    want = sorted((i or -1, len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in words)
-    assert tree.total == n
-    assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    # in each state, and at the root, the next-symbol probabilities sum to one
-    every = np.arange(1, len(tree.counts))
-    assert tree.root[every].sum() + tree.unknown == pytest.approx(1)
-    assert tree.keys
-    for context in np.flatnonzero(tree.rest[0] < 1)[:5]:
-        p = [10 ** tree.log10s(np.array([context, w]))[0][1] for w in every]
-        assert sum(p) + tree.rest[0][context] * tree.unknown == pytest.approx(1)
+    tree = BrutePst(trained)
+    assert len(tree.states) > 20 and total == n
+    want = sorted((i or -1, len(ws) + 1, sum(c[w] > 0 for w in [*ws, None]), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*ws, None]), 6), round(tree.score(ws), 6)) for i, ws in words)
+    rows = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got.collect())
+    for a, b in zip(rows, want, strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-5)
+    assert sum(r[4] for r in rows) > sum(r[3] for r in rows)
+    for ctx in list(tree.states)[:20]:  # the symbols and the unknown one make one distribution
+        assert sum(tree.p(ctx, w) for w in c) + tree.p(ctx, "never seen") == pytest.approx(1)
 
 
 def test_suffix_tree_without_training(spark, docs):
-    empty = docs.where("false")
-    counts = suffix_tree_lm.word_counts(empty)
-    tree = suffix_tree_lm.fit(empty, counts)
-    got = suffix_tree_lm.score(docs, tree, counts).collect()
+    got = suffix_tree_lm.score_corpus(docs, docs.where("false"))[0].collect()
     assert len(got) == docs.count() and all(math.isfinite(r.score) and r.n_known == 0 for r in got)
-
-
-@pytest.mark.parametrize("q_head", [1e-6, 1e-3, 1.0])
-def test_suffix_tree_in_a_table_is_the_tree(spark, docs, q_head):
-    train = docs.where(fold("doc_id") != 1)
-    rows = lambda small: suffix_tree_lm.score_corpus(docs, train, small, q_head)[0].collect()
-    key = lambda r: (r.doc_id or -1, r.n_tokens, r.n_known, r.score)
-    for a, b in zip(sorted(rows(10**9), key=key), sorted(rows(0), key=key), strict=True):
-        assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
-        assert a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score)
+    assert suffix_tree_lm.score_corpus(fixtures.empty(spark), docs)[0].count() == 0
 
 
 def test_suffix_tree_grows_with_the_corpus(spark):
@@ -146,9 +177,10 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     for n in (400, 800):  # twice as many topics, as much text a topic
         train = every.where(f"doc_id < {n}")
         units = suffix_tree_lm.unit_counts(train).cache()
-        total = units.agg({"n": "sum"}).first()[0]
-        kept.append((total, suffix_tree_lm.values(train, units, total, 1e-6).where("word_n IS NULL AND n > 0").count()))
-    assert kept[0][1] > 1000 and kept[1][1] > 1.8 * kept[0][1]
+        total, _, _ = suffix_tree_lm.totals(units)
+        levels = suffix_tree_lm.fit(train, units, total, 1e-6)
+        kept.append(sum(int(level.selectExpr("sum(length(key)) div 8").first()[0] or 0) for level in levels[1:]))
+    assert kept[0] > 1000 and kept[1] > 1.8 * kept[0]
 
 
 # ------------------------------------------------------------ 4
@@ -276,6 +308,37 @@ def test_language_id(spark, docs):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_language_sizes_are_those_of_whole_texts(spark, docs, table):
+    model = language_id.fit(docs, fold("doc_id") != 0, donors=5)
+    whole = defaultdict(list)
+    for r in fixtures.rows():
+        whole[r[2]].append(r[1] or "")
+    for lang, raw in model.items():  # every line of a donor is there, whole
+        assert all(any(line in t.lower() for t in whole[lang] + sum(whole.values(), [])) for line in raw.decode().split("\n"))
+    got = by_id(language_id.predict(docs, model).collect())
+    for i, text in table:
+        if not text or not any(c.isalpha() for c in text):
+            continue
+        raw, sizes = text.lower().encode(), {}
+        for lang, d in model.items():
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=language_id.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(raw[k : k + language_id.BLOCK])) for k in range(0, len(raw), language_id.BLOCK))
+        best, second = sorted(sizes.values())[:2]
+        ties = {lang for lang, n in sizes.items() if n == best}
+        assert all(r.lang_pred in ties and r.margin == pytest.approx((second - best) / second) and r.accepted == (r.margin >= language_id.MIN_MARGIN) for r in got[i])
+
+
+def test_language_held_out_and_ties(spark):
+    d = spark.read.parquet(f"{DATA[:-5]}0.01/documents.parquet")
+    got = language_id.predict(d.where(fold("doc_id") == 0), language_id.fit(d, fold("doc_id") != 0)).where("lang IS NOT NULL").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+    twins = {"a": b"one two three four " * 9, "b": b"one two three four " * 9}
+    rows = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, "one two three " * 20_000)], "doc_id long, text string")
+    same = language_id.predict(rows, twins).collect()
+    assert {(r.lang_pred, r.accepted) for r in same} == {("a", False)} and same[0].score == same[1].score == 0.5
+    assert language_id.predict(rows.where("false"), twins).count() == 0
+
+
 # ------------------------------------------------------------ 8
 def test_packing(spark, docs, table):
     from tokenizers import Tokenizer
@@ -354,13 +417,48 @@ def test_plan_uses_every_piece_once():
 
 # ------------------------------------------------------------ 9
 def test_toxicity_held_out(spark):
-    d = spark.read.parquet(f"{DATA[:-5]}0.01/documents.parquet")
-    labels = spark.read.parquet(f"{DATA[:-5]}0.01/labels.parquet")
+    d = spark.read.parquet(f"{DATA[:-5]}0.1/documents.parquet")
+    labels = spark.read.parquet(f"{DATA[:-5]}0.1/labels.parquet")
     model = toxicity.fit(d, labels, fold("doc_id") != 0)
     held = toxicity.score(d.where(fold("doc_id") == 0), model).join(labels, "doc_id").collect()
     clean = [r for r in held if not r.toxic]
-    assert sum(r.predicted for r in clean) / len(clean) < 0.05
-    assert np.mean([r.score for r in held if r.toxic]) > np.mean([r.score for r in clean])
+    assert sum(r.predicted for r in clean) / len(clean) < 0.02
+    assert np.mean([r.predicted for r in held if r.toxic]) > 0.9
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(6)
+    y, each = rng.integers(0, 2, 7).astype(float), rng.random(7)
+    doc, col = rng.integers(0, 7, 20), rng.integers(0, 4, 20)
+    pair, pcol, pval = np.array([0, 0, 1, 1, 2]), np.array([0, 1, 1, 3, 2]), np.array([1.0, -1, 1, -1, 1])
+
+    def loss(w, b):
+        z = np.bincount(doc, w[col], 7) + b
+        return (each * (np.log1p(np.exp(z)) - y * z)).sum() + 0.05 * (w**2).sum() + 3.0 * (np.bincount(pair, pval * w[pcol], 3) ** 2).mean()
+
+    w, b = rng.normal(size=4), 0.3
+    got, got_b = toxicity.gradient(w, b, y, each, doc, col, 3, pair, pcol, pval, 3.0, 0.1)
+    want = [(loss(w + e, b) - loss(w - e, b)) / 2e-6 for e in np.eye(4) * 1e-6]
+    assert got.tolist() == pytest.approx(want, abs=1e-6) and got_b == pytest.approx((loss(w, b + 1e-6) - loss(w, b - 1e-6)) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_scores_are_sums_over_features(spark):
+    model = toxicity.Model({"bad": 2.0, "^awfu": 1.0, "^awfu+": 0.5, "^awful": 0.25}, -1.0)
+    texts = [None, "", "Bad bad.", "awful", "awful awfully awfulness", "awfu", "ok " * 100_000 + "bad", "Bad bad."]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", fold("doc_id")), model).orderBy("doc_id").collect()
+    logit = [-1.0, -1.0, 1.0, 0.0, -1 + 1 + 0.5 + 0.25, -1.0, 1.0, 1.0]
+    assert [r.score for r in got] == pytest.approx([1 / (1 + math.exp(-x)) for x in logit])
+    assert [r.predicted for r in got] == [int(x >= 0) for x in logit]
+
+
+def test_learnt_groups_hold_chance_down():
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join([*rng.choice(words, 14), *(["scum"] if i % 2 else [])]) for i in range(120)]
+    labels = [i % 2 for i in range(120)]
+    free, held = (toxicity.train(texts, labels, 0.5, counterfactual=c, least=2, stands_out=0.5) for c in (0.0, 50.0))
+    of = lambda m: np.std([m.weights.get(w, 0.0) for w in words])
+    assert of(held) < 0.7 * of(free) and held.score("you scum") > 0.5 > held.score("you")
 
 
 def test_counterfactual_penalty_evens_groups_out():
