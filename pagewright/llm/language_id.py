@@ -1,20 +1,18 @@
 """Language identification by compression with per-language raw-content dictionaries.
 
-Each language has a zstandard dictionary made of whole training texts, without the lines that recur
-among them (licences, headers). A text is reduced to its distinct words (letters only, lower case, in
-order: junk between words and endless repetition say nothing of the language) and compressed once with
-every dictionary, in small blocks so that a long text cannot train itself away from the dictionary; the
-language whose dictionary gives the fewest bytes wins. Where the best two sizes lie within
-``min_margin`` of each other the answer is kept but marked as not accepted.
+Each language has a zstandard dictionary made of whole training texts; lines that several
+languages have (licences, headers) say nothing of the language and stand once in every dictionary. A text, in lower case,
+is compressed whole with every dictionary, in blocks, so that a long text cannot train itself away from
+the dictionary; the language whose dictionary gives the fewest bytes wins. Where the best two sizes lie
+within ``min_margin`` of each other the answer is kept but marked as not accepted.
 
 Edge cases: a null text, and one without a letter, is ``und`` with score 0 and not accepted. Ties go to
-the language with the larger dictionary, then to the alphabetically first. With nothing to learn from every row is ``und``. Extra columns pass
-through ``predict`` untouched; result columns of the same name are replaced.
+the language with the larger dictionary, then to the alphabetically first. Equal rows get equal answers. With nothing to learn from every row is ``und``. Extra columns pass
+through ``predict`` untouched; result columns of the same name are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,16 +24,15 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import documents, fold, tidied
 
-#: Bound of the training sample: so many whole texts a language, none longer than this, and dictionary bytes.
-DONORS, DONOR_CHARS, DICT_BYTES = 96, 65_536, 65_536
-LEVEL, BLOCK = 9, 1_024
-WORD = re.compile(r"[^\W\d_]+")
+#: Bound of the training sample: so many whole texts a language, none longer than this.
+DONORS, DONOR_CHARS = 64, 1_000_000
+LEVEL, BLOCK = 9, 2_048
 #: Relative difference of the two smallest sizes under which a document is rejected.
 MIN_MARGIN = 0.004
 RESULT = "lang_pred string, score double, margin double, accepted boolean"
 
 
-def fit(docs: DataFrame, train: Column, donors: int = DONORS, donor_chars: int = DONOR_CHARS, dict_bytes: int = DICT_BYTES, seed: int = 7) -> dict[str, bytes]:
+def fit(docs: DataFrame, train: Column, donors: int = DONORS, donor_chars: int = DONOR_CHARS, seed: int = 7) -> dict[str, bytes]:
     """Dictionaries by language, from the ``donors`` texts with the smallest seeded hash among the rows that ``train`` keeps."""
     pool = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, donor_chars))
     order = F.xxhash64(F.lit(seed), F.xxhash64("text"))
@@ -55,16 +52,14 @@ def fit(docs: DataFrame, train: Column, donors: int = DONORS, donor_chars: int =
     for lang, h, text in rows:
         if h in wanted[lang]:
             texts.setdefault(lang, []).append((h, text))
-    recurring = Counter(line for got in texts.values() for _, t in got for line in set(t.split("\n")))
-    out = {}
-    for lang, got in sorted(texts.items()):
-        own = "\n".join(line for _, t in sorted(got) for line in t.split("\n") if recurring[line] < 2)
-        out[lang] = spaced(WORD.findall(own.lower()))[-dict_bytes:]
-    return out
+    lines = {lang: list(dict.fromkeys(line for _, t in sorted(got) for line in t.split("\n"))) for lang, got in sorted(texts.items())}
+    times = Counter(line for own in lines.values() for line in own)
+    shared = sorted(line for line, n in times.items() if n > 1)
+    return {lang: plain("\n".join([*shared, *(line for line in own if times[line] < 2)])) for lang, own in lines.items()}
 
 
-def spaced(words) -> bytes:
-    return (" " + " ".join(words) + " ").encode("utf-8", "surrogatepass")
+def plain(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
 
 
 class Compressors:
@@ -79,7 +74,7 @@ class Compressors:
             self.each.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, text: str) -> np.ndarray:
-        raw = spaced(dict.fromkeys(WORD.findall(text.lower())))
+        raw = plain(text)
         parts = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         return np.array([sum(len(c.compress(p)) for p in parts) for c in self.each], dtype=np.float64)
 
@@ -96,7 +91,7 @@ def decide(sizes: np.ndarray, langs: list[str], min_margin: float) -> tuple[str,
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs with lang_pred, score (0 to 1), margin and accepted."""
-    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded: DICT_BYTES a language
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded: DONORS texts a language
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         use = Compressors(held.value)
