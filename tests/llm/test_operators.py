@@ -453,7 +453,7 @@ def test_toxicity_scores_are_sums_over_features(spark):
 
 def test_learnt_groups_hold_chance_down():
     rng = np.random.default_rng(11)
-    words = [f"w{i}" for i in range(30)]
+    words = [f"{a}{b}" for a in "wxyzv" for b in "abcdef"]
     texts = [" ".join([*rng.choice(words, 14), *(["scum"] if i % 2 else [])]) for i in range(120)]
     labels = [i % 2 for i in range(120)]
     free, held = (toxicity.train(texts, labels, 0.5, counterfactual=c, least=2, stands_out=0.5) for c in (0.0, 50.0))
