@@ -46,10 +46,10 @@ from pagewright.llm.common import by_size, documents, drop_shuffles, fold, stash
 from pagewright.llm.hashing import word_hashes
 
 MIN_CONTEXT, MIN_PAIR, DEPTH, DISCOUNT, EVIDENCE = 8, 2, 3, 0.6, 2.0
-Q_HEAD, PLACES, LEAST_LISTS, LIST_TOKENS = 4e-6, 26, 6, 4_000_000  # lists: two to the power of LEAST_LISTS at least
-FLUSH, TEXT = 3_000_000, 16_000_000  # runs counted, bytes of text scored, before a task gives off rows
+Q_HEAD, PLACES, LEAST_LISTS, LIST_TOKENS = 2e-6, 27, 6, 4_000_000  # lists: two to the power of LEAST_LISTS at least
+FLUSH, TEXT, DOCS = 2_000_000, 16_000_000, 30_000  # runs counted, bytes of text and documents scored, before a task gives off rows
 END_KEY, STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
-KINDS = {"key": "<u8", "ctx": "<u8", "suf": "<u8", "n": "<i8", "p": "<f8", "value": "<f8", "doc": "<u4", "base": "<f8", "known": "<i4"}
+KINDS = {"key": "<u8", "ctx": "<u8", "suf": "<u8", "n": "<i8", "p": "<f8", "value": "<f8", "doc": "<u2", "known": "<i4"}
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,21 +80,46 @@ def list_bits(tokens: int) -> int:
     return max(LEAST_LISTS, math.ceil(math.log2(max(tokens, 1) / LIST_TOKENS)))
 
 
-def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    p = (keys >> np.uint64(64 - PLACES)).astype(np.int64)
-    return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & np.uint8(1) == 1
+def bit_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each key in a bitmap, all in the share of its list."""
+    share = PLACES - bits
+    own = (keys >> np.uint64(64 - bits)).astype(np.int64) << share
+    return [own | (keys >> np.uint64(shift) & np.uint64((1 << share) - 1)).astype(np.int64) for shift in (64 - PLACES, 20, 0)]
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    out = np.ones(len(keys), dtype=bool)
+    for p in bit_places(keys, bits):
+        out &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & np.uint8(1) == 1
+    return out
+
+
+def short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 48 bits of keys behind those that name the list."""
+    return (keys << np.uint64(bits)) >> np.uint64(16)
+
+
+def six_bytes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def from_six_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 # ---------------------------------------------------------------- packed rows
 def packed(by: np.ndarray, bits: int, **columns: np.ndarray) -> pa.RecordBatch:
     """A row for each list that `by` (keys) names, with its items of the columns as bytes."""
     at = (by >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-    order = np.argsort(at, kind="stable")
+    order = slice(None) if len(at) < 2 or (at[1:] >= at[:-1]).all() else np.argsort(at, kind="stable")
     lists, first = np.unique(at[order], return_index=True)
     cuts = [*first.tolist(), len(at)]
     arrays = [pa.array(lists.astype(np.int32))]
     for name, values in columns.items():
-        raw, size = np.ascontiguousarray(values[order].astype(KINDS[name], copy=False)).tobytes(), np.dtype(KINDS[name]).itemsize
+        kind = KINDS.get(name, "u1")  # other columns are rows of bytes
+        raw, size = np.ascontiguousarray(values[order].astype(kind, copy=False)).tobytes(), np.dtype(kind).itemsize * (values.shape[1] if values.ndim > 1 else 1)
         arrays.append(pa.array([raw[s * size : e * size] for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, names=["list", *columns])
 
@@ -185,22 +210,23 @@ def first_level(units: DataFrame, total: int, unknown: float, bits: int) -> Data
 
 
 def bitmaps(level: DataFrame, bits: int, of) -> list[np.ndarray]:
-    """Bitmaps (2^PLACES bits, a key's first bits are its place). of(n, p) gives a test for each of them."""
-    place = PLACES - bits  # bits that a list's share of a bitmap is numbered by
+    """Bitmaps (2^PLACES bits) of keys. of(n, p, value) gives a test for each of them; p is not a number in rows of states."""
+    share_bits = PLACES - bits
 
     def share(t: pa.Table) -> pa.Table:
-        key, n, p = opened(t, "key", "n", "p")
-        at = (key >> np.uint64(64 - PLACES)).astype(np.int64) & ((1 << place) - 1)
+        key, n, p, value = opened(t, "key", "n", "p", "value")
         maps = []
-        for test in of(n, p):
-            own = np.zeros(1 << place, dtype=bool)
-            own[at[test]] = True
+        for test in of(n, p, value):
+            own = np.zeros(1 << share_bits, dtype=bool)
+            for at in bit_places(key[test], bits):
+                own[at & ((1 << share_bits) - 1)] = True
             maps.append(np.packbits(own, bitorder="little").tobytes())
         return pa.table({"list": t.column("list")[:1], **{f"m{i}": pa.array([m], pa.binary()) for i, m in enumerate(maps)}})
 
-    kinds = len(of(np.zeros(0, np.int64), np.zeros(0)))
-    got = level.select("list", "key", "n", "p").groupBy("list").applyInArrow(share, ", ".join(["list int", *(f"m{i} binary" for i in range(kinds))])).collect()
-    out = np.zeros((kinds, 1 << bits, 1 << place - 3), dtype=np.uint8)
+    none = np.zeros(0)
+    kinds = len(of(none, none, none))
+    got = level.select("list", "key", "n", "p", "value").groupBy("list").applyInArrow(share, ", ".join(["list int", *(f"m{i} binary" for i in range(kinds))])).collect()
+    out = np.zeros((kinds, 1 << bits, 1 << share_bits - 3), dtype=np.uint8)
     for r in got:
         for i in range(kinds):
             out[i, r[0]] = np.frombuffer(r[1 + i], dtype=np.uint8)
@@ -227,8 +253,8 @@ def run_counts(train: DataFrame, size: int, bits: int, contexts: np.ndarray, suf
                 for _ in range(size - 2):
                     suf = longer(suf)
                 ok = np.flatnonzero((place >= 0) & (place + 2 >= size))
-                ok = ok[passes(of_ctx, suf[ok - 1])]
-                ok = ok[passes(of_suf, suf[ok])]
+                ok = ok[passes(of_ctx, suf[ok - 1], bits)]
+                ok = ok[passes(of_suf, suf[ok], bits)]
                 kept.append((suf[ok - 1], suf[ok]))
                 if (have := have + len(ok)) >= flush:
                     yield out()
@@ -296,7 +322,7 @@ def fit(train: DataFrame, units: DataFrame, total: int, unknown: float, depth: i
     bits = list_bits(total)
     levels = [first_level(units, total, unknown, bits)]
     for size in range(2, depth + 2):
-        maps = bitmaps(levels[-1], bits, lambda n, p: [(n >= MIN_CONTEXT) & ~np.isnan(p), (n >= MIN_PAIR) & ~np.isnan(p)])
+        maps = bitmaps(levels[-1], bits, lambda n, p, value: [(n >= MIN_CONTEXT) & ~np.isnan(p), (n >= MIN_PAIR) & ~np.isnan(p)])
         levels.append(stash(next_level(levels[-1], run_counts(train, size, bits, *maps), bits, discount, evidence)))
     return levels
 
@@ -327,11 +353,12 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
     """doc_id, n_tokens, n_known, base_score, score of every row of docs."""
     bits, depth = list_bits(total), len(levels) - 1
     least = max(q_head * total, 1)
-    longer_runs = levels[1].select("list", "key", "n", "p") if depth else levels[0].select("list", "key", "n", "p").where("false")
-    for level in levels[2:]:
-        longer_runs = longer_runs.unionByName(level.select("list", "key", "n", "p"))
+    longer_runs = levels[0].where("false")
+    for level in levels[1:]:
+        longer_runs = longer_runs.unionByName(level)
     heads, worth, head_words = head_of(levels, least)
-    (may_be,) = bitmaps(longer_runs, bits, lambda n, p: [n < least])
+    (may_be,) = bitmaps(longer_runs, bits, lambda n, p, value: [(n < least) & (value != 0)])
+    map_bits, bits = bits, max(bits - 1, 1)  # longer lists here: a document's sums come back once a list
     held = docs.sparkSession.sparkContext.broadcast((heads, worth, head_words, may_be))
     lookup = "batch long, doc binary, key binary, base binary"  # for sums: doc, value as key, base, known; for a batch's own row: list is null
 
@@ -350,33 +377,35 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
             yield row
             key, doc = (np.concatenate(c) for c in zip(*asked, strict=True))
             if len(key):
-                b = packed(key, bits, doc=doc, key=key)
+                b = packed(key, bits, doc=doc, asked=six_bytes(short(key, bits)))
                 n = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column("list"), pa.array([number] * n, pa.int64()), b.column("doc"), b.column("key"), pa.nulls(n, pa.binary()), pa.array([False] * n)], names=["list", "batch", "doc", "key", "base", "own"])
-
-        for whole in batches:
-            for part in by_size(whole, 1_000_000):
-                symbol, place, owner = symbols(part.column("text").to_pylist())
-                n, keys = part.num_rows, symbol
-                model, base, n_known = np.zeros(n), np.zeros(n), np.zeros(n)
-                for size in range(1, depth + 2):
-                    ok = np.flatnonzero((place >= 0) & (place + 2 >= size))
-                    key, own = keys[ok], owner[ok]
-                    at, hit = found(keys_of, key)
-                    model += np.bincount(own[hit], values[at[hit]], n)
-                    if size == 1:
-                        is_word = hit & (words[at] > 0) if len(words) else hit
-                        base += np.bincount(own[is_word], bases[at[is_word]], n)
-                        n_known += np.bincount(own[is_word], minlength=n)
-                    rest = np.flatnonzero(~hit if size == 1 else ~hit & passes(cold, key))
-                    asked.append((key[rest], ((own[rest] + docs_n) * 2 + (size == 1)).astype(np.uint32)))
-                    keys = longer(keys)
-                parts.append((part.column("doc_id"), np.bincount(owner[1:], minlength=n), n_known, base, model))
-                docs_n += n
-                size_ += part.column("text").nbytes
-                if size_ >= TEXT:
-                    yield from out()
-                    number, parts, asked, size_, docs_n = number + 1, [], [], 0, 0
+                yield pa.RecordBatch.from_arrays([b.column("list"), pa.array([number] * n, pa.int64()), b.column("doc"), b.column("asked"), pa.nulls(n, pa.binary()), pa.array([False] * n)], names=["list", "batch", "doc", "key", "base", "own"])
+
+        for part in (x for whole in batches for at in range(0, whole.num_rows, DOCS) for x in by_size(whole.slice(at, DOCS), 1_000_000)):
+            if docs_n + part.num_rows > DOCS:
+                yield from out()
+                number, parts, asked, size_, docs_n = number + 1, [], [], 0, 0
+            symbol, place, owner = symbols(part.column("text").to_pylist())
+            n, keys = part.num_rows, symbol
+            model, base, n_known = np.zeros(n), np.zeros(n), np.zeros(n)
+            for size in range(1, depth + 2):
+                ok = np.flatnonzero((place >= 0) & (place + 2 >= size))
+                key, own = keys[ok], owner[ok]
+                at, hit = found(keys_of, key)
+                model += np.bincount(own[hit], values[at[hit]], n)
+                if size == 1:
+                    is_word = hit & (words[at] > 0) if len(words) else hit
+                    base += np.bincount(own[is_word], bases[at[is_word]], n)
+                    n_known += np.bincount(own[is_word], minlength=n)
+                rest = np.flatnonzero(~hit if size == 1 else ~hit & passes(cold, key, map_bits))
+                asked.append((key[rest], ((own[rest] + docs_n) * 2 + (size == 1)).astype(np.uint16)))
+                keys = longer(keys)
+            parts.append((part.column("doc_id"), np.bincount(owner[1:], minlength=n), n_known, base, model))
+            docs_n += n
+            size_ += part.column("text").nbytes
+            if size_ >= TEXT:
+                yield from out()
+                number, parts, asked, size_, docs_n = number + 1, [], [], 0, 0
         if parts:
             yield from out()
 
@@ -385,12 +414,12 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
         keys, _, values = summed(key, value)
         counts = np.zeros(len(keys), np.int64)
         np.maximum.at(counts, np.searchsorted(keys, key[word > 0]), n[word > 0])
-        rows = []
+        keys, rows = short(keys, bits), []
         for batch, doc, asked, base, own in zip(*(left.column(c).to_pylist() for c in ("batch", "doc", "key", "base", "own")), strict=True):
             if own:
                 rows.append((batch, doc, asked, base, None, True))
                 continue
-            which, wanted = np.frombuffer(doc, "<u4"), np.frombuffer(asked, "<u8")
+            which, wanted = np.frombuffer(doc, "<u2"), from_six_bytes(asked)
             at, hit = found(keys, wanted)
             is_word = (which & 1) == 1
             count = np.where(hit, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
@@ -399,7 +428,7 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
             used = is_word | hit
             docs_, of = np.unique(which[used] >> 1, return_inverse=True)
             sums = [np.bincount(of, x[used], len(docs_)) for x in (worth, np.where(is_word, np.log10(count + 0.5), 0.0), is_word & (count > 0))]
-            rows.append((batch, docs_.astype("<u4").tobytes(), sums[0].astype("<f8").tobytes(), sums[1].astype("<f8").tobytes(), sums[2].astype("<i4").tobytes(), False))
+            rows.append((batch, docs_.astype("<u2").tobytes(), sums[0].astype("<f8").tobytes(), sums[1].astype("<f8").tobytes(), sums[2].astype("<i4").tobytes(), False))
         names = ("batch", "doc", "key", "base", "known", "own")
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
         return pa.table({k: pa.array(c, t) for k, t, c in zip(names, kinds, zip(*rows, strict=True) if rows else [[]] * 6, strict=True)})
@@ -414,7 +443,7 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
                 ids = pa.array(np.frombuffer(doc, "<i8"), mask=np.frombuffer(key, "u1") == 0)
                 numbers = np.frombuffer(base, "<f8").reshape(4, -1)
             else:
-                sums.append((np.frombuffer(doc, "<u4"), np.frombuffer(key, "<f8"), np.frombuffer(base, "<f8"), np.frombuffer(known, "<i4")))
+                sums.append((np.frombuffer(doc, "<u2"), np.frombuffer(key, "<f8"), np.frombuffer(base, "<f8"), np.frombuffer(known, "<i4")))
         n_tokens, n_known, base, model = numbers.copy()
         for which, worth, more, known in sums:
             model[which] += worth
