@@ -64,6 +64,11 @@ def resolve(href: str | None, base: str) -> str | None:
         return None
 
 
+def path_of(url: str) -> str:
+    """The path of an address that can be read."""
+    return url[o.end() :].partition("#")[0].partition("?")[0] if (o := ORIGIN.match(url)) else urlsplit(url).path
+
+
 def host(url: str | None) -> str:
     if not url:
         return ""

@@ -68,6 +68,27 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy("page_id", rank(F.col("severity")), "seq")
 
 
+def in_place(findings: Column) -> Column:
+    """Findings with their rank and place: structs that sort into reading order inside an area."""
+    return F.transform(findings, lambda f, i: F.struct(rank(f["severity"]).alias("rank"), i.alias("seq"), f["severity"].alias("severity"), f["area"].alias("area"), f["id"].alias("id"), f["title"].alias("title"), f["detail"].alias("detail"), f["fix"].alias("fix")))
+
+
+def of_severity(findings: Column, severity: str) -> Column:
+    return F.size(F.filter(findings, lambda f: f["severity"] == severity)).cast("long")
+
+
+def tally(audited: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """counts() of rows that hold their findings as an array: no shuffle."""
+    own = F.col("findings")
+    return audited.select(*keys, *(of_severity(own, s).alias(s) for s in SEVERITIES), F.size(own).cast("long").alias("total"))
+
+
+def gravest(audited: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """worst() of rows that hold their findings as an array; rows without findings have none."""
+    least = audited.select(*keys, F.array_min(in_place(F.col("findings"))).alias("f")).where("f is not null")
+    return least.select(*keys, F.col("f.id").alias("worst_id"), F.col("f.severity").alias("worst_severity"))
+
+
 def counts(findings: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """How many findings of each severity a page has."""
     return findings.groupBy(*keys).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES), F.count("*").alias("total"))

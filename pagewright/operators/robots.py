@@ -52,7 +52,7 @@ def sitemaps(parsed: DataFrame) -> DataFrame:
 def errors(parsed: DataFrame) -> DataFrame:
     orphan = F.col("field").isin("allow", "disallow") & (F.col("grp") == 0)
     problem = F.when(F.col("field").isNull(), "no colon").when(orphan, "rule before any user-agent")
-    return parsed.withColumn("problem", problem).where("problem is not null").select("site", "line", F.left(F.trim("raw"), F.lit(120)).alias("text"), "problem")
+    return parsed.withColumn("problem", problem).where("problem is not null").select("site", "line", F.left("bare", F.lit(120)).alias("text"), "problem")
 
 
 def unknown(parsed: DataFrame) -> DataFrame:
@@ -84,6 +84,36 @@ def chain(spark: SparkSession, wanted: list[tuple[str, str]] = AGENTS) -> DataFr
     return spark.createDataFrame(rows, "id string, grp_name string, token string, priority int")
 
 
+def group_for(parsed: DataFrame, wanted: list[tuple[str, str]] = AGENTS) -> DataFrame:
+    """site, id -> the token whose groups an agent obeys, how it was matched, the rules of those groups together, and the first crawl delay that one of them gives."""
+    steps = F.broadcast(chain(parsed.sparkSession, wanted))
+    obeyed = agents(parsed).join(steps, "token").groupBy("site", "id").agg(F.min_by("token", "priority").alias("token"))
+    groups = obeyed.join(agents(parsed), ["site", "token"]).select("site", "id", "token", "grp")
+    delays = crawl_delays(parsed).withColumnRenamed("crawl_delay", "delay")
+    n = rules(parsed).groupBy("site", "grp").agg(F.count("*").alias("n"))
+    every = groups.join(n, ["site", "grp"], "left").join(delays, ["site", "grp"], "left")
+    out = every.groupBy("site", "id", "token").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rules"), F.min_by("delay", F.when(F.col("delay").isNotNull(), F.col("grp"))).alias("crawl_delay"))
+    return out.select("site", "id", "token", F.when((F.col("token") == "*") & (F.col("id") != "*"), "wildcard").otherwise("name").alias("matched_by"), "n_rules", "crawl_delay")
+
+
+def is_page(text: Column) -> Column:
+    """Whether what answers as robots.txt is a web page; its lines are no rules."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(r"^\s*<(!doctype|html)")
+
+
+def states(robots: DataFrame) -> DataFrame:
+    """robots (site, status, error, text) -> site, verdict, html (a web page answers), usable (its rules count), bytes."""
+    verdict = availability(F.col("status"), F.col("error"))
+    html = is_page(F.col("text"))
+    return robots.select("site", verdict.alias("verdict"), html.alias("html"), ((verdict == "read") & ~html).alias("usable"), F.length(F.coalesce("text", F.lit(""))).alias("bytes"))
+
+
+def fetched_grid(robots: DataFrame, targets: DataFrame, wanted: list[tuple[str, str]] = AGENTS) -> DataFrame:
+    """grid() of fetched files (site, status, error, text): only where a file was read that is no web page."""
+    usable = robots.where((availability(F.col("status"), F.col("error")) == "read") & ~is_page(F.col("text")))
+    return grid(lines(usable.select("site", "text")), targets.join(usable.select("site"), "site", "left_semi"), wanted)
+
+
 def grid(parsed: DataFrame, targets: DataFrame, wanted: list[tuple[str, str]] = AGENTS) -> DataFrame:
     """targets (site, url) x agents -> allowed, and the rule, line, token and kind of match that decided.
 

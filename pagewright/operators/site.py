@@ -30,6 +30,12 @@ def llms_shape(files: DataFrame) -> DataFrame:
     )
 
 
+def llms_files(files: DataFrame) -> DataFrame:
+    """files (site, file, status, body) -> site, llms and llms_full: llms_shape() of /llms.txt and of /llms-full.txt, null where it wasn't fetched."""
+    of = lambda name, out: llms_shape(files.where(F.col("file") == name)).select("site", F.struct("present", "html", "h1", "summary", "sections", "links").alias(out))
+    return of("llms.txt", "llms").join(of("llms-full.txt", "llms_full"), "site", "full")
+
+
 def sitemap_candidates(parsed_robots: DataFrame, sites: DataFrame) -> DataFrame:
     """sites (site, origin) -> site, place, sitemap: those robots.txt names, else the usual address."""
     from pagewright.operators import robots

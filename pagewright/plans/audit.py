@@ -25,10 +25,17 @@ def page_findings(application: str, optional: tuple[str, ...]) -> Column:
     return FD.evaluate(R.page_rules(F.col("s"), has("x_robots"), has("title_px"), has("desc_px")))
 
 
-def audit(snapshots: DataFrame) -> DataFrame:
-    """snapshots (page_id, s; optional x_robots, title_px, desc_px) -> page_id, findings. Row-local: runs on streams as it is."""
+def unfinished(error: Column) -> Column:
+    """The one finding of a page that could not be read."""
+    return FD.evaluate([FD.Rule("ai", "run.error", "note", F.lit(True), "The check could not finish", error)])
+
+
+def audit(snapshots: DataFrame, keep: bool = False) -> DataFrame:
+    """snapshots (page_id, s; optional x_robots, title_px, desc_px) -> page_id, findings; with `keep` also s. Row-local: runs on streams as it is."""
     optional = tuple(c for c in ("x_robots", "title_px", "desc_px") if c in snapshots.columns)
-    return snapshots.select("page_id", page_findings(snapshots.sparkSession.sparkContext.applicationId, optional).alias("findings"))
+    found = page_findings(snapshots.sparkSession.sparkContext.applicationId, optional)
+    error = F.col("s.error")
+    return snapshots.select("page_id", *(["s"] if keep else []), F.when(error.isNull(), found).otherwise(unfinished(error)).alias("findings"))
 
 
 def tech_audit(snapshots: DataFrame) -> DataFrame:
@@ -51,7 +58,37 @@ def site_audit(live: DataFrame, raw: DataFrame, facts: DataFrame) -> DataFrame:
         *R.javascript_gap(live_s, F.col("raw")), *R.crawler_access(live_s, F.col("verdict"), grid), R.probe_findings(probes, F.col("base_bytes")),
         *R.llms_rules(llms["html"], llms["present"], llms["h1"], llms["summary"]), *R.citability(live_s),
     ])
-    return j.select("page_id", found.alias("findings"))
+    error = F.coalesce(F.col("live.error"), F.col("raw.error"))
+    return j.select("page_id", F.when(error.isNull(), found).otherwise(unfinished(error)).alias("findings"))
+
+
+def compute(snapshots: DataFrame) -> DataFrame:
+    """All that is said of a page without asking its site: snapshots (page_id, s; optional headers, x_robots, title_px, desc_px, raw_html, containers).
+
+    page_id, checks, tech (trackers, platform, verifications, socials, security, summary, findings), findings (of both), counts, worst.
+    The header x-robots-tag is taken from headers where x_robots isn't given.
+    """
+    cols, s = set(snapshots.columns), F.col("s")
+    headers = F.transform_keys("headers", lambda k, v: F.lower(k)) if "headers" in cols else F.create_map().cast("map<string,string>")
+    rows = snapshots.withColumn("headers", headers)
+    if "x_robots" not in cols:
+        rows = rows.withColumn("x_robots", F.try_element_at("headers", F.lit("x-robots-tag")))
+    optional = tuple(c for c in ("x_robots", "title_px", "desc_px") if c in rows.columns)
+    checks = page_findings(snapshots.sparkSession.sparkContext.applicationId, optional)
+    sources = {"rendered page": s["loaded"]["html"], "requests": F.array_join(s["loaded"]["requestedUrls"], "\n")}
+    sources |= {label: F.col(c) for c, label in (("raw_html", "raw HTML"), ("containers", "tag manager container")) if c in cols}
+    rows = rows.withColumn("trackers", tech.trackers(sources)).withColumn("security", tech.security(F.col("headers"), s["protocol"] == "https:"))
+    html = F.coalesce(F.nullif(s["loaded"]["html"], F.lit("")), F.col("raw_html")) if "raw_html" in cols else s["loaded"]["html"]
+    of_tech = F.struct(
+        "trackers", tech.platform(html, s["page"]["generator"], F.col("headers")).alias("platform"), tech.verifications(s["otherMeta"]).alias("verifications"), tech.socials(s).alias("socials"),
+        "security", tech.summary(F.col("trackers"), s["loaded"]["hosts"]).alias("summary"), FD.evaluate(tech.tech_rules(F.col("trackers"), F.col("security"))).alias("findings"),
+    )
+    error = s["error"]
+    out = rows.select("page_id", F.when(error.isNull(), checks).otherwise(unfinished(error)).alias("checks"), of_tech.alias("tech"))
+    out = out.withColumn("findings", F.concat("checks", "tech.findings"))
+    own = F.col("findings")
+    counts = F.struct(*(FD.of_severity(own, x).alias(x) for x in FD.SEVERITIES), F.size(own).cast("long").alias("total"))
+    return out.withColumn("counts", counts).withColumn("worst", F.array_min(FD.in_place(own))["id"])
 
 
 def tab(area: Column, id_: Column) -> Column:
@@ -69,6 +106,31 @@ def badges(found: DataFrame) -> DataFrame:
     return c.select("page_id", "tab", severity.alias("severity"), F.when(F.col("fail") > 0, F.col("fail")).otherwise(F.col("warn")).alias("n")).where("severity is not null")
 
 
+def badges_in_row(audited: DataFrame) -> DataFrame:
+    """badges() of rows that hold their findings as an array: no shuffle."""
+    tabs = F.transform("findings", lambda f: F.struct(tab(f["area"], f["id"]).alias("tab"), f["severity"].alias("severity")))
+    n = lambda t, x: F.size(F.filter("tabs", lambda r: (r["tab"] == t) & (r["severity"] == x))).cast("long")
+    each = F.array(*(F.struct(F.lit(t).alias("tab"), n(t, "fail").alias("fail"), n(t, "warn").alias("warn")) for t in TABS))
+    rows = audited.select("page_id", tabs.alias("tabs")).select("page_id", F.inline(each)).where("fail > 0 or warn > 0")
+    return rows.select("page_id", "tab", F.when(F.col("fail") > 0, "fail").otherwise("warn").alias("severity"), F.when(F.col("fail") > 0, F.col("fail")).otherwise(F.col("warn")).alias("n"))
+
+
+def issues_in_row(audited: DataFrame) -> DataFrame:
+    """issues() of rows that hold their findings as an array: sorted in the row, no shuffle."""
+    areas = F.array(*map(F.lit, AREAS))
+    keyed = F.transform(FD.in_place(F.col("findings")), lambda f: F.struct(f["rank"].alias("rank"), F.array_position(areas, f["area"]).alias("at"), f["seq"].alias("seq"), f.alias("f")))
+    rows = audited.select("page_id", F.posexplode(F.array_sort(keyed)).alias("place", "x"))
+    return rows.select("page_id", (F.col("place") + 1).alias("place"), "x.f.seq", "x.f.severity", "x.f.area", "x.f.id", "x.f.title", "x.f.detail", "x.f.fix")
+
+
+def field_row_in_row(audited: DataFrame, *prefixes: str) -> DataFrame:
+    """field_row() of rows that hold their findings as an array: no shuffle."""
+    test = lambda f: F.array_contains(F.array(*(f["id"].startswith(p) for p in prefixes)), True)
+    rows = audited.select("page_id", F.array_sort(FD.in_place(F.filter("findings", test))).alias("x")).where("size(x) > 0")
+    others = F.filter(F.slice("x", 2, 1_000_000), lambda r: r["severity"] != "pass")
+    return rows.select("page_id", F.col("x")[0]["id"].alias("owner"), F.col("x")[0]["severity"].alias("severity"), F.transform(others, lambda r: r["id"]).alias("others"))
+
+
 def issues(found: DataFrame) -> DataFrame:
     """Findings in reading order: severity, area, then as the rules stand; `place` from 1 in the page."""
     area = F.array_position(F.array(*map(F.lit, AREAS)), F.col("area"))
@@ -117,20 +179,18 @@ def ai_score(site: DataFrame) -> DataFrame:
     return FD.counts(FD.long(site))
 
 
-def report(snapshots: DataFrame, found: DataFrame) -> DataFrame:
-    """One Markdown text a page: what is wrong first; passed checks are counted, not listed."""
-    line = F.concat(F.lit("- **"), F.col("title"), F.lit("**"), F.when(F.col("detail").isNotNull(), F.concat(F.lit(": "), F.col("detail"))).otherwise(""), F.when(F.col("fix").isNotNull(), F.concat(F.lit(" Fix: "), F.col("fix"))).otherwise(""))
-    rows = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"), "severity")))
-    per = found.groupBy("page_id").agg(rows.alias("rows"))
+def report(audited: DataFrame) -> DataFrame:
+    """audited (page_id, s, findings: audit() with keep) -> one Markdown text a page, made in the row: what is wrong first; passed checks are counted, not listed."""
+    own = F.col("findings")
+    line = lambda f: F.concat(F.lit("- **"), f["title"], F.lit("**"), F.when(f["detail"].isNotNull(), F.concat(F.lit(": "), f["detail"])).otherwise(""), F.when(f["fix"].isNotNull(), F.concat(F.lit(" Fix: "), f["fix"])).otherwise(""))
 
     def section(severity: str, title: str) -> Column:
-        own = F.transform(F.filter("rows", lambda r: r["severity"] == severity), lambda r: r["line"])
-        return F.when(F.size(own) > 0, F.concat(F.lit(f"\n## {title}\n"), F.array_join(own, "\n"), F.lit("\n"))).otherwise("")
+        lines = F.transform(F.filter(own, lambda f: f["severity"] == severity), line)
+        return F.when(F.size(lines) > 0, F.concat(F.lit(f"\n## {title}\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
 
-    n = lambda s: F.size(F.filter("rows", lambda r: r["severity"] == s)).cast("string")
+    n = lambda s: FD.of_severity(own, s).cast("string")
     head = F.concat(F.lit("# Page report\n"), F.coalesce("s.url", F.lit("")), F.lit("\n"), n("fail"), F.lit(" failures, "), n("warn"), F.lit(" warnings, "), n("note"), F.lit(" notes, "), n("pass"), F.lit(" passed\n"))
-    text = F.concat(head, section("fail", "To fix"), section("warn", "Worth a look"), section("note", "Notes"))
-    return snapshots.join(per, "page_id").select("page_id", text.alias("report"))
+    return audited.select("page_id", F.concat(head, section("fail", "To fix"), section("warn", "Worth a look"), section("note", "Notes")).alias("report"))
 
 
 def outline(snapshots: DataFrame) -> DataFrame:
@@ -140,8 +200,10 @@ def outline(snapshots: DataFrame) -> DataFrame:
 
 
 def dump(snapshots: DataFrame) -> DataFrame:
-    """Snapshots as JSON without the page's own HTML and request list."""
-    return snapshots.select("page_id", F.to_json(F.col("s").withField("loaded", F.col("s.loaded").dropFields("html", "requestedUrls"))).alias("snapshot"))
+    """Snapshots as JSON without the page's own HTML and request list; with how long each step took where snapshots has `timing` (map of step to ms)."""
+    row = F.col("s").withField("loaded", F.col("s.loaded").dropFields("html", "requestedUrls"))
+    timed = [F.col("timing")] if "timing" in snapshots.columns else []
+    return snapshots.select("page_id", F.to_json(row).alias("snapshot"), *timed)
 
 
 def summary(snapshots: DataFrame) -> DataFrame:
@@ -188,8 +250,16 @@ def images(snapshots: DataFrame, show: str = "all") -> DataFrame:
     return rows.where(test).select("*", F.transform("m", lambda m: m["id"]).alias("marks"), F.coalesce(F.try_url_decode(name), name).alias("file")).drop("m")
 
 
+#: Properties of a node and hosts of a page that a view shows.
+SHOWN_PROPERTIES, SHOWN_HOSTS = 12, 60
+
+
 def schema_blocks(snapshots: DataFrame) -> DataFrame:
-    return snapshots.select("page_id", F.explode(M.schema_marks(F.col("s.structuredData.jsonLd"))).alias("b")).select("page_id", "b.*")
+    """One row a block: severity, types, ids, what is missing, and of each node its first properties."""
+    ld = F.col("s.structuredData.jsonLd")
+    first = F.transform(ld, lambda b: F.transform(b["nodes"], lambda n: F.slice(F.filter(n["present"], lambda k: ~k.startswith("@")), 1, SHOWN_PROPERTIES)))
+    both = F.arrays_zip(M.schema_marks(ld).alias("b"), first.alias("properties"))
+    return snapshots.select("page_id", F.explode(both).alias("x")).select("page_id", "x.b.*", "x.properties")
 
 
 def hreflang(snapshots: DataFrame) -> DataFrame:
@@ -199,3 +269,10 @@ def hreflang(snapshots: DataFrame) -> DataFrame:
 def tech_view(audited: DataFrame) -> DataFrame:
     """Trackers of a page by category."""
     return audited.select("page_id", F.explode("trackers").alias("t")).groupBy("page_id", "t.category").agg(F.array_sort(F.collect_list("t.name")).alias("names"))
+
+
+def tech_page(snapshots: DataFrame) -> DataFrame:
+    """The technology view, one row a page: platform, security, trackers by name, and its first hosts, most used first."""
+    t = tech_audit(snapshots).join(snapshots.select("page_id", "s.loaded.hosts", F.col("s.loaded.thirdPartyHosts").alias("third_party_hosts")), "page_id")
+    order = F.array_sort(F.transform("hosts", lambda h: F.struct((-h["count"]).alias("n"), h["host"].alias("host"))))
+    return t.select("page_id", "platform", "security", F.transform("trackers", lambda x: x["name"]).alias("trackers"), F.transform(F.slice(order, 1, SHOWN_HOSTS), lambda h: h["host"]).alias("hosts"), F.size("hosts").alias("n_hosts"), "third_party_hosts")

@@ -1,6 +1,7 @@
-"""Named queries over pages and fixtures, and the same in DuckDB SQL.
+"""Named queries over pages, and the same in DuckDB SQL.
 
-Rules that the corpus's pages cannot fire are exercised on rows given in VALUES, the same text on both sides.
+Rules that the corpus's pages cannot fire are exercised on cases given in VALUES, dealt over all pages by their
+ids (`spread`): each page takes the rows of one case in place of what it lacks. The text is the same on both sides.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pagewright.operators import site as ST
 from pagewright.operators import tech
 from pagewright.operators.catalogue import CATEGORIES, SOCIALS, TRACKERS, VERIFICATIONS
 from pagewright.plans import audit as A
-from pagewright.sources.snapshots import extract, snapshot
+from pagewright.sources.snapshots import PARTS, extract, snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,16 +39,30 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(pages(spark, sf_dir))
+def snapshots(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    return extract(pages(spark, sf_dir), parts or PARTS)
+
+
+def audited(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    return A.audit(snapshots(spark, sf_dir, *PARTS if keep else RULE_PARTS), keep)
 
 
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FD.long(A.audit(snapshots(spark, sf_dir)))
+    return FD.long(audited(spark, sf_dir))
+
+
+#: What the rules of a page's audit read.
+RULE_PARTS = ("head", "headings", "content", "links", "images", "structuredData")
+
+
+def spread(cases: str, n: int, key: str = "page_id") -> str:
+    """SQL text: the rows of the n cases (whose first column counts from 1), each page having those of case page_id % n + 1."""
+    cols = cases[cases.rindex("(") + 1 : -1].split(", ")
+    return f"(SELECT p.page_id AS {key}, {', '.join('t.' + c for c in cols[1:])} FROM pages AS p JOIN {cases} ON t.{cols[0]} = p.page_id % {n} + 1) AS t"
 
 
-def values(spark: SparkSession, text: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {text}")
+def values(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {text.replace('FROM pages AS p', f'FROM parquet.`{sf_dir}/pages.parquet` AS p')}")
 
 
 def given(df: DataFrame, key: str = "page_id", **fields: Column) -> DataFrame:
@@ -106,38 +121,39 @@ FOUND = f"""{MEASURED}, found AS (
 @query(f"WITH {MEASURED} SELECT page_id, url, title, h1, lang, charset, words, n_links, protocol FROM m")
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
-    return snapshots(spark, sf_dir).select("page_id", s["url"].alias("url"), s["title"]["text"].alias("title"), R.first_h1(s).alias("h1"), s["lang"].alias("lang"), s["metaCharset"].alias("charset"), R.page_words(s).alias("words"), F.size(s["links"]).alias("n_links"), s["protocol"].alias("protocol"))
+    return snapshots(spark, sf_dir, "head", "headings", "links", "content").select("page_id", s["url"].alias("url"), s["title"]["text"].alias("title"), R.first_h1(s).alias("h1"), s["lang"].alias("lang"), s["metaCharset"].alias("charset"), R.page_words(s).alias("words"), F.size(s["links"]).alias("n_links"), s["protocol"].alias("protocol"))
 
 
 @query(f"WITH {MEASURED} SELECT page_id, words FROM m")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots(spark, sf_dir).select("page_id", F.col("s.content.mainWords").alias("words"))
+    return snapshots(spark, sf_dir, "content").select("page_id", F.col("s.content.mainWords").alias("words"))
 
 
 @query(f"WITH {FOUND} SELECT page_id, id, severity FROM found WHERE id LIKE 'title.%'")
 def title_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = snapshots(spark, sf_dir)
+    df = snapshots(spark, sf_dir, "head", "headings")
     return fired(FD.evaluate(R.meta(F.col("s"), NONE(None).cast("double"), NONE(None).cast("double"))), df, "title.")
 
 
 @query(f"WITH {FOUND} SELECT page_id, id, severity FROM found WHERE area = 'content'")
 def content_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fired(FD.evaluate(R.content(F.col("s"))), snapshots(spark, sf_dir))
+    return fired(FD.evaluate(R.content(F.col("s"))), snapshots(spark, sf_dir, "headings", "content"))
 
 
 @query(f"WITH {FOUND} SELECT page_id, id, severity FROM found WHERE id = 'index.http'")
 def http_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fired(FD.evaluate(R.indexability(F.col("s"), NONE(None).cast("string"))), snapshots(spark, sf_dir), "index.http")
+    scheme = F.concat(F.lower(F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(":"))  # the address says it: no page is read
+    return fired(FD.evaluate(R.indexability(F.col("s"), NONE(None).cast("string"))), given(pages(spark, sf_dir), protocol=scheme), "index.http")
 
 
 @query(f"WITH {MEASURED} SELECT page_id, CAST(0 AS INTEGER) AS pos, CAST(1 AS INTEGER) AS level, h1 AS text, 'main' AS region, '' AS marks FROM m")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.headings(snapshots(spark, sf_dir)).select("page_id", "pos", "level", "text", "region", F.array_join("marks", ",").alias("marks"))
+    return A.headings(snapshots(spark, sf_dir, "headings")).select("page_id", "pos", "level", "text", "region", F.array_join("marks", ",").alias("marks"))
 
 
 @query(f"WITH {MEASURED} SELECT page_id, CAST(1 AS INTEGER) AS level, CAST(1 AS BIGINT) AS n FROM m")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.heading_levels(snapshots(spark, sf_dir)).select("page_id", "level", F.col("count").alias("n"))
+    return A.heading_levels(snapshots(spark, sf_dir, "headings")).select("page_id", "level", F.col("count").alias("n"))
 
 
 LINKS = """l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS raw, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text,
@@ -146,23 +162,23 @@ LINKS = """l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]
 
 @query(f"WITH {LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, raw, {_plain('text')} AS text, 'link' AS kind, true AS internal, 'nav' AS region, '' AS marks FROM l")
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.links(snapshots(spark, sf_dir)).select("page_id", "pos", "raw", "text", "kind", "internal", "region", F.array_join("marks", ",").alias("marks"))
+    return A.links(snapshots(spark, sf_dir, "links")).select("page_id", "pos", "raw", "text", "kind", "internal", "region", F.array_join("marks", ",").alias("marks"))
 
 
 @query(f"WITH {FOUND} SELECT page_id, id, severity FROM found WHERE area = 'links'")
 def link_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fired(FD.evaluate(R.links(F.col("s"))), snapshots(spark, sf_dir))
+    return fired(FD.evaluate(R.links(F.col("s"))), snapshots(spark, sf_dir, "links"))
 
 
 @query(f"WITH {LINKS} SELECT page_id, count(*) AS internal, CAST(0 AS BIGINT) AS external FROM l GROUP BY page_id")
 def internal_external_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ST.real_links(snapshots(spark, sf_dir))
+    rows = ST.real_links(snapshots(spark, sf_dir, "links"))
     return rows.groupBy("page_id").agg(F.count_if(F.col("link.internal")).alias("internal"), F.count_if(~F.col("link.internal")).alias("external"))
 
 
 @query(f"WITH {LINKS} SELECT page_id, count(DISTINCT raw) AS n_targets, count(*) AS n_links FROM l GROUP BY page_id")
 def unique_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.unique_targets(snapshots(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n_targets"), F.sum("n_links").alias("n_links"))
+    return ST.unique_targets(snapshots(spark, sf_dir, "links")).groupBy("page_id").agg(F.count("*").alias("n_targets"), F.sum("n_links").alias("n_links"))
 
 
 @query(f"WITH {FOUND} SELECT page_id, id, severity, area FROM found")
@@ -175,12 +191,12 @@ COUNTS = "CAST(count(*) FILTER (severity = 'fail') AS BIGINT) AS fail, CAST(coun
 
 @query(f"WITH {FOUND} SELECT page_id, {COUNTS} FROM found GROUP BY page_id")
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FD.counts(page_findings(spark, sf_dir))
+    return FD.tally(audited(spark, sf_dir))
 
 
 @query(f"WITH {FOUND} SELECT page_id, CASE WHEN bool_or(severity = 'fail') THEN 'broken' WHEN bool_or(severity = 'warn') THEN 'improve' ELSE 'clean' END AS verdict FROM found GROUP BY page_id")
 def page_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FD.verdict(FD.counts(page_findings(spark, sf_dir))).select("page_id", "verdict")
+    return FD.verdict(FD.tally(audited(spark, sf_dir))).select("page_id", "verdict")
 
 
 AREA_SQL = "CASE area WHEN 'indexability' THEN 1 WHEN 'meta' THEN 2 WHEN 'content' THEN 3 WHEN 'links' THEN 4 WHEN 'schema' THEN 6 END"
@@ -191,7 +207,7 @@ SEQ_SQL = "list_position(['index.http', 'canon.missing', 'title.missing', 'title
 
 @query(f"WITH {FOUND} SELECT page_id, id, severity, CAST(row_number() OVER (PARTITION BY page_id ORDER BY {RANK_SQL}, {AREA_SQL}, {SEQ_SQL}) AS INTEGER) AS place FROM found")
 def issues_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.issues(page_findings(spark, sf_dir)).select("page_id", "id", "severity", "place")
+    return A.issues_in_row(audited(spark, sf_dir)).select("page_id", "id", "severity", "place")
 
 
 TAB_SQL = "CASE WHEN id LIKE 'og.%' THEN 'social' WHEN area = 'schema' THEN 'schema' WHEN area = 'links' THEN 'links' WHEN id LIKE 'h1.%' THEN 'headings' ELSE 'summary' END"
@@ -200,28 +216,43 @@ TAB_SQL = "CASE WHEN id LIKE 'og.%' THEN 'social' WHEN area = 'schema' THEN 'sch
 @query(f"""WITH {FOUND}, t AS (SELECT page_id, {TAB_SQL} AS tab, count(*) FILTER (severity = 'fail') AS f, count(*) FILTER (severity = 'warn') AS w FROM found GROUP BY 1, 2)
   SELECT page_id, tab, CASE WHEN f > 0 THEN 'fail' ELSE 'warn' END AS severity, CASE WHEN f > 0 THEN f ELSE w END AS n FROM t WHERE f + w > 0""")
 def findings_by_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.badges(page_findings(spark, sf_dir))
+    return A.badges_in_row(audited(spark, sf_dir))
 
 
 @query(f"WITH {FOUND} SELECT page_id, arg_min(id, {RANK_SQL} * 100 + {SEQ_SQL}) AS worst_id, arg_min(severity, {RANK_SQL}) AS worst_severity FROM found GROUP BY page_id")
 def worst_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FD.worst(page_findings(spark, sf_dir))
-
-
-@query(f"WITH {FOUND}, c AS (SELECT page_id, {COUNTS} FROM found GROUP BY page_id) SELECT page_id, '# Page report' || chr(10) || url || chr(10) || fail || ' failures, ' || warn || ' warnings, ' || note || ' notes, ' || pass || ' passed' AS head FROM c JOIN m USING (page_id)")
+    return FD.gravest(audited(spark, sf_dir))
+
+
+#: id, title, fix of the findings that pages can have; title and detail of three of them hold measures
+_WORDED = """(VALUES ('index.http', 'Served without encryption', 'Redirect'), ('index.http', 'Served without encryption', 'Serve over https and redirect to it.'), ('canon.missing', 'No canonical address', 'Name the page''s own address as canonical.'),
+  ('title.missing', 'No title', 'Write one that names the page.'), ('title.long', 'The title is cut off in results', 'Shorten it.'), ('title.short', 'The title is short', 'Use the room that is left.'), ('title.same-as-h1', 'Title and H1 are the same', NULL),
+  ('desc.missing', 'No description', 'Write a sentence or two for results.'), ('meta.viewport', 'No viewport', 'Set width=device-width.'), ('meta.lang', 'No language on the document', 'Set lang on the html element.'), ('meta.charset', 'No character set declared', 'Declare utf-8 first thing in the head.'),
+  ('og.missing', 'No Open Graph tags', 'Set title, description and image for shares.'), ('content.thin', 'Little text: ', 'Say more, or merge the page with another.'), ('content.short', 'Short text: ', NULL), ('schema.none', 'No structured data', 'Describe the page with JSON-LD.')) AS w(id, title, fix)"""
+_WORDED = _WORDED.replace("('index.http', 'Served without encryption', 'Redirect'), ", "")
+REPORT_SQL = f"""WITH {FOUND}, c AS (SELECT page_id, {COUNTS} FROM found GROUP BY page_id),
+  lines AS (SELECT f.page_id, severity, {{seq}} AS o, '- **' || w.title || CASE WHEN id LIKE 'content.%' THEN m.words || CASE WHEN m.words = 1 THEN ' word' ELSE ' words' END ELSE '' END || '**'
+      || CASE WHEN id IN ('title.short', 'title.same-as-h1') THEN ': ' || m.title WHEN id = 'title.long' THEN ': ' || CAST(round(length(m.title) * 9.2) AS BIGINT) || ' px of 580' ELSE '' END || coalesce(' Fix: ' || fix, '') AS line
+    FROM found f JOIN {_WORDED} USING (id) JOIN m ON m.page_id = f.page_id WHERE severity <> 'pass'),
+  parts AS (SELECT page_id, severity, string_agg(line, chr(10) ORDER BY o) || chr(10) AS part FROM lines GROUP BY 1, 2),
+  s AS (SELECT page_id, max(CASE WHEN severity = 'fail' THEN part END) AS f, max(CASE WHEN severity = 'warn' THEN part END) AS w, max(CASE WHEN severity = 'note' THEN part END) AS n FROM parts GROUP BY page_id)
+  SELECT page_id, '# Page report' || chr(10) || url || chr(10) || fail || ' failures, ' || warn || ' warnings, ' || note || ' notes, ' || pass || ' passed' || chr(10)
+    || coalesce(chr(10) || '## To fix' || chr(10) || f, '') || coalesce(chr(10) || '## Worth a look' || chr(10) || w, '') || coalesce(chr(10) || '## Notes' || chr(10) || n, '') AS report
+  FROM c JOIN m USING (page_id) LEFT JOIN s USING (page_id)"""
+
+
+@query(REPORT_SQL.format(seq=SEQ_SQL))
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snap = snapshots(spark, sf_dir)
-    text = A.report(snap, FD.long(A.audit(snap)))
-    return text.select("page_id", F.substring_index("report", "\n", 3).alias("head"))
+    return A.report(audited(spark, sf_dir, keep=True))
 
 
 @query(f"WITH {MEASURED} SELECT page_id, 'H1 ' || h1 AS outline FROM m")
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.outline(snapshots(spark, sf_dir))
+    return A.outline(snapshots(spark, sf_dir, "headings"))
 
 
 # ---------------------------------------------------------------- fixtures
-HEADINGS = "(VALUES (1, 0, 1, 'Top', false, 'body'), (1, 1, 3, 'Deep', false, 'body'), (1, 2, 2, '', false, 'main'), (1, 3, 4, 'Gone', true, 'nav'), (1, 4, 1, 'Again', false, 'footer'), (2, 0, 1, '', false, 'main'), (2, 1, 2, 'Two', false, 'main'), (3, 0, 2, 'No top', false, 'main'), (3, 1, 5, 'Five', false, 'aside')) AS t(page_id, pos, level, text, hidden, region)"
+HEADINGS = spread("(VALUES (1, 0, 1, 'Top', false, 'body'), (1, 1, 3, 'Deep', false, 'body'), (1, 2, 2, '', false, 'main'), (1, 3, 4, 'Gone', true, 'nav'), (1, 4, 1, 'Again', false, 'footer'), (2, 0, 1, '', false, 'main'), (2, 1, 2, 'Two', false, 'main'), (3, 0, 2, 'No top', false, 'main'), (3, 1, 5, 'Five', false, 'aside')) AS t(page_id, pos, level, text, hidden, region)", 3)
 HEADING_SQL = f"""h AS (SELECT *, NOT hidden AND text <> '' AS shown, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS ones, count(*) FILTER (level = 1) OVER (PARTITION BY page_id) AS h1s FROM {HEADINGS}),
   p AS (SELECT *, last_value(CASE WHEN shown THEN level END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
   k AS (SELECT page_id, pos, 'h1.multiple' AS id, 'warn' AS severity FROM p WHERE level = 1 AND ones > 1
@@ -231,14 +262,14 @@ HEADING_SQL = f"""h AS (SELECT *, NOT hidden AND text <> '' AS shown, sum(CASE W
     UNION ALL SELECT page_id, pos, 'head.region', NULL FROM p WHERE region NOT IN ('main', 'body'))"""
 
 
-def heading_fixture(spark: SparkSession) -> DataFrame:
-    rows = values(spark, HEADINGS).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "text", (F.col("text") == "").alias("empty"), "hidden", "region"))).alias("h"))
+def heading_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, sf_dir, HEADINGS).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "text", (F.col("text") == "").alias("empty"), "hidden", "region"))).alias("h"))
     return given(rows, headings=F.transform("h", lambda h: h.dropFields("pos")))
 
 
 @query(f"WITH {HEADING_SQL} SELECT CAST(page_id AS BIGINT) AS page_id, pos, id, severity FROM k")
 def heading_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = heading_fixture(spark).select("page_id", F.posexplode(M.heading_marks(F.col("s.headings"))).alias("pos", "m"))
+    rows = heading_fixture(spark, sf_dir).select("page_id", F.posexplode(M.heading_marks(F.col("s.headings"))).alias("pos", "m"))
     return rows.select("page_id", "pos", F.explode("m").alias("m")).select("page_id", "pos", "m.id", "m.severity")
 
 
@@ -246,16 +277,16 @@ def heading_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN n = 0 THEN 'h1.missing' WHEN n > 1 THEN 'h1.multiple' WHEN e THEN 'h1.empty' ELSE 'h1.ok' END AS id, CASE WHEN n = 0 THEN 'fail' WHEN n > 1 THEN 'warn' WHEN e THEN 'fail' ELSE 'pass' END AS severity FROM c
   UNION ALL SELECT DISTINCT page_id, id, 'note' FROM k WHERE id IN ('head.empty', 'head.skipped')""")
 def heading_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fired(FD.evaluate(R.content(F.col("s"))), heading_fixture(spark), "h1.", "head.")
+    return fired(FD.evaluate(R.content(F.col("s"))), heading_fixture(spark, sf_dir), "h1.", "head.")
 
 
-LINK_ROWS = "(VALUES (1, 0, 'link', 'https://a.com/x', 'click here', '', '', false, true), (1, 1, 'link', 'https://a.com/y', '', 'nofollow', '', false, true), (1, 2, 'link', 'https://b.com/', 'Site', 'NoFollow sponsored', '', false, false), (1, 3, 'link', 'https://b.com/2', '', 'ugc', 'label', false, false), (1, 4, 'no-href', CAST(NULL AS STRING), 'anchor', '', '', false, CAST(NULL AS BOOLEAN)), (1, 5, 'link', 'https://a.com/z', '', '', '', true, true), (2, 0, 'link', 'https://b.com/3', 'More', '', '', false, false), (2, 1, 'link', 'https://b.com/4', ' more ', '', '', false, false), (2, 2, 'link', 'https://b.com/5', 'HERE', '', '', false, false), (2, 3, 'no-href', CAST(NULL AS STRING), 'a', '', '', false, CAST(NULL AS BOOLEAN)), (2, 4, 'no-href', CAST(NULL AS STRING), 'b', '', '', false, CAST(NULL AS BOOLEAN)), (2, 5, 'no-href', CAST(NULL AS STRING), 'c', '', '', false, CAST(NULL AS BOOLEAN))) AS t(page_id, pos, kind, href, text, rel, aria, image, internal)"
+LINK_ROWS = spread("(VALUES (1, 0, 'link', 'https://a.com/x', 'click here', '', '', false, true), (1, 1, 'link', 'https://a.com/y', '', 'nofollow', '', false, true), (1, 2, 'link', 'https://b.com/', 'Site', 'NoFollow sponsored', '', false, false), (1, 3, 'link', 'https://b.com/2', '', 'ugc', 'label', false, false), (1, 4, 'no-href', CAST(NULL AS STRING), 'anchor', '', '', false, CAST(NULL AS BOOLEAN)), (1, 5, 'link', 'https://a.com/z', '', '', '', true, true), (2, 0, 'link', 'https://b.com/3', 'More', '', '', false, false), (2, 1, 'link', 'https://b.com/4', ' more ', '', '', false, false), (2, 2, 'link', 'https://b.com/5', 'HERE', '', '', false, false), (2, 3, 'no-href', CAST(NULL AS STRING), 'a', '', '', false, CAST(NULL AS BOOLEAN)), (2, 4, 'no-href', CAST(NULL AS STRING), 'b', '', '', false, CAST(NULL AS BOOLEAN)), (2, 5, 'no-href', CAST(NULL AS STRING), 'c', '', '', false, CAST(NULL AS BOOLEAN))) AS t(page_id, pos, kind, href, text, rel, aria, image, internal)", 2)
 LINK_SQL = f"""a AS (SELECT *, kind = 'link' AND text = '' AND aria = '' AND NOT image AS silent, kind = 'link' AND lower(trim(text)) IN ('click here', 'here', 'read more', 'learn more', 'more', 'this', 'link', 'find out more', 'see more', 'details', 'view') AS generic,
     list_contains(string_split(lower(rel), ' '), 'nofollow') AS nofollow, kind = 'link' AND internal AND list_contains(string_split(lower(rel), ' '), 'nofollow') AS own_nofollow FROM {LINK_ROWS})"""
 
 
-def link_fixture(spark: SparkSession) -> DataFrame:
-    rows = values(spark, LINK_ROWS).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "href", F.col("href").alias("raw"), "kind", "text", "rel", F.lit(None).cast("string").alias("target"), "internal", F.lit("main").alias("region"), F.lit(None).cast("boolean").alias("hidden"), F.col("image").alias("hasImage"), F.col("aria").alias("ariaLabel")))).alias("l"))
+def link_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, sf_dir, LINK_ROWS).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "href", F.col("href").alias("raw"), "kind", "text", "rel", F.lit(None).cast("string").alias("target"), "internal", F.lit("main").alias("region"), F.lit(None).cast("boolean").alias("hidden"), F.col("image").alias("hasImage"), F.col("aria").alias("ariaLabel")))).alias("l"))
     return given(rows, links=F.transform("l", lambda x: x.dropFields("pos")))
 
 
@@ -263,7 +294,7 @@ def link_fixture(spark: SparkSession) -> DataFrame:
   UNION ALL SELECT page_id, pos, 'link.no-text', 'warn' FROM a WHERE silent UNION ALL SELECT page_id, pos, 'link.internal-nofollow', 'warn' FROM a WHERE own_nofollow UNION ALL SELECT page_id, pos, 'link.nofollow', NULL FROM a WHERE nofollow AND NOT own_nofollow
   UNION ALL SELECT page_id, pos, 'link.sponsored', NULL FROM a WHERE list_contains(string_split(lower(rel), ' '), 'sponsored') UNION ALL SELECT page_id, pos, 'link.ugc', NULL FROM a WHERE list_contains(string_split(lower(rel), ' '), 'ugc') UNION ALL SELECT page_id, pos, 'link.generic', 'note' FROM a WHERE generic)""")
 def link_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = link_fixture(spark).select("page_id", F.posexplode(M.link_marks(F.col("s.links"))).alias("pos", "m"))
+    rows = link_fixture(spark, sf_dir).select("page_id", F.posexplode(M.link_marks(F.col("s.links"))).alias("pos", "m"))
     return rows.select("page_id", "pos", F.explode("m").alias("m")).select("page_id", "pos", "m.id", "m.severity")
 
 
@@ -271,24 +302,24 @@ def link_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(page_id AS BIGINT) AS page_id, id, severity FROM (SELECT page_id, 'link.no-text' AS id, 'warn' AS severity FROM c WHERE silent > 0 UNION ALL SELECT page_id, 'link.generic', 'note' FROM c WHERE generic > 2 UNION ALL SELECT page_id, 'link.internal-nofollow', 'warn' FROM c WHERE own > 0
   UNION ALL SELECT page_id, 'link.no-href', 'note' FROM c WHERE dead > 2 UNION ALL SELECT page_id, 'link.many', 'note' FROM c WHERE links > 300 UNION ALL SELECT page_id, 'link.no-internal', 'warn' FROM c WHERE inside = 0 AND links > 0 UNION ALL SELECT page_id, 'link.ok', 'pass' FROM c WHERE inside > 0)""")
 def link_fixture_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fired(FD.evaluate(R.links(F.col("s"))), link_fixture(spark))
+    return fired(FD.evaluate(R.links(F.col("s"))), link_fixture(spark, sf_dir))
 
 
-IMAGE_ROWS = "(VALUES (1, 0, 'https://a.com/a.jpg', 'jpg', CAST(NULL AS STRING), false, CAST(NULL AS STRING), '10', CAST(NULL AS STRING), true, 0, 0, false), (1, 1, 'https://a.com/b.png', 'png', '', true, 'lazy', '10', '10', false, 900, 100, true), (1, 2, 'https://a.com/c.svg', 'svg', 'c', true, CAST(NULL AS STRING), '10', '10', true, 0, 50, true), (1, 3, 'https://a.com/d.jpeg', 'jpeg', 'd', true, CAST(NULL AS STRING), '10', '10', false, 150, 100, true), (1, 4, 'https://a.com/e.jpg', 'jpg', 'e', true, CAST(NULL AS STRING), '1', '1', false, 10, 10, true), (2, 0, 'https://a.com/f.webp', 'webp', 'f', true, 'lazy', '5', '5', false, 40, 10, false)) AS t(page_id, pos, src, ext, alt, has_alt, loading, w, h, broken, nat, shown, in_view)"
+IMAGE_ROWS = spread("(VALUES (1, 0, 'https://a.com/a.jpg', 'jpg', CAST(NULL AS STRING), false, CAST(NULL AS STRING), '10', CAST(NULL AS STRING), true, 0, 0, false), (1, 1, 'https://a.com/b.png', 'png', '', true, 'lazy', '10', '10', false, 900, 100, true), (1, 2, 'https://a.com/c.svg', 'svg', 'c', true, CAST(NULL AS STRING), '10', '10', true, 0, 50, true), (1, 3, 'https://a.com/d.jpeg', 'jpeg', 'd', true, CAST(NULL AS STRING), '10', '10', false, 150, 100, true), (1, 4, 'https://a.com/e.jpg', 'jpg', 'e', true, CAST(NULL AS STRING), '1', '1', false, 10, 10, true), (2, 0, 'https://a.com/f.webp', 'webp', 'f', true, 'lazy', '5', '5', false, 40, 10, false)) AS t(page_id, pos, src, ext, alt, has_alt, loading, w, h, broken, nat, shown, in_view)", 2)
 IMAGE_SQL = f"i AS (SELECT *, broken AND ext <> 'svg' AS dead, nat > 0 AND shown > 20 AND nat > 2 * shown AS big, coalesce(w, '') = '' OR coalesce(h, '') = '' AS unsized, coalesce(loading = 'lazy', false) AND in_view AS lazy FROM {IMAGE_ROWS})"
 
 
-def image_fixture(spark: SparkSession) -> DataFrame:
+def image_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     row = F.struct("pos", "src", F.lit(False).alias("isData"), "ext", "alt", F.col("has_alt").alias("hasAlt"), none("string").alias("title"), "loading", none("string").alias("decoding"), F.col("w").alias("widthAttr"), F.col("h").alias("heightAttr"), "broken", F.col("nat").alias("naturalWidth"), F.col("nat").alias("naturalHeight"), F.col("shown").alias("displayWidth"), F.col("shown").alias("displayHeight"), F.col("in_view").alias("inViewport"), F.lit(False).alias("srcset"), F.lit(False).alias("inPicture"), F.lit("main").alias("region"), F.lit(False).alias("hidden"))
-    rows = values(spark, IMAGE_ROWS).groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("i"))
+    rows = values(spark, sf_dir, IMAGE_ROWS).groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("i"))
     return given(rows, images=F.transform("i", lambda x: x.dropFields("pos")))
 
 
 @query(f"""WITH {IMAGE_SQL} SELECT CAST(page_id AS BIGINT) AS page_id, pos, id, severity FROM (SELECT page_id, pos, 'img.broken' AS id, 'fail' AS severity FROM i WHERE dead UNION ALL SELECT page_id, pos, 'img.no-alt', 'warn' FROM i WHERE NOT has_alt UNION ALL SELECT page_id, pos, 'img.decorative', NULL FROM i WHERE has_alt AND alt = ''
   UNION ALL SELECT page_id, pos, 'img.oversized', 'warn' FROM i WHERE big UNION ALL SELECT page_id, pos, 'img.no-dims', 'warn' FROM i WHERE unsized UNION ALL SELECT page_id, pos, 'img.lazy-lcp', 'warn' FROM i WHERE lazy)""")
 def image_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = image_fixture(spark).select("page_id", F.posexplode(M.image_marks(F.col("s.images"))).alias("pos", "m"))
+    rows = image_fixture(spark, sf_dir).select("page_id", F.posexplode(M.image_marks(F.col("s.images"))).alias("pos", "m"))
     return rows.select("page_id", "pos", F.explode("m").alias("m")).select("page_id", "pos", "m.id", "m.severity")
 
 
@@ -296,21 +327,21 @@ def image_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(page_id AS BIGINT) AS page_id, id, severity FROM (SELECT page_id, 'img.broken' AS id, 'fail' AS severity FROM c WHERE dead UNION ALL SELECT page_id, CASE WHEN noalt THEN 'img.no-alt' ELSE 'img.alt-ok' END, CASE WHEN noalt THEN 'warn' ELSE 'pass' END FROM c UNION ALL SELECT page_id, 'img.oversized', 'warn' FROM c WHERE big
   UNION ALL SELECT page_id, 'img.no-dims', 'warn' FROM c WHERE unsized UNION ALL SELECT page_id, 'img.lazy-lcp', 'warn' FROM c WHERE lazy UNION ALL SELECT page_id, 'img.format', 'note' FROM c WHERE old > 3)""")
 def image_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fired(FD.evaluate(R.images(F.col("s"))), image_fixture(spark))
+    return fired(FD.evaluate(R.images(F.col("s"))), image_fixture(spark, sf_dir))
 
 
-CANONICALS = "(VALUES (1, 'https://a.com/x#top', 'a.com', 1, 'https://a.com/x', 'https://a.com/x'), (2, 'https://a.com/x', 'a.com', 1, 'https://b.com/x', 'https://b.com/x'), (3, 'https://a.com/x', 'a.com', 1, 'https://a.com/y', '/y'), (4, 'https://a.com/x', 'a.com', 0, CAST(NULL AS STRING), CAST(NULL AS STRING)), (5, 'https://a.com/x', 'a.com', 2, 'https://a.com/x', 'https://a.com/x'), (6, 'https://a.com/x', 'a.com', 1, 'https://a.com/x/', 'HTTPS://a.com/x/')) AS t(page_id, url, host, n, href, raw)"
+CANONICALS = spread("(VALUES (1, 'https://a.com/x#top', 'a.com', 1, 'https://a.com/x', 'https://a.com/x'), (2, 'https://a.com/x', 'a.com', 1, 'https://b.com/x', 'https://b.com/x'), (3, 'https://a.com/x', 'a.com', 1, 'https://a.com/y', '/y'), (4, 'https://a.com/x', 'a.com', 0, CAST(NULL AS STRING), CAST(NULL AS STRING)), (5, 'https://a.com/x', 'a.com', 2, 'https://a.com/x', 'https://a.com/x'), (6, 'https://a.com/x', 'a.com', 1, 'https://a.com/x/', 'HTTPS://a.com/x/')) AS t(page_id, url, host, n, href, raw)", 6)
 
 
 @query(f"""WITH c AS (SELECT *, n = 1 AND regexp_extract(href, '^[a-z]+://([^/?#]+)', 1) <> host AS crosses, n = 1 AND split_part(href, '#', 1) <> split_part(url, '#', 1) AS differs FROM {CANONICALS})
   SELECT CAST(page_id AS BIGINT) AS page_id, id, severity FROM (SELECT page_id, 'canon.missing' AS id, 'warn' AS severity FROM c WHERE n = 0 UNION ALL SELECT page_id, 'canon.multiple', 'fail' FROM c WHERE n > 1 UNION ALL SELECT page_id, 'canon.relative', 'note' FROM c WHERE n = 1 AND NOT regexp_matches(raw, '(?i)^https?:')
   UNION ALL SELECT page_id, CASE WHEN crosses THEN 'canon.cross-domain' WHEN differs THEN 'canon.other' ELSE 'canon.self' END, CASE WHEN crosses OR differs THEN 'warn' ELSE 'pass' END FROM c WHERE n = 1)""")
 def canonical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = given(values(spark, CANONICALS), url=F.col("url"), host=F.col("host"), canonical__count=F.col("n"), canonical__href=F.col("href"), canonical__raw=F.col("raw"))
+    df = given(values(spark, sf_dir, CANONICALS), url=F.col("url"), host=F.col("host"), canonical__count=F.col("n"), canonical__href=F.col("href"), canonical__raw=F.col("raw"))
     return fired(FD.evaluate(R.indexability(F.col("s"), NONE(None).cast("string"))), df, "canon.")
 
 
-DIRECTIVES = "(VALUES (1, 'noindex, nofollow', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)), (2, 'index', 'noarchive', CAST(NULL AS STRING), '5; url=/y'), (3, CAST(NULL AS STRING), CAST(NULL AS STRING), 'NOINDEX, nosnippet', CAST(NULL AS STRING)), (4, 'xnoindex, max-snippet: 0, noimageindex', CAST(NULL AS STRING), CAST(NULL AS STRING), ''), (5, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING))) AS t(page_id, robots, googlebot, header, refresh)"
+DIRECTIVES = spread("(VALUES (1, 'noindex, nofollow', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)), (2, 'index', 'noarchive', CAST(NULL AS STRING), '5; url=/y'), (3, CAST(NULL AS STRING), CAST(NULL AS STRING), 'NOINDEX, nosnippet', CAST(NULL AS STRING)), (4, 'xnoindex, max-snippet: 0, noimageindex', CAST(NULL AS STRING), CAST(NULL AS STRING), ''), (5, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING))) AS t(page_id, robots, googlebot, header, refresh)", 5)
 DIRECTIVE_SQL = f"d AS (SELECT *, lower(coalesce(robots, '') || ' ' || coalesce(googlebot, '') || ' ' || coalesce(header, '')) AS d FROM {DIRECTIVES})"
 _EDGED = "'(^|[^A-Za-z0-9_])%s([^A-Za-z0-9_]|$)'"
 
@@ -319,12 +350,12 @@ _EDGED = "'(^|[^A-Za-z0-9_])%s([^A-Za-z0-9_]|$)'"
   UNION ALL SELECT page_id, 'index.nofollow', 'warn' FROM d WHERE regexp_matches(d, {_EDGED % 'nofollow'}) UNION ALL SELECT page_id, 'index.noarchive', 'note' FROM d WHERE contains(d, 'noarchive') UNION ALL SELECT page_id, 'index.nosnippet', 'note' FROM d WHERE contains(d, 'nosnippet')
   UNION ALL SELECT page_id, 'index.noimageindex', 'note' FROM d WHERE contains(d, 'noimageindex') UNION ALL SELECT page_id, 'index.max-snippet-zero', 'warn' FROM d WHERE regexp_matches(d, 'max-snippet: *0') UNION ALL SELECT page_id, 'index.meta-refresh', 'warn' FROM d WHERE coalesce(refresh, '') <> '')""")
 def robots_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, DIRECTIVES)
+    rows = values(spark, sf_dir, DIRECTIVES)
     df = rows.select(F.col("page_id").cast("long").alias("page_id"), snapshot({"robotsMeta.count": F.col("robots").isNotNull().cast("int"), "robotsMeta.content": F.col("robots"), "googlebotMeta.content": F.col("googlebot"), "metaRefresh": F.col("refresh")}).alias("s"), "header")
     return fired(FD.evaluate(R.indexability(F.col("s"), F.col("header"))), df, "index.")
 
 
-METAS = "(VALUES (1, 'short words', 1, 'https://a.com/x', 'T', CAST(NULL AS STRING), 'https://a.com/x#f'), (2, repeat('long words ', 14), 1, 'https://a.com/x', 'T', 'https://a.com/i.png', 'https://a.com/y'), (3, repeat('some words ', 9), 2, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'https://a.com/y'), (4, CAST(NULL AS STRING), 0, CAST(NULL AS STRING), 'T', 'https://a.com/i.png', CAST(NULL AS STRING))) AS t(page_id, d, n, canonical, og_title, og_image, og_url)"
+METAS = spread("(VALUES (1, 'short words', 1, 'https://a.com/x', 'T', CAST(NULL AS STRING), 'https://a.com/x#f'), (2, repeat('long words ', 14), 1, 'https://a.com/x', 'T', 'https://a.com/i.png', 'https://a.com/y'), (3, repeat('some words ', 9), 2, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'https://a.com/y'), (4, CAST(NULL AS STRING), 0, CAST(NULL AS STRING), 'T', 'https://a.com/i.png', CAST(NULL AS STRING))) AS t(page_id, d, n, canonical, og_title, og_image, og_url)", 4)
 
 
 @query(f"""WITH d AS (SELECT * FROM {METAS}), o AS (SELECT *, (og_title IS NULL)::INT + 1 + (og_image IS NULL)::INT AS lost FROM d)
@@ -333,31 +364,31 @@ METAS = "(VALUES (1, 'short words', 1, 'https://a.com/x', 'T', CAST(NULL AS STRI
   UNION ALL SELECT page_id, 'og.url-mismatch', 'warn' FROM d WHERE split_part(og_url, '#', 1) <> split_part(canonical, '#', 1))""")
 def og_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in (("og:title", "og_title"), ("og:image", "og_image"), ("og:url", "og_url")))), lambda p: p["v"].isNotNull())
-    df = given(values(spark, METAS), description__count=F.col("n"), description__content=F.col("d"), canonical__href=F.col("canonical"), og=F.map_from_entries(pairs))
+    df = given(values(spark, sf_dir, METAS), description__count=F.col("n"), description__content=F.col("d"), canonical__href=F.col("canonical"), og=F.map_from_entries(pairs))
     return fired(FD.evaluate(R.meta(F.col("s"), NONE(None).cast("double"), NONE(None).cast("double"))), df, "desc.", "og.")
 
 
-HREFLANGS = "(VALUES (1, 0, 'en-nz', 'https://a.com/'), (1, 1, 'x-default', 'https://a.com/d'), (1, 2, 'EN', 'https://a.com/e'), (2, 0, 'de', 'https://a.com/x/'), (2, 1, 'zh-Hant-TW', 'https://a.com/z'), (3, 0, '', 'https://a.com/x#a'), (3, 1, 'es-419', 'https://a.com/y')) AS t(page_id, pos, code, href)"
+HREFLANGS = spread("(VALUES (1, 0, 'en-nz', 'https://a.com/'), (1, 1, 'x-default', 'https://a.com/d'), (1, 2, 'EN', 'https://a.com/e'), (2, 0, 'de', 'https://a.com/x/'), (2, 1, 'zh-Hant-TW', 'https://a.com/z'), (3, 0, '', 'https://a.com/x#a'), (3, 1, 'es-419', 'https://a.com/y')) AS t(page_id, pos, code, href)", 3)
 HREFLANG_SQL = f"r AS (SELECT *, code = 'x-default' OR regexp_matches(code, '^([a-z]{{2,3}})(-[a-zA-Z]{{4}})?(-([a-zA-Z]{{2}}|[0-9]{{3}}))?$') AS valid, rtrim(split_part(href, '#', 1), '/') = 'https://a.com/x' AS self FROM {HREFLANGS})"
 
 
-def hreflang_fixture(spark: SparkSession) -> DataFrame:
-    rows = values(spark, HREFLANGS).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("code").alias("hreflang"), "href"))).alias("r"))
+def hreflang_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, sf_dir, HREFLANGS).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("code").alias("hreflang"), "href"))).alias("r"))
     return given(rows, url=F.lit("https://a.com/x"), hreflang=F.transform("r", lambda x: x.dropFields("pos")))
 
 
 @query(f"WITH {HREFLANG_SQL} SELECT CAST(page_id AS BIGINT) AS page_id, pos, valid, self FROM r")
 def hreflang_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.hreflang(hreflang_fixture(spark)).select("page_id", "pos", "valid", "self")
+    return A.hreflang(hreflang_fixture(spark, sf_dir)).select("page_id", "pos", "valid", "self")
 
 
 @query(f"""WITH {HREFLANG_SQL}, c AS (SELECT page_id, bool_or(NOT valid AND code <> '') AS bad, bool_or(self) AS self, count(*) AS n, bool_or(code = 'x-default') AS dflt FROM r GROUP BY page_id)
   SELECT CAST(page_id AS BIGINT) AS page_id, id, severity FROM (SELECT page_id, 'hreflang.invalid' AS id, 'warn' AS severity FROM c WHERE bad UNION ALL SELECT page_id, 'hreflang.no-self', 'warn' FROM c WHERE NOT self UNION ALL SELECT page_id, 'hreflang.no-xdefault', 'note' FROM c WHERE n > 1 AND NOT dflt UNION ALL SELECT page_id, 'hreflang.ok', 'pass' FROM c WHERE NOT bad AND self)""")
 def hreflang_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fired(FD.evaluate(R.international(F.col("s"))), hreflang_fixture(spark))
+    return fired(FD.evaluate(R.international(F.col("s"))), hreflang_fixture(spark, sf_dir))
 
 
-NODES = "(VALUES (1, 'Article', 'headline,author,image', 'a'), (1, 'Thing', 'name', ''), (2, 'Product', 'name,image', ''), (3, 'FAQPage', 'mainEntity', ''), (4, 'Service', 'name,provider', '#s')) AS t(page_id, type, props, id)"
+NODES = spread("(VALUES (1, 'Article', 'headline,author,image', 'a'), (1, 'Thing', 'name', ''), (2, 'Product', 'name,image', ''), (3, 'FAQPage', 'mainEntity', ''), (4, 'Service', 'name,provider', '#s')) AS t(page_id, type, props, id)", 4)
 NEEDS = "(VALUES ('Article', 'headline'), ('Article', 'image'), ('Article', 'datePublished'), ('Article', 'author'), ('Product', 'name'), ('Product', 'image'), ('Product', 'offers'), ('FAQPage', 'mainEntity'), ('Service', 'name'), ('Service', 'provider')) AS q(type, prop)"
 
 
@@ -366,27 +397,27 @@ NEEDS = "(VALUES ('Article', 'headline'), ('Article', 'image'), ('Article', 'dat
   UNION ALL SELECT page_id, 'schema.product-no-offer', 'note' FROM n WHERE type = 'Product' AND NOT list_has_any(string_split(props, ','), ['offers', 'sku', 'gtin']) UNION ALL SELECT page_id, 'schema.no-id', 'note' FROM n GROUP BY page_id HAVING max(id) = '')""")
 def jsonld_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = F.struct(F.array("type").alias("types"), F.nullif("id", F.lit("")).alias("id"), F.split("props", ",").alias("present"), F.array().cast("array<string>").alias("sameAs"))
-    rows = values(spark, NODES).groupBy("page_id").agg(F.collect_list(node).alias("nodes"))
+    rows = values(spark, sf_dir, NODES).groupBy("page_id").agg(F.collect_list(node).alias("nodes"))
     none = lambda t: F.lit(None).cast(t)
     block = F.array(F.struct(F.lit(0).alias("index"), F.lit(True).alias("ok"), none("string").alias("data"), F.lit(0).alias("bytes"), none("string").alias("error"), none("string").alias("preview"), F.col("nodes")))
     return fired(FD.evaluate(R.schema(F.col("s"))), given(rows, structuredData__jsonLd=block))
 
 
-ANSWERS = "(VALUES (1, 'https://a.com/1', 200, false, CAST(NULL AS STRING)), (1, 'https://a.com/2', 404, false, CAST(NULL AS STRING)), (1, 'https://a.com/3', 0, false, 'timed out'), (2, 'https://a.com/4', 403, false, CAST(NULL AS STRING)), (2, 'https://a.com/5', 200, true, CAST(NULL AS STRING)), (2, 'https://a.com/6', 999, true, CAST(NULL AS STRING)), (3, 'https://a.com/7', 204, false, CAST(NULL AS STRING)), (4, 'https://a.com/8', CAST(NULL AS INT), false, 'refused')) AS t(page_id, url, status, redirected, error)"
+ANSWERS = spread("(VALUES (1, 'https://a.com/1', 200, false, CAST(NULL AS STRING)), (1, 'https://a.com/2', 404, false, CAST(NULL AS STRING)), (1, 'https://a.com/3', 0, false, 'timed out'), (2, 'https://a.com/4', 403, false, CAST(NULL AS STRING)), (2, 'https://a.com/5', 200, true, CAST(NULL AS STRING)), (2, 'https://a.com/6', 999, true, CAST(NULL AS STRING)), (3, 'https://a.com/7', 204, false, CAST(NULL AS STRING)), (4, 'https://a.com/8', CAST(NULL AS INT), false, 'refused')) AS t(page_id, url, status, redirected, error)", 4)
 VERDICT_SQL = f"v AS (SELECT *, CASE WHEN error IS NOT NULL OR coalesce(status, 0) = 0 THEN 'fail' WHEN status IN (401, 403, 429, 999) THEN 'warn' WHEN status >= 400 THEN 'fail' WHEN redirected THEN 'warn' ELSE 'pass' END AS severity, CASE WHEN error = 'timed out' THEN 'timeout' WHEN error IS NOT NULL OR coalesce(status, 0) = 0 THEN 'failed' WHEN status NOT IN (401, 403, 429, 999) AND status < 400 AND redirected THEN 'redirect ' || status ELSE CAST(status AS VARCHAR) END AS label FROM {ANSWERS})"
 
 
 @query(f"WITH {VERDICT_SQL} SELECT url, severity, label FROM v")
 def link_status_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity, label = M.link_status_verdict(F.col("status"), F.col("error"), F.col("redirected"))
-    return values(spark, ANSWERS).select("url", severity.alias("severity"), label.alias("label"))
+    return values(spark, sf_dir, ANSWERS).select("url", severity.alias("severity"), label.alias("label"))
 
 
 @query(f"""WITH {VERDICT_SQL}, c AS (SELECT page_id, bool_or(severity = 'fail') AS f, bool_or(severity = 'warn' AND status NOT IN (401, 403, 429, 999)) AS r, bool_or(severity = 'warn' AND status IN (401, 403, 429, 999)) AS b FROM v GROUP BY page_id)
   SELECT CAST(page_id AS BIGINT) AS page_id, id, severity FROM (SELECT page_id, 'link.broken' AS id, 'fail' AS severity FROM c WHERE f UNION ALL SELECT page_id, 'link.redirect', 'warn' FROM c WHERE r UNION ALL SELECT page_id, 'link.blocked', 'warn' FROM c WHERE b UNION ALL SELECT page_id, 'link.status-ok', 'pass' FROM c WHERE NOT (f OR r OR b))""")
 def link_status_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity, _ = M.link_status_verdict(F.col("status"), F.col("error"), F.col("redirected"))
-    rows = values(spark, ANSWERS).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("url", severity.alias("severity"), "status"))).alias("r"))
+    rows = values(spark, sf_dir, ANSWERS).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("url", severity.alias("severity"), "status"))).alias("r"))
     return fired(FD.evaluate(R.link_status_rules(F.col("r"))), rows)
 
 
@@ -400,12 +431,12 @@ ROBOTS_SQL = f"""rl AS (SELECT site, i AS line, trim(split_part(x, '#', 1)) AS x
 
 @query(f"WITH {ROBOTS_SQL} SELECT site, CAST(line AS INTEGER) AS line, field, value, CAST(grp AS BIGINT) AS grp FROM rg")
 def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RB.lines(values(spark, ROBOTS)).select("site", "line", "field", "value", "grp")
+    return RB.lines(values(spark, sf_dir, ROBOTS)).select("site", "line", "field", "value", "grp")
 
 
 @query(f"WITH {ROBOTS_SQL} SELECT site, CAST(line AS INTEGER) AS line, CASE WHEN field IS NULL THEN 'no colon' ELSE 'rule before any user-agent' END AS problem FROM rg WHERE field IS NULL OR (grp = 0 AND field IN ('allow', 'disallow'))")
 def robots_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RB.errors(RB.lines(values(spark, ROBOTS))).select("site", "line", "problem")
+    return RB.errors(RB.lines(values(spark, sf_dir, ROBOTS))).select("site", "line", "problem")
 
 
 _CHAIN = ", ".join(f"('{name}', '{group}', '{token}', {i})" for name, group in RB.AGENTS for i, token in enumerate([name.lower(), *RB.FALLBACKS.get(name.lower(), []), "*"]))
@@ -421,37 +452,37 @@ GRID_SQL = f"""{ROBOTS_SQL}, toks AS (SELECT DISTINCT site, grp, lower(value) AS
 
 @query(f"WITH {GRID_SQL} SELECT site, url, id, agent_group, allowed, rule, obeys FROM grid")
 def robots_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RB.grid(RB.lines(values(spark, ROBOTS)), values(spark, TARGETS)).select("site", "url", "id", "agent_group", "allowed", "rule", "obeys")
+    return RB.grid(RB.lines(values(spark, sf_dir, ROBOTS)), values(spark, sf_dir, TARGETS)).select("site", "url", "id", "agent_group", "allowed", "rule", "obeys")
 
 
 @query(f"WITH {GRID_SQL} SELECT url, count(*) FILTER (NOT allowed) AS blocked FROM grid GROUP BY url")
 def robots_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = RB.grid(RB.lines(values(spark, ROBOTS)), values(spark, TARGETS))
+    g = RB.grid(RB.lines(values(spark, sf_dir, ROBOTS)), values(spark, sf_dir, TARGETS))
     return g.groupBy("url").agg(F.count_if(~F.col("allowed")).alias("blocked"))
 
 
 @query(f"""WITH {GRID_SQL}, c AS (SELECT url, bool_or(NOT allowed AND agent_group = 'search') AS s, bool_or(NOT allowed AND id = 'Google-Extended') AS g, bool_or(NOT allowed AND agent_group = 'ai' AND id <> 'Google-Extended') AS a FROM grid GROUP BY url)
   SELECT url, id, severity FROM (SELECT url, 'robots.search-blocked' AS id, 'fail' AS severity FROM c WHERE s UNION ALL SELECT url, 'robots.google-extended', 'warn' FROM c WHERE g UNION ALL SELECT url, 'robots.ai-blocked', 'note' FROM c WHERE a UNION ALL SELECT url, 'robots.all-allowed', 'pass' FROM c WHERE NOT (s OR g OR a))""")
 def crawler_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = RB.grid(RB.lines(values(spark, ROBOTS)), values(spark, TARGETS)).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("id", F.col("agent_group").alias("group"), "allowed"))).alias("grid"))
+    g = RB.grid(RB.lines(values(spark, sf_dir, ROBOTS)), values(spark, sf_dir, TARGETS)).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("id", F.col("agent_group").alias("group"), "allowed"))).alias("grid"))
     found = FD.evaluate(R.crawler_access(snapshot({}), F.lit("read"), F.col("grid")))
     return FD.long(g.select("url", found.alias("findings")), keys=("url",)).select("url", "id", "severity")
 
 
-FETCHED = "(VALUES (1, 200, CAST(NULL AS STRING)), (2, 404, CAST(NULL AS STRING)), (3, 503, CAST(NULL AS STRING)), (4, 301, CAST(NULL AS STRING)), (5, 0, 'timed out'), (6, 0, CAST(NULL AS STRING))) AS t(page_id, status, error)"
+FETCHED = spread("(VALUES (1, 200, CAST(NULL AS STRING)), (2, 404, CAST(NULL AS STRING)), (3, 503, CAST(NULL AS STRING)), (4, 301, CAST(NULL AS STRING)), (5, 0, 'timed out'), (6, 0, CAST(NULL AS STRING))) AS t(page_id, status, error)", 6)
 
 
 @query(f"SELECT page_id, CASE WHEN error IS NOT NULL OR status >= 500 THEN 'blocked' WHEN status >= 300 THEN 'open' ELSE 'read' END AS verdict FROM {FETCHED}")
 def robots_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, FETCHED).select("page_id", RB.availability(F.col("status"), F.col("error")).alias("verdict"))
+    return values(spark, sf_dir, FETCHED).select("page_id", RB.availability(F.col("status"), F.col("error")).alias("verdict"))
 
 
-PROBES = "(VALUES (1, 'GPTBot', 200, 1000, CAST(NULL AS STRING)), (1, 'ClaudeBot', 403, 10, CAST(NULL AS STRING)), (1, 'CCBot', 200, 600, CAST(NULL AS STRING)), (1, 'Bytespider', 0, 0, 'refused'), (2, 'GPTBot', 500, 1000, CAST(NULL AS STRING))) AS t(page_id, agent, status, bytes, error)"
+PROBES = spread("(VALUES (1, 'GPTBot', 200, 1000, CAST(NULL AS STRING)), (1, 'ClaudeBot', 403, 10, CAST(NULL AS STRING)), (1, 'CCBot', 200, 600, CAST(NULL AS STRING)), (1, 'Bytespider', 0, 0, 'refused'), (2, 'GPTBot', 500, 1000, CAST(NULL AS STRING))) AS t(page_id, agent, status, bytes, error)", 2)
 
 
 @query(f"WITH k AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN status IN (401, 403, 429) THEN 'blocked' WHEN abs(bytes - 1000) / 1000.0 > 0.3 THEN 'different' ELSE 'ok' END AS kind FROM {PROBES}) SELECT CAST(page_id AS BIGINT) AS page_id, 'probe.' || kind || '.' || agent AS id, CASE kind WHEN 'error' THEN 'note' WHEN 'blocked' THEN 'fail' WHEN 'different' THEN 'warn' ELSE 'pass' END AS severity FROM k")
 def agent_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, PROBES).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.collect_list(F.struct("agent", "status", F.col("bytes").cast("long").alias("bytes"), "error")).alias("p"))
+    rows = values(spark, sf_dir, PROBES).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.collect_list(F.struct("agent", "status", F.col("bytes").cast("long").alias("bytes"), "error")).alias("p"))
     return fired(R.probe_findings(F.col("p"), F.lit(1000).cast("long")), rows)
 
 
@@ -462,7 +493,7 @@ LLMS = "(VALUES ('a', 200, '# Site' || chr(10) || '> About it' || chr(10) || '##
   SELECT site, status = 200 AND body <> '' AND NOT html AS present, html, status = 200 AND len(list_filter(l, lambda x: regexp_matches(x, '^#\\s+\\S'))) > 0 AS h1, status = 200 AND len(list_filter(l, lambda x: regexp_matches(x, '^>\\s*\\S'))) > 0 AS summary,
     CAST(CASE WHEN status = 200 THEN len(list_filter(l, lambda x: regexp_matches(x, '^##\\s+\\S'))) ELSE 0 END AS INTEGER) AS sections, CAST(CASE WHEN status = 200 THEN len(regexp_extract_all(body, '\\[[^\\]]+\\]\\([^)]+\\)')) ELSE 0 END AS INTEGER) AS links FROM f""")
 def llms_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = ST.llms_shape(values(spark, LLMS))
+    f = ST.llms_shape(values(spark, sf_dir, LLMS))
     return f.select("site", "present", "html", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("h1", "summary")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sections", "links")))
 
 
@@ -470,7 +501,7 @@ def llms_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT site, CASE WHEN html THEN 'llms.html' WHEN status = 200 AND body <> '' THEN 'llms.present' ELSE 'llms.absent' END AS id, CASE WHEN NOT html AND status = 200 AND body LIKE '# %' AND contains(body, chr(10) || '> ') THEN 'pass' ELSE 'note' END AS severity FROM f""")
 def llms_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = FD.evaluate(R.llms_rules(F.col("html"), F.col("present"), F.col("h1"), F.col("summary")))
-    return FD.long(ST.llms_shape(values(spark, LLMS)).select("site", found.alias("findings")), keys=("site",)).select("site", "id", "severity")
+    return FD.long(ST.llms_shape(values(spark, sf_dir, LLMS)).select("site", found.alias("findings")), keys=("site",)).select("site", "id", "severity")
 
 
 MAPS = "(VALUES ('https://a/s.xml', 200, '<sitemapindex><sitemap><loc>https://a/1.xml</loc></sitemap></sitemapindex>'), ('https://a/1.xml', 200, '<urlset><url><loc> https://a/x/ </loc></url><url><loc>https://a/y#z</loc></url></urlset>'), ('https://b/s.xml', 500, '<loc>https://b/x</loc>')) AS t(url, status, body)"
@@ -481,10 +512,10 @@ WANTED = "(VALUES ('https://a/s.xml', 'https://a/x'), ('https://a/1.xml', 'https
   direct AS (SELECT url AS sitemap, regexp_replace(split_part(loc, '#', 1), '/$', '') AS clean FROM l WHERE NOT idx), every AS (SELECT * FROM direct UNION SELECT l.url, clean FROM l JOIN direct ON l.idx AND l.loc = direct.sitemap)
   SELECT w.sitemap, w.url, EXISTS (SELECT 1 FROM every e WHERE e.sitemap = w.sitemap AND e.clean = regexp_replace(split_part(w.url, '#', 1), '/$', '')) AS found FROM (SELECT * FROM {WANTED}) w""")
 def sitemap_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.sitemap_membership(values(spark, MAPS), values(spark, WANTED))
+    return ST.sitemap_membership(values(spark, sf_dir, MAPS), values(spark, sf_dir, WANTED))
 
 
-PAIRS = "(VALUES (1, 400, 20, 'T', CAST(NULL AS STRING), 6, 0, 0, 1), (2, 400, 120, 'T', 'T', 6, 2, 0, 0), (3, 400, 390, 'T', 'T', 4, 4, 0, 0), (4, 100, 5, 'T', 'T', 0, 0, 0, 0)) AS t(page_id, live_words, raw_words, live_title, raw_title, live_links, raw_links, live_pw, raw_pw)"
+PAIRS = spread("(VALUES (1, 400, 20, 'T', CAST(NULL AS STRING), 6, 0, 0, 1), (2, 400, 120, 'T', 'T', 6, 2, 0, 0), (3, 400, 390, 'T', 'T', 4, 4, 0, 0), (4, 100, 5, 'T', 'T', 0, 0, 0, 0)) AS t(page_id, live_words, raw_words, live_title, raw_title, live_links, raw_links, live_pw, raw_pw)", 4)
 
 
 @query(f"""WITH p AS (SELECT *, round(raw_words * 100.0 / live_words) AS share FROM {PAIRS})
@@ -497,11 +528,11 @@ def raw_vs_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     def side(x: str) -> Column:
         return snapshot({"content.mainWords": F.col(f"{x}_words"), "title.text": F.col(f"{x}_title"), "page.passwordFields": F.col(f"{x}_pw"), "links": F.array_repeat(link, F.col(f"{x}_links"))})
 
-    df = values(spark, PAIRS).select(F.col("page_id").cast("long").alias("page_id"), side("live").alias("live"), side("raw").alias("raw"))
+    df = values(spark, sf_dir, PAIRS).select(F.col("page_id").cast("long").alias("page_id"), side("live").alias("live"), side("raw").alias("raw"))
     return fired(FD.evaluate(R.javascript_gap(F.col("live"), F.col("raw"))), df)
 
 
-SHAPES = "(VALUES (1, 95, 1, 700, 0, 0, 'Article'), (2, 10, 0, 700, 1, 0, 'Organization'), (3, 10, 0, 100, 0, 2, '')) AS t(page_id, lead, longs, words, lists, frames, type)"
+SHAPES = spread("(VALUES (1, 95, 1, 700, 0, 0, 'Article'), (2, 10, 0, 700, 1, 0, 'Organization'), (3, 10, 0, 100, 0, 2, '')) AS t(page_id, lead, longs, words, lists, frames, type)", 3)
 
 
 @query(f"""WITH s AS (SELECT * FROM {SHAPES}) SELECT CAST(page_id AS BIGINT) AS page_id, id, severity FROM (SELECT page_id, 'cite.long-lead' AS id, 'warn' AS severity FROM s WHERE lead > 90 UNION ALL SELECT page_id, 'cite.long-paras', 'note' FROM s WHERE longs > 0 UNION ALL SELECT page_id, 'cite.no-structure', 'note' FROM s WHERE words > 600 AND lists = 0
@@ -510,11 +541,11 @@ def citability(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     node = F.struct(F.array("type").alias("types"), none("string").alias("id"), F.array().cast("array<string>").alias("present"), F.array().cast("array<string>").alias("sameAs"))
     block = F.struct(F.lit(0).alias("index"), F.lit(True).alias("ok"), none("string").alias("data"), F.lit(0).alias("bytes"), none("string").alias("error"), none("string").alias("preview"), F.when(F.col("type") != "", F.array(node)).otherwise(F.array().cast("array<struct<types:array<string>,id:string,present:array<string>,sameAs:array<string>>>")).alias("nodes"))
-    df = given(values(spark, SHAPES), content__shape__firstParagraphWords=F.col("lead"), content__shape__paragraphsOver120Words=F.col("longs"), content__mainWords=F.col("words"), content__shape__lists=F.col("lists"), content__shape__contentInIframes=F.col("frames"), structuredData__jsonLd=F.array(block))
+    df = given(values(spark, sf_dir, SHAPES), content__shape__firstParagraphWords=F.col("lead"), content__shape__paragraphsOver120Words=F.col("longs"), content__mainWords=F.col("words"), content__shape__lists=F.col("lists"), content__shape__contentInIframes=F.col("frames"), structuredData__jsonLd=F.array(block))
     return fired(FD.evaluate(R.citability(F.col("s"))), df)
 
 
-TEXTS = "(VALUES (1, 'x GTM-ABC1234 y GTM-ZZZZ999 gtm-loader fbq(', 'https://static.hotjar.com/c.js'), (2, 'UA-12345-1 and UA-12345-1 google.com/recaptcha', 'https://js.stripe.com/v3'), (3, 'nothing here', ''), (4, 'gtag(\"config\", \"G-ABCDEF12\") AW-123456789 ca-pub-1234567890123', 'https://cdn.segment.com/analytics.js')) AS t(page_id, html, requests)"
+TEXTS = spread("(VALUES (1, 'x GTM-ABC1234 y GTM-ZZZZ999 gtm-loader fbq(', 'https://static.hotjar.com/c.js'), (2, 'UA-12345-1 and UA-12345-1 google.com/recaptcha', 'https://js.stripe.com/v3'), (3, 'nothing here', ''), (4, 'gtag(\"config\", \"G-ABCDEF12\") AW-123456789 ca-pub-1234567890123', 'https://cdn.segment.com/analytics.js')) AS t(page_id, html, requests)", 4)
 
 
 def _sql(x: str) -> str:
@@ -527,19 +558,19 @@ SCAN_SQL = f"""x AS (SELECT page_id, 'html' AS source, html AS text FROM {TEXTS}
   hit AS (SELECT page_id, key, cat, source, text FROM x JOIN sig ON regexp_matches(text, re))"""
 
 
-def tracker_fixture(spark: SparkSession) -> DataFrame:
-    return values(spark, TEXTS).select(F.col("page_id").cast("long").alias("page_id"), "html", "requests", tech.trackers({"html": F.col("html"), "requests": F.col("requests")}).alias("t"))
+def tracker_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, sf_dir, TEXTS).select(F.col("page_id").cast("long").alias("page_id"), "html", "requests", tech.trackers({"html": F.col("html"), "requests": F.col("requests")}).alias("t"))
 
 
 @query(f"WITH {SCAN_SQL} SELECT CAST(page_id AS BIGINT) AS page_id, key, string_agg(source, ',' ORDER BY source) AS sources FROM hit GROUP BY page_id, key")
 def tracker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracker_fixture(spark).select("page_id", F.explode("t").alias("t")).select("page_id", "t.key", F.array_join("t.sources", ",").alias("sources"))
+    return tracker_fixture(spark, sf_dir).select("page_id", F.explode("t").alias("t")).select("page_id", "t.key", F.array_join("t.sources", ",").alias("sources"))
 
 
 @query(f"""WITH {SCAN_SQL}, pat AS (SELECT * FROM (VALUES {_ID_PATTERNS}) AS g(key, n, re)), found AS (SELECT DISTINCT page_id, key, unnest(regexp_extract_all(text, re, 1)) AS id FROM hit JOIN pat USING (key))
   SELECT CAST(page_id AS BIGINT) AS page_id, key, string_agg(id, ',' ORDER BY id) AS ids FROM found GROUP BY page_id, key""")
 def tracker_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tracker_fixture(spark).select("page_id", F.explode("t").alias("t")).where("size(t.ids) > 0")
+    rows = tracker_fixture(spark, sf_dir).select("page_id", F.explode("t").alias("t")).where("size(t.ids) > 0")
     return rows.select("page_id", "t.key", F.array_join(F.array_sort("t.ids"), ",").alias("ids"))
 
 
@@ -549,35 +580,35 @@ def tracker_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT page_id, 'tech.no-analytics', 'note' FROM pg WHERE page_id NOT IN (SELECT page_id FROM hit WHERE cat = {CATEGORIES.index("analytics")}))""")
 def tech_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = F.lit(None).cast("struct<grade:string,https:boolean,present:array<string>,missing:array<string>>")
-    return fired(FD.evaluate(tech.tech_rules(F.col("t"), grade)), tracker_fixture(spark))
+    return fired(FD.evaluate(tech.tech_rules(F.col("t"), grade)), tracker_fixture(spark, sf_dir))
 
 
 @query(f"WITH {SCAN_SQL} SELECT CAST(page_id AS BIGINT) AS page_id, CAST(count(DISTINCT key) AS INTEGER) AS trackers, CAST(count(DISTINCT key) FILTER (cat = {CATEGORIES.index('advertising')}) AS INTEGER) AS ads, CASE WHEN count(DISTINCT key) >= 12 THEN 'heavy' WHEN count(DISTINCT key) >= 5 THEN 'moderate' WHEN count(DISTINCT key) >= 1 THEN 'light' ELSE 'none' END AS level FROM x LEFT JOIN hit USING (page_id) GROUP BY page_id")
 def tech_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = F.array().cast("array<struct<host:string,count:int,thirdParty:boolean,how:array<string>>>")
-    return tracker_fixture(spark).select("page_id", tech.summary(F.col("t"), hosts).alias("x")).select("page_id", "x.trackers", "x.ads", "x.level")
+    return tracker_fixture(spark, sf_dir).select("page_id", tech.summary(F.col("t"), hosts).alias("x")).select("page_id", "x.trackers", "x.ads", "x.level")
 
 
-PLATFORM_ROWS = "(VALUES (1, '<link href=\"/wp-content/themes/astra/x.css\"> elementor', 'WordPress 6.5'), (2, 'cdn.shopify.com \"name\":\"Dawn\",\"theme_store_id\"', ''), (3, '<div id=__NEXT_DATA__> react-dom', 'Hugo'), (4, 'mage-init', ''), (5, 'MAGE-INIT', '')) AS t(page_id, html, generator)"
+PLATFORM_ROWS = spread("(VALUES (1, '<link href=\"/wp-content/themes/astra/x.css\"> elementor', 'WordPress 6.5'), (2, 'cdn.shopify.com \"name\":\"Dawn\",\"theme_store_id\"', ''), (3, '<div id=__NEXT_DATA__> react-dom', 'Hugo'), (4, 'mage-init', ''), (5, 'MAGE-INIT', '')) AS t(page_id, html, generator)", 5)
 
 
-@query(f"SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN contains(html, '/wp-content/') THEN 'WordPress' WHEN contains(html, 'cdn.shopify.com') THEN 'Shopify' WHEN contains(html, 'mage-init') THEN 'Magento (Adobe Commerce)' ELSE generator END AS cms, CASE page_id WHEN 1 THEN 'WordPress 6.5|Theme: ' || regexp_extract(html, 'themes/([a-z]+)/', 1) || '|Builder: Elementor' WHEN 2 THEN 'Theme: ' || regexp_extract(html, '\"name\":\"([^\"]+)\"', 1) WHEN 3 THEN 'Framework: Next.js|Framework: React' ELSE '' END AS detail FROM {PLATFORM_ROWS}")
+@query(f"SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN contains(html, '/wp-content/') THEN 'WordPress' WHEN contains(html, 'cdn.shopify.com') THEN 'Shopify' WHEN contains(html, 'mage-init') THEN 'Magento (Adobe Commerce)' ELSE generator END AS cms, concat_ws('|', CASE WHEN contains(html, '/wp-content/') AND lower(generator) LIKE 'wordpress%' THEN generator END, CASE WHEN contains(html, '/wp-content/') THEN 'Theme: ' || regexp_extract(html, 'themes/([a-z]+)/', 1) END, CASE WHEN contains(html, '/wp-content/') AND contains(html, 'elementor') THEN 'Builder: Elementor' END, CASE WHEN contains(html, 'cdn.shopify.com') THEN 'Theme: ' || regexp_extract(html, '\"name\":\"([^\"]+)\"', 1) END, CASE WHEN contains(html, '__NEXT_DATA__') THEN 'Framework: Next.js' END, CASE WHEN contains(html, 'react-dom') THEN 'Framework: React' END) AS detail FROM {PLATFORM_ROWS}")
 def platform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, PLATFORM_ROWS).select(F.col("page_id").cast("long").alias("page_id"), tech.platform(F.col("html"), F.col("generator"), F.create_map().cast("map<string,string>")).alias("p"))
+    rows = values(spark, sf_dir, PLATFORM_ROWS).select(F.col("page_id").cast("long").alias("page_id"), tech.platform(F.col("html"), F.col("generator"), F.create_map().cast("map<string,string>")).alias("p"))
     return rows.select("page_id", "p.cms", F.array_join("p.detail", "|").alias("detail"))
 
 
-META_ROWS = "(VALUES (1, 'google-site-verification', 'abc'), (1, 'p:domain_verify', 'def'), (2, 'author', 'me'), (2, 'msvalidate.01', repeat('x', 70))) AS t(page_id, k, v)"
+META_ROWS = spread("(VALUES (1, 'google-site-verification', 'abc'), (1, 'p:domain_verify', 'def'), (2, 'author', 'me'), (2, 'msvalidate.01', repeat('x', 70))) AS t(page_id, k, v)", 2)
 _VERIFY = ", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in VERIFICATIONS)
 
 
 @query(f"SELECT CAST(page_id AS BIGINT) AS page_id, platform, left(v, 60) AS value FROM {META_ROWS} JOIN (VALUES {_VERIFY}) AS d(k, platform) USING (k)")
 def verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, META_ROWS).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    rows = values(spark, sf_dir, META_ROWS).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     return rows.select("page_id", F.explode(tech.verifications(F.col("m"))).alias("x")).select("page_id", "x.platform", "x.value")
 
 
-PROFILE_ROWS = "(VALUES (1, 0, 'https://www.facebook.com/sharer?u=x'), (1, 1, 'https://www.facebook.com/me'), (1, 2, 'https://facebook.com/other'), (1, 3, 'https://x.com/me'), (2, 0, 'https://twitter.com/intent/tweet'), (2, 1, 'https://example.com/'), (2, 2, 'https://github.com/me')) AS t(page_id, pos, href)"
+PROFILE_ROWS = spread("(VALUES (1, 0, 'https://www.facebook.com/sharer?u=x'), (1, 1, 'https://www.facebook.com/me'), (1, 2, 'https://facebook.com/other'), (1, 3, 'https://x.com/me'), (2, 0, 'https://twitter.com/intent/tweet'), (2, 1, 'https://example.com/'), (2, 2, 'https://github.com/me')) AS t(page_id, pos, href)", 2)
 _SOCIAL = ", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in SOCIALS.items())
 
 
@@ -586,37 +617,48 @@ _SOCIAL = ", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in SOCIALS.items())
 def socials(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     link = F.struct("pos", "href", none("string").alias("raw"), F.lit("link").alias("kind"), none("string").alias("text"), none("string").alias("rel"), none("string").alias("target"), none("boolean").alias("internal"), none("string").alias("region"), none("boolean").alias("hidden"), none("boolean").alias("hasImage"), none("string").alias("ariaLabel"))
-    rows = values(spark, PROFILE_ROWS).groupBy("page_id").agg(F.array_sort(F.collect_list(link)).alias("l"))
+    rows = values(spark, sf_dir, PROFILE_ROWS).groupBy("page_id").agg(F.array_sort(F.collect_list(link)).alias("l"))
     return given(rows, links=F.transform("l", lambda x: x.dropFields("pos"))).select("page_id", F.explode(tech.socials(F.col("s"))).alias("x")).select("page_id", "x.*")
 
 
-HEADER_ROWS = "(VALUES (1, 'Strict-Transport-Security', true), (1, 'content-security-policy', true), (1, 'x-content-type-options', true), (1, 'x-frame-options', true), (1, 'referrer-policy', true), (1, 'permissions-policy', true), (2, 'server', false), (3, 'x-frame-options', true), (3, 'server', true), (4, 'x-frame-options', true), (4, 'referrer-policy', true), (4, 'strict-transport-security', true)) AS t(page_id, header, https)"
+HEADER_ROWS = spread("(VALUES (1, 'Strict-Transport-Security', true), (1, 'content-security-policy', true), (1, 'x-content-type-options', true), (1, 'x-frame-options', true), (1, 'referrer-policy', true), (1, 'permissions-policy', true), (2, 'server', false), (3, 'x-frame-options', true), (3, 'server', true), (4, 'x-frame-options', true), (4, 'referrer-policy', true), (4, 'strict-transport-security', true)) AS t(page_id, header, https)", 4)
 
 
 @query(f"""WITH n AS (SELECT page_id, count(*) FILTER (lower(header) IN ('strict-transport-security', 'content-security-policy', 'x-content-type-options', 'x-frame-options', 'referrer-policy', 'permissions-policy')) + CASE WHEN bool_or(https) THEN 1 ELSE 0 END AS n FROM {HEADER_ROWS} GROUP BY page_id)
   SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN n >= 7 THEN 'A+' WHEN n >= 6 THEN 'A' WHEN n >= 5 THEN 'B' WHEN n >= 4 THEN 'C' WHEN n >= 2 THEN 'D' ELSE 'F' END AS grade FROM n""")
 def security_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, HEADER_ROWS).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.map_from_entries(F.collect_list(F.struct("header", F.lit("v")))).alias("h"), F.bool_or("https").alias("https"))
+    rows = values(spark, sf_dir, HEADER_ROWS).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.map_from_entries(F.collect_list(F.struct("header", F.lit("v")))).alias("h"), F.bool_or("https").alias("https"))
     return rows.select("page_id", tech.security(F.col("h"), F.col("https"))["grade"].alias("grade"))
 
 
-HOST_ROWS = "(VALUES (1, 'https://a.com/p', '<script src=\"https://c.net/x.js\"></script><img src=\"/i.png\"><img src=\"https://c.net/i.png\"><link href=\"//d.org/s.css\" rel=stylesheet>'), (2, 'https://b.com/', '<iframe src=\"https://v.io/e\"></iframe>')) AS t(page_id, url, html)"
+HOST_ROWS = spread("(VALUES (1, '<script src=\"https://c.net/x.js\"></script><img src=\"/i.png\"><img src=\"https://c.net/i.png\"><link href=\"//d.org/s.css\" rel=stylesheet>'), (2, '<iframe src=\"https://v.io/e\"></iframe><a href=\"https://not.counted/\">x</a>')) AS t(page_id, part)", 2)
+
 
+def with_part(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
+    """The pages with what a case gives them put before their own HTML."""
+    return values(spark, sf_dir, rows).join(pages(spark, sf_dir), "page_id").select("page_id", "url", F.concat("part", "html").alias("html"))
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'c.net', 2, true, 1), (CAST(1 AS BIGINT), 'a.com', 1, false, 2), (CAST(1 AS BIGINT), 'd.org', 1, true, 3), (CAST(2 AS BIGINT), 'v.io', 1, true, 1)) AS t(page_id, host, count, thirdParty, place)")
+
+@query(f"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(part, '<(?:script|img|iframe|link)[^>]*? (?:src|href)="([^"]*)"', 1)) AS a FROM {HOST_ROWS}),
+  h AS (SELECT r.page_id, regexp_extract(p.url, '^https?://([^/]+)', 1) AS own, CASE WHEN a LIKE 'http%' OR a LIKE '//%' THEN regexp_extract(a, '//([^/]+)', 1) ELSE regexp_extract(p.url, '^https?://([^/]+)', 1) END AS host FROM r JOIN pages p USING (page_id)),
+  n AS (SELECT page_id, host, CAST(count(*) AS INTEGER) AS count, host <> own AS "thirdParty" FROM h GROUP BY page_id, host, own)
+  SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY count DESC, host) AS INTEGER) AS place FROM n""")
 def host_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.host_tally(extract(values(spark, HOST_ROWS))).select("page_id", "host", "count", "thirdParty", "place")
+    return ST.host_tally(extract(with_part(spark, sf_dir, HOST_ROWS), ("loaded",))).select("page_id", "host", "count", "thirdParty", "place")
+
 
+SHARE_ROWS = spread("(VALUES (1, '<head><meta property=\"og:title\" content=\"og T\"></head>'), (2, '<head><meta name=\"twitter:title\" content=\"tw\"><meta property=\"og:title\" content=\"og\"><meta property=\"og:image\" content=\"i.png\"></head>'), (3, '')) AS t(page_id, part)", 3)
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'og T', 'og', CAST(NULL AS VARCHAR)), (CAST(2 AS BIGINT), 'tw', 'twitter', 'og')) AS t(page_id, title, title_from, image_from)")
+
+@query(f"""WITH s AS (SELECT page_id, regexp_extract(part, 'name="twitter:title" content="([^"]*)"', 1) AS tw, regexp_extract(part, 'property="og:title" content="([^"]*)"', 1) AS og, part LIKE '%og:image%' AS image FROM {SHARE_ROWS})
+  SELECT page_id, CASE WHEN tw <> '' THEN tw WHEN og <> '' THEN og END AS title, CASE WHEN tw <> '' THEN 'twitter' WHEN og <> '' THEN 'og' END AS title_from, CASE WHEN image THEN 'og' END AS image_from FROM s""")
 def social_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "(VALUES (1, '<head><meta property=\"og:title\" content=\"og T\"></head>'), (2, '<head><meta name=\"twitter:title\" content=\"tw\"><meta property=\"og:title\" content=\"og\"><meta property=\"og:image\" content=\"i.png\"></head>')) AS t(page_id, html)").withColumn("url", F.lit("https://a.com/"))
-    return A.social(extract(rows)).select("page_id", "title", "title_from", "image_from")
+    return A.social(extract(with_part(spark, sf_dir, SHARE_ROWS), ("head",))).select("page_id", "title", "title_from", "image_from")
 
 
 @query(f"WITH {SCAN_SQL}, pat AS (SELECT * FROM (VALUES {_ID_PATTERNS}) AS g(key, n, re)), found AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(text, re, 1)) AS id FROM hit JOIN pat USING (key) WHERE key IN ('gtm', 'ga4', 'google_ads')) SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN id LIKE 'GTM-%' THEN 'https://www.googletagmanager.com/gtm.js?id=' || id ELSE 'https://www.googletagmanager.com/gtag/js?id=' || id END AS url FROM found WHERE id LIKE 'GTM-%' OR id LIKE 'G-%'")
 def container_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracker_fixture(spark).select("page_id", F.explode(tech.container_urls(F.col("t"))).alias("url"))
+    return tracker_fixture(spark, sf_dir).select("page_id", F.explode(tech.container_urls(F.col("t"))).alias("url"))
 
 
 SITES = "(VALUES ('a', 'https://a'), ('b', 'https://b'), ('c', 'https://c')) AS t(site, origin)"
@@ -624,32 +666,255 @@ SITES = "(VALUES ('a', 'https://a'), ('b', 'https://b'), ('c', 'https://c')) AS
 
 @query(f"WITH {ROBOTS_SQL}, named AS (SELECT site, value FROM rg WHERE field = 'sitemap') SELECT s.site, coalesce(n.value, s.origin || '/sitemap.xml') AS sitemap FROM (SELECT * FROM {SITES}) s LEFT JOIN named n ON n.site = s.site")
 def sitemap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.sitemap_candidates(RB.lines(values(spark, ROBOTS)), values(spark, SITES)).select("site", "sitemap")
+    return ST.sitemap_candidates(RB.lines(values(spark, sf_dir, ROBOTS)), values(spark, sf_dir, SITES)).select("site", "sitemap")
 
 
 @query(f"WITH {FOUND} SELECT page_id, id, severity FROM found WHERE severity <> 'pass'")
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.flags(page_findings(spark, sf_dir)).select("page_id", "id", "severity")
+    return A.issues_in_row(audited(spark, sf_dir)).where("severity <> 'pass'").select("page_id", "id", "severity")
 
 
 @query(f"""WITH {FOUND}, t AS (SELECT *, {RANK_SQL} * 100 + {SEQ_SQL} AS o FROM found WHERE id LIKE 'title.%'), w AS (SELECT page_id, min(o) AS o FROM t GROUP BY page_id)
   SELECT t.page_id, max(CASE WHEN t.o = w.o THEN id END) AS owner, max(CASE WHEN t.o = w.o THEN severity END) AS severity, coalesce(string_agg(CASE WHEN t.o > w.o AND severity <> 'pass' THEN id END, ',' ORDER BY t.o), '') AS others FROM t JOIN w USING (page_id) GROUP BY t.page_id""")
 def title_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.field_row(page_findings(spark, sf_dir), "title.").withColumn("others", F.array_join("others", ","))
+    return A.field_row_in_row(audited(spark, sf_dir), "title.").withColumn("others", F.array_join("others", ","))
 
 
 @query(f"WITH {MEASURED} SELECT page_id, url, title, h1 AS h1_text, words, lang, charset, CAST(1 AS INTEGER) AS h1, CAST(0 AS INTEGER) AS h2, n_links AS links, CAST(0 AS INTEGER) AS images FROM m")
 def summary_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.summary(snapshots(spark, sf_dir)).select("page_id", "url", "title", "h1_text", "words", "lang", "charset", "h1", "h2", "links", "images")
+    return A.summary(snapshots(spark, sf_dir, "head", "headings", "content", "links", "images")).select("page_id", "url", "title", "h1_text", "words", "lang", "charset", "h1", "h2", "links", "images")
 
 
 @query(f"WITH {LINKS}, u AS (SELECT page_id, raw, min(pos) AS pos FROM l GROUP BY 1, 2) SELECT page_id, count(*) AS n FROM u GROUP BY page_id")
 def links_to_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snap = snapshots(spark, sf_dir)
+    snap = snapshots(spark, sf_dir, "links")
     return ST.same_origin(ST.links_to_check(snap), snap).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SCAN_SQL}, names AS (SELECT * FROM (VALUES {', '.join(f'({_sql(k)}, {_sql(n)}, {_sql(c)})' for k, n, c, _, _ in TRACKERS)}) AS g(key, name, category)) SELECT CAST(page_id AS BIGINT) AS page_id, category, string_agg(DISTINCT name, '; ' ORDER BY name) AS names FROM hit JOIN names USING (key) GROUP BY page_id, category")
 def tech_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.tech_view(tracker_fixture(spark).select("page_id", F.col("t").alias("trackers")))
+    rows = A.tech_view(tracker_fixture(spark, sf_dir).select("page_id", F.col("t").alias("trackers")))
     return rows.select("page_id", "category", F.array_join("names", "; ").alias("names"))
+
+
+# ---------------------------------------------------------------- rules, views and joins that the queries above leave out
+TITLE_CASES = spread("(VALUES (1, CAST(NULL AS STRING), 0, 'en', 'utf-8', 'width=device-width'), (2, repeat('wide title ', 8), 1, '', 'utf-8', 'w'), (3, 'A title of middling length, thirty', 2, 'en', '', CAST(NULL AS STRING)), (4, 'Short', 1, CAST(NULL AS STRING), CAST(NULL AS STRING), 'w')) AS t(page_id, title, n, lang, charset, viewport)", 4)
+
+
+@query(f"""WITH t AS (SELECT *, coalesce(title, '') = '' AS none, round(length(title) * 9.2) > 580 AS long, length(title) < 30 AS short FROM {TITLE_CASES})
+  SELECT page_id, id, severity, title, detail, fix FROM (
+    SELECT page_id, 'title.missing' AS id, 'fail' AS severity, 'No title' AS title, CAST(NULL AS VARCHAR) AS detail, 'Write one that names the page.' AS fix FROM t WHERE none
+    UNION ALL SELECT page_id, 'title.multiple', 'warn', n || ' title elements', t.title || ', ' || t.title, 'Keep one.' FROM t WHERE n > 1
+    UNION ALL SELECT page_id, 'title.long', 'warn', 'The title is cut off in results', CAST(round(length(t.title) * 9.2) AS BIGINT) || ' px of 580', 'Shorten it.' FROM t WHERE long
+    UNION ALL SELECT page_id, 'title.short', 'warn', 'The title is short', t.title, 'Use the room that is left.' FROM t WHERE short AND NOT none
+    UNION ALL SELECT page_id, 'title.ok', 'pass', 'The title fits', t.title, NULL FROM t WHERE NOT (none OR long OR short)
+    UNION ALL SELECT page_id, 'meta.lang', 'warn', 'No language on the document', NULL, 'Set lang on the html element.' FROM t WHERE coalesce(lang, '') = ''
+    UNION ALL SELECT page_id, 'meta.charset', 'note', 'No character set declared', NULL, 'Declare utf-8 first thing in the head.' FROM t WHERE coalesce(charset, '') = ''
+    UNION ALL SELECT page_id, 'meta.viewport', 'fail', 'No viewport', NULL, 'Set width=device-width.' FROM t WHERE viewport IS NULL)""")
+def title_and_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = given(values(spark, sf_dir, TITLE_CASES), title__count=F.col("n"), title__text=F.col("title"), title__all=F.array_repeat("title", F.col("n")), lang=F.col("lang"), metaCharset=F.col("charset"), viewport=F.col("viewport"))
+    found = FD.long(df.select("page_id", FD.evaluate(R.meta(F.col("s"), NONE(None).cast("double"), NONE(None).cast("double"))).alias("findings")))
+    return A.by_prefix(found, "title.", "meta.").select("page_id", "id", "severity", "title", "detail", "fix")
+
+
+MEASURED_WIDTHS = spread("(VALUES (1, 'Short', 700.0D, 100.0D), (2, 'A title of middling length, thirty', 0.0D, 990.0D), (3, repeat('wide title ', 8), 300.0D, CAST(NULL AS DOUBLE))) AS t(page_id, title, title_px, desc_px)".replace("0D", "0"), 3)
+
+
+@query(f"""WITH t AS (SELECT *, CASE WHEN title_px > 0 THEN title_px ELSE round(length(title) * 9.2) END AS tw, CASE WHEN desc_px > 0 THEN desc_px ELSE round(80 * 6.6) END AS dw FROM {MEASURED_WIDTHS})
+  SELECT page_id, CASE WHEN tw > 580 THEN 'title.long' WHEN length(title) < 30 THEN 'title.short' ELSE 'title.ok' END AS title_id, CASE WHEN dw > 960 THEN 'desc.long' ELSE 'desc.ok' END AS desc_id FROM t""")
+def measured_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, sf_dir, MEASURED_WIDTHS)
+    s = snapshot({"title.count": F.lit(1), "title.text": F.col("title"), "description.count": F.lit(1), "description.content": F.lit("d" * 80)})
+    found = A.audit(rows.select(F.col("page_id").cast("long").alias("page_id"), s.alias("s"), F.col("title_px").cast("double").alias("title_px"), F.col("desc_px").cast("double").alias("desc_px")))
+    first = lambda p: F.try_element_at(F.filter("findings", lambda f: f["id"].startswith(p)), F.lit(1))["id"]
+    return found.select("page_id", first("title.").alias("title_id"), first("desc.").alias("desc_id"))
+
+
+LINK_COUNTS = spread("(VALUES (1, 301, 0, true, 120), (2, 300, 2, false, 200), (3, 3, 1, true, 900)) AS t(page_id, links, scripts, has_main, words)", 3)
+
+
+@query(f"""SELECT page_id, id, title FROM (SELECT page_id, 'link.many' AS id, links || ' links' AS title FROM {LINK_COUNTS} WHERE links > 300 UNION ALL SELECT page_id, 'link.javascript', scripts || CASE WHEN scripts = 1 THEN ' javascript: link' ELSE ' javascript: links' END FROM {LINK_COUNTS} WHERE scripts > 0
+  UNION ALL SELECT page_id, 'content.no-main', 'No main or article element' FROM {LINK_COUNTS} WHERE NOT has_main UNION ALL SELECT page_id, CASE WHEN words < 150 THEN 'content.thin' WHEN words < 300 THEN 'content.short' ELSE 'content.ok' END, CASE WHEN words < 150 THEN 'Little text: ' WHEN words < 300 THEN 'Short text: ' ELSE '' END || words || ' words' FROM {LINK_COUNTS})""")
+def count_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = lambda t: F.lit(None).cast(t)
+    link = F.struct(F.lit("https://a.com/x").alias("href"), none("string").alias("raw"), F.lit("link").alias("kind"), F.lit("x").alias("text"), none("string").alias("rel"), none("string").alias("target"), F.lit(True).alias("internal"), none("string").alias("region"), none("boolean").alias("hidden"), none("boolean").alias("hasImage"), none("string").alias("ariaLabel"))
+    df = given(values(spark, sf_dir, LINK_COUNTS), links=F.array_repeat(link, F.col("links")), specialLinks__javascript=F.col("scripts"), content__hasMain=F.col("has_main"), content__mainWords=F.col("words"))
+    found = FD.long(A.audit(df))
+    return found.where(F.col("id").isin("link.many", "link.javascript") | F.col("id").startswith("content.")).select("page_id", "id", "title")
+
+
+#: JSON-LD as it stands in a page: valid or not, one type or several, with and without what the type needs
+BLOCKS = spread("""(VALUES (1, '{"@type": "Service", "name": "x", "provider": "p", "@id": "#s"}'), (2, '{"@type": "Service", "name": ""}'), (3, '{"@type": "Service", name}'), (4, '{"@type": "Thing", "description": "d"}'), (5, '')) AS t(page_id, ld)""", 5)
+LD_SQL = f"""b AS (SELECT page_id, ld, ld <> '' AS has, CASE WHEN ld <> '' THEN json_valid(ld) ELSE false END AS ok, CASE WHEN json_valid(ld) THEN json_extract_string(ld, '$."@type"') END AS type, CASE WHEN json_valid(ld) THEN json_extract_string(ld, '$.name') END AS name, CASE WHEN json_valid(ld) THEN json_extract_string(ld, '$.provider') END AS provider, CASE WHEN json_valid(ld) THEN json_extract_string(ld, '$."@id"') END AS id FROM {BLOCKS}),
+  k AS (SELECT *, coalesce(type = 'Service', false) AS needs, concat_ws(',', CASE WHEN coalesce(name, '') = '' THEN 'name' END, CASE WHEN coalesce(provider, '') = '' THEN 'provider' END) AS lacks FROM b)"""
+
+
+def ld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = F.when(F.col("ld") == "", "").otherwise(F.concat(F.lit('<script type="application/ld+json">'), F.col("ld"), F.lit("</script>"))).alias("part")
+    rows = values(spark, sf_dir, BLOCKS).select("page_id", block)
+    return extract(rows.join(pages(spark, sf_dir), "page_id").select("page_id", "url", F.concat("part", "html").alias("html")), ("structuredData",))
+
+
+@query(f"""WITH {LD_SQL} SELECT page_id, id, severity FROM (SELECT page_id, 'schema.parse' AS id, 'fail' AS severity FROM k WHERE has AND NOT ok UNION ALL SELECT page_id, 'schema.none', 'warn' FROM k WHERE NOT has UNION ALL SELECT page_id, 'schema.present', 'pass' FROM k WHERE ok
+  UNION ALL SELECT page_id, 'schema.required.Service', 'warn' FROM k WHERE ok AND needs AND lacks <> '' UNION ALL SELECT page_id, 'schema.no-id', 'note' FROM k WHERE ok AND id IS NULL)""")
+def schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fired(FD.evaluate(R.schema(F.col("s"))), ld_pages(spark, sf_dir), "schema.")
+
+
+@query(f"""WITH {LD_SQL} SELECT page_id, CASE WHEN NOT ok THEN 'fail' WHEN needs AND lacks <> '' THEN 'warn' ELSE 'pass' END AS severity, coalesce(type, '') AS types, coalesce(id, '') AS ids, CASE WHEN ok AND needs THEN lacks ELSE '' END AS missing, CASE WHEN ok THEN CASE page_id % 5 + 1 WHEN 4 THEN 'description' ELSE concat_ws(',', CASE WHEN name <> '' THEN 'name' END, CASE WHEN provider <> '' THEN 'provider' END) END ELSE '' END AS properties FROM k WHERE has""")
+def schema_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c: F.array_join(c, ",")
+    return A.schema_blocks(ld_pages(spark, sf_dir)).select("page_id", "severity", joined("types").alias("types"), joined("ids").alias("ids"), joined("missing").alias("missing"), joined(F.flatten("properties")).alias("properties"))
+
+
+GAPS = spread("(VALUES (1, true, 2, 1), (2, true, 1, 1), (3, false, 1, 0), (4, true, 0, 2)) AS t(page_id, fetched, live_ld, raw_ld)", 4)
+
+
+@query(f"SELECT page_id, id, severity FROM (SELECT page_id, 'js.no-raw' AS id, 'note' AS severity FROM {GAPS} WHERE NOT fetched UNION ALL SELECT page_id, 'js.schema-injected', 'warn' FROM {GAPS} WHERE fetched AND live_ld > raw_ld UNION ALL SELECT page_id, 'js.content-ok', 'pass' FROM {GAPS} WHERE fetched)")
+def raw_and_schema_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, sf_dir, GAPS)
+    block = F.struct(F.lit(0).alias("index"), F.lit(True).alias("ok"), F.lit("{}").alias("data"), F.lit(2).alias("bytes"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("preview"), F.array().cast("array<struct<types:array<string>,id:string,present:array<string>,sameAs:array<string>>>").alias("nodes"))
+    side = lambda x: snapshot({"content.mainWords": F.lit(200), "structuredData.jsonLd": F.array_repeat(block, F.col(f"{x}_ld"))})
+    live = rows.select(F.col("page_id").cast("long").alias("page_id"), side("live").alias("s"))
+    raw = rows.where("fetched").select(F.col("page_id").cast("long").alias("page_id"), side("raw").alias("s"))
+    facts = rows.select(F.col("page_id").cast("long").alias("page_id"), F.lit("read").alias("verdict"), F.lit(None).cast("array<struct<id:string,group:string,allowed:boolean>>").alias("grid"), F.lit(None).cast("array<struct<agent:string,status:int,bytes:bigint,error:string>>").alias("probes"), F.lit(None).cast("long").alias("base_bytes"), F.struct(F.lit(False).alias("html"), F.lit(True).alias("present"), F.lit(True).alias("h1"), F.lit(True).alias("summary")).alias("llms"))
+    found = FD.long(A.site_audit(live, raw, facts))
+    return A.by_prefix(found, "js.").select("page_id", "id", "severity")
+
+
+ACCESS = spread("(VALUES (1, 'read', 'Googlebot', 'index, noai'), (2, 'read', 'Google-Extended,GPTBot', 'noimageai'), (3, 'blocked', '', 'index'), (4, 'open', 'Googlebot', CAST(NULL AS STRING)), (5, 'read', '', '')) AS t(page_id, verdict, shut, robots)", 5)
+
+
+@query(f"""WITH a AS (SELECT *, string_split(shut, ',') AS ids FROM {ACCESS}) SELECT page_id, id, severity FROM (
+    SELECT page_id, 'robots.availability' AS id, CASE verdict WHEN 'blocked' THEN 'fail' ELSE 'note' END AS severity FROM a WHERE verdict <> 'read' UNION ALL SELECT page_id, 'robots.search-blocked', 'fail' FROM a WHERE verdict = 'read' AND list_contains(ids, 'Googlebot')
+    UNION ALL SELECT page_id, 'robots.google-extended', 'warn' FROM a WHERE verdict = 'read' AND list_contains(ids, 'Google-Extended') UNION ALL SELECT page_id, 'robots.ai-blocked', 'note' FROM a WHERE verdict = 'read' AND list_contains(ids, 'GPTBot')
+    UNION ALL SELECT page_id, 'robots.all-allowed', 'pass' FROM a WHERE verdict = 'read' AND shut = '' UNION ALL SELECT page_id, 'meta.noai', 'note' FROM a WHERE verdict = 'read' AND regexp_matches(coalesce(robots, ''), 'noai|noimageai'))""")
+def crawler_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, sf_dir, ACCESS)
+    grid = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(g).alias("group"), (~F.array_contains(F.split("shut", ","), i)).alias("allowed")) for i, g in (("Googlebot", "search"), ("Google-Extended", "ai"), ("GPTBot", "ai"))))
+    df = rows.select(F.col("page_id").cast("long").alias("page_id"), snapshot({"robotsMeta.content": F.col("robots")}).alias("s"), "verdict", grid.alias("grid"))
+    return fired(FD.evaluate(R.crawler_access(F.col("s"), F.col("verdict"), F.col("grid"))), df)
+
+
+#: Fixed values, written once more for the SQL: words that open a question.
+QUESTION_CASES = spread("(VALUES (1, 'Can''t it wait', 'Whatever comes'), (2, 'Doing it', 'Areas'), (3, 'Who-is-who', 'x'), (4, 'Is/are rules', 'Sure?'), (5, 'the why', 'canoe')) AS t(page_id, one, two)", 5)
+_QUESTION = r"'^(who|what|when|where|why|how|which|can|do|does|is|are|should|will)([^a-z0-9_]|$)'"
+
+
+@query(f"""WITH {MEASURED}, q AS (SELECT c.page_id, h1, unnest([one, two, 'Plain', h1]) AS h FROM (SELECT * FROM {QUESTION_CASES}) c JOIN m USING (page_id)),
+  n AS (SELECT page_id, count(*) FILTER (h <> '' AND (trim(h) LIKE '%?' OR regexp_matches(lower(trim(h)), {_QUESTION}))) AS n FROM q GROUP BY page_id) SELECT page_id, CAST(n AS INTEGER) AS questions, n = 0 AS "no_questions" FROM n""")
+def question_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = values(spark, sf_dir, QUESTION_CASES).select("page_id", F.concat(F.lit("<h2>"), "one", F.lit("</h2><h2>"), "two", F.lit("</h2><h3>Plain</h3>")).alias("part"))
+    snap = extract(parts.join(pages(spark, sf_dir), "page_id").select("page_id", "url", F.concat("part", "html").alias("html")), ("headings", "content"))
+    asked = FD.evaluate(R.citability(F.col("s")))
+    return snap.select("page_id", F.col("s.content.questionHeadings").alias("questions"), F.exists(asked, lambda f: f["id"] == "cite.no-questions").alias("no_questions"))
+
+
+@query(f"""WITH n AS (SELECT page_id, count(*) FILTER (lower(header) IN ('strict-transport-security', 'content-security-policy', 'x-content-type-options', 'x-frame-options', 'referrer-policy', 'permissions-policy')) + CASE WHEN bool_or(https) THEN 1 ELSE 0 END AS n FROM {HEADER_ROWS} GROUP BY page_id)
+  SELECT page_id, 'tech.security' AS id, 'Security headers: grade ' || CASE WHEN n >= 2 THEN 'D' ELSE 'F' END AS title FROM n WHERE n < 4""")
+def security_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, sf_dir, HEADER_ROWS).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.map_from_entries(F.collect_list(F.struct("header", F.lit("v")))).alias("h"), F.bool_or("https").alias("https"))
+    none = F.array().cast(tech.TRACKER)
+    found = FD.long(rows.select("page_id", FD.evaluate(tech.tech_rules(none, tech.security(F.col("h"), F.col("https")))).alias("findings")))
+    return found.where("id = 'tech.security'").select("page_id", "id", "title")
+
+
+BROKEN = spread("(VALUES (1, CAST(NULL AS STRING)), (2, 'ValueError: odd page'), (3, CAST(NULL AS STRING))) AS t(page_id, error)", 3)
+
+
+@query(f"SELECT b.page_id, CASE WHEN error IS NULL THEN 'index.http' ELSE 'run.error' END AS id, CASE WHEN error IS NULL THEN 'fail' ELSE 'note' END AS severity, error AS detail FROM (SELECT * FROM {BROKEN}) b JOIN pages p USING (page_id) WHERE error IS NOT NULL OR p.url LIKE 'http:%'")
+def unreadable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, sf_dir, BROKEN).join(pages(spark, sf_dir), "page_id")
+    df = given(rows, error=F.col("error"), protocol=F.concat(F.substring_index("url", ":", 1), F.lit(":")))
+    return FD.long(A.audit(df)).where("id in ('run.error', 'index.http')").select("page_id", "id", "severity", "detail")
+
+
+@query(f"""WITH {LINK_SQL}, f AS (SELECT page_id, unnest(list_filter([CASE WHEN coalesce(internal, false) THEN 'internal' END, CASE WHEN NOT coalesce(internal, true) THEN 'external' END, CASE WHEN nofollow THEN 'nofollow' END, CASE WHEN kind = 'no-href' OR silent OR own_nofollow OR generic THEN 'problems' END], lambda x: x IS NOT NULL)) AS show FROM a)
+  SELECT page_id, show, count(*) AS n FROM f GROUP BY page_id, show""")
+def link_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap, out = link_fixture(spark, sf_dir), None
+    for show in ("internal", "external", "nofollow", "problems"):
+        rows = A.links(snap, show).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", F.lit(show).alias("show"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""WITH {IMAGE_SQL}, f AS (SELECT page_id, pos, regexp_extract(src, '([^/]+)$', 1) AS file, unnest(list_filter(['all', CASE WHEN NOT has_alt THEN 'noalt' END, CASE WHEN dead THEN 'broken' END, CASE WHEN dead OR NOT has_alt OR big OR unsized OR lazy THEN 'problems' END], lambda x: x IS NOT NULL)) AS show FROM i) SELECT page_id, pos, file, show FROM f""")
+def image_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap, out = image_fixture(spark, sf_dir), None
+    for show in ("all", "noalt", "broken", "problems"):
+        rows = A.images(snap, show).select("page_id", "pos", "file", F.lit(show).alias("show"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: answers by the length of a target: two in five have none yet
+_ANSWERED = "(VALUES (0, 200, false), (1, 404, false), (2, 200, true)) AS t(k, status, redirected)"
+
+
+@query(f"""WITH {LINKS}, u AS (SELECT DISTINCT page_id, raw FROM l), j AS (SELECT u.*, a.status, a.redirected FROM u LEFT JOIN (SELECT * FROM {_ANSWERED}) a ON a.k = length(raw) % 5)
+  SELECT page_id, CAST(count(*) AS BIGINT) AS total, count(status) AS done, count(*) FILTER (status >= 400) AS broken, count(*) FILTER (status < 400 AND redirected) AS moved FROM j GROUP BY page_id""")
+def link_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = snapshots(spark, sf_dir, "links")
+    targets = ST.real_links(snap).groupBy("key").agg(F.min("link.raw").alias("raw"))
+    answers = targets.join(spark.sql(f"SELECT * FROM {_ANSWERED}"), F.length("raw") % 5 == F.col("k")).select(F.col("key").alias("url"), "status", "redirected", F.lit(None).cast("string").alias("error"))
+    got = ST.link_status(snap, answers)
+    return got.groupBy("page_id").agg(F.count("*").alias("total"), F.count("severity").alias("done"), F.count_if(F.col("severity") == "fail").alias("broken"), F.count_if(F.col("severity") == "warn").alias("moved"))
+
+
+HEAD_CASES = spread("""(VALUES (1, '<link rel=amphtml href="/amp"><link rel="prev" href="/1"><link rel="shortcut icon" href="/f.ico"><div itemscope></div><form></form>'), (2, '<link rel="manifest" href="/m.json"><link rel="next" href="https://n.org/2"><div typeof=x vocab=y></div><iframe src="/i"></iframe><input type=password><noscript>n</noscript>'), (3, '')) AS t(page_id, part)""", 3)
+
+
+@query(f"""WITH c AS (SELECT t.*, regexp_extract(p.url, '^(https?://[^/]+)', 1) AS o FROM {HEAD_CASES} JOIN pages p ON p.page_id = t.page_id), k AS (SELECT *, page_id % 3 + 1 AS k FROM c)
+  SELECT page_id, CASE WHEN part LIKE '%amphtml%' THEN o || '/amp' END AS amphtml, CASE WHEN part LIKE '%"prev"%' THEN o || '/1' END AS prev, CASE WHEN part LIKE '%"next"%' THEN 'https://n.org/2' END AS next, CASE WHEN part LIKE '%"manifest"%' THEN o || '/m.json' END AS manifest, CASE WHEN part LIKE '%icon%' THEN o || '/f.ico' END AS favicon,
+    CAST(len(regexp_extract_all(part, 'itemscope')) AS INTEGER) AS microdata, CAST(len(regexp_extract_all(part, 'typeof')) AS INTEGER) AS rdfa, CAST(len(regexp_extract_all(part, '<form')) AS INTEGER) AS forms, CAST(len(regexp_extract_all(part, '<iframe')) AS INTEGER) AS iframes, CAST(len(regexp_extract_all(part, 'type=password')) AS INTEGER) AS passwords, CAST(len(regexp_extract_all(part, '<noscript')) AS INTEGER) AS noscripts FROM k""")
+def alternates_and_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    alt, data, page = s["alternates"], s["structuredData"], s["page"]
+    return extract(with_part(spark, sf_dir, HEAD_CASES), ("head", "structuredData", "page")).select("page_id", *(alt[x].alias(x) for x in ("amphtml", "prev", "next", "manifest")), F.try_element_at(alt["favicons"], F.lit(1))["href"].alias("favicon"), data["microdataItems"].alias("microdata"), data["rdfaItems"].alias("rdfa"), page["forms"].alias("forms"), page["iframes"].alias("iframes"), page["passwordFields"].alias("passwords"), page["noscript"].alias("noscripts"))
+
+
+ROBOTS_ANSWERS = spread("(VALUES (1, 200, CAST(NULL AS STRING), 'User-agent: *' || chr(10) || 'Crawl-delay: 7' || chr(10) || 'Disallow: /en' || chr(10) || 'User-agent: gptbot' || chr(10) || 'Allow: /'), (2, 200, CAST(NULL AS STRING), '<!DOCTYPE html><p>Disallow: /'), (3, 404, CAST(NULL AS STRING), 'User-agent: *' || chr(10) || 'Disallow: /'), (4, 200, 'timed out', ''), (5, 200, CAST(NULL AS STRING), 'User-agent: a' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || 'User-agent: *' || chr(10) || 'Crawl-delay: 2')) AS t(site, status, error, text)", 5, "site")
+
+
+def robots_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, sf_dir, ROBOTS_ANSWERS).withColumn("site", F.col("site").cast("string"))
+
+
+@query(f"""WITH s AS (SELECT CAST(site AS VARCHAR) AS site, CASE WHEN error IS NOT NULL OR status >= 500 THEN 'blocked' WHEN status >= 300 THEN 'open' ELSE 'read' END AS verdict, regexp_matches(text, '(?i)^\\s*<(!doctype|html)') AS html FROM {ROBOTS_ANSWERS}) SELECT *, verdict = 'read' AND NOT html AS usable FROM s""")
+def robots_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RB.states(robots_answers(spark, sf_dir)).drop("bytes")
+
+
+@query(f"""WITH p AS (SELECT page_id % 5 + 1 AS k, CAST(page_id AS VARCHAR) AS site, regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM pages) SELECT site, id, CASE WHEN k = 1 THEN id = 'GPTBot' OR NOT starts_with(path, '/en') ELSE false END AS allowed FROM p, (VALUES ('GPTBot'), ('Bingbot')) AS a(id) WHERE k IN (1, 5)""")
+def robots_fetched_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("site"), "url")
+    return RB.fetched_grid(robots_answers(spark, sf_dir), targets, [("GPTBot", "ai"), ("Bingbot", "search")]).select("site", "id", "allowed")
+
+
+@query("""WITH p AS (SELECT page_id % 5 + 1 AS k, CAST(page_id AS VARCHAR) AS site FROM pages) SELECT site, id, CASE WHEN k = 1 AND id = 'GPTBot' THEN 'gptbot' ELSE '*' END AS token, CASE WHEN k = 1 AND id = 'GPTBot' THEN 'name' ELSE 'wildcard' END AS matched_by, CAST(1 AS BIGINT) AS n_rules, CASE WHEN k = 5 THEN '2' WHEN id = 'Bingbot' AND k = 1 THEN '7' END AS crawl_delay
+  FROM p, (VALUES ('GPTBot'), ('Bingbot')) AS a(id) WHERE k IN (1, 3, 5)""")
+def robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = robots_answers(spark, sf_dir).where("error is null").select("site", "text").where(~RB.is_page(F.col("text")))
+    return RB.group_for(RB.lines(files), [("GPTBot", "ai"), ("Bingbot", "search")])
+
+
+LLMS_PAIRS = spread("(VALUES (1, 'llms.txt', 200, '# T' || chr(10) || '> s'), (1, 'llms-full.txt', 200, '# Full' || chr(10) || '[a](b)'), (2, 'llms.txt', 404, ''), (2, 'llms-full.txt', 200, '<html>'), (3, 'llms-full.txt', 200, 'text')) AS t(site, file, status, body)", 3, "site")
+
+
+@query(f"""WITH f AS (SELECT CAST(site AS VARCHAR) AS site, file, status = 200 AND body <> '' AND NOT regexp_matches(body, '(?i)^\\s*<(!doctype|html)') AS present FROM {LLMS_PAIRS}) SELECT site, bool_or(present) FILTER (file = 'llms.txt') AS present, bool_or(present) FILTER (file = 'llms-full.txt') AS full_present FROM f GROUP BY site""")
+def llms_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = values(spark, sf_dir, LLMS_PAIRS).withColumn("site", F.col("site").cast("string"))
+    return ST.llms_files(files).select("site", F.col("llms.present").alias("present"), F.col("llms_full.present").alias("full_present"))
+
+
+@query(f"""WITH {FOUND}, every AS (SELECT page_id, id, severity FROM found UNION ALL SELECT page_id, 'tech.no-analytics', 'note' FROM pages)
+  SELECT page_id, {COUNTS}, arg_min(id, {RANK_SQL} * 100 + coalesce({SEQ_SQL}, 99)) AS worst FROM every GROUP BY page_id""")
+def computed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.compute(snapshots(spark, sf_dir)).select("page_id", "counts.*", "worst")
+
+
+@query("SELECT page_id, list_count(regexp_extract_all(html, '<p[ >]')) > 0 AS has_paragraphs, CAST(0 AS INTEGER) AS lists FROM pages")
+def content_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = F.col("s.content.shape")
+    return snapshots(spark, sf_dir, "content").select("page_id", (shape["paragraphs"] > 0).alias("has_paragraphs"), shape["lists"].alias("lists"))
