@@ -829,21 +829,21 @@ def unreadable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FD.long(A.audit(df)).where("id in ('run.error', 'index.http')").select("page_id", "id", "severity", "detail")
 
 
-@query(f"""WITH {LINK_SQL}, f AS (SELECT page_id, unnest(list_filter([CASE WHEN coalesce(internal, false) THEN 'internal' END, CASE WHEN NOT coalesce(internal, true) THEN 'external' END, CASE WHEN nofollow THEN 'nofollow' END, CASE WHEN kind = 'no-href' OR silent OR own_nofollow OR generic THEN 'problems' END], lambda x: x IS NOT NULL)) AS show FROM a)
-  SELECT page_id, show, count(*) AS n FROM f GROUP BY page_id, show""")
+@query(f"""WITH {LINK_SQL}, f AS (SELECT page_id, unnest(list_filter([CASE WHEN coalesce(internal, false) THEN 'internal' END, CASE WHEN NOT coalesce(internal, true) THEN 'external' END, CASE WHEN nofollow THEN 'nofollow' END, CASE WHEN kind = 'no-href' OR silent OR own_nofollow OR generic THEN 'problems' END], lambda x: x IS NOT NULL)) AS shown FROM a)
+  SELECT page_id, shown, count(*) AS n FROM f GROUP BY page_id, shown""")
 def link_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap, out = link_fixture(spark, sf_dir), None
     for show in ("internal", "external", "nofollow", "problems"):
-        rows = A.links(snap, show).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", F.lit(show).alias("show"), "n")
+        rows = A.links(snap, show).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", F.lit(show).alias("shown"), "n")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-@query(f"""WITH {IMAGE_SQL}, f AS (SELECT page_id, pos, regexp_extract(src, '([^/]+)$', 1) AS file, unnest(list_filter(['all', CASE WHEN NOT has_alt THEN 'noalt' END, CASE WHEN dead THEN 'broken' END, CASE WHEN dead OR NOT has_alt OR big OR unsized OR lazy THEN 'problems' END], lambda x: x IS NOT NULL)) AS show FROM i) SELECT page_id, pos, file, show FROM f""")
+@query(f"""WITH {IMAGE_SQL}, f AS (SELECT page_id, pos, regexp_extract(src, '([^/]+)$', 1) AS file, unnest(list_filter(['all', CASE WHEN NOT has_alt THEN 'noalt' END, CASE WHEN dead THEN 'broken' END, CASE WHEN dead OR NOT has_alt OR big OR unsized OR lazy THEN 'problems' END], lambda x: x IS NOT NULL)) AS shown FROM i) SELECT page_id, pos, file, shown FROM f""")
 def image_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap, out = image_fixture(spark, sf_dir), None
     for show in ("all", "noalt", "broken", "problems"):
-        rows = A.images(snap, show).select("page_id", "pos", "file", F.lit(show).alias("show"))
+        rows = A.images(snap, show).select("page_id", "pos", "file", F.lit(show).alias("shown"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
