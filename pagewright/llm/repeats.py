@@ -14,13 +14,17 @@ bucket of the suffix array, and no bucket needs another. Anchors that occur once
 4. The repeated windows of each document are joined, and taken out of its text.
 
 A bucket with more than HOT distinct segments (a passage that very many texts share, each going on in its
-own way) is not sorted in one task: its windows become rows, are counted by their hash with
-pre-aggregation, and those that recur are joined back. So memory is that of HOT segments. Ids are the rows' places, so equal or null doc_ids are
+own way) is too large for one task. It is split by its next bytes: the windows that start in the first half of the
+distances to the anchor have more bytes in common than the anchor, and so have those of the second half;
+the hash of these bytes names the new bucket, and the segment is cut to the windows' span. Equal windows stay
+together, segments that only differed outside become one, those that differ inside part. Splitting goes on
+while a bucket is too large, log2(length) times at most, for then a bucket is one window. So memory is that of
+HOT segments, and every bucket is sorted the same way. Ids are the rows' places, so equal or null doc_ids are
 separate documents.
 
 Edge cases: null is empty (sha of nothing); texts under ``length`` bytes are kept whole; matches never
 cross documents; overlapping repeats inside one document count. Extra columns are not carried. An empty
-table gives no rows. Windows are compared by 64-bit hashes after sorting.
+table gives no rows. Windows are compared by 64-bit hashes after sorting. A batch that joins more than 2^POSITION bytes is an error.
 """
 
 from __future__ import annotations
@@ -57,6 +61,8 @@ def anchors(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     none = np.zeros(0, np.int64)
+    if len(joined) >= 1 << POSITION:
+        raise ValueError(f"a text of {len(joined)} bytes is longer than places can tell")
     if len(joined) < length:
         return joined, none, none, none, none, none
     prefix = hashing.prefixes(joined)
@@ -222,40 +228,39 @@ def sorted_buckets(distinct: DataFrame, length: int, at_once: int = 400) -> Data
     return distinct.mapInArrow(tidied(run), "digest binary, ranges array<long>")
 
 
-def window_rows(hot: DataFrame, length: int) -> DataFrame:
-    """Every window of segments that are too many for one task: h (its hash), digest, start, times.
+#: A distinct segment: its bucket, bytes, the place in it that distances are counted from, how often it occurs, and the distances its bucket has.
+DISTINCT = "digest binary, hash long, seg binary, anchor int, times long, lo int, hi int"
 
-    Windows that a batch has twice are known to recur: they come as ranges of starts a segment, and as one
-    row without digest that tells other batches.
-    """
-    schema = pa.schema([("h", pa.int64()), ("digest", pa.binary()), ("start", pa.int64()), ("times", pa.int64()), ("ranges", pa.list_(pa.int64()))])
+
+def halves(large: DataFrame, length: int) -> DataFrame:
+    """Segments of buckets that are too large, each as one or two of smaller buckets: DISTINCT, and parent (digest) and offset."""
+    schema = pa.schema([("digest", pa.binary()), ("hash", pa.int64()), ("seg", pa.binary()), ("anchor", pa.int32()), ("times", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("parent", pa.binary()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in by_size(whole, BATCH, "seg"):
-                segs, digests, times = b.column("seg").to_pylist(), b.column("digest"), b.column("times").to_numpy()
-                sizes = np.array([len(s) for s in segs], dtype=np.int64)
-                n = sizes - length + 1
-                owner = np.repeat(np.arange(len(segs)), n)
-                start = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                at = start + (np.cumsum(sizes) - sizes)[owner]
-                h = hashing.windows(hashing.prefixes(np.frombuffer(b"".join(segs), dtype=np.uint8)), at, at + length).view(np.int64)
-                values, which, counts = np.unique(h, return_inverse=True, return_counts=True)
-                again = counts[which] > 1
-                one, several = np.flatnonzero(~again), values[counts > 1]
-                cuts = np.searchsorted(owner[again], np.arange(len(segs) + 1))
-                own = [(k, ranges(start[again][x:y])) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                none = lambda size, kind: pa.nulls(size, kind)
-                columns = [
-                    pa.concat_arrays([pa.array(h[one]), pa.array(several), none(len(own), pa.int64())]),
-                    pa.concat_arrays([digests.take(pa.array(owner[one])), none(len(several), pa.binary()), digests.take(pa.array([k for k, _ in own], pa.int64()))]),
-                    pa.concat_arrays([pa.array(start[one]), none(len(several) + len(own), pa.int64())]),
-                    pa.concat_arrays([pa.array(times[owner[one]]), pa.array([2] * len(several), pa.int64()), none(len(own), pa.int64())]),
-                    pa.concat_arrays([none(len(one) + len(several), schema.field("ranges").type), pa.array([r for _, r in own], schema.field("ranges").type)]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return hot.mapInArrow(tidied(run), "h long, digest binary, start long, times long, ranges array<long>")
+                rows = []
+                for parent, seg, c0, times, lo, hi in zip(*(b.column(c).to_pylist() for c in ("digest", "seg", "anchor", "times", "lo", "hi")), strict=True):
+                    mid, last = (lo + hi) // 2, len(seg) - length
+                    for near, far in ((lo, mid), (mid + 1, hi)):  # windows start `near` to `far` bytes before c0
+                        first, end = max(0, c0 - far), min(last, c0 - near)
+                        if near > far or first > end:
+                            continue
+                        own = seg[first : end + length]
+                        core = seg[c0 - near : c0 - far + length]  # all of these windows have it
+                        name = hashlib.blake2b(core, digest_size=8, salt=near.to_bytes(4, "little") + far.to_bytes(4, "little")).digest()
+                        place = c0 - first
+                        digest = hashlib.blake2b(own, digest_size=16, salt=place.to_bytes(4, "little") + near.to_bytes(4, "little"), person=far.to_bytes(4, "little")).digest()
+                        rows.append((digest, int.from_bytes(name, "little", signed=True), own, place, times, near, far, parent, first))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return large.select("digest", "seg", "anchor", "times", "lo", "hi").mapInArrow(tidied(run), f"{DISTINCT}, parent binary, offset long")
+
+
+def distinct_segments(found: DataFrame) -> DataFrame:
+    firsts = [F.max(c).alias(c) for c in ("hash", "seg", "anchor", "lo", "hi")]
+    return found.groupBy("digest").agg(*firsts, F.sum("times").alias("times"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -265,17 +270,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     again = stash(own.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash"))
     per_doc = own.join(again, "hash").groupBy("uid").agg(F.collect_list("hash").alias("hashes"))
     parts = stash(segments(docs.join(per_doc, "uid"), length))
-    found = parts.where("times is not null")
-    distinct = lambda df: df.groupBy("digest").agg(F.max("hash").alias("hash"), F.max("seg").alias("seg"), F.max("anchor").alias("anchor"), F.sum("times").alias("times"))
-    large = stash(found.select("hash", "digest").distinct().groupBy("hash").count().where(F.col("count") > hot).select("hash"))
-    # each segment is shuffled in one of the two only
-    dealt = distinct(found.join(large, "hash", "left_anti")).repartition(parts_n, "hash").sortWithinPartitions("hash")
-    flagged = sorted_buckets(dealt.select("digest", "hash", "seg", "anchor", "times"), length)
-    rows = stash(window_rows(distinct(found.join(large, "hash", "left_semi")).repartition(min(parts_n, 32)), length))
-    counted = stash(rows.where("h is not null").groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
-    met = rows.where("start is not null").join(counted, "h").select("digest", F.array("start", "start").alias("ranges"))
-    met = met.unionByName(rows.where("ranges is not null").select("digest", "ranges")).groupBy("digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    flagged = flagged.unionByName(met)
+    level = parts.where("times is not null").select("digest", "hash", "seg", "anchor", "times", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"))
+    flagged, links = None, []
+    while True:
+        # a bucket of one distance is one window, whose segments are equal: it is never too large
+        large = stash(level.where("lo < hi").select("hash", "digest").distinct().groupBy("hash").count().where(F.col("count") > hot).select("hash"))
+        last = large.isEmpty()
+        # each segment is shuffled in one of the two only
+        rest = level if last else level.join(large, "hash", "left_anti")
+        dealt = distinct_segments(rest).repartition(parts_n, "hash").sortWithinPartitions("hash")
+        here = sorted_buckets(dealt.select("digest", "hash", "seg", "anchor", "times"), length)
+        flagged = here if flagged is None else flagged.unionByName(here)
+        if last:
+            break
+        split = stash(halves(distinct_segments(level.join(large, "hash", "left_semi")).repartition(min(parts_n, 32)), length))
+        links.append(split.select("parent", "digest", "offset"))
+        level = split.drop("parent", "offset")
+    if links:
+        flagged = stash(flagged)
+    for link in reversed(links):  # from the smallest buckets up
+        of_parents = link.join(flagged, "digest").select(F.col("parent").alias("digest"), F.transform("ranges", lambda x: x + F.col("offset")).alias("ranges"))
+        flagged = stash(flagged.unionByName(of_parents).groupBy("digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
     places = parts.where("uid is not null")
     known = places.where("digest is null").select("uid", F.array("lo", "hi").alias("windows"))
     met = places.where("digest is not null").select("digest", "uid", "lo").join(flagged, "digest").select("uid", F.transform("ranges", lambda x: x + F.col("lo")).alias("windows"))

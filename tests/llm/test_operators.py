@@ -185,27 +185,55 @@ def test_suffix_tree_grows_with_the_corpus(spark):
 
 # ------------------------------------------------------------ 4
 def brute_repeats(raws: list[bytes], length: int) -> list[bytearray]:
-    seen = Counter(b[k : k + length] for b in raws for k in range(len(b) - length + 1))
+    seen = Counter(hash(b[k : k + length]) for b in raws for k in range(len(b) - length + 1))
     out = []
     for b in raws:
         cover = bytearray(len(b))
         for k in range(len(b) - length + 1):
-            if seen[b[k : k + length]] > 1:
+            if seen[hash(b[k : k + length])] > 1:
                 cover[k : k + length] = b"\x01" * length
         out.append(cover)
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(400, 512), (100, 512), (100, 0)])
+def brute_rows(raws, length):
+    out = Counter()
+    for (i, b), cover in zip(raws, brute_repeats([b for _, b in raws], length), strict=True):
+        spans = [m.span() for m in re.finditer(b"\x01+", bytes(cover))]
+        out[i, len(b), sum(e - s for s, e in spans), tuple(x for p in spans for x in p), bytes(x for x, c in zip(b, cover, strict=True) if not c)] += 1
+    return out
+
+
+def repeat_rows(df):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, tuple(r.spans), bytes(r.kept)) for r in df.collect())
+
+
+@pytest.mark.parametrize(("length", "hot"), [(400, 512), (100, 512), (100, 1), (100, 0)])
 def test_repeats(spark, docs, table, length, hot):
-    raws = [(i, (t or "").encode()) for i, t in table]
-    want = Counter((i, len(b), bytes(x for x, c in zip(b, cover, strict=True) if not c)) for (i, b), cover in zip(raws, brute_repeats([b for _, b in raws], length), strict=True))
-    got = Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in repeats.remove(docs, length, hot).collect())
+    want = brute_rows([(i, (t or "").encode()) for i, t in table], length)
+    got = repeat_rows(repeats.remove(docs, length, hot))
     assert got == want
-    assert any(len(k) < n for _, n, k in got)
+    assert any(removed for _, _, removed, _, _ in got)
     assert repeats.remove(fixtures.empty(spark)).count() == 0
 
 
+def test_repeats_of_more_segments_than_a_task_sorts(spark):
+    """A passage in more texts than HOT, each with its own words around it, some of them sharing more."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    passage, more = " ".join(word() for _ in range(110)), " ".join(word() for _ in range(60))
+    assert len(passage) > repeats.LENGTH
+    rows = []
+    for i in range(repeats.HOT + 150):
+        lead, tail = " ".join(word() for _ in range(rng.randint(0, 12))), " ".join(word() for _ in range(20))
+        cut = rng.choice([0, 0, 0, 40])
+        rows.append((i, f"{lead} {passage[cut:]} {more if i % 9 == 0 else ''}{tail}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/hot-passage")
+    got = repeat_rows(repeats.remove(spark.read.parquet(path)))
+    assert got == brute_rows([(i, t.encode()) for i, t in rows], repeats.LENGTH)
+
+
 def test_difference_cover_reaches_every_distance():
     c = np.flatnonzero(repeats.COVER)
     assert {int((a - b) % repeats.PERIOD) for a in c for b in c} == set(range(repeats.PERIOD))
