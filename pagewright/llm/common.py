@@ -27,8 +27,12 @@ def fold(doc_id: Column | str, n: int = 5) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, a local one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/pagewright-checkpoints"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and all run in one process, a local one; on a cluster that is an error."""
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.gettempdir() + "/pagewright-checkpoints"
 
 
 def row_ids(docs: DataFrame, name: str = "uid") -> DataFrame:

@@ -42,12 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import by_size, documents, drop_shuffles, fold, stash, tidied
+from pagewright.llm.common import by_size, documents, drop_shuffles, fold, release, stash, tidied
 from pagewright.llm.hashing import word_hashes
 
 MIN_CONTEXT, MIN_PAIR, DEPTH, DISCOUNT, EVIDENCE = 8, 2, 3, 0.6, 2.0
 Q_HEAD, PLACES, LEAST_LISTS, LIST_TOKENS = 2e-6, 27, 6, 4_000_000  # lists: two to the power of LEAST_LISTS at least
-FLUSH, TEXT, DOCS = 2_000_000, 16_000_000, 30_000  # runs counted, bytes of text and documents scored, before a task gives off rows
+FLUSH, TEXT, DOCS = 1_200_000, 8_000_000, 30_000  # runs counted, bytes of text and documents scored, before a task gives off rows
 END_KEY, STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 KINDS = {"key": "<u8", "ctx": "<u8", "suf": "<u8", "n": "<i8", "p": "<f8", "value": "<f8", "doc": "<u2", "known": "<i4"}
 
@@ -323,7 +323,9 @@ def fit(train: DataFrame, units: DataFrame, total: int, unknown: float, depth: i
     levels = [first_level(units, total, unknown, bits)]
     for size in range(2, depth + 2):
         maps = bitmaps(levels[-1], bits, lambda n, p, value: [(n >= MIN_CONTEXT) & ~np.isnan(p), (n >= MIN_PAIR) & ~np.isnan(p)])
-        levels.append(stash(next_level(levels[-1], run_counts(train, size, bits, *maps), bits, discount, evidence)))
+        runs = stash(run_counts(train, size, bits, *maps))  # by itself: what counting shuffles goes before the rest is shuffled
+        levels.append(stash(next_level(levels[-1], runs, bits, discount, evidence)))
+        release(train.sparkSession, runs)
     return levels
 
 
@@ -358,7 +360,6 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
         longer_runs = longer_runs.unionByName(level)
     heads, worth, head_words = head_of(levels, least)
     (may_be,) = bitmaps(longer_runs, bits, lambda n, p, value: [(n < least) & (value != 0)])
-    map_bits, bits = bits, max(bits - 1, 1)  # longer lists here: a document's sums come back once a list
     held = docs.sparkSession.sparkContext.broadcast((heads, worth, head_words, may_be))
     lookup = "batch long, doc binary, key binary, base binary"  # for sums: doc, value as key, base, known; for a batch's own row: list is null
 
@@ -397,7 +398,7 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
                     is_word = hit & (words[at] > 0) if len(words) else hit
                     base += np.bincount(own[is_word], bases[at[is_word]], n)
                     n_known += np.bincount(own[is_word], minlength=n)
-                rest = np.flatnonzero(~hit if size == 1 else ~hit & passes(cold, key, map_bits))
+                rest = np.flatnonzero(~hit if size == 1 else ~hit & passes(cold, key, bits))
                 asked.append((key[rest], ((own[rest] + docs_n) * 2 + (size == 1)).astype(np.uint16)))
                 keys = longer(keys)
             parts.append((part.column("doc_id"), np.bincount(owner[1:], minlength=n), n_known, base, model))
