@@ -1,12 +1,14 @@
 """Nearest neighbours by shifted space-filling curves.
 
-Each of ORDERINGS curves has its own random projection to DIMS dimensions and its own random shift; a
-vector's place on a curve is the Hilbert key of its projected, shifted and quantised coordinates. All
-vectors are sorted along every curve (range partitions, numbered across them) and cut into blocks; a query
-meets the vectors of its own block and of those beside it. How far that has to reach follows from the
-table: TRIAL queries are answered exactly by one scan, and blocks are so wide that TARGET of their pairs
-of query and neighbour are within reach on some curve, BLOCK at least. Where vectors have no structure
-that is a fixed share of the table, and the work grows with the square of the rows.
+Each curve has its own random projection to DIMS dimensions and its own random shift; a vector's place on a
+curve is the Hilbert key of its projected, shifted and quantised coordinates. All vectors are sorted along
+every curve (range partitions, numbered across them) and cut into blocks of BLOCK; a query meets the vectors
+of its own block and of those beside it. How many curves that takes follows from the table: TRIAL queries
+are answered exactly by one scan, and curves are added, ORDERINGS at a time, until TARGET of their pairs of
+query and neighbour stand within a block of each other on some curve. A neighbour's chance on a curve falls more
+slowly than the share of the table that a block is, so curves grow as a small power of the rows, and the work
+of a query more slowly than the table. Where as many curves would meet as many vectors as a scan, the table is small: blocks are
+widened instead.
 
 Vectors travel as one byte a component, with the length of what that rounds off, which bounds how wrong a
 distance can be; every candidate that could be among the k nearest of those met is reranked on the original
@@ -17,13 +19,14 @@ neither fill a window nor meet in one task; any answer needs no more of their id
 
 The projections' bounds come from a sample of SAMPLE vectors at most; every vector is indexed.
 
-Edge cases: null or zero vectors, vectors with null or non-finite components, rows without id, and vectors
-of another length than most have take no part. Fewer than k candidates: all of them. Rows with the same
+Edge cases: null or zero vectors, vectors with null or non-finite components, and rows without id take no part.
+Vectors of different lengths have no distance: each length is searched by itself. Equal distances go by id. Fewer than k candidates: all of them. Rows with the same
 id are candidates of other ids only. Extra columns are not carried. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,8 @@ from pagewright.llm.common import stash, tidied
 from pagewright.llm.graphs import whole_groups
 from pagewright.llm.ordering import numbered
 
-ORDERINGS, DIMS, BITS, BLOCK, SAMPLE, K, EVERY = 32, 16, 3, 640, 10_000, 10, 100
-TRIAL, TARGET, WIDEST, TILE = 64, 0.97, 65_536, 2_000_000
+ORDERINGS, DIMS, BITS, BLOCK, SAMPLE, K, EVERY = 16, 16, 3, 640, 10_000, 10, 100
+TRIAL, TARGET, WIDEST, TILE = 64, 0.95, 65_536, 2_000_000
 
 
 def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
@@ -86,8 +89,6 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, vec (bytes of doubles), digest of the vectors that take part."""
     ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec_col, lambda x: x != 0)
     rows = vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("v") == (most.n if most else 0))
     return rows.select("id", "v", F.sha2(F.to_json(F.struct("v")).cast("binary"), 256).alias("digest"))
 
 
@@ -95,8 +96,8 @@ def packed(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def places(points: DataFrame, curves: Curves) -> DataFrame:
-    """o, key, id, asks: each point once an ordering."""
+def places(points: DataFrame, curves: Curves, first: int = 0) -> DataFrame:
+    """o (from `first` on), key, id, asks: each point once an ordering."""
     held = points.sparkSession.sparkContext.broadcast(curves)
     schema = pa.schema([("o", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("asks", pa.bool_())])
 
@@ -105,7 +106,7 @@ def places(points: DataFrame, curves: Curves) -> DataFrame:
             if b.num_rows:
                 k = held.value.keys(packed(b.column("v")))
                 n, m = k.shape
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(k.ravel()), pa.array(np.repeat(b.column("id").to_numpy(), m)), pa.array(np.repeat(b.column("asks").to_numpy(zero_copy_only=False), m))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(first, first + m, dtype=np.int32), n)), pa.array(k.ravel()), pa.array(np.repeat(b.column("id").to_numpy(), m)), pa.array(np.repeat(b.column("asks").to_numpy(zero_copy_only=False), m))], schema=schema)
 
     return points.select("id", "asks", "v").mapInArrow(tidied(run), "o int, key long, id long, asks boolean")
 
@@ -138,18 +139,41 @@ def exact_pairs(points: DataFrame, trial: list, k: int) -> list:
     return got.withColumn("__r", F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))).where(F.col("__r") <= k).select("q", "id").collect()
 
 
-def width_needed(points: DataFrame, at: DataFrame, k: int, trial: int, target: float) -> int:
-    """How many places apart on their nearest curve all but 1 - target of the trial queries and their k nearest points are."""
-    rows = points.where("asks").orderBy(F.xxhash64("id"), "id").limit(trial).select("id", "v").collect()
-    pairs = exact_pairs(points, rows, k) if rows else []
-    if not pairs:
-        return 0
-    ids = sorted({i for p in pairs for i in p})
-    on = {i: {} for i in ids}
-    for o, i, n in at.where(F.col("id").isin(ids)).select("o", "id", "n").collect():  # trial * (k + 1) ids at most
-        on[i][o] = n
-    gaps = sorted(min(abs(n - on[i][o]) for o, n in on[q].items()) for q, i in pairs)
-    return gaps[int(np.ceil(target * len(gaps))) - 1]
+class Trial:
+    """Pairs of a query and one of its k nearest points, and how near each other they have come on a curve so far."""
+
+    def __init__(self, points: DataFrame, k: int, size: int) -> None:
+        rows = points.where("asks").orderBy(F.xxhash64("id"), "id").limit(size).select("id", "v").collect()
+        self.pairs = [tuple(p) for p in exact_pairs(points, rows, k)] if rows else []
+        self.gaps = [math.inf] * len(self.pairs)
+
+    def look(self, at: DataFrame) -> None:
+        """at: o, id, n of more curves."""
+        ids = sorted({i for p in self.pairs for i in p})
+        on: dict[int, dict[int, int]] = {i: {} for i in ids}
+        for o, i, n in at.where(F.col("id").isin(ids)).select("o", "id", "n").collect():  # TRIAL * (k + 1) ids at most
+            on[i][o] = n
+        self.gaps = [min(g, *(abs(n - on[i][o]) for o, n in on[q].items())) for g, (q, i) in zip(self.gaps, self.pairs, strict=True)]
+
+    def share(self, block: int) -> float:
+        return sum(g <= block for g in self.gaps) / len(self.gaps) if self.gaps else 1.0
+
+    def width(self, target: float) -> int:
+        return sorted(self.gaps)[math.ceil(target * len(self.gaps)) - 1] if self.gaps else 0
+
+
+def curves_needed(points: DataFrame, total: int, fitted: np.ndarray, trial: Trial, orderings: int, dims: int, bits: int, block: int, target: float) -> tuple[DataFrame, int, int]:
+    """o, id, asks, n (place on the curve) of every point on as many curves as it takes; how many these are, and the width of a block."""
+    at, made = None, 0
+    while True:
+        more = numbered(places(points, Curves(fitted, orderings, dims, bits, seed=5 + made), made), ["o", "key", "id"], "n")
+        more = more.select("o", "id", "asks", (F.col("n") - (F.col("o") - made) * F.lit(total)).alias("n"))
+        trial.look(more)
+        at, made = more if at is None else at.unionByName(more), made + orderings
+        if trial.share(block) >= target:
+            return at, made, block
+        if made * 3 * block >= total:
+            return at, made, max(block, trial.width(target))
 
 
 def near_in_blocks(dealt: DataFrame, k: int) -> DataFrame:
@@ -180,10 +204,20 @@ def near_in_blocks(dealt: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(tidied(run), "q long, id long, low double, high double")
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, sample: int = SAMPLE, trial: int = TRIAL, target: float = TARGET) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id `every` divides."""
-    spark = vectors.sparkSession
     rows = stash(valid(vectors, id_col, vec_col))
+    lengths = [r[0] for r in rows.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]
+    out = None
+    for n in lengths or [0]:
+        own = search_one_length(rows if len(lengths) < 2 else rows.where(F.size("v") == n), k, every, **options)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def search_one_length(rows: DataFrame, k: int, every: int, orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, sample: int = SAMPLE, trial: int = TRIAL, target: float = TARGET) -> DataFrame:
+    """search() of rows of valid() whose vectors have one length."""
+    spark = rows.sparkSession
     asks = F.col("id") % every == 0
     smallest = rows.select("digest", "id").distinct().withColumn("__r", F.row_number().over(Window.partitionBy("digest", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id"))).where(F.col("__r") <= k + 1)
     smallest = smallest.withColumn("__r", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).where(F.col("__r") <= k + 1).groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -193,10 +227,9 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
     picked = points.select("v").orderBy(F.xxhash64("id")).limit(sample).collect()
     fitted = np.array([r.v for r in picked], dtype=np.float64) if picked else np.zeros((1, 1))
     total = points.count()
-    at = numbered(places(points, Curves(fitted, orderings, dims, bits)), ["o", "key", "id"], "n")
-    wide = max(block, width_needed(points, at, k, trial, target))
+    at, _, wide = curves_needed(points, total, fitted, Trial(points, k, trial), orderings, dims, bits, block, target)
     reach = -(-wide // WIDEST)
-    at = at.withColumn("block", F.expr(f"(n - o * {total}L) div {-(-wide // reach)}"))
+    at = at.withColumn("block", F.expr(f"n div {-(-wide // reach)}"))
     codes = coded(points)
     as_candidates = at.select("o", "block", F.lit(False).alias("asks"), "id")
     as_queries = at.where("asks").select("o", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.lit(True).alias("asks"), "id")

@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from pagewright.llm import bloom, graphs, hashing, hilbert_ann, imatch, language_id, line_dedup, mixing, ngram_join, ordering, packing, registry, repeats, suffix_tree_lm, toxicity
 from pagewright.llm.common import fold
@@ -284,6 +285,28 @@ def test_neighbours_reach_follows_the_table(spark):
     assert np.mean([len(found[q] & set(nearest(x, q))) / 10 for q in found]) >= 0.9
 
 
+def test_curves_grow_more_slowly_than_the_table(spark):
+    """Windows far smaller than the table, without structure: curves are added until the recall holds."""
+    made = {}
+    for n in (1000, 4000):
+        x = np.random.default_rng(8).normal(size=(n, 24))
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+        points = hilbert_ann.valid(df, "vec_id", "embedding").withColumn("asks", F.col("id") % 20 == 0).cache()
+        trial = hilbert_ann.Trial(points, 10, 64)
+        _, made[n], block = hilbert_ann.curves_needed(points, n, x, trial, 8, 16, 3, 8, 0.9)
+        assert block == 8 or made[n] * 3 * 8 >= n
+        assert trial.share(block) >= 0.9
+    assert made[1000] < made[4000] < 4 * made[1000]
+
+
+def test_neighbours_by_length_and_repeated_ids(spark):
+    rows = [(100, [1.0, 0.0]), (100, [2.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (200, [1.0, 1.0, 1.0]), (3, [1.0, 1.0, 2.0]), (300, [5.0])]
+    df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id long, embedding array<double>, digest string, rank int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in hilbert_ann.search(df).collect())
+    assert {g[:3] for g in got if g[0] == 200} == {(200, 1, 3)} and not [g for g in got if g[0] == 300]
+    assert {g[2] for g in got if g[0] == 100} == {1, 2} and all(g[3] == 1.0 for g in got)
+
+
 def test_neighbours_closer_than_the_codes_tell(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=24) + rng.normal(size=(400, 24)) * 1e-4
