@@ -1,8 +1,10 @@
 """Document fingerprints after I-Match, DataFrame operations only.
 
-Terms (lower-cased words) are numbered by hash. Document frequencies are counted for 2^24 term slots, and
-the slots whose inverse document frequency lies in the chosen band form the lexicon: one bit a slot, so
-the lexicon has 2 MB however large the corpus is. A document's terms in the lexicon are made distinct
+Terms (lower-cased words) are known by 64-bit hashes. Document frequencies are counted term by term, and the
+terms whose inverse document frequency lies in the chosen band form the lexicon. It is kept as a bitmap with
+PROBES bits a term and SLACK bits or more for each of them, up to 2^MOST_BITS (16 MB): a term in the band is always
+found, one outside it passes for one with a chance of about (PROBES / SLACK)^PROBES, half a percent, as long as the lexicon has fewer than
+2^MOST_BITS / SLACK terms (4 million), and more often beyond. A document's terms in the lexicon are made distinct
 and sorted; then every randomised lexicon subset keeps the terms that its bits of the term hash select
 and hashes what is left. Subsets come in several densities, for short and long documents. A fingerprint
 is the list of these hashes; the likeness of two fingerprints is the share of equal hashes, in the density
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import documents, row_ids, stash
 
-SLOT_BITS, GROUPS, LEVELS = 24, 8, 6
+GROUPS, LEVELS = 8, 6
+PROBES, SLACK, LEAST_BITS, MOST_BITS = 2, 28, 20, 27
 #: The band: a term must occur in MIN_DF documents and in at most this share of them.
 MIN_DF, MAX_SHARE = 2, 0.13
 SPLIT = r"[\s\p{Punct}]+"
@@ -32,23 +35,32 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> DataFrame:
-    """One row, `bits`: an array of 64-bit words with a bit for each slot in the band."""
+def probes(term: Column, bits: int) -> list[Column]:
+    """The slots of a term in a bitmap of 2^bits."""
+    mask = (1 << bits) - 1
+    return [F.shiftrightunsigned(term, k * (64 - bits) // max(PROBES - 1, 1)).bitwiseAND(mask) for k in range(PROBES)]
+
+
+def lexicon(docs: DataFrame, min_df: int = MIN_DF, max_share: float = MAX_SHARE, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """One row, `bits`: an array of 64-bit words with the bits of the terms in the band; and the logarithm of how many bits there are."""
     n = docs.count()
-    slots = docs.select(F.explode(term_hashes(F.col("text"))).alias("t")).groupBy(F.col("t").bitwiseAND((1 << SLOT_BITS) - 1).alias("slot")).count()
-    band = slots.where(F.col("count").between(min_df, max(min_df, int(max_share * n))))
-    words = band.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("word"))
-    every = docs.sparkSession.range(1 << SLOT_BITS - 6).join(words, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("x"))
-    return stash(every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["word"]).alias("bits")))  # 2^18 rows, always
+    terms = docs.select(F.explode(term_hashes(F.col("text"))).alias("t")).groupBy("t").count()
+    band = stash(terms.where(F.col("count").between(min_df, max(min_df, int(max_share * n)))).select("t"))
+    size = min(most_bits, max(LEAST_BITS, (SLACK * band.count()).bit_length()))
+    slots = band.select(F.explode(F.array(*probes(F.col("t"), size))).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("word"))
+    every = docs.sparkSession.range(1 << size - 6).join(words, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("x"))
+    return stash(every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["word"]).alias("bits"))), size  # 2^(most_bits - 6) rows at most
 
 
-def hashes(df: DataFrame, text: str, out: str, bits: DataFrame) -> DataFrame:
+def hashes(df: DataFrame, text: str, out: str, bits: DataFrame, size: int) -> DataFrame:
     """df with `out`: array<long> of GROUPS * LEVELS subset hashes of the text column, 0 where a subset is empty."""
-    mask = (1 << SLOT_BITS) - 1
 
     def listed(t: Column) -> Column:
-        word = F.element_at(F.col("__bits"), (F.shiftright(t.bitwiseAND(mask), 6) + 1).cast("int"))
-        return F.getbit(word, t.bitwiseAND(63).cast("int")) == 1
+        test = F.lit(True)
+        for slot in probes(t, size):
+            test = test & (F.getbit(F.element_at(F.col("__bits"), (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(63).cast("int")) == 1)
+        return test
 
     df = df.withColumn("__all", term_hashes(F.col(text))).withColumn("__bits", bits.scalar())
     df = df.withColumn("__in", F.filter("__all", listed)).drop("__bits")
@@ -102,10 +114,10 @@ def successors(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    bits = lexicon(docs)
+    bits, size = lexicon(docs)
     rows = row_ids(docs.select("doc_id", "text")).select("uid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     before = stash(successors(rows.select("uid", "doc_id", F.length("text").cast("long").alias("n"))))
-    own = hashes(rows, "text", "fp", bits)
+    own = hashes(rows, "text", "fp", bits, size)
     both = own.join(before, "uid")
     # every row goes on to the row before it as that one's next document, cut to what the edit takes
     nexts = both.select(F.col("prev").alias("uid"), F.col("doc_id").alias("next_doc_id"), F.expr("left(text, cast(prev_n div 4 as int))").alias("patch"), F.col("fp").alias("next_fp"))
@@ -113,7 +125,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     d = d.withColumn("edited", F.expr("concat(left(text, length(text) - cast(length(text) div 4 as int)), patch)"))
     d = d.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", "next_doc_id", "edited", F.sha2("edited", 256).alias("edited_sha256"))
-    d = hashes(d, "edited", "edited_fp", bits)
+    d = hashes(d, "edited", "edited_fp", bits, size)
     return d.select("doc_id", "n_chars", "edited_sha256", written("fp").alias("fingerprint"), written("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "next_doc_id")
 
 

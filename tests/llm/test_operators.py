@@ -100,6 +100,42 @@ def test_imatch(spark, docs, table):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("bits", [27, 12])
+def test_lexicon_holds_the_band(spark, docs, table, bits, monkeypatch):
+    """Every term in the band, and with room enough hardly any other; by the terms' own frequencies."""
+    monkeypatch.setattr(imatch, "LEAST_BITS", 12)
+    got, size = imatch.lexicon(docs, most_bits=bits)
+    words = got.first().bits
+    rows = docs.select(F.explode(imatch.term_hashes(F.col("text"))).alias("t")).groupBy("t").count().select("t", "count", *(x.alias(f"p{i}") for i, x in enumerate(imatch.probes(F.col("t"), size)))).collect()
+    has = {r.t: all(words[p >> 6] >> (p & 63) & 1 for p in r[2:]) for r in rows}
+    most = max(imatch.MIN_DF, int(imatch.MAX_SHARE * len(table)))
+    band = {r.t for r in rows if imatch.MIN_DF <= r["count"] <= most}
+    assert band and all(has[t] for t in band)
+    other = [has[r.t] for r in rows if r.t not in band]
+    assert np.mean(other) < (0.05 if bits == 27 else 1.01)
+
+
+def test_fingerprints_by_brute_force(spark, docs, table):
+    """Terms in the lexicon, distinct and sorted, by subset; likeness from the fingerprints alone."""
+    bits, size = imatch.lexicon(docs)
+    words = bits.first().bits
+    hashed = imatch.hashes(docs.where("doc_id is not null"), "text", "fp", bits, size)
+    rows = hashed.select("doc_id", "fp", F.array_sort(imatch.term_hashes(F.col("text"))).alias("terms")).collect()
+    flat = {t for r in rows for t in r.terms}
+    slots = {r.t: r[1:] for r in spark.createDataFrame([(t,) for t in flat], "t long").select("t", *imatch.probes(F.col("t"), size)).collect()}
+    listed = {t: all(words[p >> 6] >> (p & 63) & 1 for p in ps) for t, ps in slots.items()}
+    wanted = []
+    for r in rows:
+        own = [t for t in r.terms if listed[t]] or list(r.terms)
+        for level in range(imatch.LEVELS):
+            if level:
+                own = [t for t in own if (t >> 38 + 2 * level) & 3 == 0]
+            for g in range(imatch.GROUPS):
+                wanted.append((r.doc_id, level * imatch.GROUPS + g, [t for t in own if (t >> 24 + 2 * g) & 3 == 0], r.fp[level * imatch.GROUPS + g]))
+    sums = spark.createDataFrame(wanted, "doc_id long, k int, kept array<long>, got long").withColumn("want", F.when(F.size("kept") > 0, F.xxhash64("kept", "k").bitwiseAND(0xFFFFFFFF)).otherwise(0))
+    assert sums.where("got <> want").count() == 0 and sums.where("size(kept) > 0").count() > 500
+
+
 # ------------------------------------------------------------ 3
 class BrutePst:
     """The suffix tree over plain tuples; None is the end symbol."""
