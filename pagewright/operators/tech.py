@@ -27,19 +27,74 @@ def found(text: Column, pattern: str, case: bool = False) -> Column:
     return F.coalesce(text, F.lit("")).rlike(("" if case else "(?i)") + java(pattern))
 
 
+def literal(pattern: str) -> str | None:
+    """The longest run of plain characters, in lower case, that every match of pattern has; null if there is none of three or more."""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        plain = None
+        if c == "\\":
+            i += 1
+            plain = pattern[i] if not pattern[i].isalnum() else None
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and not depth:
+            return None
+        elif c in "?*{":
+            if run:
+                runs.append(run[:-1])
+                run = ""
+            if c == "{":
+                i = pattern.index("}", i)
+        elif c not in "|.^$+":
+            plain = c
+        if plain is not None and not depth and plain.isascii():
+            run += plain
+        elif c not in "?*{":
+            runs.append(run)
+            run = ""
+        i += 1
+    best = max([*runs, run], key=len).lower()
+    return best if len(best) >= 3 else None
+
+
 def trackers(sources: dict[str, Column]) -> Column:
-    """Trackers of a page, by category then name: where each was seen, and its ids (ten at most) in those places."""
-    rows = []
-    for key, name, category, patterns, ids in sorted(C.TRACKERS, key=lambda t: (C.CATEGORIES.index(t[2]), t[1].lower())):
-        hit = {label: found(text, "|".join(f"(?:{p})" for p in patterns)) for label, text in sources.items()}
-        seen = F.array_compact(F.array(*(F.when(h, F.lit(label)) for label, h in hit.items())))
-        each = [F.when(h, F.regexp_extract_all(F.coalesce(sources[label], F.lit("")), F.lit(java(p)), F.lit(1))).otherwise(F.array().cast("array<string>")) for label, h in hit.items() for p in ids]
-        own = F.slice(F.array_distinct(F.filter(F.concat(*each), lambda x: x != "")), 1, 10) if each else F.array().cast("array<string>")
-        any_hit = None
-        for h in hit.values():
-            any_hit = h if any_hit is None else any_hit | h
-        rows.append(F.when(any_hit, F.struct(F.lit(key).alias("key"), F.lit(name).alias("name"), F.lit(category).alias("category"), own.alias("ids"), seen.alias("sources"), F.lit(C.DEAD.get(key, "")).alias("dead"))))
-    return F.array_compact(F.array(*rows)).cast(TRACKER)
+    """Trackers of a page, by category then name: where each was seen, and its ids (ten at most) in those places.
+
+    A text is searched for a pattern only if it holds the plain characters that the pattern needs.
+    """
+    labels = list(sources)
+    texts = F.array(F.struct(*(x for i, label in enumerate(labels) for x in (F.coalesce(sources[label], F.lit("")).alias(f"t{i}"), F.lower(F.coalesce(sources[label], F.lit(""))).alias(f"low{i}")))))
+
+    def rows(s: Column) -> Column:
+        out = []
+        for key, name, category, patterns, ids in sorted(C.TRACKERS, key=lambda t: (C.CATEGORIES.index(t[2]), t[1].lower())):
+            needs = [literal(p) for p in patterns]
+            hit = {}
+            for i, label in enumerate(labels):
+                match = found(s[f"t{i}"], "|".join(f"(?:{p})" for p in patterns))
+                if all(needs):
+                    may = None
+                    for x in dict.fromkeys(needs):
+                        may = s[f"low{i}"].contains(x) if may is None else may | s[f"low{i}"].contains(x)
+                    match = F.when(may, match).otherwise(False)
+                hit[label] = match
+            once = F.array(F.struct(*(h.alias(f"h{i}") for i, h in enumerate(hit.values()))))  # each text is searched once, whatever asks for the answer
+
+            def row(h: Column) -> Column:
+                seen = F.array_compact(F.array(*(F.when(h[f"h{i}"], F.lit(label)) for i, label in enumerate(labels))))  # noqa: B023
+                each = [F.when(h[f"h{i}"], F.regexp_extract_all(s[f"t{i}"], F.lit(java(p)), F.lit(1))).otherwise(F.array().cast("array<string>")) for i in range(len(labels)) for p in ids]  # noqa: B023
+                own = F.slice(F.array_distinct(F.filter(F.concat(*each), lambda x: x != "")), 1, 10) if each else F.array().cast("array<string>")
+                return F.when(F.size(seen) > 0, F.struct(F.lit(key).alias("key"), F.lit(name).alias("name"), F.lit(category).alias("category"), own.alias("ids"), seen.alias("sources"), F.lit(C.DEAD.get(key, "")).alias("dead")))  # noqa: B023
+
+            out.append(F.transform(once, row)[0])
+        return F.array_compact(F.array(*out)).cast(TRACKER)
+
+    return F.transform(texts, rows)[0]
 
 
 def platform(html: Column, generator: Column, headers: Column) -> Column:

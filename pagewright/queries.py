@@ -918,3 +918,27 @@ def computed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("s.content.shape")
     return snapshots(spark, sf_dir, "content").select("page_id", (shape["paragraphs"] > 0).alias("has_paragraphs"), shape["lists"].alias("lists"))
+
+
+#: a page with a base, one with relative addresses, one with a canonical address of another host
+READ_CASES = spread("""(VALUES (1, '<base href="https://b.example.org/dir/"><link rel="canonical nofollow" href="c?x=1"><meta name=Description content="One  two"><img src="i.png" alt="" width=3 height=2 loading=lazy>'), (2, '<link rel=canonical href="/own"><link rel=alternate hreflang=de href="/de"><meta name="KEYWORDS" content="k"><meta name=keywords content="l"><picture><img src="//cdn.example.org/p.JPEG?v=2"></picture>'), (3, '<link rel="CANONICAL" href="https://other.example.org"><link rel="alternate stylesheet" hreflang="en" href="#f">')) AS t(page_id, part)""", 3)
+
+
+@query(f"""WITH c AS (SELECT t.page_id, p.page_id % 3 + 1 AS k, p.url, regexp_extract(p.url, '^(https?://[^/]+)', 1) AS o FROM {READ_CASES} JOIN pages p ON p.page_id = t.page_id)
+  SELECT page_id, CASE k WHEN 1 THEN 'https://b.example.org/dir/c?x=1' WHEN 2 THEN o || '/own' ELSE 'https://other.example.org/' END AS canonical, CASE k WHEN 1 THEN 'https://b.example.org/dir/' END AS base, CASE k WHEN 1 THEN 'One  two' END AS description, CAST(CASE k WHEN 2 THEN 2 ELSE 0 END AS INTEGER) AS keywords,
+    CASE k WHEN 2 THEN 'de ' || o || '/de' WHEN 3 THEN 'en ' || split_part(url, '#', 1) || '#f' END AS hreflang, CASE k WHEN 1 THEN 'https://b.example.org/dir/i.png png true false lazy 3' WHEN 2 THEN split_part(o, '//', 1) || '//cdn.example.org/p.JPEG?v=2 jpeg false true - -' END AS image FROM c""")
+def read_heads_and_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    image, lang = F.try_element_at(s["images"], F.lit(1)), F.try_element_at(s["hreflang"], F.lit(1))
+    dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    shown = F.when(image.isNotNull(), F.concat_ws(" ", image["src"], image["ext"], image["hasAlt"].cast("string"), image["inPicture"].cast("string"), dash(image["loading"]), dash(image["widthAttr"])))
+    return extract(with_part(spark, sf_dir, READ_CASES), ("head", "images")).select("page_id", s["canonical"]["href"].alias("canonical"), s["baseHref"].alias("base"), s["description"]["content"].alias("description"), s["keywords"]["count"].alias("keywords"), F.when(lang.isNotNull(), F.concat_ws(" ", lang["hreflang"], lang["href"])).alias("hreflang"), shown.alias("image"))
+
+
+@query(f"WITH {MEASURED} SELECT page_id, title, lang, words FROM m")
+def json_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dump, read back: the page's own HTML is not in it."""
+    dumped = A.dump(snapshots(spark, sf_dir, "head", "content", "loaded"))
+    at = lambda path: F.get_json_object("snapshot", path)
+    kept = dumped.where(at("$.loaded.html").isNull() & at("$.loaded.requestedUrls").isNull())
+    return kept.select("page_id", F.coalesce(at("$.title.text"), F.lit("")).alias("title"), at("$.lang").alias("lang"), at("$.content.mainWords").cast("int").alias("words"))
