@@ -27,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, fold
+from pagewright.llm.common import documents, fold, stash
 
 SAMPLE, SAMPLE_CHARS, LEAST, STANDS_OUT = 2_000, 65_536, 4, 3.0
 RIDGE, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 400
@@ -200,11 +200,10 @@ def train(texts: list[str], labels: list[int], prior: float, groups=GROUPS, coun
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, seed: int = 9, **options) -> Model:
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     slim = docs.where(keep & F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", F.xxhash64(F.lit(seed), F.xxhash64("text")).alias("h"))
-    marked = slim.join(marks, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    share = marked.agg(F.avg("toxic")).first()[0]
-    for group in (["toxic", F.pmod("h", F.lit(64))], ["toxic"]):  # no task sees a whole class
-        marked = marked.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy("h"))).where(F.col("__r") <= sample)
-    chosen = marked.select("doc_id", "h", "toxic").collect()  # two classes of `sample` rows at most
+    marked = stash(slim.join(marks, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")))
+    share = marked.agg(F.avg((F.col("toxic") > 0).cast("int"))).first()[0]
+    # the first by hash of each class: every task hands on `sample` rows at most
+    chosen = [r for one in (False, True) for r in marked.where((F.col("toxic") > 0) == one).orderBy("h").limit(sample).select("doc_id", "h", "toxic").collect()]
     if not chosen:
         return train([], [], 0.5)
     spark = docs.sparkSession
