@@ -55,16 +55,45 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Return free memory to the system: workers outlive tasks, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, after which its worker gives free memory back to the system: workers outlive tasks, and share an executor's memory with its JVM."""
+    """run, after which its worker gives free memory back."""
 
     def wrapped(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
+
+    return wrapped
+
+
+def tidied_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of one group, after which its worker gives free memory back."""
+
+    def wrapped(t: pa.Table) -> pa.Table:
+        try:
+            return run(t)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def tidied_groups(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of two groups, after which its worker gives free memory back."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
 
     return wrapped
 
@@ -80,15 +109,17 @@ def by_size(batch: pa.RecordBatch, limit: int, column: str = "text") -> Iterator
         at += n
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
 
+    Bytes that nothing makes smaller, such as hashes, are better written with compression "uncompressed": that takes no buffers.
+
     The application's tables go when its driver ends, or earlier by sweep().
     """
     spark = df.sparkSession
     top, fs = stash_dir(spark)
     path = f"{top.toString()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     fs.deleteOnExit(top)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -42,11 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import by_size, documents, drop_shuffles, fold, release, stash, tidied
+from pagewright.llm.common import by_size, documents, drop_shuffles, fold, release, stash, tidied, tidied_group, tidied_groups
 from pagewright.llm.hashing import word_hashes
 
 MIN_CONTEXT, MIN_PAIR, DEPTH, DISCOUNT, EVIDENCE = 8, 2, 3, 0.6, 2.0
-Q_HEAD, PLACES, LEAST_LISTS, LIST_TOKENS = 2e-6, 27, 6, 4_000_000  # lists: two to the power of LEAST_LISTS at least
+Q_HEAD, PLACES, COUNT_PLACES, LEAST_LISTS, LIST_TOKENS = 2e-6, 27, 26, 6, 2_000_000  # bits of the bitmaps in scoring and in counting; lists: two to the power of LEAST_LISTS at least
+ITEMS = 8_192  # in a row: rows of megabytes wear the JVM's memory down
 FLUSH, TEXT, DOCS = 1_200_000, 8_000_000, 30_000  # runs counted, bytes of text and documents scored, before a task gives off rows
 END_KEY, STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 KINDS = {"key": "<u8", "ctx": "<u8", "suf": "<u8", "n": "<i8", "p": "<f8", "value": "<f8", "doc": "<u2", "known": "<i4"}
@@ -80,16 +81,16 @@ def list_bits(tokens: int) -> int:
     return max(LEAST_LISTS, math.ceil(math.log2(max(tokens, 1) / LIST_TOKENS)))
 
 
-def bit_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three places of each key in a bitmap, all in the share of its list."""
-    share = PLACES - bits
+def bit_places(keys: np.ndarray, bits: int, places: int) -> list[np.ndarray]:
+    """Three places of each key in a bitmap of 2^places bits, all in the share of its list."""
+    share = places - bits
     own = (keys >> np.uint64(64 - bits)).astype(np.int64) << share
-    return [own | (keys >> np.uint64(shift) & np.uint64((1 << share) - 1)).astype(np.int64) for shift in (64 - PLACES, 20, 0)]
+    return [own | (keys >> np.uint64(shift) & np.uint64((1 << share) - 1)).astype(np.int64) for shift in (64 - places, 20, 0)]
 
 
 def passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     out = np.ones(len(keys), dtype=bool)
-    for p in bit_places(keys, bits):
+    for p in bit_places(keys, bits, (len(bitmap) * 8).bit_length() - 1):
         out &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & np.uint8(1) == 1
     return out
 
@@ -111,12 +112,13 @@ def from_six_bytes(raw: bytes) -> np.ndarray:
 
 # ---------------------------------------------------------------- packed rows
 def packed(by: np.ndarray, bits: int, **columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each list that `by` (keys) names, with its items of the columns as bytes."""
+    """Rows for each list that `by` (keys) names, with ITEMS of its items at most, of each column as bytes."""
     at = (by >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
     order = slice(None) if len(at) < 2 or (at[1:] >= at[:-1]).all() else np.argsort(at, kind="stable")
     lists, first = np.unique(at[order], return_index=True)
-    cuts = [*first.tolist(), len(at)]
-    arrays = [pa.array(lists.astype(np.int32))]
+    cuts = [x for s, e in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True) for x in range(s, e, ITEMS)]
+    arrays = [pa.array(at[order][cuts].astype(np.int32))]
+    cuts.append(len(at))
     for name, values in columns.items():
         kind = KINDS.get(name, "u1")  # other columns are rows of bytes
         raw, size = np.ascontiguousarray(values[order].astype(kind, copy=False)).tobytes(), np.dtype(kind).itemsize * (values.shape[1] if values.ndim > 1 else 1)
@@ -181,7 +183,7 @@ def unit_counts(train: DataFrame, flush: int = FLUSH) -> DataFrame:
         key, _, n = summed(*opened(t, "key", "n"))
         return pa.Table.from_batches([packed(key, LEAST_LISTS + 4, key=key, n=n)]) if len(key) else nothing("key", "n")
 
-    return train.select("text").mapInArrow(tidied(run), fields("key", "n")).groupBy("list").applyInArrow(count, fields("key", "n"))
+    return train.select("text").mapInArrow(tidied(run), fields("key", "n")).groupBy("list").applyInArrow(tidied_group(count), fields("key", "n"))
 
 
 def totals(units: DataFrame) -> tuple[int, int, int]:
@@ -209,23 +211,23 @@ def first_level(units: DataFrame, total: int, unknown: float, bits: int) -> Data
     return units.select("key", "n").mapInArrow(tidied(run), fields("key", "n", "p", "value"))
 
 
-def bitmaps(level: DataFrame, bits: int, of) -> list[np.ndarray]:
-    """Bitmaps (2^PLACES bits) of keys. of(n, p, value) gives a test for each of them; p is not a number in rows of states."""
-    share_bits = PLACES - bits
+def bitmaps(level: DataFrame, bits: int, places: int, of) -> list[np.ndarray]:
+    """Bitmaps (2^places bits) of keys. of(n, p, value) gives a test for each of them; p is not a number in rows of states."""
+    share_bits = places - bits
 
     def share(t: pa.Table) -> pa.Table:
         key, n, p, value = opened(t, "key", "n", "p", "value")
         maps = []
         for test in of(n, p, value):
             own = np.zeros(1 << share_bits, dtype=bool)
-            for at in bit_places(key[test], bits):
+            for at in bit_places(key[test], bits, places):
                 own[at & ((1 << share_bits) - 1)] = True
             maps.append(np.packbits(own, bitorder="little").tobytes())
         return pa.table({"list": t.column("list")[:1], **{f"m{i}": pa.array([m], pa.binary()) for i, m in enumerate(maps)}})
 
     none = np.zeros(0)
     kinds = len(of(none, none, none))
-    got = level.select("list", "key", "n", "p", "value").groupBy("list").applyInArrow(share, ", ".join(["list int", *(f"m{i} binary" for i in range(kinds))])).collect()
+    got = level.select("list", "key", "n", "p", "value").groupBy("list").applyInArrow(tidied_group(share), ", ".join(["list int", *(f"m{i} binary" for i in range(kinds))])).collect()
     out = np.zeros((kinds, 1 << bits, 1 << share_bits - 3), dtype=np.uint8)
     for r in got:
         for i in range(kinds):
@@ -268,7 +270,7 @@ def run_counts(train: DataFrame, size: int, bits: int, contexts: np.ndarray, suf
         first, n = first[n >= MIN_PAIR], n[n >= MIN_PAIR]
         return pa.Table.from_batches([packed(suf[first], bits, ctx=ctx[first], suf=suf[first], n=n)]) if len(n) else nothing("ctx", "suf", "n")
 
-    return train.select("text").mapInArrow(tidied(run), fields("ctx", "suf", "known")).groupBy("list").applyInArrow(count, fields("ctx", "suf", "n"))
+    return train.select("text").mapInArrow(tidied(run), fields("ctx", "suf", "known")).groupBy("list").applyInArrow(tidied_group(count), fields("ctx", "suf", "n"))
 
 
 def next_level(level: DataFrame, runs: DataFrame, bits: int, discount: float, evidence: float) -> DataFrame:
@@ -313,8 +315,8 @@ def next_level(level: DataFrame, runs: DataFrame, bits: int, discount: float, ev
         return pa.Table.from_batches(out)
 
     own = level.select("list", "key", "n", "p").groupBy("list")
-    with_parent = runs.groupBy("list").cogroup(own).applyInArrow(parent, fields("ctx", "suf", "n", "p"))
-    return with_parent.groupBy("list").cogroup(own).applyInArrow(judge, fields("key", "n", "p", "value"))
+    with_parent = runs.groupBy("list").cogroup(own).applyInArrow(tidied_groups(parent), fields("ctx", "suf", "n", "p"))
+    return with_parent.groupBy("list").cogroup(own).applyInArrow(tidied_groups(judge), fields("key", "n", "p", "value"))
 
 
 def fit(train: DataFrame, units: DataFrame, total: int, unknown: float, depth: int = DEPTH, discount: float = DISCOUNT, evidence: float = EVIDENCE) -> list[DataFrame]:
@@ -322,9 +324,9 @@ def fit(train: DataFrame, units: DataFrame, total: int, unknown: float, depth: i
     bits = list_bits(total)
     levels = [first_level(units, total, unknown, bits)]
     for size in range(2, depth + 2):
-        maps = bitmaps(levels[-1], bits, lambda n, p, value: [(n >= MIN_CONTEXT) & ~np.isnan(p), (n >= MIN_PAIR) & ~np.isnan(p)])
-        runs = stash(run_counts(train, size, bits, *maps))  # by itself: what counting shuffles goes before the rest is shuffled
-        levels.append(stash(next_level(levels[-1], runs, bits, discount, evidence)))
+        maps = bitmaps(levels[-1], bits, COUNT_PLACES, lambda n, p, value: [(n >= MIN_CONTEXT) & ~np.isnan(p), (n >= MIN_PAIR) & ~np.isnan(p)])
+        runs = stash(run_counts(train, size, bits, *maps), "uncompressed")  # by itself: what counting shuffles goes before the rest is shuffled
+        levels.append(stash(next_level(levels[-1], runs, bits, discount, evidence), "uncompressed"))
         release(train.sparkSession, runs)
     return levels
 
@@ -359,7 +361,7 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
     for level in levels[1:]:
         longer_runs = longer_runs.unionByName(level)
     heads, worth, head_words = head_of(levels, least)
-    (may_be,) = bitmaps(longer_runs, bits, lambda n, p, value: [(n < least) & (value != 0)])
+    (may_be,) = bitmaps(longer_runs, bits, PLACES, lambda n, p, value: [(n < least) & (value != 0)])
     held = docs.sparkSession.sparkContext.broadcast((heads, worth, head_words, may_be))
     lookup = "batch long, doc binary, key binary, base binary"  # for sums: doc, value as key, base, known; for a batch's own row: list is null
 
@@ -468,13 +470,13 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
         rows = level.select(*names).mapInArrow(tidied(cold_rows(int(k == 0))), fields(*names, "known"))
         model = rows if model is None else model.unionByName(rows)
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(ask), f"list int, {lookup}, own boolean")
-    met = asked.groupBy("list").cogroup(model.groupBy("list")).applyInArrow(meet, f"{lookup}, known binary, own boolean")
-    return met.groupBy("batch").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    met = asked.groupBy("list").cogroup(model.groupBy("list")).applyInArrow(tidied_groups(meet), f"{lookup}, known binary, own boolean")
+    return met.groupBy("batch").applyInArrow(tidied_group(gather), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_corpus(docs: DataFrame, train: DataFrame, q_head: float = Q_HEAD) -> tuple[DataFrame, int]:
     """Scores of docs by the model of train, and the number of training tokens."""
-    units = stash(unit_counts(train))
+    units = stash(unit_counts(train), "uncompressed")
     total, distinct, once = totals(units)
     unknown = max(once, 1) / (max(total, 1) + (once == 0))
     levels = fit(train, units, total, unknown)
