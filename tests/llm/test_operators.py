@@ -637,6 +637,26 @@ def test_near_copies_in_large_groups(spark):
     assert Counter(got) == Counter(brute_classes(rows))
 
 
+def test_depth_follows_what_is_found(spark):
+    """A table of very near copies is done with longer prefixes than one whose copies are barely near enough; either way all are found."""
+    rng = np.random.default_rng(13)
+    depth = {}
+    for changed in (1, 8):
+        rows = []
+        for k in range(12):
+            words = [f"v{x}" for x in rng.integers(0, 5000, 400)]
+            other = list(words)
+            for at in range(20, 20 + 40 * changed, 40):
+                other[at] = f"x{k}_{at}"
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        docs = spark.createDataFrame(rows, "uid long, text string").withColumn("doc_id", F.col("uid"))
+        floor = ngram_join.depth_for(0.8)
+        signed = ngram_join.signed(docs.select("uid", "doc_id", "text"), 5, floor, ngram_join.TREES).cache()
+        links, depth[changed] = ngram_join.candidate_links(signed.select("uid", "keys", "tails", "sig"), 0.8, ngram_join.TREES, ngram_join.TARGET)
+        assert {(min(r), max(r)) for r in links.collect()} == {(2 * k, 2 * k + 1) for k in range(12)}
+    assert depth[1] > depth[8] == floor
+
+
 def test_depth_meets_the_target():
     k = ngram_join.depth_for(0.8)
     assert 1 - (1 - 0.8**k) ** ngram_join.TREES >= ngram_join.TARGET > 1 - (1 - 0.8 ** (k + 1)) ** ngram_join.TREES
