@@ -48,7 +48,7 @@ from pagewright.llm.hashing import word_hashes
 MIN_CONTEXT, MIN_PAIR, DEPTH, DISCOUNT, EVIDENCE = 8, 2, 3, 0.6, 2.0
 Q_HEAD, PLACES, COUNT_PLACES, LEAST_LISTS, LIST_TOKENS = 2e-6, 27, 26, 6, 2_000_000  # bits of the bitmaps in scoring and in counting; lists: two to the power of LEAST_LISTS at least
 ITEMS = 8_192  # in a row: rows of megabytes wear the JVM's memory down
-FLUSH, TEXT, DOCS = 1_200_000, 8_000_000, 30_000  # runs counted, bytes of text and documents scored, before a task gives off rows
+FLUSH, TEXT, DOCS = 1_200_000, 12_000_000, 30_000  # runs counted, bytes of text and documents scored, before a task gives off rows
 END_KEY, STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 KINDS = {"key": "<u8", "ctx": "<u8", "suf": "<u8", "n": "<i8", "p": "<f8", "value": "<f8", "doc": "<u2", "known": "<i4"}
 
@@ -211,23 +211,22 @@ def first_level(units: DataFrame, total: int, unknown: float, bits: int) -> Data
     return units.select("key", "n").mapInArrow(tidied(run), fields("key", "n", "p", "value"))
 
 
-def bitmaps(level: DataFrame, bits: int, places: int, of) -> list[np.ndarray]:
-    """Bitmaps (2^places bits) of keys. of(n, p, value) gives a test for each of them; p is not a number in rows of states."""
+def bitmaps(level: DataFrame, bits: int, places: int, columns: tuple[str, ...], of) -> list[np.ndarray]:
+    """Bitmaps (2^places bits) of keys. of(*columns) gives a test for each of them; p is not a number in rows of states."""
     share_bits = places - bits
 
     def share(t: pa.Table) -> pa.Table:
-        key, n, p, value = opened(t, "key", "n", "p", "value")
+        key, *given = opened(t, "key", *columns)
         maps = []
-        for test in of(n, p, value):
+        for test in of(*given):
             own = np.zeros(1 << share_bits, dtype=bool)
             for at in bit_places(key[test], bits, places):
                 own[at & ((1 << share_bits) - 1)] = True
             maps.append(np.packbits(own, bitorder="little").tobytes())
         return pa.table({"list": t.column("list")[:1], **{f"m{i}": pa.array([m], pa.binary()) for i, m in enumerate(maps)}})
 
-    none = np.zeros(0)
-    kinds = len(of(none, none, none))
-    got = level.select("list", "key", "n", "p", "value").groupBy("list").applyInArrow(tidied_group(share), ", ".join(["list int", *(f"m{i} binary" for i in range(kinds))])).collect()
+    kinds = len(of(*[np.zeros(0)] * len(columns)))
+    got = level.select("list", "key", *columns).groupBy("list").applyInArrow(tidied_group(share), ", ".join(["list int", *(f"m{i} binary" for i in range(kinds))])).collect()
     out = np.zeros((kinds, 1 << bits, 1 << share_bits - 3), dtype=np.uint8)
     for r in got:
         for i in range(kinds):
@@ -324,44 +323,54 @@ def fit(train: DataFrame, units: DataFrame, total: int, unknown: float, depth: i
     bits = list_bits(total)
     levels = [first_level(units, total, unknown, bits)]
     for size in range(2, depth + 2):
-        maps = bitmaps(levels[-1], bits, COUNT_PLACES, lambda n, p, value: [(n >= MIN_CONTEXT) & ~np.isnan(p), (n >= MIN_PAIR) & ~np.isnan(p)])
-        runs = stash(run_counts(train, size, bits, *maps), "uncompressed")  # by itself: what counting shuffles goes before the rest is shuffled
-        levels.append(stash(next_level(levels[-1], runs, bits, discount, evidence), "uncompressed"))
+        maps = bitmaps(levels[-1], bits, COUNT_PLACES, ("n", "p"), lambda n, p: [(n >= MIN_CONTEXT) & ~np.isnan(p), (n >= MIN_PAIR) & ~np.isnan(p)])
+        runs = stash(run_counts(train, size, bits, *maps), "zstd")  # by itself: what counting shuffles goes before the rest is shuffled
+        levels.append(stash(next_level(levels[-1], runs, bits, discount, evidence), "zstd"))
         release(train.sparkSession, runs)
     return levels
 
 
 # ---------------------------------------------------------------- scoring
-def head_of(levels: list[DataFrame], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact(levels: list[DataFrame], bits: int) -> DataFrame:
+    """The model: packed key, n, value and known (1: a word) of all that has a value; runs of contexts that are no states have none."""
+
+    def of(level: DataFrame, word: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key, n, value = opened(pa.Table.from_batches([b]), "key", "n", "value")
+                if (hit := value != 0).any():
+                    yield packed(key[hit], bits, key=key[hit], n=n[hit], value=value[hit], known=np.full(int(hit.sum()), word))
+
+        return level.select("key", "n", "value").mapInArrow(tidied(run), fields("key", "n", "value", "known"))
+
+    out = of(levels[0], 1)
+    for level in levels[1:]:
+        out = out.unionByName(of(level, 0))
+    return out
+
+
+def head_of(model: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, value and word count (0: no word) of the runs with that count, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, n, value = opened(pa.Table.from_batches([b]), "key", "n", "value")
-            hit = (n >= least) & (value != 0)
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array([x[hit].tobytes()], pa.binary()) for x in (key, n, value)], names=["key", "n", "value"])
-
-    parts = []
-    for k, level in enumerate(levels):
-        key, n, value = opened(level.select("key", "n", "value").mapInArrow(run, "key binary, n binary, value binary").toArrow(), "key", "n", "value")
-        parts.append((key, n if k == 0 else np.zeros_like(n), value))
-    key, n, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+            key, n, value, word = opened(pa.Table.from_batches([b]), "key", "n", "value", "known")
+            if (hit := n >= least).any():
+                yield pa.RecordBatch.from_arrays([pa.array([x[hit].tobytes()], pa.binary()) for x in (key, n * word, value)], names=["key", "n", "value"])
+
+    key, n, value = opened(model.select("key", "n", "value", "known").mapInArrow(run, "key binary, n binary, value binary").toArrow(), "key", "n", "value")
     keys, _, values = summed(key, value)
     words = np.zeros(len(keys), np.int64)
     np.maximum.at(words, np.searchsorted(keys, key), n)
     return keys, values, words
 
 
-def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinct: int, unknown: float, q_head: float = Q_HEAD) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of docs."""
-    bits, depth = list_bits(total), len(levels) - 1
+def score_by_model(docs: DataFrame, model: DataFrame, total: int, distinct: int, unknown: float, depth: int = DEPTH, q_head: float = Q_HEAD) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of docs, by a stored compact() model."""
+    bits = list_bits(total)
     least = max(q_head * total, 1)
-    longer_runs = levels[0].where("false")
-    for level in levels[1:]:
-        longer_runs = longer_runs.unionByName(level)
-    heads, worth, head_words = head_of(levels, least)
-    (may_be,) = bitmaps(longer_runs, bits, PLACES, lambda n, p, value: [(n < least) & (value != 0)])
+    heads, worth, head_words = head_of(model, least)
+    (may_be,) = bitmaps(model, bits, PLACES, ("n", "known"), lambda n, word: [(n < least) & (word == 0)])
     held = docs.sparkSession.sparkContext.broadcast((heads, worth, head_words, may_be))
     lookup = "batch long, doc binary, key binary, base binary"  # for sums: doc, value as key, base, known; for a batch's own row: list is null
 
@@ -413,10 +422,10 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
             yield from out()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, n, p, value, word = opened(right, "key", "n", "p", "value", "known")
+        key, value, word = opened(right, "key", "value", "known")
         keys, _, values = summed(key, value)
         counts = np.zeros(len(keys), np.int64)
-        np.maximum.at(counts, np.searchsorted(keys, key[word > 0]), n[word > 0])
+        np.maximum.at(counts, np.searchsorted(keys, key), word)
         keys, rows = short(keys, bits), []
         for batch, doc, asked, base, own in zip(*(left.column(c).to_pylist() for c in ("batch", "doc", "key", "base", "own")), strict=True):
             if own:
@@ -454,33 +463,28 @@ def score_by_model(docs: DataFrame, levels: list[DataFrame], total: int, distinc
             n_known[which] += known
         return pa.table({"doc_id": ids, "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "base_score": pa.array(base - n_tokens * norm), "score": pa.array(model)})
 
-    def cold_rows(word: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                key, n, p, value = opened(pa.Table.from_batches([b]), "key", "n", "p", "value")
-                hit = (n < least) & (value != 0)
-                if hit.any():
-                    yield packed(key[hit], bits, key=key[hit], n=n[hit], p=p[hit], value=value[hit], known=np.full(int(hit.sum()), word))
-
-        return run
-
-    names = ("key", "n", "p", "value")
-    model = None
-    for k, level in enumerate(levels):
-        rows = level.select(*names).mapInArrow(tidied(cold_rows(int(k == 0))), fields(*names, "known"))
-        model = rows if model is None else model.unionByName(rows)
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """known: how often a word is counted, which is less than `least` here."""
+        for b in batches:
+            key, n, value, word = opened(pa.Table.from_batches([b]), "key", "n", "value", "known")
+            if (hit := n < least).any():
+                yield packed(key[hit], bits, key=key[hit], value=value[hit], known=(n * word)[hit])
+
+    rare = model.select("key", "n", "value", "known").mapInArrow(tidied(cold), fields("key", "value", "known"))
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(ask), f"list int, {lookup}, own boolean")
-    met = asked.groupBy("list").cogroup(model.groupBy("list")).applyInArrow(tidied_groups(meet), f"{lookup}, known binary, own boolean")
+    met = asked.groupBy("list").cogroup(rare.groupBy("list")).applyInArrow(tidied_groups(meet), f"{lookup}, known binary, own boolean")
     return met.groupBy("batch").applyInArrow(tidied_group(gather), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_corpus(docs: DataFrame, train: DataFrame, q_head: float = Q_HEAD) -> tuple[DataFrame, int]:
     """Scores of docs by the model of train, and the number of training tokens."""
-    units = stash(unit_counts(train), "uncompressed")
+    units = stash(unit_counts(train), "zstd")
     total, distinct, once = totals(units)
     unknown = max(once, 1) / (max(total, 1) + (once == 0))
     levels = fit(train, units, total, unknown)
-    return score_by_model(docs, levels, total, distinct, unknown, q_head), total
+    model = stash(compact(levels, list_bits(total)), "zstd")
+    release(docs.sparkSession, units, *levels[1:])
+    return score_by_model(docs, model, total, distinct, unknown, len(levels) - 1, q_head), total
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
