@@ -75,7 +75,8 @@ def signatures(values: np.ndarray, sizes: np.ndarray, count: int, seed: int = 10
     """count minima for each non-empty set, one row a set."""
     rng = np.random.default_rng(seed)
     mul, xor = rng.integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
-    starts = np.concatenate(([0], np.cumsum(sizes[sizes > 0])[:-1])).astype(np.int64)
+    full = sizes[sizes > 0]
+    starts = (np.cumsum(full) - full).astype(np.int64)
     out = np.empty((len(starts), count), dtype=np.uint64)
     for k in range(count):
         out[:, k] = np.minimum.reduceat((values ^ xor[k]) * mul[k], starts) if len(starts) else 0
