@@ -102,7 +102,7 @@ def signed(docs: DataFrame, n: int, depth: int, trees: int, deepest: int = DEEPE
                         tails = tails << np.uint64(8) | minima[:, :, d] >> np.uint64(56)
                 keys = hashing.mix(keys + np.arange(trees, dtype=np.uint64)).view(np.int64)
                 tails = tails.view(np.int64)
-                sig = (minima[:, :, :depth] >> np.uint64(56)).astype(np.uint8).reshape(len(minima), -1)
+                sig = (minima[:, :, :depth] >> np.uint64(56)).astype(np.uint8).reshape(-1, trees * depth)
                 same, k, t, s, at, row = [], [], [], [], 0, 0
                 for size in sizes.tolist():
                     if size:
