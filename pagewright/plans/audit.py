@@ -232,12 +232,13 @@ def heading_levels(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("page_id", F.explode("s.headings.level").alias("level")).groupBy("page_id", "level").count()
 
 
-def links(snapshots: DataFrame, show: str = "all") -> DataFrame:
-    """One row a link with its marks; show: all, internal, external, nofollow or problems."""
+def links(snapshots: DataFrame, show: str = "all", severities: tuple[str, ...] | None = None) -> DataFrame:
+    """One row a link with its marks; show: all, internal, external, nofollow or problems; severities: of the marks that are listed, by default all."""
     both = F.arrays_zip("s.links", M.link_marks(F.col("s.links")).alias("m"))
     rows = snapshots.select("page_id", F.posexplode(both).alias("pos", "x")).select("page_id", "pos", "x.links.*", F.col("x.m").alias("m"))
     test = {"all": F.lit(True), "internal": F.col("internal").eqNullSafe(True), "external": F.col("internal").eqNullSafe(False), "nofollow": T.has_token(F.col("rel"), "nofollow"), "problems": F.exists("m", lambda m: m["severity"].isNotNull())}[show]
-    return rows.where(test).withColumn("marks", F.transform("m", lambda m: m["id"])).drop("m")
+    listed = F.col("m") if severities is None else F.filter("m", lambda m: F.coalesce(m["severity"].isin(*severities), F.lit(False)))
+    return rows.where(test).withColumn("marks", F.transform(listed, lambda m: m["id"])).drop("m")
 
 
 def images(snapshots: DataFrame, show: str = "all") -> DataFrame:

@@ -282,3 +282,9 @@ def test_hot_columns_only_are_read(spark, tmp_path):
     plan = back.select("page_id", F.col("s.title.text").alias("t")).where("t is not null")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<page_id:bigint,s:struct<title:struct<text:string>>>" in plan
     assert R.TITLE_MAX == 580
+
+
+def test_link_marks_by_severity(spark):
+    snap = extract(pages(spark, (1, "https://a.com/", '<a href="/x">this</a><a href="/y"></a><a href="/z" rel="nofollow">here</a>')))
+    assert [r.marks for r in A.links(snap).orderBy("pos").collect()] == [["link.generic"], ["link.no-text"], ["link.internal-nofollow", "link.generic"]]
+    assert [r.marks for r in A.links(snap, severities=("fail", "warn")).orderBy("pos").collect()] == [[], ["link.no-text"], ["link.internal-nofollow"]]
