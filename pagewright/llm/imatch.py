@@ -2,7 +2,7 @@
 
 Terms (lower-cased words) are known by 64-bit hashes. Document frequencies are counted term by term, and the
 terms whose inverse document frequency lies in the chosen band form the lexicon. It is kept as a bitmap with
-PROBES bits a term and SLACK bits or more for each of them, up to 2^MOST_BITS (16 MB): a term in the band is always
+PROBES bits of one word a term and SLACK bits or more for each of them, up to 2^MOST_BITS (16 MB): a term in the band is always
 found, one outside it passes for one with a chance of about (PROBES / SLACK)^PROBES, half a percent, as long as the lexicon has fewer than
 2^MOST_BITS / SLACK terms (4 million), and more often beyond. A document's terms in the lexicon are made distinct
 and sorted; then every randomised lexicon subset keeps the terms that its bits of the term hash select
@@ -36,9 +36,17 @@ def term_hashes(text: Column) -> Column:
 
 
 def probes(term: Column, bits: int) -> list[Column]:
-    """The slots of a term in a bitmap of 2^bits."""
-    mask = (1 << bits) - 1
-    return [F.shiftrightunsigned(term, k * (64 - bits) // max(PROBES - 1, 1)).bitwiseAND(mask) for k in range(PROBES)]
+    """The slots of a term in a bitmap of 2^bits: PROBES of one word, so that a look-up reads one word."""
+    return [word_of(term, bits) * 64 + place for place in places(term)]
+
+
+def word_of(term: Column, bits: int) -> Column:
+    return term.bitwiseAND((1 << bits - 6) - 1)
+
+
+def places(term: Column) -> list[Column]:
+    """The bits of a term in its word."""
+    return [F.shiftrightunsigned(term, 64 - 6 * (k + 1)).bitwiseAND(63) for k in range(PROBES)]
 
 
 def lexicon(docs: DataFrame, min_df: int = MIN_DF, max_share: float = MAX_SHARE, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
@@ -57,13 +65,16 @@ def hashes(df: DataFrame, text: str, out: str, bits: DataFrame, size: int) -> Da
     """df with `out`: array<long> of GROUPS * LEVELS subset hashes of the text column, 0 where a subset is empty."""
 
     def listed(t: Column) -> Column:
-        test = F.lit(True)
-        for slot in probes(t, size):
-            test = test & (F.getbit(F.element_at(F.col("__bits"), (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(63).cast("int")) == 1)
-        return test
-
-    df = df.withColumn("__all", term_hashes(F.col(text))).withColumn("__bits", bits.scalar())
-    df = df.withColumn("__in", F.filter("__all", listed)).drop("__bits")
+        mask = F.lit(0).cast("long")
+        for place in places(t):
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int")))
+        return F.element_at("__bits", (word_of(t, size) + 1).cast("int")).bitwiseAND(mask) == mask
+
+    # A column with the bitmap would be copied for each row (up to 16 MB). It is named once, and every other column
+    # beside it is a plain one, so the optimizer puts the subquery itself into the filter, where nothing is copied;
+    # __again keeps that projection apart from the one that makes the terms.
+    df = df.withColumn("__all", term_hashes(F.col(text))).select("*", F.col("__all").alias("__again"), bits.scalar().alias("__bits"))
+    df = df.withColumn("__in", F.filter("__again", listed)).drop("__bits", "__again")
     df = df.withColumn("__p0", F.sort_array(F.when(F.size("__in") > 0, F.col("__in")).otherwise(F.col("__all")))).drop("__all", "__in")
     for level in range(1, LEVELS):  # each level has a quarter of the terms of the one before
         df = df.withColumn(f"__p{level}", F.filter(f"__p{level - 1}", lambda t: F.shiftright(t, 38 + 2 * level).bitwiseAND(3) == 0))  # noqa: B023

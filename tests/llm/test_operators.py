@@ -100,6 +100,13 @@ def test_imatch(spark, docs, table):
     assert one.near_next == 1.0
 
 
+def test_bitmap_is_no_column(spark, docs):
+    """A column with the lexicon's bitmap would be copied for each row: the plan has it as a subquery inside the filter."""
+    bits, size = imatch.lexicon(docs)
+    plan = imatch.hashes(docs, "text", "fp", bits, size)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan and "__bits" not in plan
+
+
 @pytest.mark.parametrize("bits", [27, 12])
 def test_lexicon_holds_the_band(spark, docs, table, bits, monkeypatch):
     """Every term in the band, and with room enough hardly any other; by the terms' own frequencies."""
