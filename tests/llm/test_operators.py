@@ -278,6 +278,23 @@ def test_repeats_of_more_segments_than_a_task_sorts(spark):
     assert got == brute_rows([(i, t.encode()) for i, t in rows], repeats.LENGTH)
 
 
+def test_repeats_under_400_bytes_stay(spark, tmp_path):
+    """The contract counts bytes, not words: a shared passage of over 50 words and 399 bytes stays, one byte more and it goes."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(4, 7)))
+    passage = " ".join(word() for _ in range(80))[:400]
+    assert len(passage[:399].split()) > 50
+    rows = [(1, f"A{passage[:399]}B"), (2, f"C{passage[:399]}D"), (3, "é" + passage[::-1] + "x"), (4, "ü" + passage[::-1] + "y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.queries()["op4_suffix_dedup"](spark, str(tmp_path)).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert [got[i] for i in (1, 2)] == [(401, 0, 0, sha(t.encode())) for _, t in rows[:2]]
+    # the second bytes of é and ü differ, so the repeat starts after them
+    assert [got[i] for i in (3, 4)] == [(403, 400, 1, sha(b)) for b in ("éx".encode(), "üy".encode())]
+    shorter = repeats.remove(spark.read.parquet(f"{tmp_path}/documents.parquet"), 271)  # by the operator's own parameter
+    assert {r.doc_id: r.n_removed for r in shorter.collect()} == {1: 399, 2: 399, 3: 400, 4: 400}
+
+
 def test_difference_cover_reaches_every_distance():
     c = np.flatnonzero(repeats.COVER)
     assert {int((a - b) % repeats.PERIOD) for a in c for b in c} == set(range(repeats.PERIOD))
